@@ -1 +1,61 @@
-"""Queries."""
+"""Queries over job events, in batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pingframe.plans.registry import query
+from pingframe.plans.views import view
+from pingframe.streaming import jobs
+
+V = "v_job_event"
+
+
+def events(spark, d):
+    e = view(spark, d, V)
+    return e.withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("str01_numbered_events", "SELECT job_id, seq, type FROM v_job_event", V)
+def str01(spark, d):
+    return events(spark, d).select("job_id", "seq", "type")
+
+
+@query("str02_standing_detections", "SELECT job_id, detection_key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY job_id, detection_key ORDER BY seq DESC) AS k FROM v_job_event WHERE type IN ('detection', 'detection_update', 'detection_removed')) WHERE k = 1 AND type <> 'detection_removed'", V)
+def str02(spark, d):
+    return jobs.detections_now(events(spark, d))
+
+
+@query("str03_replay", "SELECT job_id, seq, type FROM v_job_event WHERE seq > 25", V)
+def str03(spark, d):
+    e = events(spark, d)
+    return jobs.replayed(e.unionByName(e.where("seq % 5 = 0")), 25).select("job_id", "seq", "type")
+
+
+@query("str04_rising_numbers", "SELECT job_id, seq FROM (SELECT job_id, seq, max(seq) OVER (PARTITION BY job_id ORDER BY (seq * 7) % 31, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v_job_event) WHERE seq > coalesce(top, -1)", V)
+def str04(spark, d):
+    e = events(spark, d).withColumn("arrival", F.struct((F.col("seq") * 7 % 31).alias("a"), "seq"))
+    return jobs.rising(e, "arrival").select("job_id", "seq")
+
+
+@query("str05_sampled_progress", "SELECT job_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, max(seq) AS seq FROM v_job_event WHERE type = 'progress' GROUP BY 1, 2", V)
+def str05(spark, d):
+    return jobs.sampled_progress(events(spark, d), 3600).select("job_id", F.col("slot").cast("long").alias("slot"), "seq")
+
+
+@query("agg21_stage_latency", """p AS (SELECT job_id, max(g) AS gap FROM (SELECT job_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY job_id ORDER BY seq)) AS g FROM v_job_event WHERE type = 'progress') GROUP BY job_id) SELECT e.job_id, round(min(CASE WHEN type = 'detection' THEN epoch(ts) END) - min(epoch(ts)), 3) AS first_detection_s, round(min(p.gap), 3) AS largest_gap_s FROM v_job_event e LEFT JOIN p USING (job_id) GROUP BY e.job_id""", V)
+def agg21(spark, d):
+    return jobs.stage_latency(events(spark, d)).select("job_id", F.round("first_detection_s", 3).alias("first_detection_s"), F.round("largest_gap_s", 3).alias("largest_gap_s"))
+
+
+@query("str10_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, type, count(*) AS n FROM v_job_event GROUP BY 1, 2", V)
+def str10(spark, d):
+    return jobs.hourly_counts(events(spark, d)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("scl09_eta", "SELECT job_id, round((epoch(max(ts)) - epoch(min(ts))) * (100 - max(seq) % 100) / (max(seq) % 100), 2) AS eta_s FROM v_job_event GROUP BY job_id HAVING max(seq) % 100 > 0", V)
+def scl09(spark, d):
+    sec = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    p = F.max("seq") % 100
+    out = events(spark, d).groupBy("job_id").agg((sec(F.max("ts")) - sec(F.min("ts"))).alias("spent"), p.alias("p")).where("p > 0")
+    return out.select("job_id", F.round(F.col("spent") * (100 - F.col("p")) / F.col("p"), 2).alias("eta_s"))

@@ -53,7 +53,7 @@ SELECT o_orderkey AS survey_key, concat('SRV-', lpad(cast(o_orderkey as string),
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_utc, o_totalprice AS track_m
 FROM orders JOIN customer ON o_custkey = c_custkey
 """
-SOURCE_FILE = "SELECT l_orderkey AS survey_key, l_linenumber AS file_no, concat(p_name, '.xtf') AS filename, CAST(l_extendedprice AS BIGINT) AS size_bytes, CAST(l_quantity AS BIGINT) AS pings FROM lineitem JOIN part ON l_partkey = p_partkey"
+SOURCE_FILE = "SELECT l_orderkey AS survey_key, l_linenumber AS file_no, concat(p_name, '.xtf') AS filename, CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes, CAST(floor(l_quantity) AS BIGINT) AS pings FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 #: events as the numbered event stream of a job.
 JOB_EVENT = """
