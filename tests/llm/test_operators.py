@@ -1,0 +1,416 @@
+"""The training-data operators against brute force on small tables that hold nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pingframe.llm import language, leaks, licences, lines, mixing, neighbours, quality, secret, shards, simhash
+
+SF = "/root/testdata/sf0.001"
+KINDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(n, seed=0, words=60):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{i}" for i in rng.integers(0, 5000, words)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, and columns named like results."""
+    t = prose(6)
+    long = " ".join(prose(1, 9, 40_000))
+    rows = [(1, t[0], "en", "a", 1), (1, t[0], "en", "a", 1), (2, t[0], "en", None, 1), (3, None, "en", "a", None), (4, "", None, "b", 0), (None, t[1], "de", "b", 2), (None, None, None, None, None), (5, long, "de", "a", 9), (6, "one", "de", "c", 3), (7, " \t\n", "de", "c", 3), (8, t[2] + "\nA\nB\nC\nD", "fr", "c", 5), (9, "A\nB\nC\nD\nE", "fr", "c", 5), (1, t[3], "en", "a", 7)]
+    df = spark.createDataFrame(rows, KINDS)
+    for c in ("size", "shard", "node", "key", "score", "rank", "fingerprint", "h", "n_lines"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, prose(1)[0]), (2, "one"), (3, None), (None, "zzz yyy"), (12, "")], "item_id long, text string")
+
+
+def slow_print(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def groups(prints, most):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= most:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(prints))]
+
+
+def expected_components(rows):
+    prints = [slow_print(t) for _, t in rows]
+    g = groups(prints, 3)
+    least = {}
+    for (i, _), k in zip(rows, g):
+        if i is not None:
+            least[k] = min(i, least.get(k, i))
+    return sorted(((i, f"{p:016x}", least.get(k)) for (i, _), p, k in zip(rows, prints, g)), key=str)
+
+
+def test_simhash_matches_brute_force(odd):
+    want = expected_components([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert sorted((tuple(r) for r in simhash.components(odd).collect()), key=str) == want
+
+
+def test_simhash_on_the_given_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = expected_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted((tuple(r) for r in simhash.components(docs).collect()), key=str) == want
+
+
+def test_every_three_damaged_bytes_leave_a_list():
+    from itertools import combinations
+
+    sets = [set(s) for s in simhash.planes()]
+    assert len(sets) == 14 and all(any(not s & set(d) for s in sets) for d in combinations(range(8), 3))
+
+
+def test_spanning_links_hold_a_hot_list_together():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, 8, dtype=np.uint8)
+    x = np.tile(base, (3000, 1))
+    for row in x[1:]:
+        row[rng.integers(0, 8)] ^= np.uint8(1 << rng.integers(0, 8))
+    links = simhash.spanning(np.arange(3000), x, 5, 3)
+    assert len(links) == 2999
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    prints = [(i << 2) | j for i in range(1) for j in range(4)] + [0xFF << 40 | k for k in range(8)]
+    rows = [(p - (1 << 64) if p >> 63 else p, p.to_bytes(8, "big")) for p in prints]
+    nodes = spark.createDataFrame(rows, "node long, fp binary")
+    got = simhash.connected(simhash.near_links(nodes, simhash.planes(), 5, 3)).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in got) == [4, 8]
+
+
+def test_near_copies_go_and_others_stay(spark):
+    a, b, c = prose(3, 4, 200)
+    near = " ".join(w if i not in (50, 120) else "changed" for i, w in enumerate(a.split()))
+    rows = [(5, a, "en", "s", 1), (2, near, "en", "s", 1), (9, a, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "en", "s", 1), (None, c, None, None, None), (8, None, "en", "s", 1), (10, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, KINDS).withColumn("node", F.lit(1)).withColumn("row", F.lit(2))
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 7, 8, None]
+
+
+def test_quality_holds_out_and_scores_all(spark, odd, labels):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = quality.classified(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert len(held) > 10 and (held.predicted == held.quality).mean() > 0.85
+    crc = [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]
+    assert (got.held_out == crc).all()
+    every = quality.classified(odd, labels).toPandas()
+    assert len(every) == odd.count() and every.score.between(0, 1).all()
+
+
+def test_quality_without_labels(odd, labels, empty):
+    got = quality.classified(odd, labels.where("false")).toPandas()
+    assert (got.score == 0.5).all() and (got.predicted == 1).all()
+    assert quality.classified(empty, labels).count() == 0
+
+
+def test_additive_model_learns_a_pair():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(-1, 1, (3000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.fit(x, y)
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9 and model.pairs[0][:2] == (0, 1)
+
+
+def test_rejected_documents_go(spark, labels):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and 0.6 < kept.count() / docs.count() < 1
+
+
+def test_secret_spans():
+    key, token = "AKIA" + "ABCDEFGH12345678", "9f" * 20
+    text = f'é {key} token = "{token}" secret=short password: "longenough1" AKIASHORT'
+    base = sorted(secret.base_spans(text))
+    assert [(k, text[a:b]) for a, b, k in base] == [("access", key), ("assign", f'token = "{token}'), ("hex", token), ("assign", 'password: "longenough1')]
+    assert secret.base_spans("secret=token:abcdefgh") == []
+    assert secret.base_spans("TOKEN=abcdefgh ſecret=abcdefgh")[0][:2] == (0, 14) and len(secret.base_spans("TOKEN=abcdefgh ſecret=abcdefgh")) == 1
+
+
+def test_entropy_windows_match_recount():
+    import math
+
+    rng = np.random.default_rng(3)
+    run = "".join(rng.choice(list("aabbccddeeff0123456789"), 120))
+    hits = set()
+    for i in range(len(run) - secret.WINDOW + 1):
+        w = run[i : i + secret.WINDOW]
+        if -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) >= 3.4 - 1e-9:
+            hits |= set(range(i, i + secret.WINDOW))
+    assert {p for a, b in secret.high_windows(run, 3.4) for p in range(a, b)} == hits
+    assert secret.entropy_spans("ordinary_words_joined_by_marks_only_here 0000000000000000000000000000") == []
+    assert secret.entropy_spans("x k9Jq2LmZ8vRt4WyB7nXc5PdH1sGf3Aa0 y")[0][2] == "entropy_base64"
+
+
+def test_secret_scan_edges(odd, empty):
+    got = secret.scanned(odd).toPandas()
+    assert len(got) == odd.count() and set(got.base_sha256) == {hashlib.sha256(b"").hexdigest()}
+    assert secret.scanned(empty).count() == 0
+
+
+def test_shards(odd, empty):
+    got = shards.sharded(odd).toPandas()
+    assert len(got) == odd.count() and (got["law"] == "key").all()
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    assert got.groupby(got.doc_id.fillna(-1)).shard.nunique().max() == 1
+    assert ((got.grown_shard == got.shard) | (got.grown_shard == 24)).all()
+    texts = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] not in (None, 1)}
+    for r in got[got.doc_id.isin(list(texts))].itertuples():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 8 and r.text_crc32 == zlib.crc32(raw)
+    assert shards.sharded(empty).count() == 0
+
+
+def test_weights_and_growth(spark):
+    ids = spark.range(6000).select(F.col("id"), shards.shard_of(F.col("id"), [1.0, 1.0, 2.0]).alias("a"), shards.shard_of(F.col("id"), [1.0, 1.0, 2.0, 1.0]).alias("b"))
+    moved = ids.where("a <> b").select("b").distinct().collect()
+    assert [r["b"] for r in moved] == [3]
+    share = {r["a"]: r["count"] / 6000 for r in ids.groupBy("a").count().collect()}
+    assert abs(share[2] - 0.5) < 0.03 and abs(share[0] - 0.25) < 0.03
+    with pytest.raises(ValueError):
+        shards.shard_of(F.col("id"), [0.0])
+
+
+def slow_leaks(text, items):
+    def split(t):
+        return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+
+    w, hit, ids = split(text), set(), set()
+    for i, t in items:
+        x = split(t)
+        n = min(10, len(x))
+        for k in range(len(x) - n + 1) if n else ():
+            for p in range(len(w) - n + 1):
+                if w[p : p + n] == x[k : k + n]:
+                    hit |= set(range(p, p + n))
+                    ids.add("" if i is None else str(i))
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+
+
+def test_leaks_match_brute_force(spark, odd, benchmark, empty):
+    b = benchmark.collect()
+    passage = " ".join(prose(1)[0].split()[20:45])
+    extra = spark.createDataFrame([(50, f"Start, {passage.upper()}! end zzz... YYY one two", "en", "q", 1), (51, passage[:-3] + " é one-two", "en", "q", 1)], KINDS)
+    docs = odd.select("doc_id", "text").where("length(text) < 5000 or text is null").unionByName(extra.select("doc_id", "text"))
+    items = [(r["item_id"], r["text"]) for r in b]
+    want = sorted(((r["doc_id"], *slow_leaks(r["text"], items)) for r in docs.collect()), key=str)
+    assert sorted((tuple(r) for r in leaks.reported(docs, benchmark).collect()), key=str) == want
+    found = leaks.searched(docs, benchmark, block_bytes=40).where("doc_id = 50").first()["__found"]  # several blocks of items
+    assert max(m["length"] for m in found) == 25
+    assert leaks.reported(empty, benchmark).count() == 0 and leaks.reported(odd, benchmark.where("false")).where("n_hit > 0").count() == 0
+    clean = leaks.decontaminated(odd, benchmark)
+    assert clean.columns == odd.columns and clean.where("doc_id = 6").count() == 0 and clean.where("doc_id = 9").count() == 1
+
+
+def test_targets():
+    got = mixing.targets([("b", 100), (None, 10), ("a", 100)])  # weights a 3, b 1, null 2
+    assert got["a"] == pytest.approx(200) and got[None] == 20 and got["b"] == pytest.approx(95)
+    assert mixing.targets([]) == {}
+    assert mixing.targets([("a", 0)]) == {"a": 0}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chosen_is_nearest(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(0, 40, 6))
+    counts = rng.integers(1, 4, len(lengths))
+    reach = {0}
+    for n, c in zip(lengths, counts):
+        reach = {s + k * int(n) for s in reach for k in range(c + 1)}
+    for budget in (0, 1, 17, 60, int((lengths * counts).sum()) - 1, 10_000):
+        take = mixing.chosen(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * lengths).sum()) == max(s for s in reach if s <= budget)
+
+
+def test_chosen_beyond_the_fit():
+    lengths, counts = np.arange(1, 2000), np.full(1999, 3)
+    for budget in (100_001, 3_000_000):
+        take = mixing.chosen(lengths, counts, budget)
+        assert int((take * lengths).sum()) == budget and (take <= counts).all()
+
+
+def test_mix_edges(odd, empty):
+    got = mixing.mixed(odd, keep_source=True).toPandas()
+    assert len(got) == odd.count() and (got.taken <= 2 * got["size"]).all() and (got.taken == got.copies * got["size"]).all()
+    for _, own in got.groupby(got.source.fillna("~")):
+        assert own.source_size.iloc[0] == own["size"].sum()
+    again = mixing.mixed(odd, keep_source=True).toPandas()
+    key = ["doc_id", "size", "source"]
+    assert got.sort_values([*key, "taken"]).reset_index(drop=True).equals(again.sort_values([*key, "taken"]).reset_index(drop=True))
+    assert mixing.mixed(empty).count() == 0
+    drawn = mixing.drawn(odd)
+    assert drawn.columns == odd.columns and drawn.count() == got.copies.sum()
+
+
+def test_mix_nears_its_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.mixed(docs, keep_source=True).toPandas()
+    per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert per.target.sum() == pytest.approx(1.5 * per["size"].sum())
+    assert ((per.taken - per.target).abs() <= 0.02 * per.target).all() and (per.taken <= per.target + 1).all()
+
+
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language.identified(docs).toPandas().merge(docs.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert len(held) > 20 and (held.lang_pred == held.lang).mean() > 0.9
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    edges = language.identified(odd).toPandas()
+    assert (edges.lang_pred[edges.doc_id.isin([3, 4, 7])] == "und").all() and edges.score.between(0, 1).all() and len(edges) == odd.count()
+    assert language.identified(empty).count() == 0
+    assert set(r["lang_pred"] for r in language.identified(odd, {}).collect()) == {"und"}
+
+
+def test_licences(spark, odd, empty):
+    rows = [(1, "prose here\nReleased under the MIT License.\nmore"), (2, "LICENSED under the Apache-License, version 2.0"), (3, "Released under the BSD"), (4, None), (5, "This work is licensed under the GNU General Public License, version 2.")]
+    got = {r["doc_id"]: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["licences"] == "MIT" and got[1]["n_licensed"] == 1 and got[1]["n_units"] == 4
+    assert got[2]["best_licence"] == "Apache-2.0" and got[2]["best_score"] == 1.0
+    assert got[3]["best_licence"] is None and got[4]["n_units"] == 0
+    assert got[5]["best_licence"] == "GPL-2.0" and got[5]["licences"] == "AGPL-3.0,GPL-2.0,GPL-3.0"[9:]
+    assert licences.scanned(odd).count() == odd.count() and licences.scanned(empty).count() == 0
+
+
+def test_licence_scan_runs_no_python(spark, odd):
+    plan = licences.scanned(odd)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def slow_lines(rows):
+    """rows: distinct (doc_id, text) in the order of the first occurrences."""
+    seen, out = set(), {}
+    for i, t in rows:
+        own = (t or "").split("\n")
+        gone = set()
+        for k in range(len(own) - 2):
+            w = tuple(own[k : k + 3])
+            if w in seen:
+                gone |= {k, k + 1, k + 2}
+            seen.add(w)
+        out[(i, t)] = "\n".join(x for k, x in enumerate(own) if k not in gone), len(gone)
+    return out
+
+
+def test_lines_match_brute_force(spark, odd, empty):
+    rows = [(3, "a\nb\nc\nd\ne"), (1, "x\na\nb\nc\ny"), (2, "b\nc\nd"), (4, "a\nb\nc\na\nb\nc"), (5, "a\nb"), (6, None), (7, ""), (8, "q\nq\nq\nq\nq\n"), (None, "b\nc\nd"), (4, "a\nb\nc\na\nb\nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_lines(sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)))
+    got = lines.without_repeats(docs.withColumn("orig", F.col("text"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text, gone = want[(r["doc_id"], r["orig"])]
+        assert (r["text"] or "") == text and r["n_removed"] == gone
+    assert lines.digest(odd).count() == odd.count() and lines.digest(empty).count() == 0
+
+
+def test_neighbours_recall_and_edges(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 16))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000 + i, [float(v) for v in x[7]]) for i in range(40)]
+    rows += [(9000, None), (9100, [0.0] * 16), (9200, [float("nan")] * 16), (9300, [1.0] * 3), (None, [1.0] * 16), (100, rows[100][1]), (9400, [None] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(0)).withColumn("score", F.lit(0))
+    got = neighbours.searched(table).toPandas()
+    good = {i: np.array(v) for i, v in rows[:3040]}
+    ids = np.array(sorted(good))
+    m = np.stack([good[i] for i in ids])
+    hit = total = 0
+    queries = [i for i in ids if i % 100 == 0]
+    assert set(got.query_id) == set(queries)
+    for q in queries:
+        d = np.sqrt(((m - good[q]) ** 2).sum(1))
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own["rank"]) == list(range(1, 11)) and q not in set(own.vec_id)
+        assert np.allclose(own.score, [d[ids == v][0] for v in own.vec_id], rtol=0, atol=0)
+        assert list(zip(own.score, own.vec_id)) == sorted(zip(own.score, own.vec_id))
+        best = [ids[k] for k in np.lexsort((ids, d)) if ids[k] != q][:10]
+        hit, total = hit + len(set(best) & set(own.vec_id)), total + 10
+    assert hit / total >= 0.9
+    assert neighbours.searched(table.where("false")).count() == 0
+    assert neighbours.searched(table.where("vec_id = 100")).count() == 0
+
+
+def test_neighbours_cut_hot_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((400, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in neighbours.searched(table).collect())
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
+    assert sorted(tuple(r) for r in neighbours.searched(table).collect()) == whole
+
+
+def test_probes_go_by_rising_cost():
+    index = neighbours.Index(4, 3, 1.0)
+    place = np.array([0.1, 0.5, 0.8])
+    cells = index.visited(place, 27)
+    assert len({tuple(c) for c in cells}) == 27
+    off = [sum((place[i] - np.floor(place[i]) if c[i] < np.floor(place[i]) else 1 - place[i] + np.floor(place[i])) ** 2 for i in range(3) if c[i] != np.floor(place[i])) for c in cells]
+    assert off == sorted(off)
+
+
+def test_pipeline_stages(spark, labels):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    kept = {r["doc_id"]: r for r in docs.collect()}
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, seen = seen, stage(spark, seen, SF)
+        if name != "sharding":
+            assert seen.columns == docs.columns
+            seen = spark.createDataFrame(seen.collect(), docs.schema)
+        if name in ("quality", "near_dedup", "decontamination"):
+            assert 0 < seen.count() < before.count()
+        if name == "near_dedup":
+            assert seen.groupBy("text").count().where("count > 1").count() == 0
+        if name == "decontamination":
+            items = [(r["item_id"], r["text"]) for r in bench.collect()]
+            assert not any(slow_leaks(r["text"], items)[4] for r in seen.collect())
+    out = seen.toPandas()
+    assert set(out.doc_id) <= set(kept) and out.groupby("doc_id").size().max() == 2
+    run = corpus_pipeline.run(spark, SF).toPandas()
+    order = ["doc_id", "slot"]
+    pd.testing.assert_frame_equal(run.sort_values(order).reset_index(drop=True), out.sort_values(order).reset_index(drop=True))
