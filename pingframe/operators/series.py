@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,3 +144,26 @@ def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps:
     kept = F.array_union(F.aggregate(ahead, start, step)["kept"], F.aggregate(behind, start, step)["kept"])
     stayed = lines.select(*by, F.explode(kept).alias(at)).withColumn("accepted", F.lit(True))
     return rows.select(*by, at).join(stayed, [*by, at], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def savitzky_golay(rows: DataFrame, value: str, at: str, by: list[str], window: int, order: int) -> DataFrame:
+    """(by, at, smooth): least-squares polynomials over a centred odd window; the first and last rows take the polynomial of the first
+    and last whole window. A line shorter than the window uses the largest odd window that fits; below order + 1 rows it stays.
+
+    A line's rows meet in one call: the ends need the first and last window whole.
+    """
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(at, kind="stable")
+        y = batch[value].to_numpy(dtype=np.float64)
+        w = min(window, len(y) - (len(y) + 1) % 2)
+        if w > order:
+            half, x = w // 2, np.arange(w) - w // 2
+            fit = np.linalg.pinv(np.vander(x, order + 1, increasing=True))
+            out = np.convolve(y, fit[0][::-1], mode="valid")
+            ends = lambda part, xs: np.vander(xs, order + 1, increasing=True) @ (fit @ part)
+            y = np.concatenate([ends(y[:w], x[:half]), out, ends(y[-w:], x[half + 1 :])])
+        return batch[[*by, at]].assign(smooth=y)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, at).schema.fields)
+    return rows.select(*by, at, value).groupBy(*by).applyInPandas(run, f"{kinds}, smooth double")
