@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Column expressions: geodesy, scores, shapes, texts."""

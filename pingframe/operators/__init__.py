@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Operators: DataFrames in, DataFrames out."""

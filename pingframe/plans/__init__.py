@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Views over the given tables, registered queries and their SQL, shared tables."""

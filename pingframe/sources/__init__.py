@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Sources: text formats, and sonar logs as a Spark data source."""

@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Job event streams in batch and as Structured Streaming."""
