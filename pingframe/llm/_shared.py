@@ -1,39 +1,21 @@
-"""Helpers that several training-data operators use: shared tables, connected components, skew-proof numbering."""
+"""Helpers that several training-data operators use: batches, checksums, skew-proof numbering."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="pingframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
+#: Rows of an Arrow batch that carries texts: a batch, not a row count, has to fit into a Python worker beside its results.
+TEXT_ROWS = 1_000
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor costs a read and no more."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._pingframe_path = path
-    return out
 
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that written() made and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._pingframe_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches at TEXT_ROWS rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 def crc32(column: Column) -> Column:
@@ -41,36 +23,6 @@ def crc32(column: Column) -> Column:
     return F.crc32(column.cast("binary"))
 
 
-def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of links (a, b) as (node, root); root is the component's smallest node, nodes without a link are absent.
-
-    Alternating large-star and small-star rounds: every round is two grouped minima and two joins, so no neighbour list meets in
-    one task (minima combine before the shuffle; the joins are such that adaptive execution can split a hot node). Each round's links
-    are written to the shared folder. Self-links, repeated links and either direction are allowed; nulls are ignored.
-    """
-    pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b")
-    now = written(pairs.distinct(), "links")
-    seen = None
-    for _ in range(max_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if mark == seen or not mark["n"]:
-            break
-        seen = mark
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        small = small.select("x.a", "x.b").where("a <> b").distinct()
-        after = written(small, "links")
-        dropped(now)
-        now = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, bins: Column) -> DataFrame:
     """df with a gapless number from 0 in each group, of rows ordered by bin and then `order`.
 

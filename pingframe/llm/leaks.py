@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pingframe.llm._shared import small_batches
+
 WINDOW = 10
 #: Test items are searched in blocks of about this many bytes: a block goes to every task, more items take more passes over the text.
 BLOCK_BYTES = 32 << 20
@@ -125,13 +127,13 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
 
     One pass over docs for each block of items, without a shuffle; a document's result needs no other document.
     """
-    at = {f.name: f.dataType for f in docs.schema.fields}
+    small_batches(docs.sparkSession)
     out = docs.withColumn("__words", F.lit(0).cast("long")).withColumn("__found", F.array().cast("array<struct<item_id:string,word:int,item_word:int,length:int>>"))
     for ids, texts in _blocks(benchmark, block_bytes):
         search = _search(Items(ids, texts, window))
         out = out.withColumn("__got", search(F.col("text").cast("string")))
         out = out.withColumn("__words", F.col("__got.n")).withColumn("__found", F.concat("__found", "__got.found")).drop("__got")
-    return out.select(*[F.col(f"`{c}`") for c in at], "__words", "__found")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__words", "__found")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from pingframe.llm._shared import numbered, written
+from pingframe.llm._shared import numbered, small_batches
+from pingframe.plans.tables import written
 
 #: Weights of the sources in turn, the share of all sizes to take, the most a source or document is taken.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -120,6 +121,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     ranked in hash bins (see numbered). Null texts and null sources are defined: no words, and a source of their own. Rows equal in
     doc_id and length are interchangeable; documents without words are taken as often as all of their source are.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text").cast("string")).alias("size"))
     rows = written(rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))), "sizes")
     plan = planned(rows, weights, share, most).select(F.col("source").alias("__source"), F.col("size").alias("__size"), "epochs", "extra", "source_size", "target")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingframe.llm._shared import crc32
+from pingframe.llm._shared import crc32, small_batches
 
 #: The model is fitted on at most this many labelled rows, those of the smallest hash of doc_id.
 FIT_ROWS = 20_000
@@ -186,6 +186,7 @@ def scores(texts: pd.Series, model: Additive) -> np.ndarray:
 
 def scored(docs: DataFrame, model: Additive) -> DataFrame:
     """(doc_id, score) of each row; score is 0 to 1, of label 1. Null and empty texts have a score too."""
+    small_batches(docs.sparkSession)
     score = F.pandas_udf(lambda texts: pd.Series(scores(texts, model)), "double")
     return docs.select("doc_id", score(F.col("text").cast("string")).alias("score"))
 
@@ -200,5 +201,6 @@ def classified(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs that the model does not reject (score >= 0.5), with their columns as they were."""
     model = trained(docs, labels, fit_rows)
+    small_batches(docs.sparkSession)
     score = F.pandas_udf(lambda texts: pd.Series(scores(texts, model)), "double")
     return docs.where(score(F.col("text").cast("string")) >= 0.5)

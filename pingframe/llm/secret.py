@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pingframe.llm._shared import small_batches
+
 #: The base patterns, in the order of their kinds, and the least length of what has to be long.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -93,6 +95,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     Null texts are empty: no spans, and the digest of the empty string. Repeated rows stay. One pass over each text, no shuffle.
     """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
     def scan(texts: pd.Series) -> pd.DataFrame:

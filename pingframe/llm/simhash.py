@@ -10,12 +10,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pingframe.llm._shared import connected, written
+from pingframe.llm._shared import small_batches
+from pingframe.operators.graph import connected
+from pingframe.plans.tables import written
 
 LANE_BYTES = 8
 #: Lists of the index with more entries than this are compared in blocks of about this many, each pair of blocks in a task of its own.
 BLOCK = 4096
+#: The index is made by tasks of about this many entries each.
+TASK_ENTRIES = 1_000_000
 #: Expected share of differing bits where five-word shingle sets have Jaccard similarity 0.8: arccos(2 * 0.8 / 1.8) / pi = 0.1515.
 BITS_AT_08 = 0.1515
 
@@ -62,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keep: tuple[st
         for b in batches:
             yield b.drop(columns="text").assign(fp=[fingerprint(t if isinstance(t, str) else None, words, lanes) for t in b["text"]])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "text")
     return slim.mapInPandas(run, f"{kinds}, fp binary")
@@ -148,7 +154,8 @@ def near_links(nodes: DataFrame, sets: list[tuple[int, ...]], min_matches: int,
     BLOCK entries is cut into blocks, of which each pair meets in one task. Within a list the shared positional bytes of a pair are
     tallied, pairs of min_matches go on, and their differing bits are counted.
     """
-    entries = _postings(nodes, sets)
+    tasks = max(1, nodes.count() * len(sets) // TASK_ENTRIES)
+    entries = _postings(nodes.repartition(tasks), sets)
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = entries.join(sizes, "key").join(nodes.select("node", "fp"), "node")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
@@ -195,8 +202,8 @@ def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, similarity_bit
     marked = docs.withColumn("__row", row)
     slim = marked.select(F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"), "text")
     noded, firsts = grouped(fingerprints(slim, words, lanes, ("doc_id", "row")), ["doc_id", "row"], triples(lanes), 3, int(similarity_bits * 64 * lanes))
-    stay = firsts.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__stay")).distinct()
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__stay")), "left_semi")
-    # rows that are equal in every column are equal in __row; one of them stays
-    return kept.dropDuplicates(["doc_id", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    stay = firsts.select(F.col("first.row").alias("__stay")).distinct()
+    kept = marked.join(stay, F.col("__row") == F.col("__stay"), "left_semi")
+    same = Window.partitionBy("__row").orderBy("doc_id")
+    kept = kept.withColumn("__copy", F.row_number().over(same)).where(F.col("__copy") == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
