@@ -81,3 +81,46 @@ def closed_ring(footprint: Column) -> Column:
     twice = F.aggregate(F.zip_with(footprint, nxt, lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"]), F.lit(0.0), lambda s, x: s + x)
     ring = F.when(twice < 0, F.reverse(footprint)).otherwise(footprint)
     return F.when(n >= 3, F.concat(ring, F.slice(ring, 1, 1)))
+
+
+def _krueger() -> tuple[float, tuple[float, ...], tuple[float, ...]]:
+    """The rectifying radius of WGS84 and the third-order series of the transverse Mercator projection, forth and back."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    forth = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    return radius, forth, back
+
+
+def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """(easting, northing) on WGS84, northern grid (negative south of the equator), to well under a millimetre in a zone."""
+    radius, forth, _ = _krueger()
+    f = 1 / 298.257223563
+    e = math.sqrt(f * (2 - f))
+    p, d = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(p)) - e * F.atanh(e * F.sin(p)))
+    x, y = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    north, east = x, y
+    for j, a in enumerate(forth, 1):
+        north += a * F.sin(2 * j * x) * F.cosh(2 * j * y)
+        east += a * F.cos(2 * j * x) * F.sinh(2 * j * y)
+    return 500000 + 0.9996 * radius * east, 0.9996 * radius * north
+
+
+def from_utm(easting: Column, northing: Column, zone: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a grid position; the conformal latitude is turned back by its series."""
+    radius, _, back = _krueger()
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    x, y = northing / (0.9996 * radius), (easting - 500000) / (0.9996 * radius)
+    a, b = x, y
+    for j, c in enumerate(back, 1):
+        a -= c * F.sin(2 * j * x) * F.cosh(2 * j * y)
+        b -= c * F.cos(2 * j * x) * F.sinh(2 * j * y)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    turned = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    lat = chi
+    for j, c in enumerate(turned, 1):
+        lat += c * F.sin(2 * j * chi)
+    return F.degrees(lat), (zone * 6 - 183) + F.degrees(F.atan2(F.sinh(b), F.cos(a)))

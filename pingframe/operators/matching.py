@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,36 @@ def bright_regions(samples: DataFrame, level: int, least: int, width: int = 32)
     out = bright.withColumn("s", F.explode(steps)).select(node.alias("a"), (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"))
     links = out.join(bright, ["r", "c"]).select("a", node.alias("b"))
     return connected(links).groupBy("root").agg(F.count("*").alias("pixels")).where(F.col("pixels") >= least)
+
+
+def truth_pairs(boxes: DataFrame, same: list[str]) -> DataFrame:
+    """(truth, prediction, iou, confidence, survey_id): overlapping pairs of even (truth) and odd (prediction) boxes of a survey."""
+    pairs = overlaps(boxes, same).where("a % 2 <> b % 2")
+    even = F.col("a") % 2 == 0
+    named = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("truth"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("prediction"), "iou")
+    return named.join(boxes.select(F.col("event_id").alias("prediction"), "survey_id", "confidence", F.col("cls").alias("prediction_cls")), "prediction")
+
+
+def first_fits(pairs: DataFrame, by: list[str], least: float) -> DataFrame:
+    """One-to-one: each truth in order takes the first prediction (by id) that is free and overlaps by `least`; a walk a group."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for row in batch[batch["iou"] >= least].sort_values(["truth", "prediction"]).itertuples():
+            if row.truth not in {t for t, _ in out} and row.prediction not in used:
+                used.add(row.prediction)
+                out.append((row.truth, row.prediction))
+        return pd.DataFrame(out, columns=["truth", "prediction"])
+
+    return pairs.select(*by, "truth", "prediction", "iou").groupBy(*by).applyInPandas(run, "truth long, prediction long")
+
+
+def confusion(boxes: DataFrame, matches: DataFrame) -> DataFrame:
+    """(truth_cls, prediction_cls, n): matched pairs by class; truths without a match are `missed`, predictions without one `background`."""
+    cls = boxes.select("event_id", "cls")
+    even, odd = boxes.where("event_id % 2 = 0"), boxes.where("event_id % 2 = 1")
+    left = even.select(F.col("event_id").alias("truth"), F.col("cls").alias("truth_cls")).join(matches.select("truth", "prediction"), "truth", "left")
+    named = left.join(cls.select(F.col("event_id").alias("prediction"), F.col("cls").alias("prediction_cls")), "prediction", "left")
+    extra = odd.join(matches.select(F.col("prediction").alias("event_id")), "event_id", "left_anti").select(F.lit("background").alias("truth_cls"), F.col("cls").alias("prediction_cls"))
+    both = named.select("truth_cls", F.coalesce("prediction_cls", F.lit("missed")).alias("prediction_cls")).unionByName(extra)
+    return both.groupBy("truth_cls", "prediction_cls").agg(F.count("*").alias("n"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pingframe.functions import geo, shapes
-from pingframe.operators import matching, raster, series
+from pingframe.operators import evaluation, matching, raster, series
 from pingframe.plans.detections import detections
 from pingframe.plans.registry import query
 from pingframe.plans.views import samples, table, view
 from pingframe.sources import text as sources
+from pingframe.streaming import jobs
 
 D, P = "v_detection", "v_ping"
 
@@ -215,3 +216,81 @@ def str08(spark, d):
     return rows.groupBy("line_id", "segment").agg(F.count("*").alias("points"), F.round(F.min("lat"), 6).alias("first_lat")).where("points >= 2")
 
 
+
+
+@query("scl04_utm_round_trip", "SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM v_detection WHERE lat IS NOT NULL", D)
+def scl04(spark, d):
+    zone = F.lit(44)
+    east, north = geo.to_utm(F.col("lat"), F.col("lon"), zone)
+    grid = detections(spark, d).where("lat is not null").select("event_id", east.alias("east"), north.alias("north"))
+    lat, lon = geo.from_utm(F.col("east"), F.col("north"), zone)
+    return grid.select("event_id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query("scl06_dms_longitude", """SELECT detection_id, printf('%02d° %02d'' %02d.%02d" E', CAST(t // 360000 AS BIGINT), CAST(t % 360000 // 6000 AS BIGINT), CAST(t % 6000 // 100 AS BIGINT), CAST(t % 100 AS BIGINT)) AS dms
+ FROM (SELECT detection_id, CAST(round_even(lon * 360000, 0) AS BIGINT) AS t FROM v_detection WHERE lat IS NOT NULL)""", D)
+def scl06(spark, d):
+    return detections(spark, d).where("lat is not null").select("detection_id", geo.dms(F.col("lon"), "E", "W").alias("dms"))
+
+
+@query("set02_shifted_tiles", """SELECT event_id, CAST(tr AS BIGINT) AS tile_row, greatest(0, tr * 480 + event_id % 640 - 20) AS y0, least(1500, tr * 480 + event_id % 640 + 20) AS y1 FROM v_detection, unnest(range(0, 3)) AS x(tr) WHERE least(1500, tr * 480 + event_id % 640 + 20) > greatest(0, tr * 480 + event_id % 640 - 20)""", D)
+def set02(spark, d):
+    rows = detections(spark, d).select("event_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("tile_row"))
+    at = F.col("tile_row") * 480 + F.col("event_id") % 640
+    y0, y1 = shapes.clipped(at - 20, at + 20, F.lit(1500))
+    return rows.select("event_id", "tile_row", y0.alias("y0"), y1.alias("y1")).where("y1 > y0")
+
+
+@query("ras19_tile_to_survey", "SELECT event_id, ping_start + 2000 * chunk_id AS survey_ping, round(across_start + 50, 6) AS column_m FROM v_detection WHERE ping_start IS NOT NULL", D)
+def ras19(spark, d):
+    return detections(spark, d).where("ping_start is not null").select("event_id", (F.col("ping_start") + 2000 * F.col("chunk_id")).alias("survey_ping"), F.round(F.col("across_start") + 50, 6).alias("column_m"))
+
+
+@query("ras13_sample_features", "SELECT ping, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.9) - quantile_cont(v, 0.1), 6) AS spread, max(v) AS peak, count(*) FILTER (WHERE v > 150) AS bright FROM v_sample GROUP BY ping", "v_sample")
+def ras13(spark, d):
+    q = lambda p: F.percentile("v", F.lit(p))
+    return samples(spark, d).groupBy("ping").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), F.round(q(0.9) - q(0.1), 6).alias("spread"), F.max("v").alias("peak"), F.count_if(F.col("v") > 150).alias("bright"))
+
+
+@query("ras20_masked_columns", """m AS (SELECT side, sample, median(v) AS m FROM v_sample WHERE ping % 10 <> 0 GROUP BY side, sample) SELECT ping, round(sum(CASE WHEN ping % 10 = 0 THEN m ELSE v END), 6) AS total FROM v_sample JOIN m USING (side, sample) GROUP BY ping""", "v_sample")
+def ras20(spark, d):
+    rows = samples(spark, d)
+    middle = rows.where("ping % 10 <> 0").groupBy("side", "sample").agg(F.median("v").alias("m"))
+    return rows.join(middle, ["side", "sample"]).groupBy("ping").agg(F.round(F.sum(F.when(F.col("ping") % 10 == 0, F.col("m")).otherwise(F.col("v"))), 6).alias("total"))
+
+
+@query("jn06_greedy_any_class")
+def jn06(spark, d):
+    """Greedy one-to-one matches of boxes of any class, by confidence and overlap."""
+    boxes = detections(spark, d).where("ping_start is not null")
+    return evaluation.greedy_matches(matching.truth_pairs(boxes, ["survey_id"]), ["survey_id"], "prediction", "truth", ["confidence", "prediction"], "iou")
+
+
+@query("jn07_first_fit")
+def jn07(spark, d):
+    """Each truth's first free prediction that overlaps by a fifth."""
+    return matching.first_fits(matching.truth_pairs(detections(spark, d).where("ping_start is not null"), ["survey_id"]), ["survey_id"], 0.2)
+
+
+@query("jn16_confusion")
+def jn16(spark, d):
+    """Confusion by class with missed truths and background predictions."""
+    boxes = detections(spark, d).where("ping_start is not null")
+    return matching.confusion(boxes, jn06(spark, d))
+
+
+@query("win13_repaired_line")
+def win13(spark, d):
+    """Positions with fixes that the speed gate refuses filled from those beside them, over the whole line."""
+    rows = view(spark, d, P).withColumn("ping", F.col("ping").cast("long")).withColumn("t", F.unix_micros(F.col("time_utc").cast("timestamp")) / 1e6)
+    gate = series.speed_gate(rows, ["line_id"], "ping", "t")
+    kept = rows.join(gate, ["line_id", "ping"]).withColumn("ok_lat", F.when(F.col("accepted"), F.col("lat")))
+    return series.interpolated(kept, "ok_lat", "ping", ["line_id"], "filled", extrapolate=True).select("line_id", "ping", "accepted", F.round("filled", 6).alias("lat"))
+
+
+@query("str07_settled_files", "SELECT DISTINCT user_id AS path, event_id AS length, ts AS changed FROM events WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) >= 86400.999999")
+def str07(spark, d):
+    files = table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("length"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    now = files.agg(F.max("modificationTime").alias("now"))
+    out = jobs.settled(files.join(F.broadcast(now)), F.col("now"), 86400).where(F.unix_micros("now") - F.unix_micros("modificationTime") >= 86400999999)
+    return out.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("changed"))
