@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pingframe.llm._shared import crc32
+from pingframe.llm._shared import crc32, small_batches
 
 #: The sample that dictionaries are cut from: so many rows a language (smallest hashes), so many characters of a row, so many bytes in all.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 300, 1_500, 96 << 10
@@ -66,16 +66,24 @@ class Compressors:
 def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each lang value of the rows whose crc32(doc_id) mod 5 is not 0, cut from a bounded sample of their texts.
 
-    A language's rows with the smallest hashes are taken; they are limited before rows meet, so a frequent language costs no more.
+    A language's rows with the smallest hashes are taken; repeated rows count once.
     """
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, chars).alias("text"), "doc_id")
     known = known.where("lang is not null and doc_id is not null and length(text) > 0").where(crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.select("lang", "text", F.xxhash64(F.lit("lang"), "doc_id", "text").alias("h"))
-    first = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= rows)
-    if (n := docs.select("lang").where("lang is not null").agg(F.approx_count_distinct("lang")).first()[0]) > MOST_LANGUAGES:
-        raise ValueError(f"about {n} languages; at most {MOST_LANGUAGES} are supported")
+    # hashes alone are ranked, in 64 parts of a language and then the best of these; only rows up to a language's last hash are fetched
+    parts = known.select("lang", "h", F.pmod("h", F.lit(64)).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):
+        parts = parts.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= rows).drop("n")
+    last = parts.groupBy("lang").agg(F.max("h").alias("last")).limit(MOST_LANGUAGES + 1).collect()
+    if len(last) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    if not last:
+        return {}
+    limits = docs.sparkSession.createDataFrame([(r["lang"], r["last"]) for r in last], "lang string, last long")
+    first = known.join(F.broadcast(limits), "lang").where("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "h", "text").collect()):
+    for r in sorted(first.collect()):
         texts.setdefault(r["lang"], []).append(r["text"])
     return {k: letters(" ".join(v))[:size] for k, v in texts.items()}
 
@@ -87,6 +95,7 @@ def identified(docs: DataFrame, learned: dict[str, bytes] | None = None) -> Data
     next; rejected marks narrow margins, whose lang_pred is the best guess. Whole texts count. Without learned rows all are `und`.
     """
     learned = dictionaries(docs) if learned is None else learned
+    small_batches(docs.sparkSession)
     ready: list[Compressors] = []
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
