@@ -78,3 +78,17 @@ def test_predictions_and_labels(spark, tmp_path):
     lines = spark.createDataFrame([("2 0 0 1 0 1 1",), ("2 0 0 1 0",), ("x 0 0 1 0 1 1",), ("0 .5 .5 .1 .1",)], "t string")
     got = lines.select(text.polygon(lines["t"]).alias("p"), text.box(lines["t"]).alias("b")).collect()
     assert [r["p"] is not None for r in got] == [True, False, False, False] and [r["b"] is not None for r in got] == [False, True, False, True]
+
+
+def test_dispatch_and_settings(spark, tmp_path):
+    from pingframe.sources import dispatch
+
+    (tmp_path / "a.xtf").write_bytes(log())
+    assert dispatch.read(spark, str(tmp_path / "a.xtf")).count() == 5
+    (tmp_path / "n.csv").write_text("ping,lat\n1,2\n")
+    assert dispatch.read(spark, str(tmp_path / "n.csv")).columns == ["ping", "lat"]
+    with pytest.raises(text.BadSource):
+        dispatch.read(spark, "x.jsf")
+    got = dispatch.settings({"geo": {"sigma": 1}, "a": 2}, env={"PINGFRAME_GEO__SIGMA": "3", "PINGFRAME_NAME": "bay", "OTHER": "1"})
+    assert got == {"geo": {"sigma": 3}, "a": 2, "name": "bay"}
+    assert dispatch.digest({"a": 1, "b": 2}) == dispatch.digest({"b": 2, "a": 1})
