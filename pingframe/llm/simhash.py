@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from pingframe.operators.graph import connected
 from pingframe.plans.tables import written
 
 LANE_BYTES = 8
+#: Shingles that are hashed and counted at once.
+PIECE = 16_384
 #: Lists of the index with more entries than this are compared in blocks of about this many, each pair of blocks in a task of its own.
 BLOCK = 4096
 #: The index is made by tasks of about this many entries each.
@@ -36,36 +38,43 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> bytes:
+def _hashes(grams: Iterator[bytes]) -> Iterator[np.ndarray]:
+    digest = xxhash.xxh64_intdigest
+    while len(h := np.fromiter((digest(g, 42) for g in islice(grams, PIECE)), dtype=np.uint64)):
+        yield h
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool = False) -> bytes:
     """lanes x 8 big-endian bytes; a bit is 1 if it is set in over half of the shingles' hashes. A text without words gives zeros.
 
     A-Z are lower-cased, words are runs without ASCII white space, a text of fewer words than a shingle is one shingle, repeated
-    shingles count each time. Long texts are hashed in pieces, so memory does not follow the text's shingle count.
+    shingles count each time, or once if distinct. Texts are hashed in pieces; of distinct shingles 8 bytes each are kept.
     """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return bytes(LANE_BYTES * lanes)
     width = min(words, len(parts))
     grams = map(b" ".join, zip(*(parts[i:] for i in range(width)), strict=False))
+    pieces = _hashes(grams)
+    if distinct:
+        every = np.unique(np.concatenate(list(pieces)))
+        pieces = (every[at : at + PIECE] for at in range(0, len(every), PIECE))
     total, counts = 0, np.zeros((lanes, 64), dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    while len(h := np.fromiter((digest(g, 42) for _, g in zip(range(16384), grams, strict=False)), dtype=np.uint64)):
+    for h in pieces:
         total += len(h)
         for lane in range(lanes):
             bits = np.unpackbits(_mixed(h, lane).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             for at in range(0, len(bits), 255):  # 255 ones still fit into a byte
                 counts[lane] += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
-        if len(h) < 16384:
-            break
     return np.packbits(counts * 2 > total, axis=1).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
     """The columns `keep`, and fp (binary), of each row of docs (text may be null: no words)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.drop(columns="text").assign(fp=[fingerprint(t if isinstance(t, str) else None, words, lanes) for t in b["text"]])
+            yield b.drop(columns="text").assign(fp=[fingerprint(t if isinstance(t, str) else None, words, lanes, distinct) for t in b["text"]])
 
     small_batches(docs.sparkSession)
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
@@ -193,7 +202,7 @@ def components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, similarity_bits: float = BITS_AT_08) -> DataFrame:
     """docs, of whose near-duplicate groups one document stays: the smallest doc_id (nulls last, then by a hash of the row).
 
-    Fingerprints of lanes x 64 bits over five-word shingles; pairs link where at most similarity_bits of the bits differ, which is
+    Fingerprints of lanes x 64 bits over distinct five-word shingles; pairs link where at most similarity_bits of the bits differ, which is
     expected at a Jaccard similarity of 0.8. At that radius no number of equal bytes is certain, so lists are keyed by every three
     bytes of a lane and pairs need three equal bytes: README has the measured recall. Rows equal in all columns are one document.
     Columns and types stay as they are; null texts are empty, and empty texts are one group.
@@ -201,7 +210,7 @@ def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, similarity_bit
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     marked = docs.withColumn("__row", row)
     slim = marked.select(F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"), "text")
-    noded, firsts = grouped(fingerprints(slim, words, lanes, ("doc_id", "row")), ["doc_id", "row"], triples(lanes), 3, int(similarity_bits * 64 * lanes))
+    noded, firsts = grouped(fingerprints(slim, words, lanes, ("doc_id", "row"), True), ["doc_id", "row"], triples(lanes), 3, int(similarity_bits * 64 * lanes))
     stay = firsts.select(F.col("first.row").alias("__stay")).distinct()
     kept = marked.join(stay, F.col("__row") == F.col("__stay"), "left_semi")
     same = Window.partitionBy("__row").orderBy("doc_id")
