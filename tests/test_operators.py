@@ -198,3 +198,55 @@ def test_stream_fold_restarts_without_loss(spark, tmp_path):
     jobs.folded(jobs.read_events(spark, src, kinds), out, ck)
     got = sorted((r["seq"], r["action"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, "insert"), (2, "insert"), (3, "delete"), (4, "update")]
+
+
+def test_savitzky_golay_keeps_parabolas(spark):
+    rows = spark.createDataFrame([(0, i, 2.0 + 3.0 * i - 0.5 * i * i) for i in range(40)] + [(1, i, float(i * i)) for i in range(9)] + [(2, 0, 7.0)], "line int, ping int, v double")
+    got = {(r["line"], r["ping"]): r["smooth"] for r in series.savitzky_golay(rows, "v", "ping", ["line"], 31, 2).collect()}
+    assert all(got[(r["line"], r["ping"])] == pytest.approx(r["v"], abs=1e-6) for r in rows.collect())
+
+
+def test_first_fit_and_confusion(spark):
+    from pingframe.operators import matching
+
+    pairs = spark.createDataFrame([(1, 2, 3, 0.6), (1, 2, 5, 0.9), (1, 4, 3, 0.9), (1, 4, 7, 0.1)], "survey_id long, truth long, prediction long, iou double")
+    found = matching.first_fits(pairs, ["survey_id"], 0.5)
+    assert [(r["truth"], r["prediction"]) for r in found.collect()] == [(2, 3)]
+    boxes = spark.createDataFrame([(2, "a"), (4, "b"), (3, "a"), (5, "c")], "event_id long, cls string")
+    got = {(r["truth_cls"], r["prediction_cls"]): r["n"] for r in matching.confusion(boxes, found).collect()}
+    assert got == {("a", "a"): 1, ("b", "missed"): 1, ("background", "c"): 1}
+
+
+def test_near_pairs_at_cell_borders(spark):
+    import random
+
+    random.seed(4)
+    pts = [(i, 59.0999 + random.random() * 4e-4, -0.0002 + random.random() * 4e-4, "a") for i in range(120)]
+    got = {(r["a"], r["b"]) for r in spatial.near_pairs(spark.createDataFrame(pts, "id long, lat double, lon double, cls string"), 5.0, ["cls"]).collect()}
+
+    def metres(p, q):
+        a = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * geo.EARTH_M * math.asin(min(1, math.sqrt(a)))
+
+    assert got == {(p[0], q[0]) for p in pts for q in pts if p[0] < q[0] and metres(p, q) <= 5.0}
+
+
+def test_box_overlaps_match_all_pairs(spark):
+    import random
+
+    from pingframe.operators import merging
+
+    random.seed(5)
+    boxes = []
+    for i in range(150):
+        p, x = random.randrange(0, 300), random.uniform(-40, 40)
+        boxes.append((i, i % 2, p, p + random.randrange(0, 90), x, x + random.uniform(0.5, 30)))
+    got = {(r["a"], r["b"]) for r in merging.overlaps(spark.createDataFrame(boxes, "event_id long, cls int, ping_start long, ping_end long, across_start double, across_end double"), ["cls"]).collect()}
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3] and a[4] < b[5] and b[4] < a[5]}
+    assert got == want
+
+
+def test_calibrator_lookup(spark):
+    f = lambda v: one(spark, evaluation.looked_up(F.lit(v), [0.2, 0.6], [0.1, 0.9]))
+    assert f(0.0) == 0.1 and f(0.4) == pytest.approx(0.5) and f(1.0) == 0.9
+    assert one(spark, evaluation.looked_up(F.lit(0.3), [], [])) == 0.3
