@@ -19,7 +19,7 @@ MOST_LANGUAGES = 500
 #: Texts are compressed in pieces of this many bytes, so that a dictionary helps all of a long text, not its beginning alone.
 PIECE = 4096
 #: Texts up to this many bytes are compressed at the level that searches most.
-SHORT, SHORT_LEVEL, LEVEL = 1024, 19, 3
+SHORT, SHORT_LEVEL, LEVEL = 1024, 19, 9
 #: The best language must be smaller than the next by this share, or `rejected` is true.
 MARGIN = 0.005
 LETTER = re.compile(r"[^\W\d_]")
