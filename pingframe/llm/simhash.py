@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,8 +23,14 @@ PIECE = 16_384
 BLOCK = 4096
 #: The index is made by tasks of about this many entries each.
 TASK_ENTRIES = 1_000_000
-#: Expected share of differing bits where five-word shingle sets have Jaccard similarity 0.8: arccos(2 * 0.8 / 1.8) / pi = 0.1515.
-BITS_AT_08 = 0.1515
+#: Pairs go on to the exact look up to this share of differing bits. At a Jaccard similarity of 0.8 arccos(2 * 0.8 / 1.8) / pi = 0.1515 are
+#: expected, 0.1875 for sets of four and five shingles (ties); of 256 bits 70 are five deviations above the one and three above the other.
+CANDIDATE_BITS = 70 / 256
+#: Keys beside the bytes: each is made of so many smallest hashes; a pair at 0.8 shares none of them with probability (1 - 0.8^4)^20 = 3e-5.
+BANDS, BAND_ROWS = 20, 4
+MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingle sets of a candidate group meet in blocks of about so many sets and so many shingles, each pair of blocks in a task of its own.
+SET_BLOCK, SET_SHINGLES = 512, 500_000
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -44,21 +50,42 @@ def _hashes(grams: Iterator[bytes]) -> Iterator[np.ndarray]:
         yield h
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool = False) -> bytes:
+def _shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in pieces; none of a text without words, one of a text of fewer words than a shingle."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    width = min(words, len(parts))
+    return _hashes(map(b" ".join, zip(*(parts[i:] for i in range(width)), strict=False)))
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *_shingles(text, words)]))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set: each is made of BAND_ROWS of its smallest hashes under as many multipliers. An empty set has none."""
+    if not len(shingles):
+        return np.empty(0, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        parts = [(shingles[at : at + PIECE] * MULTIPLIERS[:, None]).min(axis=1) for at in range(0, len(shingles), PIECE)]
+        least = np.min(parts, axis=0).reshape(BANDS, BAND_ROWS)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for i in range(BAND_ROWS):
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ least[:, i], 1)
+    return key.view(np.int64)
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> bytes:
     """lanes x 8 big-endian bytes; a bit is 1 if it is set in over half of the shingles' hashes. A text without words gives zeros.
 
     A-Z are lower-cased, words are runs without ASCII white space, a text of fewer words than a shingle is one shingle, repeated
-    shingles count each time, or once if distinct. Texts are hashed in pieces; of distinct shingles 8 bytes each are kept.
+    shingles count each time. Texts are hashed in pieces.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return bytes(LANE_BYTES * lanes)
-    width = min(words, len(parts))
-    grams = map(b" ".join, zip(*(parts[i:] for i in range(width)), strict=False))
-    pieces = _hashes(grams)
-    if distinct:
-        every = np.unique(np.concatenate(list(pieces)))
-        pieces = (every[at : at + PIECE] for at in range(0, len(every), PIECE))
+    return folded(_shingles(text, words), lanes)
+
+
+def folded(pieces: Iterable[np.ndarray], lanes: int = 1) -> bytes:
+    """The fingerprint of hashes that come in pieces."""
     total, counts = 0, np.zeros((lanes, 64), dtype=np.int64)
     for h in pieces:
         total += len(h)
@@ -69,17 +96,35 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1, distinct: bool
     return np.packbits(counts * 2 > total, axis=1).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
-    """The columns `keep`, and fp (binary), of each row of docs (text may be null: no words)."""
+def _read(docs: DataFrame, keep: tuple[str, ...], one: Callable[[str | None], tuple], names: str) -> DataFrame:
+    """The columns `keep` of each row of docs (text may be null: no words), and those that one(text) gives."""
+    new = [x.split()[0] for x in names.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.drop(columns="text").assign(fp=[fingerprint(t if isinstance(t, str) else None, words, lanes, distinct) for t in b["text"]])
+            found = [one(t if isinstance(t, str) else None) for t in b["text"]]
+            yield b.drop(columns="text").assign(**{n: [x[i] for x in found] for i, n in enumerate(new)})
 
     small_batches(docs.sparkSession)
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "text")
-    return slim.mapInPandas(run, f"{kinds}, fp binary")
+    return slim.mapInPandas(run, f"{kinds}, {names}")
+
+
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, and fp (binary), of each row of docs."""
+    return _read(docs, keep, lambda t: (fingerprint(t, words, lanes),), "fp binary")
+
+
+def sketches(docs: DataFrame, words: int, lanes: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep`; node, a hash of the set of distinct shingles; fp, the set's fingerprint; bands, its further keys."""
+
+    def one(text: str | None) -> tuple[int, bytes, np.ndarray]:
+        s = shingle_set(text, words)
+        pieces = (s[at : at + PIECE] for at in range(0, len(s), PIECE))
+        return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)), folded(pieces, lanes) if len(s) else bytes(LANE_BYTES * lanes), bands(s)
+
+    return _read(docs, keep, one, "node long, fp binary, bands array<long>")
 
 
 def planes() -> list[tuple[int, ...]]:
@@ -130,8 +175,35 @@ def spanning(nodes: np.ndarray, x: np.ndarray, min_matches: int, max_bits: int)
     return out
 
 
-def _linked(lists: DataFrame, min_matches: int, max_bits: int) -> DataFrame:
-    """Links (a, b) inside the runs of equal (key, i, j); a run is at most two blocks."""
+def alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets (sorted, distinct) in which the Jaccard similarity of a pair is at least `similarity`."""
+    out: list[tuple[int, int]] = []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    left, mark = np.ones(len(sets), dtype=bool), np.zeros(len(values), dtype=bool)
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        ahead, left[start] = [start], False
+        while ahead:
+            f = ahead.pop()
+            mark[own[f]] = True
+            both = np.bincount(owner[mark[flat]], minlength=len(sets))
+            mark[own[f]] = False
+            near = np.flatnonzero(left & (both / np.maximum(1, sizes + sizes[f] - both) >= similarity))
+            if near.size:
+                out.extend((int(nodes[f]), int(nodes[g])) for g in near)
+                ahead.extend(near.tolist())
+                left[near] = False
+                still = left[owner]
+                owner, flat = owner[still], flat[still]
+    return out
+
+
+def _linked(lists: DataFrame, value: str, forest: Callable[[np.ndarray, list[bytes]], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b), those of forest(nodes, values), inside the runs of equal (key, i, j); a run is at most two blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -147,17 +219,26 @@ def _linked(lists: DataFrame, min_matches: int, max_bits: int) -> DataFrame:
     def links(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(b):
-            nodes, x = b["node"].to_numpy(), np.frombuffer(b"".join(b["fp"]), dtype=np.uint8).reshape(len(b), -1)
+            nodes, x = b["node"].to_numpy(), b[value].tolist()
             for lo, hi in zip(starts, [*starts[1:], len(b)], strict=True):
                 if hi - lo > 1:
-                    out += spanning(nodes[lo:hi], x[lo:hi], min_matches, max_bits)
+                    out += forest(nodes[lo:hi], x[lo:hi])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
 
 
+def _blocks(lists: DataFrame, of: Column, value: str) -> DataFrame:
+    """(key, node, value, i, j): the rows of lists (key, node, value) cut into `of` blocks a key, each pair of blocks (i, j) together."""
+    lists = lists.select("key", "node", value, of.cast("int").alias("of"))
+    lists = lists.select("*", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("own"))
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    return lists.select("key", "node", value, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def near_links(nodes: DataFrame, sets: list[tuple[int, ...]], min_matches: int, max_bits: int) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of nodes (node, fp; both distinct) that share a list of the index.
+    If nodes have bands, these are lists too.
 
     Lists of one entry go; longer ones are joined with the fingerprints. Their sizes are counted before rows meet, and a list over
     BLOCK entries is cut into blocks, of which each pair meets in one task. Within a list the shared positional bytes of a pair are
@@ -165,24 +246,46 @@ def near_links(nodes: DataFrame, sets: list[tuple[int, ...]], min_matches: int,
     """
     tasks = max(1, nodes.count() * len(sets) // TASK_ENTRIES)
     entries = _postings(nodes.repartition(tasks), sets)
+    if "bands" in nodes.columns:
+        entries = entries.union(nodes.select(F.explode("bands").alias("key"), "node"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = entries.join(sizes, "key").join(nodes.select("node", "fp"), "node")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    lists = lists.select("key", "node", "fp", blocks.alias("of"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    lists = lists.select("key", "node", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return _linked(lists, min_matches, max_bits)
 
+    def forest(ids: np.ndarray, prints: list[bytes]) -> list[tuple[int, int]]:
+        return spanning(ids, np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(ids), -1), min_matches, max_bits)
+
+    return _linked(_blocks(lists, F.ceil(F.col("size") / F.lit(BLOCK)), "fp"), "fp", forest)
 
-def grouped(prints: DataFrame, best: list[str], sets: list[tuple[int, ...]], min_matches: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """prints with their node, and (node, first) with the smallest `best` columns (struct; nulls last) of each node's component."""
+
+def verified(near: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span the same components as all pairs inside a candidate group whose shingle sets are that similar.
+
+    near: (node, root) of groups of two or more; texts: (node, text), any of the texts of a node. A group's sets meet in blocks, so each
+    set is copied once for each block of its group; links are fewer than the rows of a pair of blocks.
+    """
+    wanted = texts.join(near, "node").groupBy("node", "root").agg(F.first("text").alias("text"))
+
+    def one(text: str | None) -> tuple[int, bytes]:
+        s = shingle_set(text, words)
+        return len(s), s.tobytes()
+
+    sets = written(_read(wanted, ("node", "root"), one, "n long, shingles binary"), "sets").withColumnRenamed("root", "key")
+    sizes = sets.groupBy("key").agg(F.greatest(F.count("*") / SET_BLOCK, F.sum("n") / SET_SHINGLES).alias("of"))
+    lists = _blocks(sets.join(sizes, "key"), F.ceil(F.greatest("of", F.lit(1.0))), "shingles")
+    return _linked(lists, "shingles", lambda ids, x: alike(ids, [np.frombuffer(b, dtype=np.uint64) for b in x], similarity))
+
+
+def summed_up(prints: DataFrame, best: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """(node, fp, more, first) of each node of prints; first: its smallest `best` columns (struct; nulls last)."""
     spark_null = [x for c in best for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
-    noded = written(prints.withColumn("node", F.xxhash64("fp")), "prints")
-    nodes = written(noded.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct(*spark_null)).alias("first")), "nodes")
-    roots = connected(near_links(nodes, sets, min_matches, max_bits))
+    return written(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", *more)], F.min(F.struct(*spark_null)).alias("first")), "nodes")
+
+
+def firsts_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, first): the smallest `first` of each node's component."""
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return noded, rooted.select("node", "root").join(firsts, "root").select("node", "first")
+    return rooted.select("node", "root").join(firsts, "root").select("node", "first")
 
 
 def components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -194,23 +297,28 @@ def components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the index guarantees its matches for 0 to 3 differing bits")
-    noded, firsts = grouped(fingerprints(docs, words), ["doc_id"], planes(), LANE_BYTES - max_bits, max_bits)
-    labelled = noded.join(firsts, "node")
+    noded = written(fingerprints(docs, words).withColumn("node", F.xxhash64("fp")), "prints")
+    nodes = summed_up(noded, ["doc_id"])
+    labelled = noded.join(firsts_of(nodes, connected(near_links(nodes, planes(), LANE_BYTES - max_bits, max_bits))), "node")
     return labelled.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, similarity_bits: float = BITS_AT_08) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5, lanes: int = 4, similarity: float = 0.8) -> DataFrame:
     """docs, of whose near-duplicate groups one document stays: the smallest doc_id (nulls last, then by a hash of the row).
 
-    Fingerprints of lanes x 64 bits over distinct five-word shingles; pairs link where at most similarity_bits of the bits differ, which is
-    expected at a Jaccard similarity of 0.8. At that radius no number of equal bytes is certain, so lists are keyed by every three
-    bytes of a lane and pairs need three equal bytes: README has the measured recall. Rows equal in all columns are one document.
-    Columns and types stay as they are; null texts are empty, and empty texts are one group.
+    Groups are the components of pairs whose sets of distinct five-word shingles have a Jaccard similarity of at least `similarity`, each
+    verified. Candidates come from fingerprints of lanes x 64 bits: lists are keyed by every three bytes of a lane and by bands of
+    smallest hashes, and pairs in them with at most CANDIDATE_BITS differing link. Inside a candidate group all pairs count, whether
+    or not they share a list. Equal sets are one node. Rows equal in all columns are one document. Columns and types stay as they are;
+    null texts are empty, and empty texts are one group.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     marked = docs.withColumn("__row", row)
     slim = marked.select(F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"), "text")
-    noded, firsts = grouped(fingerprints(slim, words, lanes, ("doc_id", "row"), True), ["doc_id", "row"], triples(lanes), 3, int(similarity_bits * 64 * lanes))
+    nodes = summed_up(written(sketches(slim, words, lanes, ("doc_id", "row")), "prints"), ["doc_id", "row"], ("bands",))
+    near = written(connected(near_links(nodes, triples(lanes), 0, int(CANDIDATE_BITS * 64 * lanes))), "near")
+    texts = slim.join(nodes.join(near, "node", "left_semi").select("node", F.col("first.row").alias("row")), "row").select("node", "text")
+    firsts = firsts_of(nodes, connected(verified(near, texts, words, similarity)))
     stay = firsts.select(F.col("first.row").alias("__stay")).distinct()
     kept = marked.join(stay, F.col("__row") == F.col("__stay"), "left_semi")
     same = Window.partitionBy("__row").orderBy("doc_id")

@@ -128,6 +128,43 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 7, 8, None]
 
 
+def shared_words(similarity, n, seed):
+    """Two texts of n distinct words, the later of which differ, so that their five-word shingles have about that Jaccard similarity or more."""
+    grams = n - 4
+    same = int(np.ceil(2 * similarity / (1 + similarity) * grams - 1e-9))
+    words = [f"{seed}x{i}" for i in range(n)]
+    return " ".join(words), " ".join(w if i < same + 4 else f"{w}y" for i, w in enumerate(words))
+
+
+def jaccard(a, b, words=5):
+    x, y = ({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_at_the_limit_go_and_pairs_below_stay(spark):
+    rows = []
+    for seed in range(300):
+        for kind, similarity in ((0, 0.8), (1, 0.74)):
+            pair = shared_words(similarity, 30 + seed, f"{seed}k{kind}")
+            assert (jaccard(*pair) >= 0.8) == (kind == 0)
+            rows += [(4 * seed + 2 * kind + i, t, "en", "s", 1) for i, t in enumerate(pair)]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, KINDS)).collect()}
+    assert kept == {i for i, *_ in rows if i % 4 != 1}
+
+
+def test_alike_links_the_pairs_that_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_BLOCK", 8)
+    rng, base = np.random.default_rng(3), prose(1, 21, 60)[0].split()
+    texts = [" ".join(f"c{n}" if n and abs(i - cut) < 1 + n % 3 else w for i, w in enumerate(base)) for n, cut in enumerate(rng.integers(0, 60, 60))]
+    near = spark.createDataFrame([(n, 0) for n in range(60)], "node long, root long")
+    links = simhash.connected(simhash.verified(near, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 0.8))
+    root = list(range(60))
+    for _ in root:
+        root = [min(root[j] for j in range(60) if jaccard(texts[i], texts[j]) >= 0.8) for i in range(60)]
+    got = dict(links.collect())
+    assert len(set(root)) > 1 and [got.get(n, n) for n in range(60)] == root
+
+
 def test_quality_holds_out_and_scores_all(spark, odd, labels):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = quality.classified(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
