@@ -105,7 +105,7 @@ def test_spanning_links_hold_a_hot_list_together():
     x = np.tile(base, (3000, 1))
     for row in x[1:]:
         row[rng.integers(0, 8)] ^= np.uint8(1 << rng.integers(0, 8))
-    links = simhash.spanning(np.arange(3000), x, 5, 3)
+    links = simhash.spanning(np.arange(3000), x, simhash.near_bits(5, 3))
     assert len(links) == 2999
 
 
@@ -114,7 +114,7 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     prints = [(i << 2) | j for i in range(1) for j in range(4)] + [0xFF << 40 | k for k in range(8)]
     rows = [(p - (1 << 64) if p >> 63 else p, p.to_bytes(8, "big")) for p in prints]
     nodes = spark.createDataFrame(rows, "node long, fp binary")
-    got = simhash.connected(simhash.near_links(nodes, simhash.planes(), 5, 3)).groupBy("root").count().collect()
+    got = simhash.connected(simhash.near_links(nodes, simhash.planes(), simhash.near_bits(5, 3))).groupBy("root").count().collect()
     assert sorted(r["count"] for r in got) == [4, 8]
 
 
@@ -152,19 +152,48 @@ def test_pairs_at_the_limit_go_and_pairs_below_stay(spark):
     assert kept == {i for i, *_ in rows if i % 4 != 1}
 
 
-def test_alike_links_the_pairs_that_brute_force_finds(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SET_BLOCK", 8)
-    rng, base = np.random.default_rng(3), prose(1, 21, 60)[0].split()
-    texts = [" ".join(f"c{n}" if n and abs(i - cut) < 1 + n % 3 else w for i, w in enumerate(base)) for n, cut in enumerate(rng.integers(0, 60, 60))]
-    near = spark.createDataFrame([(n, 0) for n in range(60)], "node long, root long")
-    links = simhash.connected(simhash.verified(near, spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 0.8))
-    root = list(range(60))
+def chained(n, seed, words=60):
+    """Texts that each differ from a base in up to three words beside one place, and their components by exact similarity."""
+    rng, base = np.random.default_rng(seed), prose(1, 21, words)[0].split()
+    texts = [" ".join(f"c{k}" if k and abs(i - cut) < 1 + k % 3 else w for i, w in enumerate(base)) for k, cut in enumerate(rng.integers(0, words, n))]
+    root = list(range(n))
     for _ in root:
-        root = [min(root[j] for j in range(60) if jaccard(texts[i], texts[j]) >= 0.8) for i in range(60)]
-    got = dict(links.collect())
+        root = [min(root[j] for j in range(n) if jaccard(texts[i], texts[j]) >= 0.8) for i in range(n)]
+    return texts, root
+
+
+@pytest.mark.parametrize("block", [1000, 8])
+def test_alike_links_the_pairs_that_brute_force_finds(spark, monkeypatch, block):
+    """A group of one block, and one of several, whose leaders meet first and whose outsiders then meet all others."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    monkeypatch.setattr(simhash, "LEADERS", 3)
+    texts, root = chained(60, 3)
+    prints = [simhash.sampled_print(simhash.shingle_set(t)) for t in texts]
+    wanted = spark.createDataFrame([(n, 0, p, t) for n, (p, t) in enumerate(zip(prints, texts, strict=True))], "node long, root long, fp binary, text string")
+    got = dict(simhash.connected(simhash.verified(wanted, 5, 0.8)).collect())
     assert len(set(root)) > 1 and [got.get(n, n) for n in range(60)] == root
 
 
+def test_dedup_matches_brute_force_on_the_given_table(spark):
+    """Every pair of distinct shingle sets at 0.8 or more, by an index of all shingles; one text of each component stays."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    sets: dict = {}
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        k = min(5, len(w))
+        sets.setdefault(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if k else frozenset(), []).append(r["doc_id"])
+    keys, root = list(sets), list(range(len(sets)))
+    for i, x in enumerate(keys):
+        for j in range(i):
+            if len(x & keys[j]) >= 0.8 * len(x | keys[j]) > 0:
+                root = [root[j] if k == root[i] else k for k in root]
+    best: dict = {}
+    for x, k in zip(keys, root, strict=True):
+        best[k] = min([*sets[x], *([best[k]] if k in best else [])])
+    kept = simhash.deduplicated(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(best.values())
+
+
 def test_quality_holds_out_and_scores_all(spark, odd, labels):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = quality.classified(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
