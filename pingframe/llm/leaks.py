@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from pingframe.llm._shared import small_batches
+from pingframe.plans.tables import written
 
 WINDOW = 10
 #: Test items are searched in blocks of about this many bytes: a block goes to every task, more items take more passes over the text.
@@ -57,10 +61,11 @@ def numbers(text: str | None, items: Items) -> np.ndarray:
 
 
 def matches(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, word, item, item_word, length) of the matches of item windows in docs: each is extended to the longest verbatim one.
+    """(row, word, item, item_word, length) of the longest verbatim matches of items in docs that hold a window.
 
     Every suffix of every item is searched for in the shard's suffix array by bisection of its first `window` words (all words, of a
-    shorter item). A match that continues an earlier one (the words before are equal too) is not given again.
+    shorter item). Matches of suffix after suffix at word after word are one longer match; they are found by sorting all matches
+    by their offset against the item, so a passage that many documents share costs no step of Python for each.
     """
     if not docs or not items.depths:
         return
@@ -76,19 +81,21 @@ def matches(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, in
         at, keys = arrays[depth]
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(item, depth)).view(f"S{4 * depth}").ravel()
         lows, highs = np.searchsorted(keys, suffixes, side="left"), np.searchsorted(keys, suffixes, side="right")
-        for k in np.flatnonzero(highs > lows):
-            for p in at[lows[k] : highs[k]]:
-                if k and p and tokens[p - 1] == item[k - 1]:
-                    continue
-                length = depth
-                while k + length < len(item) and tokens[p + length] == item[k + length]:
-                    length += 1
-                row = int(np.searchsorted(starts, p, side="right")) - 1
-                yield row, int(p - starts[row]), n, int(k), length
+        hits = highs - lows
+        if not hits.any():
+            continue
+        k = np.repeat(np.arange(len(suffixes)), hits)
+        p = at[np.repeat(lows, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)]
+        order = np.lexsort((p, p - k))
+        p, k = p[order], k[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(k) != 1)])
+        last = np.r_[first[1:], len(p)] - 1
+        row = np.searchsorted(starts, p[first], side="right") - 1
+        yield from zip(row.tolist(), (p[first] - starts[row]).tolist(), [n] * len(first), k[first].tolist(), (last - first + depth).tolist(), strict=True)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """The items, block after block; a block is bounded by its bytes, so no more than that is on the driver or sent to tasks at once."""
+    """The items, block after block; a block is bounded by its bytes, so no more than that is on the driver or in a task at once."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
@@ -98,23 +105,27 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
-def _search(block: Items):
+FOUND = "array<struct<item_id:string,word:int,item_word:int,length:int>>"
+
+
+def _search(block: Broadcast):
     """A column function: the number of words of each text, and its longest matches with the items of block."""
 
-    @F.pandas_udf("n long, found array<struct<item_id:string,word:int,item_word:int,length:int>>")
+    @F.pandas_udf(f"n long, found {FOUND}")
     def search(batch: pd.Series) -> pd.DataFrame:
+        items: Items = block.value
         counts: list[int] = []
         found: list[list] = []
         shard: list[np.ndarray] = []
         size = 0
         for n, t in enumerate(batch, 1):
-            shard.append(numbers(t if isinstance(t, str) else None, block))
+            shard.append(numbers(t if isinstance(t, str) else None, items))
             size += len(shard[-1])
             if size >= SHARD_WORDS or n == len(batch):
                 counts += map(len, shard)
                 rows: list[list] = [[] for _ in shard]
-                for row, word, item, k, length in matches(shard, block):
-                    rows[row].append({"item_id": None if block.ids[item] is None else str(block.ids[item]), "word": word, "item_word": k, "length": length})
+                for row, word, item, k, length in matches(shard, items):
+                    rows[row].append({"item_id": None if items.ids[item] is None else str(items.ids[item]), "word": word, "item_word": k, "length": length})
                 found += rows
                 shard, size = [], 0
         return pd.DataFrame({"n": counts, "found": found})
@@ -123,17 +134,40 @@ def _search(block: Items):
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of docs, n_words and found: an array of (item_id, word, item_word, length), the longest matches of each document.
+    """The columns of docs, __words and __found: an array of (item_id, word, item_word, length), the longest matches of each document.
 
-    One pass over docs for each block of items, without a shuffle; a document's result needs no other document.
+    Items of one block take one pass over docs, without a shuffle. More items take a pass for each block: the matches of a block, by a
+    128-bit hash of the text, are stored before the next block is read, and all are joined to docs in the end.
     """
     small_batches(docs.sparkSession)
-    out = docs.withColumn("__words", F.lit(0).cast("long")).withColumn("__found", F.array().cast("array<struct<item_id:string,word:int,item_word:int,length:int>>"))
-    for ids, texts in _blocks(benchmark, block_bytes):
-        search = _search(Items(ids, texts, window))
-        out = out.withColumn("__got", search(F.col("text").cast("string")))
-        out = out.withColumn("__words", F.col("__got.n")).withColumn("__found", F.concat("__found", "__got.found")).drop("__got")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__words", "__found")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col("text").cast("string")
+    blocks, sc = _blocks(benchmark, block_bytes), docs.sparkSession.sparkContext
+    held, stored = next(blocks), []
+    for later in blocks:
+        block = sc.broadcast(Items(*held, window))
+        stored.append(_stored(docs, text, block))
+        block.destroy()
+        held = later
+    last = sc.broadcast(Items(*held, window))
+    if not stored:
+        return docs.withColumn("__got", _search(last)(text)).select(*columns, F.col("__got.n").alias("__words"), F.col("__got.found").alias("__found"))
+    every = reduce(DataFrame.unionByName, [*stored, _stored(docs, text, last)])
+    gathered = every.groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("found")).alias("__found"))
+    worded = docs.withColumn("__words", _counted(text)).withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
+    both = worded.join(gathered, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
+    return both.select(*columns, "__words", F.coalesce("__found", F.array().cast(FOUND)).alias("__found"))
+
+
+@F.pandas_udf(LongType())
+def _counted(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words(t if isinstance(t, str) else None)) for t in texts], dtype="int64")
+
+
+def _stored(docs: DataFrame, text: Column, block: Broadcast) -> DataFrame:
+    """(__h1, __h2, found) of the texts of docs in which items of block occur, equal texts once."""
+    got = docs.select(F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2"), _search(block)(text)["found"].alias("found"))
+    return written(got.where(F.size("found") > 0).groupBy("__h1", "__h2").agg(F.first("found").alias("found")), "found")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -141,7 +175,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     return searched(docs, benchmark, window).where(F.size("__found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def reported(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def reported(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs.
 
     n_hit: words inside an occurrence of any window, each once. Items without words match nothing; items with the same id count once, a
@@ -159,7 +193,7 @@ def reported(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
             rows.append((hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
 
-    slim = searched(docs.select("doc_id", "text"), benchmark, window).withColumn("d", digest("__found"))
+    slim = searched(docs.select("doc_id", "text"), benchmark, window, block_bytes).withColumn("d", digest("__found"))
     return slim.select("doc_id", F.col("__words").alias("n_words"), "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))
 
 

@@ -303,13 +303,23 @@ def test_leaks_match_brute_force(spark, odd, benchmark, empty):
     items = [(r["item_id"], r["text"]) for r in b]
     want = sorted(((r["doc_id"], *slow_leaks(r["text"], items)) for r in docs.collect()), key=str)
     assert sorted((tuple(r) for r in leaks.reported(docs, benchmark).collect()), key=str) == want
-    found = leaks.searched(docs, benchmark, block_bytes=40).where("doc_id = 50").first()["__found"]  # several blocks of items
+    assert sorted((tuple(r) for r in leaks.reported(docs, benchmark, block_bytes=40).collect()), key=str) == want  # a pass for each block
+    found = leaks.searched(docs, benchmark, block_bytes=40).where("doc_id = 50").first()["__found"]
     assert max(m["length"] for m in found) == 25
     assert leaks.reported(empty, benchmark).count() == 0 and leaks.reported(odd, benchmark.where("false")).where("n_hit > 0").count() == 0
     clean = leaks.decontaminated(odd, benchmark)
     assert clean.columns == odd.columns and clean.where("doc_id = 6").count() == 0 and clean.where("doc_id = 9").count() == 1
 
 
+def test_a_hot_passage_gives_one_match_a_document():
+    """300 documents hold one passage of 200 words, which the item holds twice: a match a document and place, each of full length."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    items = leaks.Items([1], [f"{passage} between {passage}"])
+    docs = [leaks.numbers(f"start{i} {passage} end", items) for i in range(300)]
+    found = list(leaks.matches(docs, items))
+    assert sorted((row, word, k, length) for row, word, _, k, length in found) == [(i, 1, k, 200) for i in range(300) for k in (0, 201)]
+
+
 def test_targets():
     got = mixing.targets([("b", 100), (None, 10), ("a", 100)])  # weights a 3, b 1, null 2
     assert got["a"] == pytest.approx(200) and got[None] == 20 and got["b"] == pytest.approx(95)
