@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ class Index:
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables, k): where the rows fall, in units of bucket widths."""
-        return (np.einsum("nd,tdk->ntk", x, self.a) + self.b) / self.w
+        return (np.einsum("nd,tdk->ntk", x.astype(np.float64), self.a) + self.b) / self.w
 
     def keys(self, cells: np.ndarray) -> np.ndarray:
         """One number for the cells (..., tables, k) of each table; different cells can share a number, which only adds candidates."""
@@ -78,28 +79,37 @@ class Index:
 
 def fitted(sample: np.ndarray, rows: int, k: int = 10) -> Index:
     """An index for `rows` vectors: about log2(rows) / 3 hashes a table, a bucket width of 1.5 times the sample's median distance to the
-    k-th neighbour, and the fewest probes that find AIM of the sample's own neighbours. Neighbours among all vectors are nearer than
-    among the sample, so the recall over all is no worse."""
+    k-th neighbour, and the fewest probes that find AIM of the sample's own neighbours. If more probes than a table may visit were
+    needed, buckets are widened by half and tried again. Neighbours among all vectors are nearer than among the sample, so the recall
+    over all is no worse."""
     size = sample.shape[1] if len(sample) else 1
     if len(sample) < 2:
         return Index(size, 1, 1.0)
+    sample = sample.astype(np.float64)
     queries = sample[:FIT_QUERIES]
-    d = np.sqrt(((queries[:, None, :] - sample[None]) ** 2).sum(-1))
-    d[np.arange(len(queries)), np.arange(len(queries))] = np.inf
     k = min(k, len(sample) - 1)
-    nearest = np.argsort(d, axis=1)[:, :k]
-    width = 1.5 * float(np.median(d[np.arange(len(queries)), nearest[:, -1]])) or 1.0
-    index = Index(size, int(np.clip(round(np.log2(max(2, rows)) / 3), 2, 10)), width)
-    own = index.keys(np.floor(index.places(sample)))
-    limit = min(3**index.k, 4000)
-    probed = index.probed(queries, limit)
-    rank = np.full((len(queries), k), limit + 1)
-    for q, keys in enumerate(probed):
-        for t in range(index.tables):
-            at = {key: n + 1 for n, key in reversed(list(enumerate(keys[t])))}
-            rank[q] = np.minimum(rank[q], [at.get(key, limit + 1) for key in own[nearest[q], t]])
-    index.probes = int(min(limit, np.quantile(rank, AIM, method="higher")))
-    return index
+    nearest, reach = np.empty((len(queries), k), dtype=np.int64), np.empty(len(queries))
+    for n, q in enumerate(queries):
+        d = ((sample - q) ** 2).sum(axis=1)
+        d[n] = np.inf
+        nearest[n] = np.argsort(d)[:k]
+        reach[n] = np.sqrt(d[nearest[n, -1]])
+    width = 1.5 * float(np.median(reach)) or 1.0
+    hashes = int(np.clip(round(np.log2(max(2, rows)) / 3), 2, 10))
+    limit = min(3**hashes, 4000)
+    while True:
+        index = Index(size, hashes, width)
+        own = index.keys(np.floor(index.places(sample)))
+        rank = np.full((len(queries), k), limit + 1)
+        for q, keys in enumerate(index.probed(queries, limit)):
+            for t in range(index.tables):
+                at = {key: n + 1 for n, key in reversed(list(enumerate(keys[t])))}
+                rank[q] = np.minimum(rank[q], [at.get(key, limit + 1) for key in own[nearest[q], t]])
+        needed = int(np.quantile(rank, AIM, method="higher"))
+        if needed <= limit:
+            index.probes = needed
+            return index
+        width *= 1.5
 
 
 def usable(vector: Column) -> Column:
@@ -144,22 +154,44 @@ def _units(both: DataFrame, index: Index, k: int) -> DataFrame:
     return both.repartition("key", "qb", "cb").sortWithinPartitions("key", "qb", "cb", "candidate").mapInPandas(run, "query_id long, vec_id long, score double")
 
 
+def _scanned(reps: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of all reps for each of a bounded block of queries; a partition gives its own k best."""
+    names = np.array([i for i, _ in asked], dtype=np.int64)
+    x = np.array([v for _, v in asked], dtype=np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[tuple[float, int]]] = [[] for _ in names]
+        for b in batches:
+            b = b.iloc[np.argsort([ids[0] for ids in b["ids"]], kind="stable")]
+            lists = b["ids"].to_numpy()
+            c = np.stack(b["v"].to_numpy()).astype(np.float64) if len(b) else np.empty((0, x.shape[1]))
+            for n, q in enumerate(x if len(b) else ()):
+                d = np.sqrt(((c - q) ** 2).sum(axis=1))
+                near = np.argsort(d, kind="stable")[: k + 1]
+                best[n] = sorted(best[n] + [(float(d[j]), int(v)) for j in near for v in lists[j] if v != names[n]])[:k]
+        yield pd.DataFrame([(int(names[n]), v, s) for n, own in enumerate(best) for s, v in own], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return reps.select("ids", "v").mapInPandas(run, "query_id long, vec_id long, score double")
+
+
 def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` the k nearest other rows found.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Rows with a null vec_id, or a vector that is null,
     zero, holds null or non-finite components or has another length than most of the sample, take no part. Equal vectors are indexed
     once with their k + 1 smallest ids, which is all that a ranking can need. Rows equal in vec_id and vector are one; a query never
-    finds its own vec_id. An empty table gives no rows.
+    finds its own vec_id. A query whose buckets hold fewer than k candidates (it lies far from the rest, or there are no more) is held
+    against all vectors, in blocks of such queries. An empty table gives no rows.
     """
-    vector = F.col("embedding").cast("array<double>")
-    rows = table.select(F.col("vec_id").cast("long").alias("id"), vector.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    kind = "array<float>" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     first = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     reps = written(first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
     sample = reps.orderBy(F.xxhash64("v"), "ids").limit(FIT_VECTORS).select("v").toPandas()["v"]
     sizes = sample.map(len)
     size = int(sizes.mode().iloc[0]) if len(sample) else 1
     index = fitted(np.stack(sample[sizes == size].to_numpy()) if len(sample) else np.empty((0, 1)), reps.count(), k)
+    reps = reps.where(F.size("v") == size)
     queries = rows.where((F.col("id") % every == 0) & (F.size("v") == size)).distinct()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,8 +204,8 @@ def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             keys = index.probed(np.stack(b["v"].to_numpy()), index.probes)
             yield b.assign(key=[np.unique(x) for x in keys]).explode("key").astype({"key": "int64"})
 
-    kinds = "ids array<long>, v array<double>, key long"
-    candidates = reps.where(F.size("v") == size).select("ids", "v").mapInPandas(place, kinds)
+    kinds = f"ids array<long>, v {kind}, key long"
+    candidates = reps.select("ids", "v").mapInPandas(place, kinds)
     asked = queries.select(F.array("id").alias("ids"), "v").mapInPandas(probe, kinds)
     n = candidates.groupBy("key").agg(F.count("*").alias("nc")).join(asked.groupBy("key").agg(F.count("*").alias("nq")), "key")
     n = n.select("key", F.ceil(F.col("nc") / BLOCK).cast("int").alias("nc"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("nq"))
@@ -181,6 +213,16 @@ def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     every_block = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     c = candidates.join(n, "key").select("key", "ids", "v", blocks("nc").alias("cb"), every_block("nq").alias("qb"), F.lit(True).alias("candidate"))
     q = asked.join(n, "key").select("key", "ids", "v", every_block("nc").alias("cb"), blocks("nq").alias("qb"), F.lit(False).alias("candidate"))
-    found = _units(c.unionByName(q), index, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    met = written(_units(c.unionByName(q), index, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "met")
+    full = met.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = written(queries.join(full, "id", "left_anti"), "short")
+    parts = [met]
+    of = -(-short.count() // QUERY_BLOCK)
+    for i in range(of):  # each block is a pass over all vectors, stored before the next
+        block = short.where(F.pmod(F.xxhash64("id"), F.lit(of)) == i).select("id", "v").collect()
+        if block:
+            parts.append(written(_scanned(reps, [(r["id"], list(r["v"])) for r in block], k), "scanned"))
+    found = reduce(DataFrame.unionByName, parts)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if of else found
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -449,6 +449,37 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.searched(table.where("vec_id = 100")).count() == 0
 
 
+def exact_neighbours(rows, k=10):
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = []
+    for q in sorted({i for i in ids.tolist() if i % 100 == 0}):
+        d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(axis=1))
+        best = [j for j in np.lexsort((ids, d)) if ids[j] != q][:k]
+        out += [(q, n + 1, int(ids[j]), float(d[j])) for n, j in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_far_queries_find_their_neighbours(spark, monkeypatch, block):
+    """Every third query lies far from all the rest and meets nothing in its buckets: all rows serve it, in blocks of queries."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
+    x = np.random.default_rng(11).standard_normal((2000, 16))
+    x[::300] *= 40
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = sorted(tuple(r) for r in neighbours.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = exact_neighbours(rows)
+    assert len(got) == len(want) == 200
+    assert [g for g in got if g[0] % 300 == 0] == [w for w in want if w[0] % 300 == 0]
+
+
+def test_fewer_candidates_than_ranks(spark):
+    """Seven vectors: a query gets all six others; float components give distances in double precision."""
+    x = np.random.default_rng(4).standard_normal((7, 4)).astype(np.float32)
+    rows = [(i * 50, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = sorted(tuple(r) for r in neighbours.searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == exact_neighbours(rows) and len(got) == 4 * 6
+
+
 def test_neighbours_cut_hot_buckets(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((400, 8)))]
