@@ -381,6 +381,44 @@ def test_language(spark, odd, empty):
     assert set(r["lang_pred"] for r in language.identified(odd, {}).collect()) == {"und"}
 
 
+def test_language_is_the_smallest_compression(spark):
+    """Every text of the given table: the sizes under each dictionary, recomputed with one compressor a call, give the prediction."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = language.dictionaries(docs)
+    assert set(learned) == {"de", "en", "es", "fr"} and all(0 < len(v) <= language.DICTIONARY_BYTES for v in learned.values())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language.identified(docs, learned).collect():
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in texts[r["doc_id"]].lower())
+        raw = " ".join(words.split(" ")).encode()
+        raw = b" ".join(raw.split())
+        sizes = {}
+        for k, v in learned.items():
+            zd = zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            zd.precompute_compress(level=language.LEVEL)
+            one = zstandard.ZstdCompressor(dict_data=zd, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = sum(len(one.compress(raw[i : i + language.PIECE])) for i in range(0, len(raw), language.PIECE))
+        best = sorted(sizes.values())
+        assert sizes[r["lang_pred"]] == best[0] and r["score"] == pytest.approx(0.5 + (1 - best[0] / best[1]) / 2)
+        assert r["rejected"] == (1 - best[0] / best[1] < language.MARGIN)
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    texts = ["²", "½ ①", "Ⅷ", "12 345", "!?", "\t", "ß", "字"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identified(docs, {"en": b"the cat", "de": b"die katze"}).collect()}
+    assert [got[i] == "und" for i in range(8)] == [True] * 6 + [False] * 2
+
+
+def test_sample_pieces_come_from_all_of_a_text():
+    raw = b" ".join(b"w%06d" % i for i in range(20_000))
+    got = [int(w[1:]) for w in language.pieces(raw, 1200, 7).split()]
+    assert got == sorted(got) and all(any(2000 * k <= g < 2000 * (k + 1) for g in got) for k in range(10))
+    assert language.pieces(raw, 1200, 7) == language.pieces(raw, 1200, 7) != language.pieces(raw, 1200, 8)
+    assert language.pieces(b"short text", 100, 1) == b"short text" and len(language.pieces(raw, 50, 1)) <= 50
+
+
 def test_licences(spark, odd, empty):
     rows = [(1, "prose here\nReleased under the MIT License.\nmore"), (2, "LICENSED under the Apache-License, version 2.0"), (3, "Released under the BSD"), (4, None), (5, "This work is licensed under the GNU General Public License, version 2.")]
     got = {r["doc_id"]: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
