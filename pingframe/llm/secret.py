@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import deque
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,42 +22,47 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
-#: A run of at least WINDOW characters is a candidate; a window counts from so many bits a character: (class, characters, bits).
+#: The classes of characters: a maximal stretch of one, of at least WINDOW characters, is a candidate string of that class, and its windows
+#: count from so many bits of entropy a character.
 WINDOW = 24
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
-LIMITS = {"entropy_hex": 3.0, "entropy_base64": 4.1}
-#: Candidates that are no secrets: words of one case, words joined by marks, numbers, placeholders, repeated units.
+CLASSES = {"entropy_hex": (re.compile(r"[0-9a-fA-F]{%d,}" % WINDOW), 3.0), "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), 4.1)}
+#: Candidates that are no secrets as a whole: words of one case, words joined by marks, numbers, repeated units.
 ALLOWED = (
     re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+"),
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"(?:[A-Za-z]+[+/_=-]+)+[A-Za-z]*"),
-    re.compile(r".*(?:example|sample|placeholder|changeme|xxxx|0000|1234567|abcdef).*", re.IGNORECASE),
     re.compile(r"(.{1,8}?)\1{2,}.{0,8}"),
 )
+#: Placeholders: windows that hold one are no secrets, the rest of a candidate may be.
+PLACEHOLDER = re.compile(r"(?=(example|sample|placeholder|changeme|xxxx|0000|1234567|abcdefgh))", re.IGNORECASE)
 #: n * log2(n) for the counts that a window can have.
 NLOGN = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
 HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 
 def high_windows(run: str, least: float) -> list[tuple[int, int]]:
-    """The merged [start, end) ranges of run's windows whose characters have at least `least` bits of Shannon entropy each.
+    """The merged [start, end) ranges of run's windows whose characters have at least `least` bits of Shannon entropy each and that hold no
+    placeholder.
 
     entropy = log2(W) - sum(c log2 c) / W; one count goes down and one up as the window moves, so a step costs the same at any length.
     """
     counts: dict[str, int] = {}
     total, out = 0.0, []
+    barred = deque(m.span(1) for m in PLACEHOLDER.finditer(run))
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += NLOGN[n + 1] - NLOGN[n]
         if i >= WINDOW - 1:
-            if math.log2(WINDOW) - total / WINDOW >= least - 1e-9:
-                if out and out[-1][1] >= i - WINDOW + 1:
+            start = i - WINDOW + 1
+            while barred and barred[0][0] < start:
+                barred.popleft()
+            if math.log2(WINDOW) - total / WINDOW >= least - 1e-9 and not any(b <= i + 1 for _, b in islice(barred, WINDOW)):
+                if out and out[-1][1] >= start:
                     out[-1] = (out[-1][0], i + 1)
                 else:
-                    out.append((i - WINDOW + 1, i + 1))
-            gone = run[i - WINDOW + 1]
+                    out.append((start, i + 1))
+            gone = run[start]
             n = counts[gone]
             counts[gone] = n - 1
             total += NLOGN[n - 1] - NLOGN[n]
@@ -62,13 +70,17 @@ def high_windows(run: str, least: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(a.fullmatch(run) for a in ALLOWED):
-            continue
-        kind = "entropy_hex" if HEX_ONLY.fullmatch(run) else "entropy_base64"
-        out += [(m.start() + a, m.start() + b, kind) for a, b in high_windows(run, LIMITS[kind])]
+    """The high windows of each class's candidates; a range inside one of hexadecimal digits is that range's already."""
+    out: list[tuple[int, int, str]] = []
+    for kind, (candidate, least) in CLASSES.items():
+        starts, ends = [a for a, _, _ in out], [b for _, b, _ in out]
+        for m in candidate.finditer(text):
+            if not any(a.fullmatch(m[0]) for a in ALLOWED):
+                for a, b in high_windows(m[0], least):
+                    a, b = m.start() + a, m.start() + b
+                    before = bisect_right(starts, a) - 1
+                    if before < 0 or ends[before] < b:
+                        out.append((a, b, kind))
     return out
 
 

@@ -249,6 +249,63 @@ def test_entropy_windows_match_recount():
     assert secret.entropy_spans("x k9Jq2LmZ8vRt4WyB7nXc5PdH1sGf3Aa0 y")[0][2] == "entropy_base64"
 
 
+def slow_secrets(text):
+    """(base spans, all spans) by the contract's patterns and by counting every window anew."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    kinds = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+    words = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    found = [(m.start(), m.end(), "assign") for m in regex.finditer(rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [(m.start(), m.end(), "access") for m in regex.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), m.end(), "hex") for m in regex.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    base, spans, hexed = list(found), list(found), []
+    for kind, chars, least in (("entropy_hex", "0-9a-fA-F", 3.0), ("entropy_base64", "A-Za-z0-9+/_=-", 4.1)):
+        for m in regex.finditer(f"[{chars}]+", text):
+            t = m[0]
+            if len(t) < 24 or any(regex.fullmatch(p, t) for p in ("[a-z]+|[A-Z]+|[A-Z][a-z]+", "[0-9+/_=-]+", "([A-Za-z]+[+/_=-]+)+[A-Za-z]*", r"(.{1,8}?)\1{2,}.{0,8}")):
+                continue
+            covered: list = []
+            for i in range(len(t) - 23):
+                w = t[i : i + 24]
+                if -sum(c / 24 * math.log2(c / 24) for c in Counter(w).values()) >= least - 1e-9 and not regex.search("example|sample|placeholder|changeme|xxxx|0000|1234567|abcdefgh", w, regex.I):
+                    if covered and covered[-1][1] >= i:
+                        covered[-1][1] = i + 24
+                    else:
+                        covered.append([i, i + 24])
+            own = [(m.start() + a, m.start() + b) for a, b in covered]
+            spans += [(a, b, kind) for a, b in own if not any(x <= a and b <= y for x, y in hexed)]
+            hexed += own if kind == "entropy_hex" else []
+    text_of = lambda x: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(x, key=lambda s: (s[0], kinds.index(s[2]), s[1])))
+    return text_of(base), text_of(spans), [sum(k == kind for _, _, k in base) for kind in kinds[:3]]
+
+
+def test_secrets_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), int(n))) for n in rng.integers(20, 90, 40)]
+    keys = ["".join(rng.choice(list("ABCDEFghijklmnop0123456789+/_-"), int(n))) for n in rng.integers(20, 90, 40)]
+    made = [f"x {h[:20]}0000{h[20:]} y KEY={k.upper()} id_{h.upper()} {k}EXAMPLE{k} sécret token: {k} AKIA{h.upper()}" for h, k in zip(hexes, keys, strict=True)]
+    given = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate([*given, *made, None, "", "a" * 50, "0" * 60])), "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    some = 0
+    for r in secret.scanned(docs).collect():
+        base, spans, counts = slow_secrets(texts[r["doc_id"]] or "")
+        assert r["spans"] == spans and [r["n_assign"], r["n_access"], r["n_hex"]] == counts
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and r["n_entropy"] == spans.count("entropy_")
+        some += r["n_entropy"] > 0
+    assert some >= 40
+
+
+def test_a_placeholder_spares_its_windows_only():
+    left, right = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "7c4a8d09ca3762af61e59520943dc26494f8941b"
+    spans = secret.entropy_spans(f"{left}0000{right}")
+    assert len(spans) == 2 and spans[0][:2] == (0, len(left) + 3) and spans[1][1] == len(left) + 4 + len(right)
+    assert [k for *_, k in secret.entropy_spans(f"KEY={left.upper()}")] == ["entropy_hex"]
+
+
 def test_secret_scan_edges(odd, empty):
     got = secret.scanned(odd).toPandas()
     assert len(got) == odd.count() and set(got.base_sha256) == {hashlib.sha256(b"").hexdigest()}
