@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pingframe.plans.tables import written
+
 WINDOW = 3
+#: Windows that occur more often than this are broadcast, so that their occurrences meet no shuffle; at most so many of them, of 60 bytes.
+HOT, MOST_HOT = 1_000, 100_000
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -13,6 +17,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A document is a doc_id and a text (th: the text's hash); rows equal in both are one. Windows are compared by two 64-bit hashes of
     their lines. The first occurrence is the one of the smallest doc_id (nulls last), then th, then line; every other one is later.
+    The occurrences of a common window stay where they are and get its first one by broadcast; others meet it by a shuffle.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= window)
@@ -21,8 +26,12 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.xxhash64(F.lit("second"), *[F.get("lines", i + k) for k in range(window)]).alias("h2")))
     seen = rows.select("doc_id", "th", F.posexplode(hashes).alias("at", "h")).select("doc_id", "th", "at", "h.h1", "h.h2")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
-    firsts = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
-    later = seen.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    firsts = written(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > max(HOT, total // MOST_HOT)  # so at most MOST_HOT windows
+    hot, cold = (firsts.where(x).select("h1", "h2", "first") for x in (often, ~often))
+    met = seen.join(F.broadcast(hot), ["h1", "h2"]).unionByName(seen.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+    later = met.where(~place.eqNullSafe(F.col("first")))
     covered = F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + (window - 1))))
     return later.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(covered)).alias("gone"))
 

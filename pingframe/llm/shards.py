@@ -6,25 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pingframe.llm._shared import crc32, numbered
+from pingframe.plans.tables import written
 
 SPAN = float(2**52)
 
 
+def _values(key: Column, weights: list[float], start: int = 0) -> list[Column]:
+    """A struct (value, minus shard) for each shard of a positive weight: value is -weight / ln(u), u in (0, 1) a hash of key and shard."""
+    name = F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null"))
+    out = []
+    for n, w in enumerate(weights, start):
+        if w:
+            u = (F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{n}")).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(SPAN)
+            out.append(F.struct((F.lit(float(-w)) / F.log(u)).alias("value"), F.lit(-n).alias("shard")))
+    return out
+
+
+def _best(key: Column, weights: list[float]) -> Column:
+    if not weights or any(w < 0 for w in weights) or not any(weights):
+        raise ValueError("weights must not be negative, and one must be positive")
+    rated = _values(key, weights)
+    return F.array_max(F.array(*rated)) if len(rated) > 1 else rated[0]
+
+
 def shard_of(key: Column, weights: list[float]) -> Column:
     """The shard with the largest -weight / ln(u), where u in (0, 1) is a hash of key and shard number.
 
     Each shard's value depends on key and that shard alone. So one more shard at the end takes rows only into itself, and a changed
     weight moves rows only from or to that shard. A null key is a key of its own. Equal values go to the smaller shard.
     """
-    if not weights or any(w < 0 for w in weights) or not any(weights):
-        raise ValueError("weights must not be negative, and one must be positive")
-    name = F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null"))
-    rated = []
-    for n, w in enumerate(weights):
-        if w:
-            u = (F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{n}")).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(SPAN)
-            rated.append(F.struct((F.lit(float(-w)) / F.log(u)).alias("value"), F.lit(-n).alias("shard")))
-    return (-(F.array_max(F.array(*rated))["shard"] if len(rated) > 1 else rated[0]["shard"])).cast("int")
+    return (-_best(key, weights)["shard"]).cast("int")
 
 
 def sharded(docs: DataFrame, shards: int = 24, weights: list[float] | None = None) -> DataFrame:
@@ -32,13 +43,15 @@ def sharded(docs: DataFrame, shards: int = 24, weights: list[float] | None = Non
 
     The law is `key`: doc_id and the shard count decide. size: UTF-8 bytes of the text (null: none) plus 8; text_crc32 of a null text is
     that of the empty one. slot: gapless from 0 in each shard, in an order of hashes that reruns keep; rows equal in doc_id, size and
-    CRC are interchangeable. grown_shard: the shard with one more shard of the mean weight. Rows with the same or a null doc_id share a shard.
+    CRC are interchangeable. grown_shard: the shard with one more shard of the mean weight. Rows with the same or a null doc_id share a
+    shard. Each shard's hash is taken once a row; the rows without their texts are stored and then numbered.
     """
     weights = weights or [1.0] * shards
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
-    rows = rows.withColumn("shard", shard_of(F.col("doc_id"), weights))
-    rows = rows.withColumn("grown_shard", shard_of(F.col("doc_id"), [*weights, sum(weights) / len(weights)]))
+    best, more = _best(F.col("doc_id"), weights), _values(F.col("doc_id"), [sum(weights) / len(weights)], len(weights))[0]
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), crc32(text).alias("text_crc32"), best.alias("best"), more.alias("more"))
+    grown = F.when(F.col("more") > F.col("best"), -F.col("more.shard")).otherwise(-F.col("best.shard"))
+    rows = written(rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), (-F.col("best.shard")).cast("int").alias("shard"), grown.cast("int").alias("grown_shard")), "dealt")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     bins = F.substring(F.md5(F.concat(F.lit("slot:"), key).cast("binary")), 1, 3)
     out = numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", bins)

@@ -518,6 +518,25 @@ def test_lines_match_brute_force(spark, odd, empty):
     assert lines.digest(odd).count() == odd.count() and lines.digest(empty).count() == 0
 
 
+def test_hot_windows_go_like_others(spark, monkeypatch):
+    """One window in all of 60 documents and others in two: broadcast or shuffled, the same lines go."""
+    rows = [(i, f"own {i}\nhot a\nhot b\nhot c\nx {i // 2}\ny {i // 2}\nz {i // 2}\nend {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_lines(rows)
+    for hot in (1, 10, 1000):
+        monkeypatch.setattr(lines, "HOT", hot)
+        got = lines.without_repeats(docs).collect()
+        assert {(r["doc_id"], r["text"], r["n_removed"]) for r in got} == {(i, *want[(i, t)]) for i, t in rows}
+
+
+def test_dealt_rows_lie_in_their_shards(spark, odd, tmp_path):
+    docs = odd.drop("shard")
+    shards.dealt(docs, str(tmp_path / "out"), 5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda df: sorted((str(r["doc_id"]), r["shard"], str(r["text"])) for r in df.collect())
+    assert key(back) == key(docs.withColumn("shard", shards.shard_of(F.col("doc_id"), [1.0] * 5))) and set(back.columns) == set(odd.columns)
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 16))
