@@ -5,30 +5,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices and grant sentences by SPDX-like name. A name can have several templates.
+#: Notices, grants and whole short licences by SPDX-like name. A name can have several templates.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+        "License.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See the LICENSE file for details."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+        "details. You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "https://www.gnu.org/licenses/.",
+    ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+        "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS "
+        "IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.",
+    ),
 )
 LEAST = 0.8
+COMMON = frozenset("a all and any at be by for from in is it not of on or that the this to use with you".split())
 
 
 def normal(text: Column) -> Column:
@@ -37,31 +130,57 @@ def normal(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    n = F.size(words)
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    """The pairs of words in a row, joined by a space, in order."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
 def _template(text: str) -> list[str]:
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _anchors(bigrams: list[str], low: float) -> set[str]:
+    """Words of which a text must hold one to hold the share `low` of the bigrams: the longest ones, those in every prose last, until too
+    few bigrams are without."""
+    out: set[str] = set()
+    for word in sorted({w for b in bigrams for w in b.split(" ")}, key=lambda w: (w in COMMON, -len(w), w)):
+        if sum(out.isdisjoint(b.split(" ")) for b in bigrams) < low * len(bigrams) - 1e-9:
+            break
+        out.add(word)
+    return out
+
+
 def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(doc_id, n_units, n_licensed, licences, best_licence, best_score) of each row of docs.
+    """(doc_id, n_units, n_licensed, n_passages, licences, best_licence, best_score) of each row of docs.
+
+    Units are the lines of a text and, if it has several, the text as a whole; n_licensed of the n_units have a licence. Passages are
+    windows of a text's words, whatever its line breaks: as many words as a template has, from a bigram of it on. A unit or passage of
+    bigram set A has the licence of a template of set B where 2 |A and B| / (|A| + |B|) >= least. n_passages: the passages with a
+    licence, overlapping ones as one.
 
-    Units are the lines of a text and, if it has several, the text as a whole. A unit of bigram set A has the licence of a template of
-    set B where 2 |A and B| / (|A| + |B|) >= least. Only sizes with least / (2 - least) <= |A| / |B| <= (2 - least) / least can reach
-    that, so other templates are not compared; a unit with too few words, or too many distinct ones, has no bigrams made. licences: names, sorted,
-    comma-joined; best: highest score, ties to the earlier template; without one null and 0. Null texts have no units. One pass, no shuffle.
+    Only sizes with least / (2 - least) <= |A| / |B| <= (2 - least) / least can reach that, so other templates are not compared; a unit
+    with too few words, or too many distinct ones, has no bigrams made; a text without any word that all matches must have is not cut
+    up; and a template of which a text holds too small a share has no passages looked at. licences: names, sorted, comma-joined; best: highest score, ties to the earlier template; without one null and
+    0. Null texts have no units. One pass, no shuffle.
     """
     sets = [_template(t) for _, t in templates]
     low, high = least / (2 - least), (2 - least) / least
     fewest, most = low * min(map(len, sets)), high * max(map(len, sets))
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    units = docs.select("doc_id", F.when(F.col("text").isNull(), F.array().cast("array<string>")).when(F.size(lines) > 1, F.concat(F.array(F.col("text").cast("string")), lines)).otherwise(lines).alias("u"))
-    worded = units.select("doc_id", F.size("u").cast("long").alias("n_units"), F.transform("u", lambda u: F.split(normal(u), " ", -1)).alias("w"))
-    fit = worded.select("doc_id", "n_units", F.filter("w", lambda w: (F.size(w) - 1 >= F.lit(fewest)) & (F.size(F.array_distinct(w)) - 1 <= F.lit(most))).alias("w"))
-    grams = fit.select("doc_id", "n_units", F.transform("w", _bigrams).alias("g"))
+    whole = F.col("text").cast("string")
+    lines = F.split(whole, "\n", -1)
+    units = F.when(F.col("text").isNull(), F.array().cast("array<string>")).when(F.size(lines) > 1, F.concat(F.array(whole), lines)).otherwise(lines)
+    worded = docs.select("doc_id", units.alias("u"), F.split(normal(F.coalesce(whole, F.lit(""))), " ", -1).alias("w"))
+    held = F.arrays_overlap("w", F.array(*map(F.lit, sorted(set().union(*(_anchors(s, low) for s in sets))))))
+    none = F.array().cast("array<string>")
+    worded = worded.select("doc_id", F.size("u").cast("long").alias("n_units"), F.when(held, F.col("w")).otherwise(none).alias("w"), F.when(held, F.col("u")).otherwise(none).alias("u"))
+    worded = worded.withColumn("uw", F.transform("u", lambda u: F.split(normal(u), " ", -1)))
+    fit = worded.withColumn("uw", F.filter("uw", lambda w: (F.size(w) - 1 >= F.lit(fewest)) & (F.size(F.array_distinct(w)) - 1 <= F.lit(most))))
+    grams = fit.select("doc_id", "n_units", F.transform("uw", lambda w: F.array_distinct(_bigrams(w))).alias("g"), _bigrams(F.col("w")).alias("b"))
 
     def hits(g: Column) -> Column:
         rated = []
@@ -72,30 +191,68 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
             rated.append(F.when(inside, F.struct(score.alias("score"), F.lit(-n).alias("n"), F.lit(name).alias("name"))))
         return F.filter(F.array(*rated), lambda h: h["score"] >= F.lit(least))
 
-    found = grams.select("doc_id", "n_units", F.transform("g", hits).alias("h"))
-    found = found.select("doc_id", "n_units", F.filter("h", lambda h: F.size(h) > 0).alias("h"))
-    best = F.array_max(F.flatten("h"))
-    names = F.array_join(F.array_sort(F.array_distinct(F.transform(F.flatten("h"), lambda x: x["name"]))), ",")
-    return found.select("doc_id", "n_units", F.size("h").cast("long").alias("n_licensed"), names.alias("licences"), best["name"].alias("best_licence"), F.round(F.coalesce(best["score"], F.lit(0.0)), 6).alias("best_score"))
+    known = sorted(set().union(*sets))
+    at = F.filter(F.transform("b", lambda x, i: F.when(x.isin(known), F.struct(i.alias("i"), x.alias("x")))), lambda h: h.isNotNull())
+    found = grams.select("doc_id", "n_units", "b", F.filter(F.transform("g", hits), lambda h: F.size(h) > 0).alias("h"), at.alias("at"))
+    found = found.withColumn("met", F.array_distinct(F.transform("at", lambda h: h["x"])))
+
+    def passages(n: int) -> Column:
+        """The windows of template n that have its licence, as (score, n, name, start, end)."""
+        (name, text), s = templates[n], sets[n]
+        own, wide = F.array(*map(F.lit, s)), len(_words(text)) - 1
+        near = (F.size("met") >= F.lit(low * len(s) - 1e-9)) & (F.size(F.array_intersect("met", own)) >= F.lit(low * len(s) - 1e-9))
+
+        def rated(h: Column) -> Column:
+            a = F.array_distinct(F.slice("b", h["i"] + 1, wide))
+            score = F.lit(2.0) * F.size(F.array_intersect(a, own)) / (F.size(a) + len(s))
+            return F.struct(score.alias("score"), F.lit(-n).alias("n"), F.lit(name).alias("name"), h["i"].alias("start"), (h["i"] + wide + 1).alias("end"))
+
+        tried = F.transform(F.filter("at", lambda h: F.array_contains(own, h["x"])), rated)
+        return F.when(near, F.filter(tried, lambda p: p["score"] >= F.lit(least)))
+
+    every = F.flatten(F.filter(F.array(*map(passages, range(len(templates)))), lambda p: p.isNotNull()))
+    found = found.select("doc_id", "n_units", "h", every.alias("p"))
+    best = F.array_max(F.concat(F.flatten("h"), F.transform("p", lambda p: F.struct(p["score"].alias("score"), p["n"].alias("n"), p["name"].alias("name")))))
+    names = F.concat(F.transform(F.flatten("h"), lambda x: x["name"]), F.transform("p", lambda p: p["name"]))
+    spans = F.array_sort(F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))
+    merged = F.aggregate(
+        spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")),
+        lambda s, p: F.struct((s["n"] + (p["start"] >= s["end"]).cast("int")).alias("n"), F.greatest(s["end"], p["end"]).alias("end")),
+    )["n"]
+    return found.select(
+        "doc_id", "n_units", F.size("h").cast("long").alias("n_licensed"), merged.cast("long").alias("n_passages"), F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("licences"),
+        best["name"].alias("best_licence"), F.round(F.coalesce(best["score"], F.lit(0.0)), 6).alias("best_score"),
+    )
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-#: DuckDB SQL of scanned(), which compares every line with every template.
+#: DuckDB SQL of scanned(), which compares every line with every template, and every window from a bigram of a template on.
 SQL = rf"""
 WITH raw AS (SELECT * FROM (VALUES {", ".join(f"({n}, {_quoted(a)}, {_quoted(b)})" for n, (a, b) in enumerate(TEMPLATES))}) AS v(n, name, t)),
 tw AS (SELECT n, name, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM raw),
-tb AS (SELECT n, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
+tb AS (SELECT n, name, len(w) - 1 AS wide, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
 u AS (SELECT doc_id, 0 AS k, text AS u FROM documents WHERE contains(text, chr(10))
   UNION ALL SELECT doc_id, i AS k, string_split(text, chr(10))[i] FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS x(i)),
 uw AS (SELECT doc_id, k, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
 ub AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM uw),
 s AS (SELECT doc_id, k, n, name, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS score FROM ub, tb),
+dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+db AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM dw),
+place AS (SELECT doc_id, i, b[i] AS x FROM db, unnest(range(1, len(b) + 1)) AS y(i)),
+hit AS (SELECT doc_id, n, i FROM place JOIN (SELECT n, unnest(b) AS x FROM tb) AS tx USING (x)),
+win AS (SELECT hit.doc_id, n, name, i, i + wide + 1 AS e, list_distinct(db.b[i:i + wide - 1]) AS a, tb.b AS b FROM hit JOIN db USING (doc_id) JOIN tb USING (n)),
+p AS (SELECT doc_id, n, name, i, e, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS score FROM win),
+pl AS (SELECT * FROM p WHERE score >= {LEAST}),
+pn AS (SELECT doc_id, count(*) FILTER (WHERE i >= coalesce(before, -1)) AS n_passages
+  FROM (SELECT doc_id, i, max(e) OVER (PARTITION BY doc_id ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pl) GROUP BY doc_id),
+l AS (SELECT doc_id, k, n, name, score FROM s WHERE score >= {LEAST} UNION ALL SELECT doc_id, NULL, n, name, score FROM pl),
 h AS (SELECT doc_id, count(DISTINCT k) AS n_licensed, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, first(name ORDER BY score DESC, n) AS best_licence, max(score) AS best_score
-  FROM s WHERE score >= {LEAST} GROUP BY doc_id),
+  FROM l GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_licensed, 0) AS BIGINT) AS n_licensed, coalesce(licences, '') AS licences, best_licence, round(coalesce(best_score, 0.0), 6) AS best_score
-FROM documents d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_licensed, 0) AS BIGINT) AS n_licensed, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages,
+  coalesce(licences, '') AS licences, best_licence, round(coalesce(best_score, 0.0), 6) AS best_score
+FROM documents d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN pn USING (doc_id)
 """

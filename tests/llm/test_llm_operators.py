@@ -486,6 +486,20 @@ def test_licences(spark, odd, empty):
     assert licences.scanned(odd).count() == odd.count() and licences.scanned(empty).count() == 0
 
 
+def test_wrapped_notices_are_passages(spark):
+    """A whole licence over many lines, and a notice in the midst of one long line, are found as windows of words; cut ones are not."""
+    mit = max((t for n, t in licences.TEMPLATES if n == "MIT"), key=len).split()
+    isc = max((t for n, t in licences.TEMPLATES if n == "ISC"), key=len)
+    other = " ".join(prose(1, 5, 300))
+    wrapped = "\n * ".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    rows = [(1, f"{other}\n{wrapped}\n{other}"), (2, f"{other} {isc} {other} {isc}"), (3, f"{other} {' '.join(mit[:20])} {other}"), (4, other), (5, f"{other} This work is licensed under\nthe GNU General Public\nLicense, version 2. {other}")]
+    got = {r["doc_id"]: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["licences"] == "MIT" and got[1]["best_score"] == 1.0 and got[1]["n_passages"] == 1 and got[1]["n_licensed"] == 0
+    assert got[2]["licences"] == "ISC" and got[2]["n_passages"] == 2
+    assert got[3]["licences"] == "" and got[4]["n_passages"] == 0
+    assert "GPL-2.0" in got[5]["licences"].split(",") and got[5]["best_licence"] == "GPL-2.0"
+
+
 def test_licence_scan_runs_no_python(spark, odd):
     plan = licences.scanned(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
