@@ -11,9 +11,9 @@ FORMATS = {"xtf": "xtf", "tif": "geotiff", "tiff": "geotiff", "png": "image_nav"
 MAGIC = {"xtf": ("7B",), "geotiff": ("49492A00", "4D4D002A", "49492B00", "4D4D002B"), "png": ("89504E470D0A1A0A",), "jpg": ("FFD8FF",), "jpeg": ("FFD8FF",)}
 
 
-def admitted(files: DataFrame, most_bytes: int, formats: dict[str, str] | None = None) -> DataFrame:
+def admitted(files: DataFrame, most_bytes: int, formats: dict[str, str] | None = None, magic: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """files (path, content) with format and error: UNSUPPORTED_FORMAT, FILE_TOO_LARGE, CORRUPT_HEADER or null."""
-    formats = formats or FORMATS
+    formats, magic = formats or FORMATS, magic or MAGIC
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
     raw = F.col("content").cast("binary")
     head = F.hex(F.substring(raw, 1, 8))
@@ -95,3 +95,18 @@ def survey_rollup(lines: DataFrame, by: list[str]) -> DataFrame:
     """Lines summed to surveys: pings, flags by or, span of time and the sorted union of warnings."""
     warnings = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings")))), ",")
     return lines.groupBy(*by).agg(F.count("*").alias("lines"), F.sum("pings").alias("pings"), F.bool_or("geotagged").alias("geotagged"), F.min("first_utc").alias("first_utc"), F.max("last_utc").alias("last_utc"), warnings.alias("warnings"))
+
+
+def split_digests(items: DataFrame, split: str, site: str, objects: str, digest: str) -> DataFrame:
+    """(split, n, sites, median_objects, p90, digest): counts of each split and a digest of its items that no order changes.
+
+    Digests are sorted and hashed in bins of their first three digits, and the bins' hashes in order once more, so no task sees all of
+    a split. Medians come from the counts of distinct values.
+    """
+    bins = items.groupBy(split, F.substring(digest, 1, 3).alias("bin")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ","), 256).alias("part"))
+    pairs = F.array_sort(F.collect_list(F.struct("bin", "part")))
+    whole = bins.groupBy(split).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: p["part"]), ","), 256).alias("digest"))
+    values = items.groupBy(split, objects).agg(F.count("*").alias("k"))
+    middle = values.groupBy(split).agg(F.sum("k").alias("n"), F.percentile(objects, F.lit(0.5), F.col("k")).alias("median_objects"), F.percentile(objects, F.lit(0.9), F.col("k")).alias("p90"))
+    sites = items.groupBy(split).agg(F.countDistinct(site).alias("sites"))
+    return middle.join(sites, split).join(whole, split).select(split, "n", "sites", "median_objects", "p90", "digest")

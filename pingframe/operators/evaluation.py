@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pingframe.operators.graph import connected
+from pingframe.operators.ranking import placed
+from pingframe.operators.series import interpolated
+
 
 def calibration_bins(rows: DataFrame, by: list[str], score: str, label: str, bins: int = 10) -> DataFrame:
     """(by, bin, n, mean_score, mean_label) of equal-width bins; a score of 1 is in the last."""
@@ -33,10 +41,25 @@ def auroc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     return per.withColumn("pairs", pairs).groupBy(*by).agg(F.try_divide(F.sum("pairs"), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
+#: Ranks are made in so many bins of the score; a group's bins are ranked by themselves and start where the counts above them end.
+BINS = 1024
+
+
 def _ranked(rows: DataFrame, by: list[str], score: str, label: str, tie: str) -> DataFrame:
-    """rows with k (rank by falling score) and hits (positives up to there)."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), tie)
-    return rows.select(*by, F.col(label).alias("y"), F.row_number().over(w).alias("k"), F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    """(by, bin, y, k, hits, truths): k is the rank by falling score (ties by `tie`), hits the positives up to there, truths those of all.
+
+    The counts of a group's bins, BINS rows for scores of 0 to 1, give each bin its first rank; so a group is ranked by many tasks.
+    """
+    slim = rows.select(*by, F.col(score).alias("s"), F.col(label).alias("y"), F.col(tie).alias("t"), F.floor(F.col(score) * BINS).alias("bin"))
+    per = slim.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("y").alias("h"))
+    group = Window.partitionBy(*by)
+    above = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(c).alias(f"of_{c}") for c in [*by, "bin"]]
+    starts = per.select(*named, F.coalesce(F.sum("n").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("h").over(above), F.lit(0)).alias("h0"), F.sum("h").over(group).alias("truths"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"of_{c}")), [*by, "bin"], F.lit(True))
+    w = Window.partitionBy(*by, "bin").orderBy(F.desc("s"), "t")
+    hits = F.col("h0") + F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return slim.join(starts, same).select(*by, "bin", "y", (F.col("k0") + F.row_number().over(w)).alias("k"), hits.alias("hits"), "truths")
 
 
 def average_precision(rows: DataFrame, by: list[str], score: str, label: str, tie: str) -> DataFrame:
@@ -45,42 +68,90 @@ def average_precision(rows: DataFrame, by: list[str], score: str, label: str, ti
     return _ranked(rows, by, score, label, tie).groupBy(*by).agg(F.try_divide(at, F.sum("y").cast("double")).alias("ap"))
 
 
-def average_precision_101(rows: DataFrame, by: list[str], score: str, label: str, tie: str, truths: Column | None = None) -> DataFrame:
+def average_precision_101(rows: DataFrame, by: list[str], score: str, label: str, tie: str, truths: str | None = None) -> DataFrame:
     """(by, ap): mean over recalls 0, 0.01 .. 1 of the best precision at that recall or more.
 
-    truths: the number of positives there are (default: those among the rows). A hit of rank k gives the precision envelope over the
-    recall points up to its own, which it counts by arithmetic; no grid is joined.
+    truths: a column of `by` groups' numbers of positives (default: those among the rows). A hit of rank k gives the precision envelope
+    over the recall points up to its own, which it counts by arithmetic; no grid is joined. The envelope comes from a bin's own hits and
+    the best of the bins below it.
     """
-    ranked = _ranked(rows, by, score, label, tie).withColumn("precision", F.col("hits") / F.col("k")).where("y = 1")
-    w = Window.partitionBy(*by)
-    best = F.max("precision").over(w.orderBy("k").rowsBetween(0, Window.unboundedFollowing))
-    n = truths if truths is not None else F.max("hits").over(w)
+    given = rows if truths is None else rows.withColumn("__truths", F.col(truths))
+    keys = by if truths is None else [*by, "__truths"]
+    ranked = _ranked(given, keys, score, label, tie).withColumn("precision", F.col("hits") / F.col("k")).where("y = 1")
+    if truths is not None:
+        ranked = ranked.withColumn("truths", F.col("__truths"))
+    tops = ranked.groupBy(*keys, "bin").agg(F.max("precision").alias("top"))
+    later = F.max("top").over(Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(1, Window.unboundedFollowing))
+    tops = tops.select(*[F.col(c).alias(f"of_{c}") for c in [*keys, "bin"]], later.alias("later"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"of_{c}")), [*keys, "bin"], F.lit(True))
+    own = F.max("precision").over(Window.partitionBy(*keys, "bin").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    hit = ranked.join(tops, same).withColumn("best", F.greatest(own, "later"))
     points = lambda h: F.floor(h * 100 / F.col("truths") + F.lit(1e-9)) + 1
-    hit = ranked.withColumn("best", best).withColumn("truths", n)
     share = F.when(F.col("hits") == 1, points(F.col("hits"))).otherwise(points(F.col("hits")) - points(F.col("hits") - 1))
     return hit.groupBy(*by).agg((F.sum(F.col("best") * share) / 101).alias("ap"))
 
 
-def isotonic(rows: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
-    """(by, x, y, tie, fitted): the rising step function nearest to y in squares, by pooling adjacent violators in the order of x.
+#: Isotonic fits pool the violators of so many neighbouring rows by themselves, and then the blocks that are left.
+RANGE = 100_000
 
-    Blocks are pooled on a stack in one sweep over a group's ordered rows. Ties in x stay apart, in the order of `tie`.
-    """
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values([x, tie], kind="stable")
-        sums: list[float] = []
-        counts: list[int] = []
-        for v in batch[y].to_numpy(dtype=np.float64):
-            s, c = v, 1
-            while sums and sums[-1] * c >= s * counts[-1]:
-                s, c = s + sums.pop(), c + counts.pop()
-            sums.append(s)
-            counts.append(c)
-        return batch.assign(fitted=np.repeat(np.array(sums) / np.array(counts), counts) if sums else [])
+def _pooled(sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first index, sum, count) of the blocks that stay when neighbours whose means do not rise are pooled, on a stack."""
+    at: list[int] = []
+    s: list[float] = []
+    c: list[int] = []
+    for i, (x, n) in enumerate(zip(sums.tolist(), counts.tolist(), strict=True)):
+        first = i
+        while s and s[-1] * n >= x * c[-1]:
+            x, n, first = x + s.pop(), n + c.pop(), at.pop()
+        at.append(first)
+        s.append(x)
+        c.append(n)
+    return np.array(at, dtype=np.int64), np.array(s), np.array(c, dtype=np.int64)
+
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, x, y, tie).schema.fields)
-    return rows.select(*by, x, y, tie).groupBy(*by).applyInPandas(run, f"{kinds}, fitted double")
+def isotonic(rows: DataFrame, by: list[str], x: str, y: str, tie: str, size: int | None = None) -> DataFrame:
+    """(by, x, y, tie, fitted): the rising step function nearest to y in squares, by pooling adjacent violators in the order of x.
+
+    Ties in x stay apart, in the order of `tie`. Ranges of RANGE rows in order are pooled by themselves; then a group's blocks, which
+    are far fewer than its rows, are pooled once more, and each range takes the blocks that reach into it.
+    """
+    size = size or RANGE
+    slim = rows.select(*by, x, y, tie)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.select(*by).schema.fields)
+    ordered = placed(slim, [*map(F.col, by), F.col(x), F.col(tie)], "place").withColumn("part", F.floor((F.col("place") - 1) / size))
+
+    def inside(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("place")
+        at, s, c = _pooled(b[y].to_numpy(dtype=np.float64), np.ones(len(b), dtype=np.int64))
+        return b[by].iloc[at].assign(start=b["place"].to_numpy()[at], s=s, c=c)
+
+    def between(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("start")
+        at, s, c = _pooled(b["s"].to_numpy(), b["c"].to_numpy())
+        start = b["start"].to_numpy()[at]
+        return b[by].iloc[at].assign(start=start, stop=start + c - 1, fitted=s / c)
+
+    def fitted(b: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("start")
+        of = np.searchsorted(blocks["start"].to_numpy(), b["place"].to_numpy(), side="right") - 1
+        return b.assign(fitted=blocks["fitted"].to_numpy()[of])[[*by, x, y, tie, "fitted"]]
+
+    parts = ordered.groupBy(*by, "part").applyInPandas(inside, f"{keys}, start long, s double, c long")
+    whole = parts.groupBy(*by).applyInPandas(between, f"{keys}, start long, stop long, fitted double")
+    reach = whole.withColumn("part", F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 1) / size))))
+    return ordered.groupBy(*by, "part").cogroup(reach.groupBy(*by, "part")).applyInPandas(fitted, f"{kinds}, fitted double")
+
+
+def out_of_fold(rows: DataFrame, fold: str, folds: int, x: str, y: str, tie: str) -> DataFrame:
+    """rows with `calibrated`: the isotonic fit of all other folds' rows at x, linear between fitted points and held at the ends."""
+    numbers = F.array(*map(F.lit, range(folds)))
+    train = rows.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(tie).alias("t"), F.explode(F.filter(numbers, lambda k: k != F.col(fold))).alias("f"))
+    points = isotonic(train, ["f"], "x", "y", "t").groupBy("f", "x").agg(F.avg("fitted").alias("v"))
+    asked = rows.select(F.col(fold).alias("f"), F.col(x).alias("x")).distinct().join(points, ["f", "x"], "left_anti").withColumn("v", F.lit(None).cast("double"))
+    line = interpolated(points.unionByName(asked), "v", "x", ["f"], "calibrated").select(F.col("f").alias("__f"), F.col("x").alias("__x"), "calibrated")
+    return rows.join(line, (F.col(fold) == F.col("__f")) & (F.col(x) == F.col("__x")), "left").drop("__f", "__x")
 
 
 def looked_up(value: Column, xs: list[float], ys: list[float]) -> Column:
@@ -107,54 +178,110 @@ def best_weights(rows: DataFrame, parts: list[str], label: str, tie: str, step:
     return ap.orderBy(F.round("ap", 9).desc(), F.round(off, 9), "w0", "w1").limit(1)
 
 
-def greedy_matches(pairs: DataFrame, by: list[str], left: str, right: str, order: list[str], gain: str) -> DataFrame:
-    """(by, left, right, gain): one-to-one matches; left items in `order` (falling first column) each take the free right item of the
-    largest gain, ties the later one.
+def greedy_matches(pairs: DataFrame, by: list[str], left: str, right: str, order: list[str], gain: str | None, falling: bool = True) -> DataFrame:
+    """(by, left, right[, gain]): one-to-one matches; left items in `order` (its first column falling or not) each take the free right item
+    of the largest gain, ties the later one; without a gain the first one.
 
-    What an item may take depends on those before it, so a group (an image, a chunk) is walked in one call; pairs come from a
-    bucketed join and hold overlapping boxes only.
+    Only items that pairs connect can bar each other, so the components of the pairs are dealt to tasks, and a task walks its pairs in
+    order with the items taken so far. Items are numbers.
     """
+    links = pairs.select((F.col(left) * 2).alias("a"), (F.col(right) * 2 + 1).alias("b"))
+    roots = connected(links).withColumnRenamed("node", "__node")
+    ranked = [F.desc(order[0]) if falling else F.asc(order[0]), *map(F.asc, order[1:]), F.asc(left), *([F.desc(gain), F.desc(right)] if gain else [F.asc(right)])]
+    kept = list(dict.fromkeys([*by, left, right, *([gain] if gain else [])]))
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for _, own in batch.sort_values(order, ascending=[False] + [True] * (len(order) - 1), kind="stable").groupby(left, sort=False):
-            free = own[~own[right].isin(used)]
-            if len(free):
-                best = free.sort_values([gain, right]).iloc[-1]
-                used.add(best[right])
-                out.append(best)
-        return pd.DataFrame(out, columns=batch.columns)[[*by, left, right, gain]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lefts: set = set()
+        rights: set = set()
+        for b in batches:
+            take = []
+            for i, (a, c) in enumerate(zip(b[left].tolist(), b[right].tolist(), strict=True)):
+                if a not in lefts and c not in rights:
+                    lefts.add(a)
+                    rights.add(c)
+                    take.append(i)
+            yield b.iloc[take]
 
-    cols = list(dict.fromkeys([*by, left, right, gain, *order]))
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return pairs.select(*cols).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, left, right, gain]))
+    slim = pairs.select(*dict.fromkeys([*kept, *order]))
+    rooted = slim.join(roots, F.col(left) * 2 == F.col("__node")).repartition("root").sortWithinPartitions(*ranked).select(*kept)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rooted.schema.fields)
+    return rooted.mapInPandas(run, kinds)
 
 
-def bootstrap(rows: DataFrame, unit: str, value: str, replicates: int = 200, seed: int = 5) -> DataFrame:
-    """(low, middle, high): 2.5, 50 and 97.5 percentiles of the mean of `value` over resampled units.
+def poisson_weight(unit: Column, replicate: Column) -> Column:
+    """A count that is Poisson(1), read from an MD5 of unit and replicate."""
+    u = F.conv(F.substring(F.md5(F.concat(unit.cast("string"), F.lit(":"), replicate.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return sum(((u >= s).cast("int") for s in POISSON), F.lit(0))
 
-    A unit's count in a replicate is Poisson(1), read from a hash of unit and replicate: every row weighs itself in all replicates, so
-    replicates are grouped sums without a shuffle of copies, and reruns agree.
+
+#: The cumulative Poisson(1) probabilities of 0 to 5.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def bootstrap_calibration(rows: DataFrame, unit: str, score: str, label: str, replicates: int = 200, bins: int = 10) -> DataFrame:
+    """(low, middle, high): 2.5, 50 and 97.5 percentiles of the calibration error over resampled units.
+
+    A unit's count in a replicate is Poisson(1), read from a hash of both: sums per unit and bin weigh themselves in all replicates, so
+    rows are not copied, and reruns agree.
     """
-    per = rows.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = F.pmod(F.xxhash64(F.col(unit), F.col("r"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = per.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = drawn.groupBy("r").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("m"))
-    return means.agg(*[F.percentile("m", F.lit(p)).alias(n) for n, p in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
-
-
-def splits(sites: list[tuple[str, int]], shares: dict[str, float]) -> dict[str, str]:
-    """Whole sites to splits, largest first, each to the split whose shortfall against its share is largest (ties: first named)."""
-    total = sum(n for _, n in sites) or 1
-    held = dict.fromkeys(shares, 0)
-    out = {}
-    for site, n in sorted(sites, key=lambda s: (-s[1], s[0])):
-        best = max(shares, key=lambda k: (shares[k] - held[k] / total))
-        out[site] = best
-        held[best] += n
-    return out
+    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).alias("bin")
+    per = rows.groupBy(F.col(unit).alias("unit"), b).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.sum(F.col(label).cast("double")).alias("y"))
+    drawn = per.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.col("unit"), F.col("r"))).where("w > 0")
+    cells = drawn.groupBy("r", "bin").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "s", "y")])
+    errors = cells.groupBy("r").agg((F.sum(F.abs(F.col("y") - F.col("s"))) / F.sum("n")).alias("e"))
+    return errors.agg(*[F.percentile("e", F.lit(p)).alias(n) for n, p in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
+
 
+def position_errors(rows: DataFrame, by: list[str], metres: Column, sigma_m: Column) -> DataFrame:
+    """(by, n, matched, median_error, max_error, within): errors of the matched rows (metres not null), and the share within two sigma."""
+    off = rows.select(*by, metres.alias("m"), sigma_m.alias("s"))
+    inside = F.avg(F.when(F.col("m").isNotNull(), (F.col("m") <= 2 * F.col("s")).cast("double")))
+    return off.groupBy(*by).agg(F.count("*").alias("n"), F.count("m").alias("matched"), F.median("m").alias("median_error"), F.max("m").alias("max_error"), inside.alias("within"))
 
+
+#: Whole sites are assigned by trying all ways up to so many sites, and greedily beyond; a table of more sites than MOST_SITES is refused.
+TRIED_SITES, MOST_SITES = 9, 100_000
+
+
+def splits(sites: list[tuple[str, int]], shares: dict[str, float], positives: dict[str, int] | None = None, not_train: frozenset[str] = frozenset()) -> dict[str, str]:
+    """Whole sites to splits, so that the squared deviation from the shares is least; no split stays empty.
+
+    Up to TRIED_SITES sites all ways are tried, and one more is added to the deviation for val and test each where no site has a positive.
+    With more, the largest sites open the splits in turn, and each further one goes where the shortfall is largest (ties: first
+    named). Sites in not_train never go to train.
+    """
+    order = sorted(sites, key=lambda s: (-s[1], s[0]))
+    names, total = list(shares), sum(n for _, n in order) or 1
+    allowed = [[k for k in names if k != "train" or s not in not_train] for s, _ in order]
+    if len(order) > TRIED_SITES:
+        held, out = dict.fromkeys(names, 0), {}
+        for i, (site, n) in enumerate(order):
+            first = i < len(names) and names[i] in allowed[i]
+            out[site] = names[i] if first else max(allowed[i], key=lambda k: shares[k] - held[k] / total)
+            held[out[site]] += n
+        return out
+    best: tuple[float, tuple[str, ...]] | None = None
+    for way in product(*allowed):
+        held, found = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+        for (site, n), k in zip(order, way, strict=True):
+            held[k] += n
+            found[k] += (positives or {}).get(site, 0)
+        if all(held.values()):
+            cost = sum((held[k] / total - shares[k]) ** 2 for k in names)
+            cost += sum(positives is not None and found[k] == 0 for k in ("val", "test") if k in found)
+            if best is None or cost < best[0] - 1e-12:
+                best = cost, way
+    if best is None:
+        raise ValueError(f"{len(order)} sites do not fill {len(names)} splits")
+    return dict(zip([s for s, _ in order], best[1], strict=True))
+
+
+def site_splits(items: DataFrame, site: str, shares: dict[str, float], positive: Column | None = None) -> DataFrame:
+    """(site, n, split) of each site of items; sites that are null have no split. Over MOST_SITES sites are refused."""
+    counts = items.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("n"), F.count_if(positive if positive is not None else F.lit(False)).alias("positives"))
+    rows = counts.where("site is not null").limit(MOST_SITES + 1).collect()
+    if len(rows) > MOST_SITES:
+        raise ValueError(f"over {MOST_SITES} sites")
+    given = splits([(r["site"], r["n"]) for r in rows], shares, {r["site"]: r["positives"] for r in rows} if positive is not None else None) if rows else {}
+    named = items.sparkSession.createDataFrame(list(given.items()), "site string, split string")
+    return counts.select("site", "n").join(F.broadcast(named), "site", "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pingframe.operators.evaluation import greedy_matches
 from pingframe.operators.graph import connected
 from pingframe.operators.merging import overlaps
 
@@ -20,12 +20,24 @@ def without_overlap(boxes: DataFrame, which: str) -> DataFrame:
     return picked.join(met, "event_id", "left_anti")
 
 
-def parity(rows: DataFrame, apart: float = 20.0) -> DataFrame:
-    """Counts by class of two runs (even ids and the odd ids after them): matched, scores apart, lost and extra."""
-    left = rows.where("event_id % 2 = 0").select((F.col("event_id") + 1).alias("k"), "cls", F.col("confidence").alias("a"))
-    right = rows.where("event_id % 2 = 1").select(F.col("event_id").alias("k"), "cls", F.col("confidence").alias("b"))
-    both = left.join(right, ["k", "cls"], "full")
-    return both.groupBy("cls").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"), F.count_if(F.abs(F.col("a") - F.col("b")) > apart).alias("apart"), F.count_if(F.col("b").isNull()).alias("lost"), F.count_if(F.col("a").isNull()).alias("extra"))
+def parity(left: DataFrame, right: DataFrame, least_iou: float = 0.95, apart: float = 2.0) -> DataFrame:
+    """(cls, matched, apart, lost, extra): boxes of two runs of a detector, matched one to one within a survey and class.
+
+    Left boxes by falling confidence each take the free right box of the largest IoU from least_iou on. apart: matches whose confidences
+    differ by more; lost and extra: left and right boxes without a match.
+    """
+    runs = left.withColumn("event_id", F.col("event_id") * 2).unionByName(right.withColumn("event_id", F.col("event_id") * 2 + 1))
+    pairs = truth_pairs(runs, ["survey_id", "cls"]).where(F.col("iou") >= least_iou)
+    rated = pairs.drop("confidence").join(runs.select(F.col("event_id").alias("truth"), "confidence"), "truth")
+    met = greedy_matches(rated, [], "truth", "prediction", ["confidence", "truth"], "iou")
+    own = lambda rows, key, side: rows.select((F.col("event_id") * 2 + side).alias(key), "cls", F.col("confidence").alias("a" if key == "truth" else "b"))
+    ours, theirs = own(left, "truth", 0).join(met, "truth", "left"), own(right, "prediction", 1)
+    both = ours.join(theirs.drop("cls"), "prediction", "left").select("cls", "a", "b")
+    extra = theirs.join(met, "prediction", "left_anti").select("cls", F.lit(None).cast("double").alias("a"), "b")
+    a, b = F.col("a"), F.col("b")
+    return both.unionByName(extra).groupBy("cls").agg(
+        F.count_if(a.isNotNull() & b.isNotNull()).alias("matched"), F.count_if(F.abs(a - b) > apart).alias("apart"), F.count_if(b.isNull()).alias("lost"), F.count_if(a.isNull()).alias("extra")
+    )
 
 
 def bright_regions(samples: DataFrame, level: int, least: int, width: int = 32) -> DataFrame:
@@ -49,18 +61,9 @@ def truth_pairs(boxes: DataFrame, same: list[str]) -> DataFrame:
     return named.join(boxes.select(F.col("event_id").alias("prediction"), "survey_id", "confidence", F.col("cls").alias("prediction_cls")), "prediction")
 
 
-def first_fits(pairs: DataFrame, by: list[str], least: float) -> DataFrame:
-    """One-to-one: each truth in order takes the first prediction (by id) that is free and overlaps by `least`; a walk a group."""
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for row in batch[batch["iou"] >= least].sort_values(["truth", "prediction"]).itertuples():
-            if row.truth not in {t for t, _ in out} and row.prediction not in used:
-                used.add(row.prediction)
-                out.append((row.truth, row.prediction))
-        return pd.DataFrame(out, columns=["truth", "prediction"])
-
-    return pairs.select(*by, "truth", "prediction", "iou").groupBy(*by).applyInPandas(run, "truth long, prediction long")
+def first_fits(pairs: DataFrame, least: float) -> DataFrame:
+    """(truth, prediction), one to one: each truth in order takes the first prediction (by id) that is free and overlaps by `least`."""
+    return greedy_matches(pairs.where(F.col("iou") >= least), [], "truth", "prediction", ["truth"], None, falling=False)
 
 
 def confusion(boxes: DataFrame, matches: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pingframe.functions.geo import haversine
 from pingframe.operators.spatial import DEGREE_M
+from pingframe.plans.tables import dropped, written
 
 #: Boxes are dealt to cells of this many pings and metres; a box lies in every cell it touches.
 PINGS, METRES = 64, 16
@@ -31,17 +34,72 @@ def overlaps(boxes: DataFrame, same: list[str]) -> DataFrame:
     met = met.where((F.floor(p0 / PINGS) == F.col("a.cp")) & (F.floor(x0 / METRES) == F.col("a.cx")))
     size = lambda t: (F.col(f"{t}.ping_end") - F.col(f"{t}.ping_start") + 1) * (F.col(f"{t}.across_end") - F.col(f"{t}.across_start"))
     both = (p1 - p0 + 1) * (x1 - x0)
-    return met.select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), (both / (size("a") + size("b") - both)).alias("iou"), (both / F.least(size("a"), size("b"))).alias("ios"))
+    return met.select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), F.try_divide(both, size("a") + size("b") - both).alias("iou"), F.try_divide(both, F.least(size("a"), size("b"))).alias("ios"))
+
+
+def edge_margin(boxes: DataFrame) -> DataFrame:
+    """boxes with margin: pings between a box's centre and the nearer edge of its chunk (chunk_start, chunk_end)."""
+    centre = (F.col("ping_start") + F.col("ping_end")) / 2
+    return boxes.withColumn("margin", F.least(centre - F.col("chunk_start"), F.col("chunk_end") - centre))
+
+
+def kept_across_chunks(boxes: DataFrame, least_iou: float = 0.3, max_rounds: int = 200) -> DataFrame:
+    """Boxes in order of margin (falling), confidence (falling), chunk and id that no box kept before, of the same class and another chunk,
+    overlaps by least_iou. A box that was itself dropped drops no other.
+
+    In each round the boxes that no better one bars are kept and those that they bar go, so that others come free; the pairs that are
+    left are stored. A round is three joins of pairs; rounds are as many as the longest chain of boxes that bar each other in turn.
+    """
+    rank = edge_margin(boxes).select("event_id", "chunk_id", F.struct((-F.col("margin")).alias("m"), (-F.col("confidence")).alias("c"), "chunk_id", "event_id").alias("rank"))
+    named = lambda t: rank.select(F.col("event_id").alias(t), F.col("chunk_id").alias(f"{t}_chunk"), F.col("rank").alias(f"{t}_rank"))
+    met = overlaps(boxes, ["survey_id", "cls"]).where(F.col("iou") >= least_iou).join(named("a"), "a").join(named("b"), "b").where("a_chunk <> b_chunk")
+    first = F.col("a_rank") < F.col("b_rank")
+    left = written(met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")), "pairs")
+    gone: list[DataFrame] = []
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        free = left.select("better").distinct().join(left.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
+        barred = written(left.join(free, "better", "left_semi").select("worse").distinct(), "barred")
+        gone.append(barred)
+        on = left.join(barred, "worse", "left_anti").join(barred.select(F.col("worse").alias("better")), "better", "left_anti")
+        after = written(on.select("better", "worse"), "pairs")
+        dropped(left)
+        left = after
+    else:
+        raise RuntimeError(f"boxes did not settle in {max_rounds} rounds")
+    return boxes.join(reduce(DataFrame.unionByName, gone).select(F.col("worse").alias("event_id")), "event_id", "left_anti") if gone else boxes
+
+
+def merged_boxes(boxes: DataFrame, by: list[str], least_iou: float = 0.5, least_ios: float = 0.7) -> DataFrame:
+    """(by, cls, x1, y1, x2, y2, score, members): boxes of an image and class, by falling score, each united with those that it overlaps
+    (by IoU, or by the share of the smaller box) until none is left that it does; a union keeps the best score and its box grows.
+
+    boxes: x1, y1, x2, y2 (ends exclusive), score. What a union overlaps depends on those before it, so an image's boxes of a class are
+    walked in one call; an image is one chunk of a line, of bounded size.
+    """
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[float]] = []
+        for r in batch.sort_values(["score", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable").itertuples():
+            now = [r.x1, r.y1, r.x2, r.y2, r.score, 1]
+            while (k := next((k for k, o in enumerate(out) if _meets(now, o, least_iou, least_ios)), None)) is not None:
+                o = out.pop(k)
+                now = [min(now[0], o[0]), min(now[1], o[1]), max(now[2], o[2]), max(now[3], o[3]), max(now[4], o[4]), now[5] + o[5]]
+            out.append(now)
+        keys = {c: batch[c].iloc[0] for c in [*by, "cls"]}
+        return pd.DataFrame(out, columns=["x1", "y1", "x2", "y2", "score", "members"]).assign(**keys)[[*by, "cls", "x1", "y1", "x2", "y2", "score", "members"]]
+
+    slim = boxes.select(*by, "cls", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "score")])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
+    return slim.groupBy(*by, "cls").applyInPandas(run, f"{kinds}, members long")
 
 
-def without_weaker_overlaps(boxes: DataFrame, least_iou: float) -> DataFrame:
-    """Boxes that no better box of the same class in another chunk overlaps by least_iou; better: more confident, then smaller id."""
-    pairs = overlaps(boxes, ["survey_id", "cls"]).where(F.col("iou") >= least_iou)
-    of = boxes.select("event_id", "chunk_id", "confidence")
-    named = lambda t: of.select(F.col("event_id").alias(t), F.col("chunk_id").alias(f"{t}_chunk"), F.col("confidence").alias(f"{t}_conf"))
-    met = pairs.join(named("a"), "a").join(named("b"), "b").where("a_chunk <> b_chunk")
-    loser = F.when(F.col("a_conf") >= F.col("b_conf"), F.col("b")).otherwise(F.col("a"))
-    return boxes.join(met.select(loser.alias("event_id")).distinct(), "event_id", "left_anti")
+def _meets(a: list[float], b: list[float], least_iou: float, least_ios: float) -> bool:
+    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    sizes = [(x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)]
+    union, smaller = sum(sizes) - both, min(sizes)
+    return (both / union if union else 0.0) >= least_iou or (both / smaller if smaller else 0.0) >= least_ios
 
 
 def nearest(points: DataFrame, others: DataFrame, within_m: float) -> DataFrame:

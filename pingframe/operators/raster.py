@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pingframe.operators.ranking import percentiles
+from pingframe.operators.series import edge_mean, interpolated, running_median
 from pingframe.plans.tables import written
 
 
@@ -47,24 +51,125 @@ def dropouts(pings: DataFrame, at: str = "ping", flat: float = 0.05, dark: float
     """(at, mean, std, dropout): a ping drops out if it is flat against the median positive deviation, dark, or the same as the one before.
 
     Pings of a line are numbered without gaps, so the one before is found by an equi-join on number + 1 (by a hash of its samples); the
-    median is one number of the whole line, joined back by broadcast.
+    median is one number of the whole line, narrowed before anything is sorted, joined back by broadcast.
     """
     mean, std = mean_std(F.concat(F.transform("port", lambda x: x.cast("double")), F.transform("starboard", lambda x: x.cast("double"))))
     rows = pings.select(at, mean.alias("mean"), std.alias("std"), F.xxhash64("port", "starboard").alias("h"))
-    middle = rows.where("std > 0").agg(F.median("std").alias("middle"))
+    middle = percentiles(rows.where("std > 0"), "std", {"middle": 0.5})
     before = rows.select((F.col(at) + 1).alias(at), F.col("h").alias("h_before"))
     out = rows.join(before, at, "left").join(F.broadcast(middle))
     same = F.coalesce(F.col("h") == F.col("h_before"), F.lit(False))
-    return out.select(at, "mean", "std", ((F.col("std") < flat * F.col("middle")) | (F.col("mean") < dark) | same).alias("dropout"))
+    low = F.coalesce(F.col("std") < flat * F.col("middle"), F.lit(False))
+    return out.select(at, "mean", "std", (low | (F.col("mean") < dark) | same).alias("dropout"))
+
+
+def repaired(pings: DataFrame, dropout: str, by: list[str], at: str = "ping", most_gap: int = 3) -> DataFrame:
+    """pings (by, at, port, starboard, dropout) with `inpainted` and `masked`: short gaps filled, long ones and those at an end masked.
+
+    A gap of at most most_gap pings between two good ones takes their linear mean, rounded; its neighbours come from windows over the
+    line's order, which carry one array each side.
+    """
+    w = Window.partitionBy(*by).orderBy(at)
+    good = F.when(~F.col(dropout), F.struct(F.col(at).alias("at"), "port", "starboard"))
+    rows = pings.withColumn("__lo", F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("__hi", F.first(good, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    gap = F.col("__hi.at") - F.col("__lo.at") - 1
+    fill = F.col(dropout) & F.coalesce(gap <= most_gap, F.lit(False))
+    share = (F.col(at) - F.col("__lo.at")) / (gap + 1)
+
+    def side(c: str) -> Column:
+        mixed = F.zip_with(F.col(f"__lo.{c}"), F.col(f"__hi.{c}"), lambda a, b: F.bround(a * (1 - share) + b * share, 0).cast("long"))
+        return F.when(F.col("inpainted"), mixed).otherwise(F.col(c)).alias(c)
+
+    marked = rows.withColumn("inpainted", fill).withColumn("masked", F.col(dropout) & ~fill)
+    others = [c for c in pings.columns if c not in ("port", "starboard")]
+    return marked.select(*others, side("port"), side("starboard"), "inpainted", "masked")
+
+
+def flattened(samples: DataFrame, by: list[str], at: str, value: str, window: int = 200) -> DataFrame:
+    """samples with `flat`: each column (`by`) divided by its running mean along `at`, values over the column's 99th percentile capped in the
+    mean, so that a bright object does not darken what is around it. The mean is at least a thousandth of the median mean.
+
+    The window reaches window // 2 rows back and the rest ahead, with replicated edges. Percentiles come from counts of distinct values.
+    """
+    counts = samples.groupBy(*by, value).agg(F.count("*").alias("__k"))
+    caps = counts.groupBy(*by).agg(F.percentile(value, F.lit(0.99), F.col("__k")).alias("__cap"))
+    capped = samples.join(F.broadcast(caps), by).withColumn("__c", F.least(F.col(value).cast("double"), "__cap"))
+    mean = capped.withColumn("__mean", edge_mean(F.col("__c"), by, at, window // 2, window - window // 2 - 1))
+    stored = written(mean.select(*samples.columns, "__mean"), "flat")
+    floor = percentiles(stored, "__mean", {"__mid": 0.5})
+    low = F.greatest(F.coalesce("__mid", F.lit(0.0)) * 1e-3, F.lit(1e-6))
+    return stored.join(F.broadcast(floor)).withColumn("flat", F.col(value) / F.greatest("__mean", low)).drop("__mean", "__mid")
 
 
 def stretched(samples: DataFrame, side: str, value: str, at: str) -> DataFrame:
-    """samples with level: value over its side's median of positive values, log1p, between the shared 1 and 99.5 percentiles, as 0..255."""
-    middle = samples.where(F.col(value) > 0).groupBy(side).agg(F.median(value).alias("__m"))
-    gained = samples.join(F.broadcast(middle), side).withColumn("__g", F.log1p(F.col(value) / F.col("__m")))
-    cut = gained.agg(F.percentile("__g", F.lit(0.01)).alias("__lo"), F.percentile("__g", F.lit(0.995)).alias("__hi"))
+    """samples with level: value over its side's median of positive values, log1p, between the shared 1 and 99.5 percentiles, as 0..255.
+
+    Medians and percentiles come from the counts of distinct values of a side.
+    """
+    counts = samples.groupBy(side, value).agg(F.count("*").alias("__k"))
+    middle = counts.where(F.col(value) > 0).groupBy(side).agg(F.percentile(value, F.lit(0.5), F.col("__k")).alias("__m"))
+    gain = F.log1p(F.col(value) / F.col("__m"))
+    gained = counts.join(F.broadcast(middle), side).withColumn("__g", gain)
+    cut = gained.agg(F.percentile("__g", F.lit(0.01), F.col("__k")).alias("__lo"), F.percentile("__g", F.lit(0.995), F.col("__k")).alias("__hi"))
     level = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("__g") - F.col("__lo"), F.col("__hi") - F.col("__lo")))) * 255, 0)
-    return gained.join(F.broadcast(cut)).withColumn("level", F.coalesce(level, F.lit(0.0)).cast("int")).drop("__m", "__g", "__lo", "__hi")
+    both = samples.join(F.broadcast(middle), side).withColumn("__g", gain).join(F.broadcast(cut))
+    return both.withColumn("level", F.coalesce(level, F.lit(0.0)).cast("int")).drop("__m", "__g", "__lo", "__hi")
+
+
+def first_returns(samples: DataFrame, ping: str, sample: str, value: str, n: int, times: float = 3.0, blank: float = 0.005, rise: float = 0.3) -> DataFrame:
+    """(ping, first_return): the first sample from which on the mean of both sides, smoothed along the ping, stays over the threshold.
+
+    The search is the first half after the blanked share. Noise is the lower of its 5th percentile and the median of the leading
+    samples, at least 1; the threshold is the higher of times * noise and a rise from there towards the search's median. Four fifths
+    of the next max(5, n / 100) samples must be over it too. A ping is an array of its own row, so nothing meets but its samples; a
+    ping without a return gives null.
+    """
+    profile = samples.groupBy(ping, sample).agg(F.avg(F.col(value).cast("double")).alias("m"))
+    rows = profile.groupBy(ping).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("i"), "m"))).alias("a")).select(ping, F.transform("a", lambda x: x["m"]).alias("p"))
+    width, start, stop = max(3, n // 200), int(n * blank), max(int(n * blank) + 1, n // 2)
+    run = min(max(5, n // 100), stop - start)
+    before = width // 2
+    at = lambda a, i: F.get(a, F.greatest(F.lit(0), F.least(i, F.lit(n - 1))))
+    smooth = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda i: sum((at(F.col("p"), i + (k - before)) for k in range(width)), F.lit(0.0)) / width)
+    rows = rows.withColumn("s", smooth).withColumn("lead", F.slice("p", 1, max(start, 4)))
+    rows = rows.withColumn("noise", F.greatest(F.least(_of_array("s", 0.05), _of_array("lead", 0.5)), F.lit(1.0)))
+    level = F.greatest(times * F.col("noise"), F.col("noise") + rise * (_of_array("s", 0.5) - F.col("noise")))
+    rows = rows.withColumn("level", level).withColumn("over", F.transform("s", lambda x: (x > F.col("level")).cast("int")))
+    places = F.sequence(F.lit(0), F.lit(stop - start - run))
+    holds = lambda i: (F.get("over", i) == 1) & (F.aggregate(F.slice("over", i + 1, run), F.lit(0), lambda s, x: s + x) >= 0.8 * run)
+    return rows.select(ping, (F.get(F.filter(places, holds), F.lit(0)) + start).cast("double").alias("first_return"))
+
+
+def _of_array(name: str, share: float) -> Column:
+    """A linear percentile of an array column."""
+    a, at = F.array_sort(F.col(name)), share * (F.size(name) - 1)
+    low = F.floor(at).cast("int")
+    return F.get(a, low) + (F.coalesce(F.get(a, low + 1), F.get(a, low)) - F.get(a, low)) * (at - low)
+
+
+def bottom_track(firsts: DataFrame, by: list[str], ping: str, run: int = 5, window: int = 31, long: int = 1001) -> DataFrame:
+    """firsts with `tracked`: gaps filled along the line, values over half off a long running median replaced, then a running median.
+
+    Runs of pings without a near return jump far out, which a short median cannot remove. Medians have odd windows with replicated
+    edges; a window is an array of its own rows.
+    """
+    filled = interpolated(firsts, "first_return", ping, by, "__first")
+    trend = filled.withColumn("__trend", running_median(F.col("__first"), by, ping, long))
+    good = F.col("first_return").isNotNull() & (F.abs(F.col("__first") - F.col("__trend")) <= F.greatest(0.5 * F.col("__trend"), F.lit(float(run))))
+    again = interpolated(trend.withColumn("__good", F.when(good, F.col("first_return"))), "__good", ping, by, "__whole")
+    whole = again.withColumn("__whole", F.coalesce("__whole", "__first"))
+    return whole.withColumn("tracked", running_median(F.col("__whole"), by, ping, window)).drop("__first", "__trend", "__good", "__whole")
+
+
+def chosen_altitude(recorded: Column, tracked: Column, mode: str = "auto", tolerance: float = 0.25) -> tuple[Column, Column]:
+    """(altitude, whether it is the tracked one). auto: the recorded one where it is within a share of the tracked one; true: the tracked
+    one where there is one; false: ever the recorded one."""
+    if mode not in ("auto", "true", "false"):
+        raise ValueError(f"unknown mode: {mode}")
+    agree = F.coalesce(F.abs(recorded - tracked) <= tolerance * F.greatest(tracked, F.lit(1e-6)), F.lit(False))
+    use = {"auto": tracked.isNotNull() & ~agree, "true": tracked.isNotNull(), "false": F.lit(False)}[mode]
+    return F.when(use, tracked).otherwise(recorded), use
 
 
 def _box(values: DataFrame, row: str, col: str, what: Column, half: int, out: str) -> DataFrame:
@@ -97,6 +202,14 @@ def lee_filtered(image: DataFrame, row: str, col: str, value: str, half: int = 2
     return both.join(F.broadcast(noise)).select(row, col, value, "mean", "variance", (F.col("mean") + weight * (x - F.col("mean"))).alias("filtered"))
 
 
+def tiles_of(at: Column, n: Column, size: int, overlap: float) -> Column:
+    """The starts of the tiles that hold the row or column `at` of a raster of n, by the rule of tile_starts()."""
+    step, last = max(1, round(size * (1 - overlap))), F.greatest(n - size, F.lit(0)).cast("long")
+    near = F.transform(F.sequence(F.lit(0), F.lit(-(-size // step))), lambda k: (F.floor(at / step) - k) * step)
+    regular = F.filter(near, lambda s: (s >= 0) & (s < last) & (s > at - size) & (s <= at))
+    return F.concat(regular, F.when(at >= last, F.array(last)).otherwise(F.array().cast("array<long>")))
+
+
 def tile_starts(n: int, size: int, overlap: float) -> list[int]:
     """Offsets every round(size * (1 - overlap)); the last tile ends at n. A raster no longer than a tile has one."""
     step = max(1, round(size * (1 - overlap)))
@@ -118,16 +231,30 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def bank_distance(probes: DataFrame, bank: DataFrame, most_bank: int = 100_000) -> DataFrame:
-    """probes (id, v) with the distance to the nearest vector of the bank, whose size is counted before it is sent to all tasks."""
-    rows = bank.select("v").limit(most_bank + 1).collect()
-    if len(rows) > most_bank:
-        raise ValueError(f"a bank holds at most {most_bank} vectors; thin it with coreset() first")
-    known = np.array([r["v"] for r in rows], dtype=np.float64)
-    norm = (known**2).sum(axis=1)
+#: Vectors of a bank that are held against the probes in one pass.
+BANK_BLOCK = 100_000
+
+
+def bank_distance(probes: DataFrame, bank: DataFrame, block: int = BANK_BLOCK) -> DataFrame:
+    """probes (id, v) with the distance to the nearest vector of the bank; null if the bank is empty.
+
+    The bank's size is counted, and blocks of it go to all tasks one after the other; a block's distances are stored before the next.
+    """
+    n = -(-bank.count() // block)
+    parts = [written(_nearest_of(probes, bank.where(F.pmod(F.xxhash64("v"), F.lit(n)) == k) if n > 1 else bank), "bank") for k in range(n)]
+    if not parts:
+        return probes.select("id", F.lit(None).cast("double").alias("distance"))
+    return parts[0] if n == 1 else reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("distance").alias("distance"))
+
+
+def _nearest_of(probes: DataFrame, bank: DataFrame) -> DataFrame:
+    known = np.array([r["v"] for r in bank.select("v").collect()], dtype=np.float64)
+    norm = (known**2).sum(axis=1) if len(known) else None
 
     @F.pandas_udf("double")
     def nearest(vs: pd.Series) -> pd.Series:
+        if norm is None:
+            return pd.Series([None] * len(vs), dtype="float64")
         x = np.stack(vs.to_numpy()).astype(np.float64)
         best = np.empty(len(x))
         for at in range(0, len(x), 512):
@@ -159,3 +286,64 @@ def coreset(vectors: DataFrame, size: int) -> list[int]:
         chosen.append(-far["i"])
         at = far["v"]
     return chosen
+
+
+def dark_run(dark: Column, most_gap: int = 3) -> Column:
+    """(start, length) of the first run of true values of an array that begins within most_gap places; single false ones do not end it."""
+    n = F.size(dark)
+    start = F.get(F.filter(F.sequence(F.lit(0), F.lit(most_gap)), lambda i: F.coalesce(F.get(dark, i), F.lit(False))), F.lit(0))
+    bright = lambda i: ~F.coalesce(F.get(dark, i), F.lit(False))
+    end = F.get(F.filter(F.sequence(F.lit(0), n), lambda e: (e > start) & bright(e) & bright(e + 1)), F.lit(0))
+    return F.when(start.isNotNull(), F.struct(start.alias("start"), (F.least(end, n) - start).alias("length"))).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length")))
+
+
+#: A row counts as shadowed from a run of so many samples on.
+LEAST_RUN = 2
+
+
+def shadow_scores(boxes: DataFrame, image: DataFrame, nadir: int, step_m: float, ring: int = 6, most_m: float = 15.0, dark_share: float = 0.6, most_gap: int = 3) -> DataFrame:
+    """(id, contrast, darkness, coverage, shadow_m, height_m, score) of each box (id, x1, y1, x2, y2, altitude_m; ends exclusive) on an image of
+    rows (y, v: an array, 0 is no data).
+
+    The background is the median of a ring of `ring` cells around the box without the side that the shadow lies on; the object is bright
+    against it, and on each of its rows a run of samples under dark_share of it begins within most_gap cells of the far edge.
+    score = sqrt(contrast * darkness) * min(1, coverage / 0.5). A height needs an altitude, three tenths of the rows shadowed, and shadows
+    of which half at least end before their reach does. Boxes whose ring holds under 8 values, or whose rows are not there, score 0.
+
+    A box meets its rows by an equi-join on their numbers, and only what its ring and its shadow need is kept of each.
+    """
+    starboard = (F.col("x1") + F.col("x2")) / 2 >= nadir
+    wide = F.size("v")
+    rows = boxes.withColumn("y", F.explode(F.sequence(F.greatest(F.col("y1") - ring, F.lit(0)), F.col("y2") + ring - 1))).join(image, "y")
+    own = (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    cut = lambda a, lo, hi: F.slice(a, F.greatest(lo, F.lit(0)).cast("int") + 1, F.greatest(F.lit(0), F.least(hi, wide) - F.greatest(lo, F.lit(0))).cast("int"))
+    near = cut(F.col("v"), F.col("x1") - ring, F.col("x1"))
+    far = cut(F.col("v"), F.col("x2"), F.col("x2") + ring)
+    middle = F.when(own, F.array().cast("array<double>")).otherwise(cut(F.col("v"), F.col("x1"), F.col("x2")))
+    around = F.filter(F.concat(F.when(starboard, near).otherwise(far), middle), lambda x: x > 0)
+    reach = max(1, round(most_m / step_m)) + most_gap
+    behind = F.when(starboard, cut(F.col("v"), F.col("x2"), F.col("x2") + reach)).otherwise(F.reverse(cut(F.col("v"), F.col("x1") - reach, F.col("x1"))))
+    inside = F.when(own, F.struct("y", cut(F.col("v"), F.col("x1"), F.col("x2")).alias("object"), behind.alias("behind")))
+    each = rows.select("id", "x1", "x2", "altitude_m", around.alias("ring"), inside.alias("own"))
+    met = each.groupBy("id", "x1", "x2", "altitude_m").agg(F.flatten(F.collect_list("ring")).alias("ring"), F.collect_list("own").alias("own"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    met = met.where((F.size("ring") >= 8) & (F.size("own") > 0)).withColumn("back", F.greatest(_of_array("ring", 0.5), F.lit(1.0)))
+    shadows = F.transform("own", lambda o: F.struct(o["behind"].alias("behind"), dark_run(F.transform(o["behind"], lambda x: x < F.col("back") * dark_share), most_gap).alias("run")))
+    met = met.withColumn("contrast", _unit((mean(F.flatten(F.transform("own", lambda o: o["object"]))) - F.col("back")) / F.col("back"))).withColumn("s", shadows)
+    met = met.withColumn("long", F.filter("s", lambda x: x["run"]["length"] >= LEAST_RUN))
+    seen = F.flatten(F.transform("long", lambda x: F.slice(x["behind"], x["run"]["start"] + 1, x["run"]["length"])))
+    met = met.withColumn("coverage", F.size("long") / F.size("s")).withColumn("lengths", F.transform("long", lambda x: x["run"]["length"].cast("double")))
+    some = F.size("long") > 0
+    met = met.withColumn("darkness", F.when(some, _unit((F.col("back") - mean(seen)) / F.col("back"))).otherwise(0.0))
+    met = met.withColumn("shadow_m", F.when(some, _of_array("lengths", 0.5) * step_m))
+    far_m = F.greatest(F.when(starboard, F.col("x2") - nadir).otherwise(nadir - F.col("x1")), F.lit(0)) * step_m
+    cut_off = F.size(F.filter("long", lambda x: x["run"]["start"] + x["run"]["length"] >= F.size(x["behind"])))
+    usable = (F.col("coverage") >= 0.3) & (cut_off <= F.size("long") / 2) & (F.col("altitude_m") > 0)
+    height = F.when(usable, F.col("shadow_m") * F.col("altitude_m") / (far_m + F.col("shadow_m")))
+    score = F.when(some, F.sqrt(F.col("contrast") * F.col("darkness")) * F.least(F.lit(1.0), F.col("coverage") / 0.5)).otherwise(0.0)
+    out = met.select("id", "contrast", "darkness", F.when(some, F.col("coverage")).otherwise(0.0).alias("coverage"), "shadow_m", height.alias("height_m"), score.alias("score"))
+    return boxes.select("id").join(out, "id", "left").na.fill(0.0, ["contrast", "darkness", "coverage", "score"])
+
+
+def _unit(x: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))

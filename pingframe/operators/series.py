@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pingframe.functions.geo import haversine
+from pingframe.functions.geo import EARTH_M, haversine
 
 
 def edge_mean(value: Column, by: list[str], order: str, before: int, after: int) -> Column:
@@ -22,6 +22,25 @@ def edge_mean(value: Column, by: list[str], order: str, before: int, after: int)
     return (inside + left + right) / (before + after + 1)
 
 
+def running_median(value: Column, by: list[str], order: str, window: int) -> Column:
+    """Median over a centred window of at most `window` rows with replicated edges; a line shorter than the window takes an odd one that fits.
+
+    A window's values are sorted in an array of its own.
+    """
+    every = Window.partitionBy(*by).orderBy(order)
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    half = window // 2
+    i, n = F.row_number().over(every) - 1, F.count("*").over(whole)
+    reach = F.least(F.lit(half), F.floor((n - 1) / 2).cast("int"))
+    near = F.collect_list(value).over(every.rowsBetween(-half, half))
+    first = F.greatest(i - half, F.lit(0))
+    lo, hi = F.greatest(i - reach, F.lit(0)), F.least(i + reach, n - 1)
+    inside = F.slice(near, (lo - first + 1).cast("int"), (hi - lo + 1).cast("int"))
+    left = F.array_repeat(F.get(near, (lo - first).cast("int")), F.greatest(reach - i, F.lit(0)).cast("int"))
+    right = F.array_repeat(F.get(near, (hi - first).cast("int")), F.greatest(i + reach - (n - 1), F.lit(0)).cast("int"))
+    return F.get(F.array_sort(F.concat(left, inside, right)), reach)
+
+
 def smoothed_heading(rows: DataFrame, heading: str, by: list[str], order: str, window: int = 25) -> DataFrame:
     """heading_smooth: circular mean over a centred odd window with replicated edges; missing headings weigh nothing, and a window
     without any gives null."""
@@ -97,7 +116,7 @@ def nearest_by_distance(rows: DataFrame, by: list[str], at: str, spacing_m: floa
     A row is nearest between the midpoints to its neighbours, so it names its own k; nothing is joined.
     """
     w = Window.partitionBy(*by).orderBy(at)
-    d = travelled(rows, by, at)
+    d = travelled(rows, by, at).select(*by, at, "travelled_m")
     lo = (F.lag("travelled_m").over(w) + F.col("travelled_m")) / 2
     hi = (F.lead("travelled_m").over(w) + F.col("travelled_m")) / 2
     first = F.coalesce(F.ceil(lo / spacing_m), F.lit(0))
@@ -125,27 +144,37 @@ def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps:
     """(by, at, accepted): fixes that are missing, zero or out of range go; then, outwards from the fix nearest the median position, a
     fix stays if its distance to the last one that stayed is at most most_mps * time + noise_m.
 
-    The walk depends on its own past, so it is a fold over the ordered fixes of a line; a line is one boat's track.
+    The walk depends on its own past, so the fixes of a line (one boat's track) are walked in one call, each once.
     """
     fine = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~((F.col("lat") == 0) & (F.col("lon") == 0)) & (F.abs("lat") <= 90) & (F.abs("lon") <= 180)
-    good = rows.where(fine).select(*by, F.col(at).cast("long").alias("at"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(seconds).cast("double").alias("t"))
-    mid = good.groupBy(*by).agg(F.median("lat").alias("m_lat"), F.median("lon").alias("m_lon"))
-    anchored = good.join(mid, by).withColumn("off", haversine(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon")))
-    lines = anchored.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "lat", "lon", "t"))).alias("fixes"), F.min(F.struct("off", "at", "lat", "lon", "t")).alias("anchor"))
-    start = F.struct(F.struct(F.col("anchor.at").alias("at"), F.col("anchor.lat").alias("lat"), F.col("anchor.lon").alias("lon"), F.col("anchor.t").alias("t")).alias("last"), F.array(F.col("anchor.at")).alias("kept"))
-
-    def step(state: Column, fix: Column) -> Column:
-        last = state["last"]
-        near = haversine(last["lat"], last["lon"], fix["lat"], fix["lon"]) <= most_mps * F.abs(fix["t"] - last["t"]) + noise_m
-        return F.when(near, F.struct(fix.alias("last"), F.concat(state["kept"], F.array(fix["at"])).alias("kept"))).otherwise(state)
-
-    ahead = F.filter("fixes", lambda f: f["at"] > F.col("anchor.at"))
-    behind = F.reverse(F.filter("fixes", lambda f: f["at"] < F.col("anchor.at")))
-    kept = F.array_union(F.aggregate(ahead, start, step)["kept"], F.aggregate(behind, start, step)["kept"])
-    stayed = lines.select(*by, F.explode(kept).alias(at)).withColumn("accepted", F.lit(True))
+    good = rows.where(fine).select(*by, F.col(at).alias("at"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(seconds).cast("double").alias("t"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in good.select(*by, "at").schema.fields)
+
+    def walk(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("at", kind="stable")
+        lat, lon, t = np.radians(b["lat"].to_numpy()), np.radians(b["lon"].to_numpy()), b["t"].to_numpy()
+        metres = lambda i, j: _metres(lat[i], lon[i], lat[j], lon[j])
+        middle = _metres(np.radians(b["lat"].median()), np.radians(b["lon"].median()), lat, lon)
+        anchor = int(np.argmin(middle))
+        stays = np.zeros(len(b), dtype=bool)
+        stays[anchor] = True
+        for way in (range(anchor + 1, len(b)), range(anchor - 1, -1, -1)):
+            last = anchor
+            for i in way:
+                if metres(last, i) <= most_mps * abs(t[i] - t[last]) + noise_m:
+                    stays[i], last = True, i
+        return b[[*by, "at"]][stays]
+
+    stayed = good.groupBy(*by).applyInPandas(walk, kinds).withColumnRenamed("at", at).withColumn("accepted", F.lit(True))
     return rows.select(*by, at).join(stayed, [*by, at], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
+def _metres(lat0: np.ndarray, lon0: np.ndarray, lat1: np.ndarray, lon1: np.ndarray) -> np.ndarray:
+    """Great-circle distance of positions in radians."""
+    h = np.sin((lat1 - lat0) / 2) ** 2 + np.cos(lat0) * np.cos(lat1) * np.sin((lon1 - lon0) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
 def savitzky_golay(rows: DataFrame, value: str, at: str, by: list[str], window: int, order: int) -> DataFrame:
     """(by, at, smooth): least-squares polynomials over a centred odd window; the first and last rows take the polynomial of the first
     and last whole window. A line shorter than the window uses the largest odd window that fits; below order + 1 rows it stays.

@@ -54,9 +54,7 @@ def agg07(spark, d):
 
 @query("src01_admission", """SELECT page_id, CASE WHEN ext NOT IN ('com', 'net') THEN 'UNSUPPORTED_FORMAT' WHEN strlen(content) > 20000 THEN 'FILE_TOO_LARGE' WHEN substr(content, 1, 2) <> '<!' THEN 'CORRUPT_HEADER' ELSE '' END AS error FROM (SELECT page_id, content, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) AS ext FROM v_file)""".replace("\\\\", "\\"), "v_file")
 def src01(spark, d):
-    catalogue.MAGIC.setdefault("com", ("3C21",))
-    catalogue.MAGIC.setdefault("net", ("3C21",))
-    return catalogue.admitted(view(spark, d, "v_file"), 20000, {"com": "page", "net": "page"}).select("page_id", F.coalesce("error", F.lit("")).alias("error"))
+    return catalogue.admitted(view(spark, d, "v_file"), 20000, {"com": "page", "net": "page"}, {"com": ("3C21",), "net": ("3C21",)}).select("page_id", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("src21_content_digest", "SELECT page_id, sha256(content) AS digest FROM v_file", "v_file")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pingframe.functions import geo, score, text
-from pingframe.operators import filters, merging, spatial
+from pingframe.operators import filters, merging, ranking, spatial
 from pingframe.operators.filters import DetectionQuery
 from pingframe.plans.registry import query
 from pingframe.plans.views import view
@@ -28,11 +28,10 @@ def flt01(spark, d):
     return filters.filtered(detections(spark, d), WANTED).select(*COLS)
 
 
-@query("flt03_filter_and_sort", f"SELECT detection_id, row_number() OVER (ORDER BY coalesce(area_m2, 0) DESC, detection_id) AS place FROM v_detection WHERE {WHERE} QUALIFY place <= 500", V)
+@query("flt03_filter_and_sort", f"SELECT detection_id, row_number() OVER (ORDER BY coalesce(area_m2, 0) DESC, detection_id) AS place FROM v_detection WHERE {WHERE}", V)
 def flt03(spark, d):
     q = DetectionQuery(**{**WANTED.__dict__, "sort": "-area"})
-    w = Window.orderBy(*filters.ordering(q.sort))
-    return filters.page(detections(spark, d), q, 0, 500).withColumn("place", F.row_number().over(w).cast("long")).select("detection_id", "place")
+    return ranking.placed(filters.filtered(detections(spark, d), q).select("detection_id", "area_m2"), filters.ordering(q.sort), "place").select("detection_id", "place")
 
 
 for _scope, _where in {"all": "TRUE", "hazards": "alert_tier = 'hazard'", "confirmed": "review_status IN ('confirmed', 'reclassified')", "filtered": WHERE}.items():
@@ -88,10 +87,10 @@ def flt16(spark, d):
 
 
 for _sort, _sql in {"confidence": "confidence", "-confidence": "confidence DESC", "area": "coalesce(area_m2, 0)", "-area": "coalesce(area_m2, 0) DESC", "ping": "coalesce(ping_start, 0)", "-ping": "coalesce(ping_start, 0) DESC", "class": "cls"}.items():
-    @query(f"srt01_by_{_sort.replace('-', 'falling_')}", f"SELECT detection_id, row_number() OVER (ORDER BY {_sql}, detection_id) AS place FROM v_detection QUALIFY place <= 5000", V)
+    @query(f"srt01_by_{_sort.replace('-', 'falling_')}", f"SELECT detection_id, row_number() OVER (ORDER BY {_sql}, detection_id) AS place FROM v_detection", V)
     def srt01(spark, d, sort=_sort):
-        first = filters.page(detections(spark, d), DetectionQuery(sort=sort), 0, 5000)
-        return first.select("detection_id", F.row_number().over(Window.orderBy(*filters.ordering(sort))).cast("long").alias("place"))
+        rows = detections(spark, d).select("detection_id", "cls", "confidence", "area_m2", "ping_start")
+        return ranking.placed(rows, filters.ordering(sort), "place").select("detection_id", "place")
 
 
 @query("srt02_client_class", "SELECT detection_id, row_number() OVER (PARTITION BY survey_id ORDER BY cls, confidence DESC, detection_id) AS place FROM v_detection", V)
@@ -174,10 +173,37 @@ def jn02(spark, d):
     return merging.overlaps(detections(spark, d).where("ping_start is not null"), ["survey_id", "cls"]).select("a", "b", F.round("iou", 6).alias("iou"), F.round("ios", 6).alias("ios"))
 
 
-@query("jn03_chunk_dedupe", f"""{PAIR_IOU} SELECT d.event_id FROM v_detection d WHERE d.ping_start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM WITH_INTER w JOIN v_detection o ON o.event_id = CASE WHEN w.a = d.event_id THEN w.b ELSE w.a END
- WHERE (w.a = d.event_id OR w.b = d.event_id) AND w.i / (w.sa + w.sb - w.i) >= 0.3 AND o.chunk_id <> d.chunk_id AND (o.confidence > d.confidence OR (o.confidence = d.confidence AND o.event_id < d.event_id)))""", V)
+#: A line's chunks are 1,200 pings from every 1,000th on; every second box in an overlap is the one that the chunk before saw.
+CHUNKED = """c AS (SELECT *, floor((ping_start + ping_end) / 2e0 / 1000) AS k, (ping_start + ping_end) / 2e0 AS mid FROM v_detection WHERE ping_start IS NOT NULL),
+ ch AS (SELECT * EXCLUDE (chunk_id), CAST(CASE WHEN event_id % 2 = 1 AND k > 0 AND mid - k * 1000 < 200 THEN k - 1 ELSE k END AS BIGINT) AS chunk_id FROM c),
+ b AS (SELECT *, least(mid - chunk_id * 1000, chunk_id * 1000 + 1200 - mid) AS margin FROM ch)"""
+
+
+def chunked(spark, d):
+    rows = detections(spark, d).where("ping_start is not null").withColumn("mid", (F.col("ping_start") + F.col("ping_end")) / 2)
+    k = F.floor(F.col("mid") / 1000)
+    before = (F.col("event_id") % 2 == 1) & (k > 0) & (F.col("mid") - k * 1000 < 200)
+    rows = rows.withColumn("chunk_id", F.when(before, k - 1).otherwise(k).cast("long"))
+    return rows.withColumn("chunk_start", F.col("chunk_id") * 1000).withColumn("chunk_end", F.col("chunk_id") * 1000 + 1200)
+
+
+@query("jn03_chunk_dedupe", f"""{CHUNKED}, p AS (SELECT a.event_id AS a, b.event_id AS b FROM (SELECT x.event_id AS a, y.event_id AS b, (least(x.ping_end, y.ping_end) - greatest(x.ping_start, y.ping_start) + 1) * (least(x.across_end, y.across_end) - greatest(x.across_start, y.across_start)) AS i,
+  (x.ping_end - x.ping_start + 1) * (x.across_end - x.across_start) AS sa, (y.ping_end - y.ping_start + 1) * (y.across_end - y.across_start) AS sb FROM b x JOIN b y ON x.survey_id = y.survey_id AND x.cls = y.cls AND x.chunk_id <> y.chunk_id
+  AND x.ping_start <= y.ping_end AND y.ping_start <= x.ping_end AND x.across_start < y.across_end AND y.across_start < x.across_end) q JOIN b a ON a.event_id = q.a JOIN b ON b.event_id = q.b WHERE q.i / (q.sa + q.sb - q.i) >= 0.3),
+ n AS (SELECT a, list(b) AS near FROM p GROUP BY a),
+ o AS (SELECT event_id, survey_id, cls, near, row_number() OVER (PARTITION BY survey_id, cls ORDER BY margin DESC, confidence DESC, chunk_id, event_id) AS i FROM b LEFT JOIN n ON a = event_id),
+ walk AS (SELECT DISTINCT survey_id, cls, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept FROM o UNION ALL
+  SELECT o.survey_id, o.cls, o.i, CASE WHEN o.near IS NULL OR NOT list_has_any(w.kept, o.near) THEN list_append(w.kept, o.event_id) ELSE w.kept END FROM walk w JOIN o ON o.survey_id = w.survey_id AND o.cls = w.cls AND o.i = w.i + 1)
+ SELECT unnest(kept) AS event_id FROM walk w WHERE i = (SELECT max(i) FROM o WHERE o.survey_id = w.survey_id AND o.cls = w.cls) /* RECURSIVE */""", V)
 def jn03(spark, d):
-    return merging.without_weaker_overlaps(detections(spark, d).where("ping_start is not null"), 0.3).select("event_id")
+    return merging.kept_across_chunks(chunked(spark, d), 0.3).select("event_id")
+
+
+@query("jn02_merged_boxes")
+def jn02b(spark, d):
+    """Boxes of a chunk's image and class united to a fixed point; tests hold it against a plain walk."""
+    rows = chunked(spark, d).select("survey_id", "chunk_id", "cls", F.col("across_start").alias("x1"), F.col("across_end").alias("x2"), F.col("ping_start").alias("y1"), (F.col("ping_end") + 1).alias("y2"), F.col("confidence").alias("score"))
+    return merging.merged_boxes(rows, ["survey_id", "chunk_id"])
 
 
 @query("scl10_fuse", """SELECT detection_id, CASE WHEN w = 0 THEN 0e0 ELSE round(least(1e0, greatest(0e0, s / w - CASE WHEN contains(quality_flags, 'DROPOUT') THEN 0.1e0 ELSE 0e0 END - CASE WHEN contains(quality_flags, 'HIGH_MOTION') THEN 0.05e0 ELSE 0e0 END)), 6) END AS fused

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pingframe.operators import evaluation, merging
+from pingframe.operators import catalogue, evaluation, matching
 from pingframe.plans.registry import query
 from pingframe.plans.views import view
 
@@ -53,17 +53,24 @@ def agg17(spark, d):
     return out.where("recall is not null")
 
 
-@query("agg18_bootstrap")
+CUMULATED = " + ".join(f"CASE WHEN u >= {p} THEN 1 ELSE 0 END" for p in evaluation.POISSON)
+
+
+@query("agg18_bootstrap", f"""p AS (SELECT grp, least(floor(score * 10), 9) AS bin, count(*) AS n, sum(score) AS s, sum(label) AS y FROM v_scored GROUP BY 1, 2),
+ d AS (SELECT r, bin, n, s, y, {CUMULATED} AS w FROM (SELECT *, ('0x' || substr(md5(grp || ':' || r), 1, 8))::BIGINT / 4294967296e0 AS u FROM p, unnest(range(1, 201)) AS x(r))),
+ e AS (SELECT r, sum(gap) / sum(n) AS e FROM (SELECT r, bin, sum(n * w) AS n, abs(sum(y * w) - sum(s * w)) AS gap FROM d WHERE w > 0 GROUP BY r, bin) GROUP BY r)
+ SELECT round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.5), 6) AS middle, round(quantile_cont(e, 0.975), 6) AS high FROM e""", V)
 def agg18(spark, d):
-    """Percentiles of the mean label over resampled sources."""
-    return evaluation.bootstrap(scored(spark, d), "grp", "label")
+    """Percentiles of the calibration error over resampled sources."""
+    out = evaluation.bootstrap_calibration(scored(spark, d), "grp", "score", "label")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("low", "middle", "high")])
 
 
-@query("ras14_isotonic", """s AS (SELECT lang, score, label, doc_id, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS i FROM v_scored WHERE lang <> 'en'), c AS (SELECT lang, i, sum(label) OVER (PARTITION BY lang ORDER BY i) AS c FROM s UNION ALL SELECT DISTINCT lang, 0, 0 FROM s),
+@query("ras14_isotonic", """s AS (SELECT lang, score, label, doc_id, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS i FROM v_scored), c AS (SELECT lang, i, sum(label) OVER (PARTITION BY lang ORDER BY i) AS c FROM s UNION ALL SELECT DISTINCT lang, 0, 0 FROM s),
  m AS (SELECT a.lang, a.i AS j, b.i AS k, (b.c - a.c) / CAST(b.i - a.i AS DOUBLE) AS mean FROM c a JOIN c b ON a.lang = b.lang AND b.i > a.i),
  lo AS (SELECT s.lang, s.i, m.j, min(m.mean) AS v FROM s JOIN m ON m.lang = s.lang AND m.j < s.i AND m.k >= s.i GROUP BY s.lang, s.i, m.j) SELECT s.doc_id, round(max(v), 6) AS fitted FROM s JOIN lo USING (lang, i) GROUP BY s.doc_id""", V)
 def ras14(spark, d):
-    return evaluation.isotonic(scored(spark, d).where("lang <> 'en'"), ["lang"], "score", "label", "doc_id").select("doc_id", F.round("fitted", 6).alias("fitted"))
+    return evaluation.isotonic(scored(spark, d), ["lang"], "score", "label", "doc_id").select("doc_id", F.round("fitted", 6).alias("fitted"))
 
 
 @query("int04_calibrated", "SELECT doc_id, round(CASE WHEN score <= 0.1 THEN 0.05 WHEN score <= 0.4 THEN 0.05 + 0.45 * (score - 0.1) / 0.3 WHEN score <= 0.8 THEN 0.5 + 0.4 * (score - 0.4) / 0.4 ELSE 0.9 END, 6) AS calibrated FROM v_scored", V)
@@ -79,14 +86,31 @@ def ras16(spark, d):
     return best.select("w0", "w1", "w2", F.round("ap", 6).alias("ap"))
 
 
-@query("jn05_greedy_matches")
+def greedy(same: str, order: str, least: str = "TRUE") -> str:
+    """SQL of one-to-one matches of even (truth) and odd (prediction) boxes with equal `same` columns: pairs in `order`, each if both are
+    still free. Ends in o (pairs) and w (steps with take)."""
+    on = " AND ".join(f"x.{c} = y.{c}" for c in same.split(", "))
+    key = " AND ".join(f"o.{c} = w.{c}" for c in same.split(", "))
+    own = ", ".join(f"o.{c}" for c in same.split(", "))
+    free = "NOT list_contains(w.used, o.truth * 2) AND NOT list_contains(w.used, o.prediction * 2 + 1)"
+    return f"""q AS (SELECT x.survey_id, x.cls, y.cls AS prediction_cls, x.event_id AS truth, y.event_id AS prediction, y.confidence, (least(x.ping_end, y.ping_end) - greatest(x.ping_start, y.ping_start) + 1) * (least(x.across_end, y.across_end) - greatest(x.across_start, y.across_start)) AS i,
+  (x.ping_end - x.ping_start + 1) * (x.across_end - x.across_start) AS sa, (y.ping_end - y.ping_start + 1) * (y.across_end - y.across_start) AS sb FROM v_detection x JOIN v_detection y ON {on} AND x.event_id % 2 = 0 AND y.event_id % 2 = 1
+  AND x.ping_start <= y.ping_end AND y.ping_start <= x.ping_end AND x.across_start < y.across_end AND y.across_start < x.across_end),
+ r AS (SELECT *, i / (sa + sb - i) AS iou FROM q), o AS (SELECT *, row_number() OVER (PARTITION BY {same} ORDER BY {order}) AS k FROM r WHERE {least}),
+ w AS (SELECT DISTINCT {same}, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, FALSE AS take FROM o UNION ALL
+  SELECT {own}, o.k, CASE WHEN {free} THEN list_concat(w.used, [o.truth * 2, o.prediction * 2 + 1]) ELSE w.used END, {free} FROM w JOIN o ON {key} AND o.k = w.k + 1)"""
+
+
+BY_CONFIDENCE = "confidence DESC, prediction, iou DESC, truth DESC"
+
+
+@query("jn05_greedy_matches", greedy("survey_id, cls", BY_CONFIDENCE) + " SELECT survey_id, cls, prediction, truth, round(iou, 6) AS iou FROM o JOIN w USING (survey_id, cls, k) WHERE take /* RECURSIVE */", "v_detection")
 def jn05(spark, d):
     """One-to-one matches of boxes of even and odd events of a survey and class, by confidence and overlap."""
     boxes = view(spark, d, "v_detection").where("ping_start is not null")
-    pairs = merging.overlaps(boxes, ["survey_id", "cls"]).where("a % 2 <> b % 2")
-    named = pairs.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("truth"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("prediction"), "iou")
-    of = boxes.select(F.col("event_id").alias("prediction"), "survey_id", "cls", "confidence")
-    return evaluation.greedy_matches(named.join(of, "prediction"), ["survey_id", "cls"], "prediction", "truth", ["confidence", "prediction"], "iou")
+    pairs = matching.truth_pairs(boxes, ["survey_id", "cls"]).withColumnRenamed("prediction_cls", "cls")
+    met = evaluation.greedy_matches(pairs, ["survey_id", "cls"], "prediction", "truth", ["confidence", "prediction"], "iou")
+    return met.withColumn("iou", F.round("iou", 6))
 
 
 @query("agg20_position_errors", "SELECT lang, count(*) AS n, median(abs(score - anomaly)) AS median_error, max(abs(score - anomaly)) AS max_error, round(avg(CASE WHEN abs(score - anomaly) <= 2 * 0.2e0 THEN 1e0 ELSE 0e0 END), 6) AS within FROM v_scored GROUP BY lang", V)
@@ -95,9 +119,12 @@ def agg20(spark, d):
     return scored(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.median(off).alias("median_error"), F.max(off).alias("max_error"), F.round(F.avg((off <= 0.4).cast("double")), 6).alias("within"))
 
 
-@query("ras17_folds", "SELECT grp, count(DISTINCT fold) AS folds, count(*) AS n FROM (SELECT *, md5(grp)[1] AS fold FROM v_scored) GROUP BY grp", V)
+@query("ras17_folds")
 def ras17(spark, d):
-    return scored(spark, d).withColumn("fold", F.substring(F.md5("grp"), 1, 1)).groupBy("grp").agg(F.countDistinct("fold").alias("folds"), F.count("*").alias("n"))
+    """(doc_id, fold, calibrated): each source's scores calibrated by the isotonic fit of the other folds' sources; tests refit them."""
+    fold = F.conv(F.substring(F.md5("grp"), 1, 4), 16, 10).cast("long") % 5
+    rows = scored(spark, d).select("doc_id", "grp", "score", "label", fold.cast("int").alias("fold"))
+    return evaluation.out_of_fold(rows, "fold", 5, "score", "label", "doc_id").select("doc_id", "fold", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("snk15_confusion", "SELECT lang, count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn, count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp FROM v_scored GROUP BY lang", V)
@@ -106,10 +133,10 @@ def snk15(spark, d):
     return scored(spark, d).withColumn("cell", cell).groupBy("lang").pivot("cell", ["tn", "fp", "fn", "tp"]).count().na.fill(0)
 
 
-@query("agg19_dataset_digest", "SELECT split, count(*) AS n, count(DISTINCT site) AS sites, median(objects) AS median_objects, round(quantile_cont(objects, 0.9), 6) AS p90, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest FROM v_item GROUP BY split", "v_item")
+@query("agg19_dataset_digest", """b AS (SELECT split, substr(digest, 1, 3) AS bin, sha256(string_agg(digest, ',' ORDER BY digest)) AS part FROM v_item GROUP BY 1, 2), g AS (SELECT split, sha256(string_agg(part, ',' ORDER BY bin)) AS digest FROM b GROUP BY split)
+ SELECT split, count(*) AS n, count(DISTINCT site) AS sites, median(objects) AS median_objects, round(quantile_cont(objects, 0.9), 6) AS p90, any_value(g.digest) AS digest FROM v_item JOIN g USING (split) GROUP BY split""", "v_item")
 def agg19(spark, d):
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256)
-    return view(spark, d, "v_item").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("site").alias("sites"), F.median("objects").alias("median_objects"), F.round(F.percentile("objects", F.lit(0.9)), 6).alias("p90"), digest.alias("digest"))
+    return catalogue.split_digests(view(spark, d, "v_item"), "split", "site", "objects", "digest").withColumn("p90", F.round("p90", 6))
 
 
 @query("set05_leaking_sites", "SELECT site, count(DISTINCT split) AS splits FROM v_item GROUP BY site HAVING count(DISTINCT split) > 1", "v_item")
@@ -131,7 +158,5 @@ def set06(spark, d):
 
 @query("ras18_site_splits")
 def ras18(spark, d):
-    """Whole sites assigned to splits near 70, 20 and 10 per cent."""
-    sites = view(spark, d, "v_item").groupBy("site").agg(F.count("*").alias("n"))
-    given = evaluation.splits([(r["site"], r["n"]) for r in sites.limit(100_000).collect() if r["site"] is not None], {"train": 0.7, "val": 0.2, "test": 0.1})
-    return sites.join(F.broadcast(spark.createDataFrame(list(given.items()) or [("", "")], "site string, split string")), "site")
+    """Whole sites assigned to splits near 70, 20 and 10 per cent; tests hold the assignment against all ways."""
+    return evaluation.site_splits(view(spark, d, "v_item"), "site", {"train": 0.7, "val": 0.2, "test": 0.1})

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from pingframe.functions import geo, shapes
 from pingframe.operators import evaluation, matching, raster, series
 from pingframe.plans.detections import detections
+from pingframe.plans.evaluation import BY_CONFIDENCE, greedy
+from pingframe.plans.navigation import SPEED
 from pingframe.plans.registry import query
 from pingframe.plans.views import samples, table, view
 from pingframe.sources import text as sources
@@ -64,11 +66,14 @@ def src24(spark, d):
     return e.select("event_id", F.explode(sources.truths(js)).alias("t")).select("event_id", "t.name", F.round("t.lat", 2).alias("lat"))
 
 
-@query("src08_rows_with_navigation", "SELECT e.vec_id, coalesce(p.ping, -1) AS ping, coalesce(p.altitude_m, -1) AS altitude_m FROM embeddings e LEFT JOIN v_ping p ON p.line_id = 3 AND p.ping = e.vec_id", P)
+@query("src08_rows_with_navigation", """SELECT e.vec_id, coalesce(p.ping, -1) AS ping, coalesce(p.altitude_m, -1) AS altitude_m, p.ping IS NULL OR p.lon IS NULL AS not_geotagged
+ FROM embeddings e LEFT JOIN v_ping p ON p.line_id = e.vec_id // 40 AND p.ping = e.vec_id % 40""", P)
 def src08(spark, d):
-    nav = view(spark, d, P).where("line_id = 3").select(F.col("ping").cast("long").alias("ping"), "altitude_m")
-    rows = table(spark, d, "embeddings").select("vec_id").join(nav, F.col("vec_id") == F.col("ping"), "left")
-    return rows.select("vec_id", F.coalesce("ping", F.lit(-1)).alias("ping"), F.coalesce("altitude_m", F.lit(-1.0)).alias("altitude_m"))
+    """Images of 40 rows each with the navigation of their lines."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("line_id"), (F.col("vec_id") % 40).alias("row"))
+    nav = view(spark, d, P).select("line_id", F.col("ping").cast("long").alias("ping"), "lat", "lon", "altitude_m")
+    out = sources.with_navigation(rows, nav, ["line_id"], "row", "ping")
+    return out.select("vec_id", F.coalesce("ping", F.lit(-1)).alias("ping"), F.coalesce("altitude_m", F.lit(-1.0)).alias("altitude_m"), "not_geotagged")
 
 
 HAV = "2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians(13.005e0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(13.005e0)) * pow(sin(radians(80.005e0 - lon) / 2), 2))))"
@@ -165,9 +170,22 @@ def jn14(spark, d):
     return rows.select("event_id", F.col("k").cast("long").alias("k"), F.round(F.col("ping_start") + (F.col("ping_end") - F.col("ping_start")) * F.col("k") / 4, 6).alias("ping"))
 
 
-@query("jn08_parity", "SELECT cls, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (WHERE abs(a - b) > 20) AS apart, count(*) FILTER (WHERE b IS NULL) AS lost, count(*) FILTER (WHERE a IS NULL) AS extra FROM (SELECT coalesce(l.cls, r.cls) AS cls, l.confidence AS a, r.confidence AS b FROM (SELECT * FROM v_detection WHERE event_id % 2 = 0) l FULL JOIN (SELECT * FROM v_detection WHERE event_id % 2 = 1) r ON l.event_id + 1 = r.event_id AND l.cls = r.cls) GROUP BY cls", D)
+@query("jn08_parity", """a AS (SELECT * FROM v_detection WHERE ping_start IS NOT NULL), z AS (SELECT event_id, survey_id, cls, ping_start, ping_end, across_start + event_id % 3 * 0.01 AS across_start, across_end + event_id % 3 * 0.01 AS across_end, confidence + event_id % 5 AS confidence FROM a WHERE event_id % 7 <> 0),
+ q AS (SELECT x.survey_id, x.cls, x.event_id AS truth, y.event_id AS prediction, x.confidence, y.confidence AS other, (least(x.ping_end, y.ping_end) - greatest(x.ping_start, y.ping_start) + 1) * (least(x.across_end, y.across_end) - greatest(x.across_start, y.across_start)) AS i,
+  (x.ping_end - x.ping_start + 1) * (x.across_end - x.across_start) AS sa, (y.ping_end - y.ping_start + 1) * (y.across_end - y.across_start) AS sb FROM a x JOIN z y ON x.survey_id = y.survey_id AND x.cls = y.cls
+  AND x.ping_start <= y.ping_end AND y.ping_start <= x.ping_end AND x.across_start < y.across_end AND y.across_start < x.across_end),
+ o AS (SELECT *, row_number() OVER (PARTITION BY survey_id, cls ORDER BY confidence DESC, truth, iou DESC, prediction DESC) AS k FROM (SELECT *, i / (sa + sb - i) AS iou FROM q) WHERE iou >= 0.95),
+ w AS (SELECT DISTINCT survey_id, cls, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, FALSE AS take FROM o UNION ALL SELECT o.survey_id, o.cls, o.k, CASE WHEN NOT list_contains(w.used, o.truth * 2) AND NOT list_contains(w.used, o.prediction * 2 + 1) THEN list_concat(w.used, [o.truth * 2, o.prediction * 2 + 1]) ELSE w.used END,
+  NOT list_contains(w.used, o.truth * 2) AND NOT list_contains(w.used, o.prediction * 2 + 1) FROM w JOIN o ON o.survey_id = w.survey_id AND o.cls = w.cls AND o.k = w.k + 1),
+ m AS (SELECT truth, prediction, confidence AS c, other FROM o JOIN w USING (survey_id, cls, k) WHERE take),
+ l AS (SELECT a.cls, a.confidence AS c, m.other FROM a LEFT JOIN m ON m.truth = a.event_id UNION ALL SELECT z.cls, NULL, z.confidence FROM z WHERE event_id NOT IN (SELECT prediction FROM m))
+ SELECT cls, count(*) FILTER (WHERE c IS NOT NULL AND other IS NOT NULL) AS matched, count(*) FILTER (WHERE abs(c - other) > 2) AS apart, count(*) FILTER (WHERE other IS NULL) AS lost, count(*) FILTER (WHERE c IS NULL) AS extra FROM l GROUP BY cls /* RECURSIVE */""", D)
 def jn08(spark, d):
-    return matching.parity(detections(spark, d))
+    """A run of a detector against one that misses every seventh box, moves others and rates them higher."""
+    left = detections(spark, d).where("ping_start is not null").select("event_id", "survey_id", "cls", "ping_start", "ping_end", "across_start", "across_end", "confidence")
+    moved = F.col("event_id") % 3 * 0.01
+    right = left.where("event_id % 7 <> 0").withColumns({"across_start": F.col("across_start") + moved, "across_end": F.col("across_end") + moved, "confidence": F.col("confidence") + F.col("event_id") % 5})
+    return matching.parity(left, right)
 
 
 @query("win11_first_return", "SELECT ping, min(sample) AS first_sample FROM (SELECT ping, sample, v, sum(CASE WHEN v >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY ping ORDER BY sample ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS strong, sample + 4 <= 31 AS whole FROM v_sample WHERE side = 'port') WHERE whole AND v >= 80 AND strong >= 4 GROUP BY ping", "v_sample")
@@ -177,10 +195,19 @@ def win11(spark, d):
     return rows.where("sample + 4 <= 31 and v >= 80 and strong >= 4").groupBy("ping").agg(F.min("sample").cast("long").alias("first_sample"))
 
 
-@query("win05_savitzky_golay")
+#: Each row's window of up to 31 rows, moved inwards at the ends, and the quadratic through it by sums over x = -h .. h.
+QUADRATIC = """l AS (SELECT line_id, ping, lat, row_number() OVER (PARTITION BY line_id ORDER BY ping) - 1 AS i, count(*) OVER (PARTITION BY line_id) AS n FROM v_ping),
+ w AS (SELECT *, least(31, n - (n + 1) % 2) AS w FROM l), b AS (SELECT *, greatest(0, least(i - w // 2, n - w)) AS s FROM w),
+ q AS (SELECT b.line_id, b.ping, b.lat, b.w, b.i - b.s - b.w // 2 AS x0, sum(y.lat) AS y0, sum(y.lat * (y.i - b.s - b.w // 2)) AS y1, sum(y.lat * pow(y.i - b.s - b.w // 2, 2)) AS y2, sum(pow(y.i - b.s - b.w // 2, 2)) AS m2, sum(pow(y.i - b.s - b.w // 2, 4)) AS m4
+  FROM b JOIN l y ON y.line_id = b.line_id AND y.i >= b.s AND y.i < b.s + b.w GROUP BY ALL)
+ SELECT line_id, ping, round(CASE WHEN w <= 2 THEN lat ELSE (m4 * y0 - m2 * y2) / (w * m4 - m2 * m2) + y1 / m2 * x0 + (w * y2 - m2 * y0) / (w * m4 - m2 * m2) * x0 * x0 END, 7) AS smooth FROM q"""
+
+
+@query("win05_savitzky_golay", QUADRATIC, P)
 def win05(spark, d):
     """Latitude smoothed by second-order polynomials over 31 pings, the ends by those of the first and last 31."""
-    return series.savitzky_golay(view(spark, d, P).select("line_id", F.col("ping").cast("long").alias("ping"), "lat"), "lat", "ping", ["line_id"], 31, 2)
+    rows = view(spark, d, P).select("line_id", F.col("ping").cast("long").alias("ping"), "lat")
+    return series.savitzky_golay(rows, "lat", "ping", ["line_id"], 31, 2).withColumn("smooth", F.round("smooth", 7))
 
 
 @query("ras03_tile_grid", "SELECT DISTINCT ping - ping % 12 AS tile_row, tc AS tile_col FROM v_sample, unnest([0, 12, 24, 36, 48]) AS x(tc) WHERE ping % 12 = 0", "v_sample")
@@ -259,27 +286,44 @@ def ras20(spark, d):
     return rows.join(middle, ["side", "sample"]).groupBy("ping").agg(F.round(F.sum(F.when(F.col("ping") % 10 == 0, F.col("m")).otherwise(F.col("v"))), 6).alias("total"))
 
 
-@query("jn06_greedy_any_class")
-def jn06(spark, d):
-    """Greedy one-to-one matches of boxes of any class, by confidence and overlap."""
+ANY_CLASS = greedy("survey_id", BY_CONFIDENCE)
+
+
+def any_class(spark, d):
     boxes = detections(spark, d).where("ping_start is not null")
     return evaluation.greedy_matches(matching.truth_pairs(boxes, ["survey_id"]), ["survey_id"], "prediction", "truth", ["confidence", "prediction"], "iou")
 
 
-@query("jn07_first_fit")
+@query("jn06_greedy_any_class", f"{ANY_CLASS} SELECT survey_id, prediction, truth, round(iou, 6) AS iou FROM o JOIN w USING (survey_id, k) WHERE take /* RECURSIVE */", D)
+def jn06(spark, d):
+    """Greedy one-to-one matches of boxes of any class, by confidence and overlap."""
+    return any_class(spark, d).withColumn("iou", F.round("iou", 6))
+
+
+@query("jn07_first_fit", greedy("survey_id", "truth, prediction", "iou >= 0.2") + " SELECT truth, prediction FROM o JOIN w USING (survey_id, k) WHERE take /* RECURSIVE */", D)
 def jn07(spark, d):
     """Each truth's first free prediction that overlaps by a fifth."""
-    return matching.first_fits(matching.truth_pairs(detections(spark, d).where("ping_start is not null"), ["survey_id"]), ["survey_id"], 0.2)
+    return matching.first_fits(matching.truth_pairs(detections(spark, d).where("ping_start is not null"), ["survey_id"]), 0.2)
 
 
-@query("jn16_confusion")
+@query("jn16_confusion", f"""{ANY_CLASS}, m AS (SELECT truth, prediction FROM o JOIN w USING (survey_id, k) WHERE take), a AS (SELECT * FROM v_detection WHERE ping_start IS NOT NULL)
+ SELECT truth_cls, prediction_cls, count(*) AS n FROM (SELECT t.cls AS truth_cls, coalesce(p.cls, 'missed') AS prediction_cls FROM a t LEFT JOIN m ON m.truth = t.event_id LEFT JOIN a p ON p.event_id = m.prediction WHERE t.event_id % 2 = 0
+ UNION ALL SELECT 'background', cls FROM a WHERE event_id % 2 = 1 AND event_id NOT IN (SELECT prediction FROM m)) GROUP BY 1, 2 /* RECURSIVE */""", D)
 def jn16(spark, d):
     """Confusion by class with missed truths and background predictions."""
-    boxes = detections(spark, d).where("ping_start is not null")
-    return matching.confusion(boxes, jn06(spark, d))
+    return matching.confusion(detections(spark, d).where("ping_start is not null"), any_class(spark, d))
+
+
+#: The gate's fixes, filled between and beyond by lines through the nearest two.
+REPAIRED = SPEED.replace(" SELECT p.line_id, p.ping, coalesce", ", g AS (SELECT p.line_id, p.ping, coalesce").replace("GROUP BY p.line_id, p.ping /* RECURSIVE */", """GROUP BY p.line_id, p.ping),
+ f AS (SELECT g.*, CASE WHEN accepted THEN lat END AS v FROM g JOIN v_ping p USING (line_id, ping)), r AS (SELECT line_id, ping, v, row_number() OVER (PARTITION BY line_id ORDER BY ping) AS i, row_number() OVER (PARTITION BY line_id ORDER BY ping DESC) AS z FROM f WHERE v IS NOT NULL),
+ e AS (SELECT line_id, max(CASE WHEN i = 1 THEN ping END) AS p1, max(CASE WHEN i = 1 THEN v END) AS l1, max(CASE WHEN i = 2 THEN ping END) AS p2, max(CASE WHEN i = 2 THEN v END) AS l2, max(CASE WHEN z = 1 THEN ping END) AS q1, max(CASE WHEN z = 1 THEN v END) AS m1, max(CASE WHEN z = 2 THEN ping END) AS q2, max(CASE WHEN z = 2 THEN v END) AS m2 FROM r GROUP BY line_id),
+ k AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN ping END) OVER (PARTITION BY line_id ORDER BY ping ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN v IS NOT NULL THEN ping END) OVER (PARTITION BY line_id ORDER BY ping ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM f)
+ SELECT k.line_id, k.ping, k.accepted, round(CASE WHEN k.v IS NOT NULL THEN k.v WHEN lo IS NULL THEN l1 + coalesce((l2 - l1) / (p2 - p1), 0) * (k.ping - p1) WHEN hi IS NULL THEN m1 + coalesce((m1 - m2) / (q1 - q2), 0) * (k.ping - q1) ELSE a.v + (b.v - a.v) / (hi - lo) * (k.ping - lo) END, 6) AS lat
+ FROM k LEFT JOIN e USING (line_id) LEFT JOIN f a ON a.line_id = k.line_id AND a.ping = lo LEFT JOIN f b ON b.line_id = k.line_id AND b.ping = hi /* RECURSIVE */""")
 
 
-@query("win13_repaired_line")
+@query("win13_repaired_line", REPAIRED, P)
 def win13(spark, d):
     """Positions with fixes that the speed gate refuses filled from those beside them, over the whole line."""
     rows = view(spark, d, P).withColumn("ping", F.col("ping").cast("long")).withColumn("t", F.unix_micros(F.col("time_utc").cast("timestamp")) / 1e6)

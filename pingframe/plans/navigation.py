@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pingframe.functions import geo
-from pingframe.operators import series
+from pingframe.operators import raster, series
 from pingframe.plans.registry import query
 from pingframe.plans.views import table, view
 
@@ -72,11 +75,17 @@ def win10(spark, d):
     return pings(spark, d).select("event_id", F.round(series.edge_mean(F.col("roll_deg"), BY, "ping", 10, 9), 6).alias("mean"))
 
 
-@query("win12_altitude_choice", """SELECT event_id, coalesce(CASE WHEN altitude_m > 0 AND abs(altitude_m - tracked) <= 3 THEN altitude_m ELSE tracked END, -1) AS altitude, CASE WHEN altitude_m > 0 AND abs(altitude_m - tracked) <= 3 THEN 'recorded' ELSE 'tracked' END AS source FROM (SELECT *, 5e0 + event_id % 12 AS tracked FROM v_ping)""", V)
+@query("win12_altitude_choice", """t AS (SELECT event_id, altitude_m AS r, CASE WHEN event_id % 31 = 0 THEN NULL ELSE 5e0 + event_id % 12 END AS t FROM v_ping), m AS (SELECT *, unnest(['auto', 'true', 'false']) AS mode FROM t),
+ u AS (SELECT *, CASE mode WHEN 'true' THEN t IS NOT NULL WHEN 'false' THEN FALSE ELSE t IS NOT NULL AND NOT coalesce(abs(r - t) <= 0.25 * greatest(t, 1e-6), FALSE) END AS used FROM m)
+ SELECT event_id, mode, CASE WHEN used THEN t ELSE r END AS altitude, used FROM u""", V)
 def win12(spark, d):
-    rows = pings(spark, d).withColumn("tracked", 5.0 + F.col("event_id") % 12)
-    fits = F.coalesce((F.col("altitude_m") > 0) & (F.abs(F.col("altitude_m") - F.col("tracked")) <= 3), F.lit(False))
-    return rows.select("event_id", F.when(fits, F.col("altitude_m")).otherwise(F.col("tracked")).alias("altitude"), F.when(fits, "recorded").otherwise("tracked").alias("source"))
+    rows = pings(spark, d).withColumn("tracked", F.when(F.col("event_id") % 31 > 0, 5.0 + F.col("event_id") % 12))
+    return reduce(DataFrame.unionByName, [_chosen(rows, mode) for mode in ("auto", "true", "false")])
+
+
+def _chosen(rows, mode):
+    altitude, used = raster.chosen_altitude(F.col("altitude_m"), F.col("tracked"), mode)
+    return rows.select("event_id", F.lit(mode).alias("mode"), altitude.alias("altitude"), used.alias("used"))
 
 
 @query("win15_track_decimation", "SELECT line_id, ping FROM (SELECT *, count(*) OVER (PARTITION BY line_id) AS n FROM v_ping) WHERE ping % greatest(1, n // 10) = 0", V)

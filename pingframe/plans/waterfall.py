@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pingframe.operators import raster
-from pingframe.operators.series import interpolated, runs
 from pingframe.operators.similarity import correlated
 from pingframe.plans.registry import query
 from pingframe.plans.views import samples, table, waterfall
@@ -58,32 +57,41 @@ def src06(spark, d):
     return waterfall(spark, d).select("ping", F.get("port", F.lit(0)).alias("first_port"), F.get("starboard", F.lit(0)).alias("first_starboard"))
 
 
-IMAGE = "im AS (SELECT ping % 40 AS r, CASE WHEN side = 'port' THEN 31 - sample ELSE 32 + sample END AS c, CAST(avg(v) AS DOUBLE) AS v FROM v_sample GROUP BY 1, 2)"
-MIRROR = "mir AS (SELECT rr AS r, cc AS c, im.v FROM (SELECT x AS rr, CASE WHEN x < 0 THEN -x - 1 WHEN x > 39 THEN 79 - x ELSE x END AS sr FROM unnest(range(-3, 43)) AS a(x)) ra, (SELECT y AS cc, CASE WHEN y < 0 THEN -y - 1 WHEN y > 63 THEN 127 - y ELSE y END AS sc FROM unnest(range(-3, 67)) AS b(y)) ca JOIN im ON im.r = sr AND im.c = sc)"
+#: The waterfall as an image: a row is a ping, port runs outwards to the left.
+IMAGE = "im AS (SELECT ping AS r, CASE WHEN side = 'port' THEN 31 - sample ELSE 32 + sample END AS c, CAST(v AS DOUBLE) AS v FROM v_sample), sz AS (SELECT max(r) AS n FROM im)"
+
+
+def mirrored(half: int) -> str:
+    """Every cell of im with the values xv around it, rows and columns mirrored at the borders."""
+    return f"""mir AS (SELECT im.r, im.c, im.v, CASE WHEN im.r + dr < 0 THEN -im.r - dr - 1 WHEN im.r + dr > n THEN 2 * n + 1 - im.r - dr ELSE im.r + dr END AS sr,
+  CASE WHEN im.c + dc < 0 THEN -im.c - dc - 1 WHEN im.c + dc > 63 THEN 127 - im.c - dc ELSE im.c + dc END AS sc FROM im, sz, unnest(range(-{half}, {half + 1})) AS a(dr), unnest(range(-{half}, {half + 1})) AS b(dc)),
+ near AS (SELECT mir.r, mir.c, mir.v, x.v AS xv FROM mir JOIN im x ON x.r = sr AND x.c = sc)"""
 
 
 def image(spark, d):
     c = F.when(F.col("side") == "port", 31 - F.col("sample")).otherwise(32 + F.col("sample"))
-    return samples(spark, d).groupBy((F.col("ping") % 40).alias("r"), c.alias("c")).agg(F.avg("v").alias("v"))
+    return samples(spark, d).select(F.col("ping").alias("r"), c.alias("c"), F.col("v").cast("double").alias("v"))
 
 
-@query("ras01_lee", f"""{IMAGE}, {MIRROR}, m AS (SELECT im.r, im.c, im.v, avg(x.v) AS mean, greatest(avg(x.v * x.v) - avg(x.v) * avg(x.v), 0) AS var FROM im JOIN mir x ON abs(x.r - im.r) <= 2 AND abs(x.c - im.c) <= 2 GROUP BY im.r, im.c, im.v)
+@query("ras01_lee", f"""{IMAGE}, {mirrored(2)}, m AS (SELECT r, c, v, avg(xv) AS mean, greatest(avg(xv * xv) - avg(xv) * avg(xv), 0) AS var FROM near GROUP BY r, c, v)
  SELECT r, c, round(mean + var / (var + (SELECT avg(var) FROM m)) * (v - mean), 3) AS filtered FROM m""", V)
 def ras01(spark, d):
     return raster.lee_filtered(image(spark, d), "r", "c", "v").select("r", F.col("c").cast("long").alias("c"), F.round("filtered", 3).alias("filtered"))
 
 
-@query("ras02_local_std", f"""{IMAGE}, {MIRROR} SELECT im.r, im.c, round(sqrt(greatest(avg(x.v * x.v) - avg(x.v) * avg(x.v), 0)), 3) AS std FROM im JOIN mir x ON abs(x.r - im.r) <= 3 AND abs(x.c - im.c) <= 3 GROUP BY im.r, im.c""", V)
+@query("ras02_local_std", f"{IMAGE}, {mirrored(3)} SELECT r, c, round(sqrt(greatest(avg(xv * xv) - avg(xv) * avg(xv), 0)), 3) AS std FROM near GROUP BY r, c", V)
 def ras02(spark, d):
     return raster.lee_filtered(image(spark, d), "r", "c", "v", 3).select("r", F.col("c").cast("long").alias("c"), F.round(F.sqrt("variance"), 3).alias("std"))
 
 
-@query("ras04_tiles", f"""{IMAGE} SELECT tr, tc, round(avg(v), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM im, (SELECT unnest([0, 12, 24]) AS tr), (SELECT unnest([0, 12, 24, 36, 48]) AS tc) WHERE r BETWEEN tr AND tr + 15 AND c BETWEEN tc AND tc + 15 GROUP BY tr, tc HAVING avg(CASE WHEN v < 20 THEN 1e0 ELSE 0e0 END) <= 0.8""", V)
+@query("ras04_tiles", f"""{IMAGE}, ts AS (SELECT t * 12 AS tr FROM sz, unnest(range(0, 1000000)) AS x(t) WHERE t * 12 < n + 1 - 16 UNION SELECT greatest(n + 1 - 16, 0) FROM sz)
+ SELECT tr, tc, round(avg(v), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM im JOIN ts ON r >= tr AND r < tr + 16, (SELECT unnest([0, 12, 24, 36, 48]) AS tc) WHERE c BETWEEN tc AND tc + 15 GROUP BY tr, tc HAVING avg(CASE WHEN v < 20 THEN 1e0 ELSE 0e0 END) <= 0.8""", V)
 def ras04(spark, d):
-    starts = lambda n: raster.tile_starts(n, 16, 0.25)
-    inside = lambda at, all_: F.explode(F.filter(F.array(*map(F.lit, all_)), lambda s: (at >= s) & (at < s + 16)))
-    cells = image(spark, d).withColumn("tr", inside(F.col("r"), starts(40))).withColumn("tc", inside(F.col("c"), starts(64)))
-    return cells.groupBy("tr", "tc").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"), F.avg((F.col("v") < 20).cast("double")).alias("masked")).where("masked <= 0.8").drop("masked")
+    cells = image(spark, d)
+    rows = cells.agg((F.max("r") + 1).alias("rows"))
+    cut = cells.join(F.broadcast(rows)).withColumn("tr", F.explode(raster.tiles_of(F.col("r"), F.col("rows"), 16, 0.25))).withColumn("tc", F.explode(raster.tiles_of(F.col("c"), F.lit(64), 16, 0.25)))
+    tiles = cut.groupBy("tr", "tc").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"), F.avg((F.col("v") < 20).cast("double")).alias("masked"))
+    return tiles.where("masked <= 0.8").drop("masked")
 
 
 @query("ras08_heatmap", "SELECT vec_id % 64 AS r, i AS c, max(CAST(embedding[i] AS DOUBLE)) AS heat FROM embeddings, unnest(range(1, 65)) AS x(i) GROUP BY 1, 2")
@@ -103,10 +111,10 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-@query("ras09_bank_distance", """SELECT p.vec_id AS id, round(min(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(p.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))))), 6) AS distance FROM embeddings p, embeddings b WHERE p.label >= 5 AND b.label < 5 AND b.vec_id < 400 GROUP BY p.vec_id""")
+@query("ras09_bank_distance", """SELECT p.vec_id AS id, round(min(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(p.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))))), 6) AS distance FROM embeddings p, embeddings b WHERE p.label >= 5 AND b.label < 5 GROUP BY p.vec_id""")
 def ras09(spark, d):
     v = vectors(spark, d)
-    return raster.bank_distance(v.where("label >= 5"), v.where("label < 5 and id < 400")).select("id", F.round("distance", 6).alias("distance"))
+    return raster.bank_distance(v.where("label >= 5"), v.where("label < 5")).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query("agg26_normal_thresholds", "SELECT label, round(quantile_cont(CAST(embedding[1] AS DOUBLE), 0.99), 6) AS p99, round(quantile_cont(CAST(embedding[1] AS DOUBLE), 0.999), 6) AS p999 FROM embeddings GROUP BY label")
@@ -130,19 +138,50 @@ def src17(spark, d):
     return out.where("mean >= 12 and std >= 4 and dark <= 0.3").select("label", *[F.round(c, 6).alias(c) for c in ("mean", "std", "dark")])
 
 
-@query("ras12_shadow_run", """f AS (SELECT ping, side, sample, v, v < 60 AS dark FROM v_sample WHERE side = 'starboard'), g AS (SELECT *, sample - row_number() OVER (PARTITION BY ping ORDER BY sample) AS grp FROM f WHERE dark),
- r AS (SELECT ping, min(sample) AS a, max(sample) AS b FROM g GROUP BY ping, grp HAVING count(*) >= 2) SELECT ping, min(a) AS start, arg_min(b, a) AS "end" FROM r GROUP BY ping""", V)
+@query("ras12_shadow_run", """f AS (SELECT ping, list(v < 60 ORDER BY sample) AS d FROM v_sample WHERE side = 'starboard' GROUP BY ping), s AS (SELECT *, list_filter([0, 1, 2, 3], lambda i: d[i + 1])[1] AS start FROM f),
+ e AS (SELECT *, coalesce(list_filter(range(0, 32), lambda e: e > start AND NOT d[e + 1] AND NOT coalesce(d[e + 2], FALSE))[1], 32) AS stop FROM s) SELECT ping, coalesce(start, 0) AS start, CASE WHEN start IS NULL THEN 0 ELSE stop - start END AS length FROM e""", V)
 def ras12(spark, d):
-    dark = samples(spark, d).where("side = 'starboard'").withColumn("sample", F.col("sample").cast("long"))
-    found = runs(dark, F.col("v") < 60, ["ping"], "sample").where("n >= 2")
-    return found.groupBy("ping").agg(F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
+    run = raster.dark_run(F.transform("starboard", lambda x: x < 60))
+    return waterfall(spark, d).select("ping", run.alias("run")).select("ping", F.col("run.start").cast("long").alias("start"), F.col("run.length").cast("long").alias("length"))
+
+
+@query("ras12_shadow_scores")
+def ras12b(spark, d):
+    """Shadow scores of boxes of 6 pings and 5 samples over the waterfall; tests hold them against a plain computation."""
+    rows = waterfall(spark, d).select(F.col("ping").alias("y"), raster.row_image(*(F.transform(c, lambda x: x.cast("double")) for c in ("port", "starboard"))).alias("v"))
+    x1 = F.col("y") * 7 % 58
+    boxes = rows.where("y % 5 = 0").select(F.col("y").alias("id"), x1.alias("x1"), F.col("y").alias("y1"), (x1 + 5).alias("x2"), (F.col("y") + 6).alias("y2"), F.when(F.col("y") % 15 > 0, 5.0 + F.col("y") % 10).alias("altitude_m"))
+    out = raster.shadow_scores(boxes, rows, 32, 0.5)
+    return out.select("id", *[F.round(c, 6).alias(c) for c in out.columns if c != "id"])
+
 
+LINES = "s AS (SELECT *, ping // 100 AS line FROM v_sample)"
 
-@query("win09_inpainted_dropouts", """g AS (SELECT ping, side, sample, CASE WHEN ping % 9 IN (3, 4) THEN NULL ELSE v END AS v FROM v_sample), k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN ping END IGNORE NULLS) OVER w AS lo, first_value(CASE WHEN v IS NOT NULL THEN ping END IGNORE NULLS) OVER (PARTITION BY side, sample ORDER BY ping ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM g WINDOW w AS (PARTITION BY side, sample ORDER BY ping))
- SELECT k.ping, k.side, k.sample, round(coalesce(k.v, a.v + (b.v - a.v) / CAST(hi - lo AS DOUBLE) * (k.ping - lo), a.v, b.v), 6) AS v FROM k LEFT JOIN g a ON a.ping = lo AND a.side = k.side AND a.sample = k.sample LEFT JOIN g b ON b.ping = hi AND b.side = k.side AND b.sample = k.sample""", V)
+
+@query("win09_inpainted_dropouts", f"""{LINES}, g AS (SELECT DISTINCT line, ping, ping % 9 IN (3, 4) OR ping % 60 BETWEEN 40 AND 45 AS bad FROM s), k AS (SELECT *, max(CASE WHEN NOT bad THEN ping END) OVER (PARTITION BY line ORDER BY ping ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, min(CASE WHEN NOT bad THEN ping END) OVER (PARTITION BY line ORDER BY ping ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM g),
+ f AS (SELECT *, bad AND coalesce(hi - lo - 1 <= 3, FALSE) AS inpainted FROM k)
+ SELECT f.ping, any_value(inpainted) AS inpainted, any_value(bad AND NOT inpainted) AS masked, CAST(sum(CASE WHEN inpainted THEN round_even(a.v * (1 - (f.ping - lo) / CAST(hi - lo AS DOUBLE)) + b.v * ((f.ping - lo) / CAST(hi - lo AS DOUBLE)), 0) ELSE s.v END) AS BIGINT) AS total
+ FROM f JOIN s ON s.ping = f.ping LEFT JOIN s a ON a.ping = lo AND a.side = s.side AND a.sample = s.sample LEFT JOIN s b ON b.ping = hi AND b.side = s.side AND b.sample = s.sample GROUP BY f.ping""", V)
 def win09(spark, d):
-    rows = samples(spark, d).withColumn("x", F.when(~(F.col("ping") % 9).isin(3, 4), F.col("v").cast("double")))
-    return interpolated(rows, "x", "ping", ["side", "sample"], "filled").select("ping", "side", F.col("sample").cast("long").alias("sample"), F.round("filled", 6).alias("v"))
+    rows = waterfall(spark, d).withColumn("line", F.floor(F.col("ping") / 100)).withColumn("bad", (F.col("ping") % 9).isin(3, 4) | (F.col("ping") % 60).between(40, 45))
+    fixed = raster.repaired(rows, "bad", ["line"])
+    total = F.aggregate(F.concat("port", "starboard"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return fixed.select("ping", "inpainted", "masked", total.alias("total"))
+
+
+@query("win10_flattened", """cap AS (SELECT side, sample, quantile_cont(v, 0.99) AS cap FROM v_sample GROUP BY side, sample), c AS (SELECT s.*, least(v, cap) AS x FROM v_sample s JOIN cap USING (side, sample)),
+ m AS (SELECT *, (sum(x) OVER (PARTITION BY side, sample ORDER BY ping ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) + greatest(0, 10 - ping) * first_value(x) OVER (PARTITION BY side, sample ORDER BY ping) + greatest(0, ping + 9 - (count(*) OVER (PARTITION BY side, sample) - 1)) * last_value(x) OVER (PARTITION BY side, sample ORDER BY ping ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 20 AS mean FROM c)
+ SELECT ping, side, sample, round(v / greatest(mean, greatest((SELECT median(mean) FROM m) * 1e-3, 1e-6)), 6) AS flat FROM m""", V)
+def win10b(spark, d):
+    out = raster.flattened(samples(spark, d), ["side", "sample"], "ping", "v", 20)
+    return out.select("ping", "side", F.col("sample").cast("long").alias("sample"), F.round("flat", 6).alias("flat"))
+
+
+@query("win11_bottom_track")
+def win11b(spark, d):
+    """First returns and the tracked bottom of lines of 100 pings; tests hold both against a plain computation."""
+    firsts = raster.first_returns(samples(spark, d), "ping", "sample", "v", 32).withColumn("line", F.floor(F.col("ping") / 100))
+    return raster.bottom_track(firsts, ["line"], "ping").select("line", "ping", "first_return", F.round("tracked", 6).alias("tracked"))
 
 
 @query("set04_similar_vectors", """n AS (SELECT vec_id, list_transform(embedding, lambda x: (x - list_avg(embedding)) / list_stddev_pop(embedding)) AS z FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)) SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id < b.vec_id AND list_inner_product(a.z, b.z) / 64 >= 0.97""".replace("n AS (", "WITH n AS (", 1))

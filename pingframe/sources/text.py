@@ -88,3 +88,13 @@ def site_of(path: Column) -> Column:
     """The part of a file name before its first digit, in lower case."""
     return F.lower(F.regexp_extract(F.regexp_replace(path, r"^.*/", ""), r"^[^0-9]+", 0))
 
+
+
+def with_navigation(rows: DataFrame, navigation: DataFrame, by: list[str], row: str, ping: str) -> DataFrame:
+    """Image rows with the navigation of their ping, and not_geotagged; rows without navigation, or without a position there, are kept."""
+    nav = navigation.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in navigation.columns if c not in by])
+    same = F.col(row) == F.col(ping)
+    for c in by:
+        same &= F.col(c) == F.col(f"__{c}")
+    met = rows.join(nav, same, "left").drop(*[f"__{c}" for c in by])
+    return met.withColumn("not_geotagged", F.col("lat").isNull() | F.col("lon").isNull())
