@@ -7,14 +7,14 @@ from pyspark.sql.window import Window
 
 from pingframe.functions import geo, score, text
 from pingframe.operators import filters, merging, ranking, spatial
-from pingframe.operators.filters import DetectionQuery
+from pingframe.operators.filters import Wanted
 from pingframe.plans.registry import query
 from pingframe.plans.views import view
 
 V = "v_detection"
 COLS = ["detection_id", "cls", "confidence", "alert_tier", "lat", "lon", "area_m2", "ping_end"]
 SHOWN = ", ".join(COLS)
-WANTED = DetectionQuery.parsed(classes="ghost_net, pipe,cylinder", min_conf=20, max_conf=95, tier="hazard,review,anomaly", flags="DROPOUT,HIGH_MOTION", bbox="80,13,80.009,13.009", include_rejected=False)
+WANTED = Wanted.of(classes="ghost_net, pipe,cylinder", min_conf=20, max_conf=95, tier="hazard,review,anomaly", flags="DROPOUT,HIGH_MOTION", bbox="80,13,80.009,13.009", include_rejected=False)
 WHERE = """cls IN ('ghost_net', 'pipe', 'cylinder') AND confidence >= 20 AND confidence <= 95 AND alert_tier IN ('hazard', 'review', 'anomaly')
  AND (contains(quality_flags, 'DROPOUT') OR contains(quality_flags, 'HIGH_MOTION')) AND coalesce(review_status, 'pending') <> 'rejected' AND lon BETWEEN 80 AND 80.009e0 AND lat BETWEEN 13 AND 13.009e0"""
 
@@ -30,7 +30,7 @@ def flt01(spark, d):
 
 @query("flt03_filter_and_sort", f"SELECT detection_id, row_number() OVER (ORDER BY coalesce(area_m2, 0) DESC, detection_id) AS place FROM v_detection WHERE {WHERE}", V)
 def flt03(spark, d):
-    q = DetectionQuery(**{**WANTED.__dict__, "sort": "-area"})
+    q = WANTED.but(sort="-area")
     return ranking.placed(filters.filtered(detections(spark, d), q).select("detection_id", "area_m2"), filters.ordering(q.sort), "place").select("detection_id", "place")
 
 
@@ -57,6 +57,13 @@ def flt10(spark, d):
     return filters.client_filtered(detections(spark, d), statuses=("pending", "confirmed")).select(*COLS)
 
 
+@query("flt11_url_parameters", f"SELECT {SHOWN} FROM v_detection WHERE cls IN ('ghost_net', 'pipe') AND confidence <= 100 AND confidence >= 20 AND contains(quality_flags, 'DROPOUT')", V)
+def flt11(spark, d):
+    """Parameters of a link: names and fields that are not known are passed over, numbers held in their bounds."""
+    q = Wanted.of_url("?class=ghost_net,boat,pipe&max_conf=250&min_conf=20&flags=DROPOUT,WET&sort=size&page=3&bbox=1,2")
+    return filters.filtered(detections(spark, d), Wanted.of_url(q.url())).select(*COLS)
+
+
 @query("flt12_output_predicates", """SELECT detection_id, CASE WHEN contains(quality_flags, 'DROPOUT') THEN 1 ELSE 0 END + CASE WHEN contains(quality_flags, 'HIGH_MOTION') THEN 1 ELSE 0 END + CASE WHEN lat IS NULL THEN 1 ELSE 0 END AS n_flags
  FROM v_detection WHERE confidence >= 25 AND ping_start >= 7 AND ping_end <= (SELECT max(ping_end) FROM v_detection) - 7""", V)
 def flt12(spark, d):
@@ -101,7 +108,7 @@ def srt02(spark, d):
 
 @query("srt03_page", "SELECT detection_id FROM v_detection ORDER BY confidence DESC, detection_id LIMIT 100 OFFSET 300", V)
 def srt03(spark, d):
-    return filters.page(detections(spark, d), DetectionQuery(), 300, 100).select("detection_id")
+    return filters.page(detections(spark, d), Wanted(), 300, 100).select("detection_id")
 
 
 @query("win14_sequential_ids", """SELECT detection_id, 'D' || lpad(CAST(row_number() OVER (PARTITION BY survey_id ORDER BY ping_start NULLS FIRST, across_start, cls, detection_id) AS VARCHAR), 4, '0') AS seq_id FROM v_detection WHERE confidence >= 25""", V)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pingframe.functions import geo, score
-from pingframe.operators import catalogue, evaluation, filters, raster, series, similarity, spatial
+from pingframe.operators import catalogue, evaluation, filters, merging, ranking, raster, series, similarity, spatial
 from pingframe.operators.graph import connected
 from pingframe.streaming import jobs
 
@@ -17,27 +17,32 @@ def one(spark, column):
 
 @pytest.mark.parametrize("bad", [dict(classes="boat"), dict(min_conf=-1), dict(max_conf=101), dict(min_conf=60, max_conf=50), dict(tier="high"), dict(review_status="open"), dict(flags="WET"), dict(bbox="1,2,3"), dict(bbox="5,1,4,2"), dict(sort="size")])
 def test_invalid_queries(bad):
-    with pytest.raises(filters.InvalidQuery):
-        filters.DetectionQuery.parsed(**bad)
+    with pytest.raises(filters.Refused):
+        filters.Wanted.of(**bad)
 
 
 def test_empty_lists_restrict_nothing():
-    q = filters.DetectionQuery.parsed(classes=" , ", tier="")
-    assert q.classes is None and q.tiers is None
+    assert filters.Wanted.of(classes=" , ", tier="", bbox=None).held == {}
+
+
+def test_url_parameters_are_held_in_their_domains():
+    q = filters.Wanted.of_url("class=pipe,boat&min_conf=-5&max_conf=x&sort=-area&bbox=9,9&tier=none")
+    assert q.held == {"class": ("pipe",), "min_conf": 0.0} and q.sort == "-area"
+    assert filters.Wanted.of_url(q.url()) == q
 
 
 def test_scope_and_page_bounds(spark):
-    with pytest.raises(filters.InvalidQuery):
+    with pytest.raises(filters.Refused):
         filters.scoped(spark.range(1), "some")
-    with pytest.raises(filters.InvalidQuery):
-        filters.page(spark.range(1), filters.DetectionQuery(), 0, 5001)
+    with pytest.raises(filters.Refused):
+        filters.page(spark.range(1), filters.Wanted(), 0, 5001)
 
 
 def test_day_bounds():
     low, high = filters.day_bounds("2024-01-01", "2024-01-01")
     assert (high - low).days == 1
     assert filters.day_bounds(None, "2024-01-01T00:00:00Z")[1].second == 1
-    with pytest.raises(filters.InvalidQuery):
+    with pytest.raises(filters.Refused):
         filters.day_bounds("2024-01-02", "2024-01-01")
     assert filters.literal_pattern("50%_\\") == "%50\\%\\_\\\\%"
 
@@ -64,7 +69,7 @@ def test_fused(spark):
     assert one(spark, score.fused([(F.lit(None).cast("double"), 1.0)], [])) == 0
 
 
-@pytest.mark.parametrize("lon, lat, want", [(80.31, 13.08, 32644), (151.2, -33.9, 32756), (180.0, 0.0, 32660), (0.0, 85.0, None)])
+@pytest.mark.parametrize("lon, lat, want", [(7.5, 46.9, 32632), (-58.4, -34.6, 32721), (179.9, 10.0, 32660), (-179.9, -10.0, 32701), (12.0, 84.5, None)])
 def test_utm(spark, lon, lat, want):
     assert one(spark, geo.utm_epsg(F.lit(lat), F.lit(lon))) == want
 
@@ -210,7 +215,7 @@ def test_first_fit_and_confusion(spark):
     from pingframe.operators import matching
 
     pairs = spark.createDataFrame([(1, 2, 3, 0.6), (1, 2, 5, 0.9), (1, 4, 3, 0.9), (1, 4, 7, 0.1)], "survey_id long, truth long, prediction long, iou double")
-    found = matching.first_fits(pairs, ["survey_id"], 0.5)
+    found = matching.first_fits(pairs, 0.5)
     assert [(r["truth"], r["prediction"]) for r in found.collect()] == [(2, 3)]
     boxes = spark.createDataFrame([(2, "a"), (4, "b"), (3, "a"), (5, "c")], "event_id long, cls string")
     got = {(r["truth_cls"], r["prediction_cls"]): r["n"] for r in matching.confusion(boxes, found).collect()}
@@ -250,3 +255,91 @@ def test_calibrator_lookup(spark):
     f = lambda v: one(spark, evaluation.looked_up(F.lit(v), [0.2, 0.6], [0.1, 0.9]))
     assert f(0.0) == 0.1 and f(0.4) == pytest.approx(0.5) and f(1.0) == 0.9
     assert one(spark, evaluation.looked_up(F.lit(0.3), [], [])) == 0.3
+
+
+def test_a_dropped_box_drops_no_other(spark):
+    """B outweighs C and A outweighs B; A and C are apart: A and C stay, as C's only rival is gone."""
+    rows = [(1, 0, 0, 9, 0.0, 10.0, 50.0, 0, 100), (2, 1, 0, 9, 4.0, 14.0, 90.0, -60, 40), (3, 0, 0, 9, 8.0, 18.0, 40.0, -94, 12), (4, 0, 0, 9, 8.0, 18.0, 30.0, -94, 12)]
+    kinds = "event_id long, chunk_id int, ping_start int, ping_end int, across_start double, across_end double, confidence double, chunk_start int, chunk_end int"
+    boxes = spark.createDataFrame(rows, kinds).withColumn("survey_id", F.lit(1)).withColumn("cls", F.lit("pipe"))
+    margins = {r["event_id"]: r["margin"] for r in merging.edge_margin(boxes).collect()}
+    assert margins == {1: 4.5, 2: 35.5, 3: 7.5, 4: 7.5}
+    assert sorted(r["event_id"] for r in merging.kept_across_chunks(boxes, 0.3).collect()) == [2]
+    weak = boxes.withColumn("chunk_start", F.when(F.col("event_id") == 2, F.lit(2)).otherwise(F.col("chunk_start")))  # margin 2.5: now the last
+    assert sorted(r["event_id"] for r in merging.kept_across_chunks(weak, 0.3).collect()) == [1, 3, 4]
+
+
+def test_links_over_many_rounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000, 1001)], "a long, b long").repartition(7)
+    got = {r["node"]: r["root"] for r in connected(links, chunk=10).collect()}
+    assert all(got[i] == 0 for i in range(61)) and got[1001] == 1000 and len(got) == 63
+
+
+def test_places_and_percentiles(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=5000)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double").repartition(5)
+    got = {r["i"]: r["place"] for r in ranking.placed(rows, [F.col("v"), F.col("i")], "place").collect()}
+    assert [got[i] for i in np.argsort(x)] == list(range(1, 5001))
+    assert ranking.placed(rows.limit(0), [F.col("i")], "place").count() == 0
+    exact = ranking.percentiles(rows, "v", {"a": 0.5, "b": 0.995, "c": 0.0}).first()
+    assert [exact["a"], exact["b"], exact["c"]] == pytest.approx(list(np.percentile(x, [50, 99.5, 0])), abs=1e-12)
+    assert ranking.percentiles(rows.limit(0), "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_isotonic_over_several_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.uniform(size=400), 2)
+    y = (rng.uniform(size=400) < x).astype(int)
+    order = np.lexsort((np.arange(400), x))
+    fit = y[order].astype(float)
+    want = np.array([max(min(fit[j : k + 1].mean() for k in range(i, 400)) for j in range(i + 1)) for i in range(400)])
+    rows = spark.createDataFrame([(g, float(a), int(b), i) for g in (0, 1) for i, (a, b) in enumerate(zip(x, y))], "g int, x double, y int, i int")
+    got = evaluation.isotonic(rows, ["g"], "x", "y", "i", size=30).where("g = 1").toPandas().sort_values(["x", "i"])
+    assert np.allclose(got["fitted"].to_numpy(), want)
+
+
+def test_ranks_over_bins_equal_plain_ranks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    s, y = np.round(rng.uniform(size=500), 2), rng.integers(0, 2, 500)
+    rows = spark.createDataFrame([(0, float(a), int(b), i) for i, (a, b) in enumerate(zip(s, y))], "g int, s double, y int, i int")
+    hits = y[np.lexsort((np.arange(500), -s))]
+    precision = np.cumsum(hits) / np.arange(1, 501)
+    assert evaluation.average_precision(rows, ["g"], "s", "y", "i").first()["ap"] == pytest.approx(precision[hits == 1].mean())
+    recall = np.cumsum(hits) / hits.sum()
+    best = [precision[recall >= g / 100 - 1e-12].max(initial=0) for g in range(101)]
+    assert evaluation.average_precision_101(rows, ["g"], "s", "y", "i").first()["ap"] == pytest.approx(np.mean(best))
+
+
+def test_splits_try_all_ways():
+    from itertools import product
+
+    sites, shares = [("a", 50), ("b", 30), ("c", 9), ("d", 7), ("e", 4)], {"train": 0.7, "val": 0.2, "test": 0.1}
+    got = evaluation.splits(sites, shares)
+    cost = lambda way: sum((sum(n for (s, n), k in zip(sites, way) if k == name) / 100 - share) ** 2 for name, share in shares.items())
+    assert cost([got[s] for s, _ in sites]) == pytest.approx(min(cost(w) for w in product(shares, repeat=5) if len(set(w)) == 3))
+    assert evaluation.splits(sites, shares, {"e": 1, "d": 2}) | {} and {evaluation.splits(sites, shares, {"e": 1, "d": 2})[s] for s in "de"} == {"val", "test"}
+    assert evaluation.splits(sites, shares, not_train=frozenset("a"))["a"] != "train"
+    with pytest.raises(ValueError):
+        evaluation.splits(sites[:2], shares)
+    many = evaluation.splits([(f"s{i:02d}", 20 - i) for i in range(12)], shares)
+    assert [many[f"s{i:02d}"] for i in range(3)] == ["train", "val", "test"] and len(many) == 12
+
+
+def test_correlated_blocks_lose_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((5, 64))
+    x = np.concatenate([b + 0.12 * rng.standard_normal((20, 64)) for b in base])
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    want = {(i, j) for i in range(100) for j in range(i + 1, 100) if z[i] @ z[j] / 64 >= 0.97}
+    rows = spark.createDataFrame([(i, i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "id long, split int, v array<double>")
+    assert {(r["a"], r["b"]) for r in similarity.correlated(rows, 0.97).collect()} == want and len(want) > 100
+    assert {(r["a"], r["b"]) for r in similarity.correlated(rows, 0.97, "split").collect()} == {(a, b) for a, b in want if a % 2 != b % 2}
