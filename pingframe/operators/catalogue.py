@@ -23,7 +23,7 @@ def admitted(files: DataFrame, most_bytes: int, formats: dict[str, str] | None =
             ok = ~F.contains(head, F.lit("00"))
         else:
             ok = F.lit(False)
-            for m in MAGIC.get(e, ()):
+            for m in magic.get(e, ()):
                 ok |= head.startswith(m)
         fine |= (F.col("ext") == e) & ok
     named = files.withColumn("ext", ext)
@@ -54,12 +54,25 @@ def next_id(ids: DataFrame, column: str, prefix: str) -> DataFrame:
     return ids.agg(top.alias("n")).select(F.concat(F.lit(prefix), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("next_id"))
 
 
-def overview(surveys: DataFrame, files: DataFrame) -> DataFrame:
-    """Each survey with its files' number, bytes and pings; the files are summed before the join, so nothing is looked up per row."""
-    sums = files.groupBy("survey_key").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.sum("pings").alias("pings"))
+def overview(surveys: DataFrame, files: DataFrame, jobs: DataFrame | None = None, detections: DataFrame | None = None) -> DataFrame:
+    """Each survey with its files' number, bytes, pings and names, its job's status and seconds, and its detections by tier.
+
+    jobs: (survey_key, job_id, status, started, finished); a survey without a job has its own status. detections: (survey_key,
+    alert_tier). Everything is summed before it is joined, so nothing is looked up per row.
+    """
+    sums = files.groupBy("survey_key").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.sum("pings").alias("pings"), F.array_sort(F.collect_set("filename")).alias("filenames"))
     out = surveys.join(sums, "survey_key", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select(*surveys.columns, zero("files"), zero("bytes"), zero("pings"))
+    more = [zero("files"), zero("bytes"), zero("pings"), F.coalesce("filenames", F.array().cast("array<string>")).alias("filenames")]
+    if jobs is not None:
+        seconds = (F.unix_micros(F.col("finished").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1e6
+        out = out.join(jobs.select("survey_key", "job_id", F.col("status").alias("job_state"), seconds.alias("duration_s")), "survey_key", "left")
+        more += ["job_id", F.coalesce("job_state", "status").alias("job_status"), "duration_s"]
+    if detections is not None:
+        tiers = detections.groupBy("survey_key").agg(F.count("*").alias("total"), F.count_if(F.col("alert_tier") == "hazard").alias("hazards"))
+        out = out.join(tiers, "survey_key", "left")
+        more += [zero("total"), zero("hazards")]
+    return out.select(*surveys.columns, *more)
 
 
 def latest(rows: DataFrame, key: str, order: list[str], *keep: str) -> DataFrame:

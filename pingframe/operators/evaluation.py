@@ -239,6 +239,40 @@ def position_errors(rows: DataFrame, by: list[str], metres: Column, sigma_m: Col
     return off.groupBy(*by).agg(F.count("*").alias("n"), F.count("m").alias("matched"), F.median("m").alias("median_error"), F.max("m").alias("max_error"), inside.alias("within"))
 
 
+def per_class(predictions: DataFrame, truths: DataFrame, least: float = 0.25) -> DataFrame:
+    """(cls, n_truth, ap, precision, recall) of predictions (cls, id, score, hit: 1 where matched) against truths (cls, a row each).
+
+    ap is taken over all predictions, 0 without any; precision and recall over those of at least `least`. A class of predictions only
+    has no ap and no recall.
+    """
+    n = truths.groupBy("cls").agg(F.count("*").alias("n_truth"))
+    known = predictions.join(n, "cls")
+    ap = average_precision_101(known, ["cls"], "score", "hit", "id", "n_truth")
+    sure = F.col("score") >= least
+    counts = predictions.groupBy("cls").agg(F.count_if(sure).alias("kept"), F.count_if(sure & (F.col("hit") == 1)).alias("hits"))
+    both = counts.join(n, "cls", "full").join(ap, "cls", "left")
+    truth = F.coalesce("n_truth", F.lit(0))
+    return both.select("cls", truth.alias("n_truth"), F.when(truth > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"), F.try_divide("hits", "kept").alias("precision"), F.try_divide(F.coalesce("hits", F.lit(0)), "n_truth").alias("recall"))
+
+
+def bootstrap_map(predictions: DataFrame, truths: DataFrame, unit: str, replicates: int = 100) -> DataFrame:
+    """(low, middle, high): 2.5, 50 and 97.5 percentiles of the mean average precision over classes, of resampled units (images).
+
+    A unit counts Poisson(1) times in a replicate; its predictions and truths are repeated as often.
+    """
+    r = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        copied = rows.withColumn("r", r).withColumn("w", poisson_weight(F.col(unit), F.col("r"))).where("w > 0")
+        return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w"))))
+
+    n = drawn(truths).groupBy("r", "cls").agg(F.count("*").alias("n_truth"))
+    own = drawn(predictions).withColumn("place", F.struct("id", "copy")).join(n, ["r", "cls"])
+    ap = average_precision_101(own, ["r", "cls"], "score", "hit", "place", "n_truth")
+    means = n.join(ap, ["r", "cls"], "left").groupBy("r").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("m"))
+    return means.agg(*[F.percentile("m", F.lit(p)).alias(k) for k, p in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
+
+
 #: Whole sites are assigned by trying all ways up to so many sites, and greedily beyond; a table of more sites than MOST_SITES is refused.
 TRIED_SITES, MOST_SITES = 9, 100_000
 

@@ -36,9 +36,16 @@ def agg03(spark, d):
     return catalogue.overview(view(spark, d, S), view(spark, d, SF)).select("survey_key", "bytes")
 
 
-@query("jn15_survey_overview", "SELECT s.survey_key, s.status, count(f.survey_key) AS files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(pings), 0) AS BIGINT) AS pings FROM v_survey s LEFT JOIN v_source_file f USING (survey_key) GROUP BY s.survey_key, s.status", S, SF)
+@query("jn15_survey_overview", """f AS (SELECT survey_key, count(*) AS files, sum(size_bytes) AS bytes, sum(pings) AS pings, string_agg(DISTINCT filename, ',' ORDER BY filename) AS names FROM v_source_file GROUP BY survey_key),
+ l AS (SELECT l_orderkey AS survey_key, epoch(max(l_shipdate)) - epoch(min(l_shipdate)) AS duration_s, max(l_linestatus) AS state, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS hazards FROM lineitem GROUP BY 1)
+ SELECT s.survey_key, s.status, coalesce(files, 0) AS files, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, CAST(coalesce(pings, 0) AS BIGINT) AS pings, coalesce(names, '') AS filenames, CASE WHEN total >= 3 THEN state ELSE s.status END AS job_status,
+  CASE WHEN total >= 3 THEN duration_s END AS duration_s, coalesce(total, 0) AS total, coalesce(hazards, 0) AS hazards FROM v_survey s LEFT JOIN f USING (survey_key) LEFT JOIN l USING (survey_key)""", S, SF)
 def jn15(spark, d):
-    return catalogue.overview(view(spark, d, S), view(spark, d, SF)).select("survey_key", "status", "files", "bytes", "pings")
+    lines = table(spark, d, "lineitem")
+    jobs = lines.groupBy(F.col("l_orderkey").alias("survey_key")).agg(F.count("*").alias("n"), F.min("l_shipdate").alias("started"), F.max("l_shipdate").alias("finished"), F.max("l_linestatus").alias("status"))
+    found = lines.select(F.col("l_orderkey").alias("survey_key"), F.when(F.col("l_returnflag") == "R", "hazard").otherwise("review").alias("alert_tier"))
+    out = catalogue.overview(view(spark, d, S), view(spark, d, SF), jobs.where("n >= 3").withColumn("job_id", F.col("survey_key")), found)
+    return out.select("survey_key", "status", "files", "bytes", "pings", F.array_join("filenames", ",").alias("filenames"), "job_status", "duration_s", "total", "hazards")
 
 
 @query("agg06_project_rollup", "SELECT project_id, count(*) AS lines, CAST(sum(CAST(track_m AS BIGINT)) AS BIGINT) AS pings, bool_or(status = 'done') AS geotagged, min(created_utc) AS first_utc, max(created_utc) AS last_utc, string_agg(DISTINCT status, ',' ORDER BY status) AS warnings FROM (SELECT *, floor(track_m) AS t FROM v_survey) GROUP BY project_id".replace("CAST(track_m AS BIGINT)", "CAST(t AS BIGINT)"), S)

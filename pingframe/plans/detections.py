@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pingframe.functions import geo, score, text
-from pingframe.operators import filters, merging, ranking, spatial
+from pingframe.operators import filters, merging, ranking, reports, spatial
 from pingframe.operators.filters import Wanted
 from pingframe.plans.registry import query
 from pingframe.plans.views import view
@@ -253,13 +253,43 @@ def scl08(spark, d):
     return made.withColumn("x", text.wkt_numbers(F.col("wkt"))[0])
 
 
-@query("snk01_csv_rows", """SELECT detection_id || ',' || CAST(survey_id AS VARCHAR) || ',' || cls || ',' || printf('%.1f', floor(confidence * 10) / 10) || ',' || alert_tier || ',' || coalesce(printf('%.6f', lat), '') || ',' || coalesce(printf('%.6f', lon), '') || ',' || coalesce(CAST(ping_start AS VARCHAR), '') || ',' || CAST(ping_end AS VARCHAR) || ',' || quality_flags || ',' || coalesce(review_status, 'pending') || ',' || source_file AS line FROM v_detection""", V)
+def reported(spark, d):
+    """Detections with all that a report shows; sizes and places that the given tables lack are made from their numbers."""
+    n = F.col("event_id")
+    return detections(spark, d).withColumns({
+        "depth_m": F.when(n % 4 > 0, n % 40), "uncertainty_m": n % 9 + 1, "length_m": n % 25, "width_m": F.when(n % 6 > 0, n % 8), "height_m": F.when(n % 5 == 0, n % 3), "orientation_deg": n % 180,
+        "side": F.when(F.col("across_start") < 0, "port").otherwise("starboard"), "ground_range_m": n % 50, "n_views": n % 3 + 1, "area_m2": F.floor("area_m2"), "time_utc": F.date_format("time_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        "footprint": F.when(F.col("lat").isNotNull() & (n % 4 < 3), F.transform(F.slice(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0))]), 1, (n % 4 + 2).cast("int")),
+            lambda p: F.struct((F.col("lat") + p["a"] * 1e-4).alias("lat"), (F.col("lon") + p["b"] * 1e-4).alias("lon")))),
+    })
+
+
+@query("snk01_csv_rows", """SELECT concat_ws(',', detection_id, survey_id, cls, printf('%.1f', floor(confidence)), alert_tier, coalesce(printf('%.6f', lat), ''), coalesce(printf('%.6f', lon), ''), CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 40 AS VARCHAR) ELSE '' END,
+ event_id % 9 + 1, event_id % 25, CASE WHEN event_id % 6 > 0 THEN CAST(event_id % 8 AS VARCHAR) ELSE '' END, coalesce(CAST(CAST(floor(area_m2) AS BIGINT) AS VARCHAR), ''), CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 3 AS VARCHAR) ELSE '' END, event_id % 180, CASE WHEN across_start < 0 THEN 'port' ELSE 'starboard' END,
+ coalesce(CAST(ping_start AS VARCHAR), ''), ping_end, event_id % 50, strftime(time_utc, '%Y-%m-%dT%H:%M:%SZ'), event_id % 3 + 1, quality_flags, coalesce(review_status, 'pending'), source_file) AS line FROM v_detection""", V)
 def snk01(spark, d):
-    return detections(spark, d).select(text.csv_line(F.col("detection_id"), F.col("survey_id"), F.col("cls"), text.fixed(F.floor(F.col("confidence") * 10) / 10, 1), F.col("alert_tier"), text.fixed(F.col("lat"), 6), text.fixed(F.col("lon"), 6), F.col("ping_start"), F.col("ping_end"), F.array_join("quality_flags", ";"), F.coalesce("review_status", F.lit("pending")), F.col("source_file")).alias("line"))
+    rows = reports.rows(reported(spark, d).withColumn("confidence", F.floor("confidence")))
+    return rows.select(F.concat_ws(",", *reports.COLUMNS).alias("line"))
 
 
-@query("snk03_geojson_points", """SELECT detection_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || printf('%.6f', lon) || ',' || printf('%.6f', lat) || ']},"properties":{"class":"' || cls || '","tier":"' || alert_tier || '"}}' AS feature FROM v_detection WHERE lat IS NOT NULL""", V)
+@query("snk03_geojson_features", """g AS (SELECT *, printf('[%.5f,%.5f]', lon, lat) AS p FROM (SELECT *, round(lat, 5) + 1e-9 AS la, round(lon, 5) + 1e-9 AS lo FROM v_detection WHERE lat IS NOT NULL)),
+ t AS (SELECT survey_id, count(*) AS n FROM g WHERE event_id % 100 < 2 GROUP BY survey_id HAVING count(*) >= 2)
+ SELECT survey_id, 'detection' AS kind, detection_id AS key, 'Point' AS shape, 1 AS corners, cls AS class FROM g
+ UNION ALL SELECT survey_id, 'footprint', detection_id, 'Polygon', event_id % 4 + 3, cls FROM g WHERE event_id % 4 IN (1, 2)
+ UNION ALL SELECT survey_id, 'track', CAST(survey_id AS VARCHAR), 'LineString', n, NULL FROM t""", V)
 def snk03(spark, d):
+    """What the features say of themselves; their texts are read back."""
+    rows = reported(spark, d)
+    points = rows.where("lat is not null and event_id % 100 < 2").groupBy("survey_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("points"))
+    out = reports.features(rows, points)
+    shape = F.get_json_object("feature", "$.geometry.type")
+    places = F.get_json_object("feature", "$.geometry.coordinates")
+    corners = F.when(shape == "Point", 1).otherwise(F.size(F.regexp_extract_all(places, F.lit(r"(\[[-0-9.E]+,[-0-9.E]+\])"), F.lit(1)))).cast("long")
+    return out.select("survey_id", "kind", "key", shape.alias("shape"), corners.alias("corners"), F.get_json_object("feature", "$.properties.class").alias("class"))
+
+
+@query("snk03_geojson_points", """SELECT detection_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || printf('%.6f', lon) || ',' || printf('%.6f', lat) || ']},"properties":{"class":"' || cls || '","tier":"' || alert_tier || '"}}' AS feature FROM v_detection WHERE lat IS NOT NULL""", V)
+def snk03b(spark, d):
     return detections(spark, d).where("lat is not null").select("detection_id", text.geojson_point(F.col("lon"), F.col("lat"), {"class": F.col("cls"), "tier": F.col("alert_tier")}).alias("feature"))
 
 

@@ -53,6 +53,49 @@ def agg17(spark, d):
     return out.where("recall is not null")
 
 
+def greedy(same: str, order: str, least: str = "TRUE") -> str:
+    """SQL of one-to-one matches of even (truth) and odd (prediction) boxes with equal `same` columns: pairs in `order`, each if both are
+    still free. Ends in o (pairs) and w (steps with take)."""
+    on = " AND ".join(f"x.{c} = y.{c}" for c in same.split(", "))
+    key = " AND ".join(f"o.{c} = w.{c}" for c in same.split(", "))
+    own = ", ".join(f"o.{c}" for c in same.split(", "))
+    free = "NOT list_contains(w.used, o.truth * 2) AND NOT list_contains(w.used, o.prediction * 2 + 1)"
+    return f"""q AS (SELECT x.survey_id, x.cls, y.cls AS prediction_cls, x.event_id AS truth, y.event_id AS prediction, y.confidence, (least(x.ping_end, y.ping_end) - greatest(x.ping_start, y.ping_start) + 1) * (least(x.across_end, y.across_end) - greatest(x.across_start, y.across_start)) AS i,
+  (x.ping_end - x.ping_start + 1) * (x.across_end - x.across_start) AS sa, (y.ping_end - y.ping_start + 1) * (y.across_end - y.across_start) AS sb FROM v_detection x JOIN v_detection y ON {on} AND x.event_id % 2 = 0 AND y.event_id % 2 = 1
+  AND x.ping_start <= y.ping_end AND y.ping_start <= x.ping_end AND x.across_start < y.across_end AND y.across_start < x.across_end),
+ r AS (SELECT *, i / (sa + sb - i) AS iou FROM q), o AS (SELECT *, row_number() OVER (PARTITION BY {same} ORDER BY {order}) AS k FROM r WHERE {least}),
+ w AS (SELECT DISTINCT {same}, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, FALSE AS take FROM o UNION ALL
+  SELECT {own}, o.k, CASE WHEN {free} THEN list_concat(w.used, [o.truth * 2, o.prediction * 2 + 1]) ELSE w.used END, {free} FROM w JOIN o ON {key} AND o.k = w.k + 1)"""
+
+
+BY_CONFIDENCE = "confidence DESC, prediction, iou DESC, truth DESC"
+
+
+def rated(spark, d):
+    """Odd events as predictions that hit a truth of their class by a third, even ones as truths."""
+    boxes = view(spark, d, "v_detection").where("ping_start is not null")
+    pairs = matching.truth_pairs(boxes, ["survey_id", "cls"]).where("iou >= 0.3")
+    met = evaluation.greedy_matches(pairs, [], "prediction", "truth", ["confidence", "prediction"], "iou").select(F.col("prediction").alias("event_id"), F.lit(1).alias("hit"))
+    own = boxes.where("event_id % 2 = 1").join(met, "event_id", "left")
+    predictions = own.select("cls", "survey_id", F.col("event_id").alias("id"), (F.col("confidence") / 100).alias("score"), F.coalesce("hit", F.lit(0)).alias("hit"))
+    return predictions, boxes.where("event_id % 2 = 0").select("cls", "survey_id")
+
+
+@query("agg17_per_class_ap", greedy("survey_id, cls", BY_CONFIDENCE, "iou >= 0.3") + """, m AS (SELECT prediction FROM o JOIN w USING (survey_id, cls, k) WHERE take), p AS (SELECT cls, event_id AS id, confidence / 100 AS score, CASE WHEN event_id IN (SELECT prediction FROM m) THEN 1 ELSE 0 END AS hit FROM v_detection WHERE ping_start IS NOT NULL AND event_id % 2 = 1),
+ n AS (SELECT cls, count(*) AS n FROM v_detection WHERE ping_start IS NOT NULL AND event_id % 2 = 0 GROUP BY cls), h AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, id) AS rk, sum(hit) OVER (PARTITION BY cls ORDER BY score DESC, id) AS hits FROM p),
+ a AS (SELECT n.cls, g, max(CASE WHEN hit = 1 AND hits / CAST(n AS DOUBLE) >= g / 100e0 - 1e-9 THEN hits / CAST(rk AS DOUBLE) ELSE 0 END) AS best FROM n LEFT JOIN h USING (cls), unnest(range(0, 101)) AS x(g) GROUP BY n.cls, g)
+ SELECT cls, any_value(n) AS n_truth, round(any_value(ap), 6) AS ap, round(avg(hit) FILTER (WHERE score >= 0.25), 6) AS precision, round(sum(hit) FILTER (WHERE score >= 0.25) / CAST(any_value(n) AS DOUBLE), 6) AS recall FROM p JOIN n USING (cls) JOIN (SELECT cls, sum(best) / 101 AS ap FROM a GROUP BY cls) USING (cls) GROUP BY cls /* RECURSIVE */""", "v_detection")
+def agg17b(spark, d):
+    predictions, truths = rated(spark, d)
+    return evaluation.per_class(predictions, truths).select("cls", "n_truth", *[F.round(c, 6).alias(c) for c in ("ap", "precision", "recall")])
+
+
+@query("agg17_bootstrap_map")
+def agg17c(spark, d):
+    """Percentiles of the mean average precision over resampled surveys; tests draw them anew."""
+    return evaluation.bootstrap_map(*rated(spark, d), "survey_id")
+
+
 CUMULATED = " + ".join(f"CASE WHEN u >= {p} THEN 1 ELSE 0 END" for p in evaluation.POISSON)
 
 
@@ -86,24 +129,6 @@ def ras16(spark, d):
     return best.select("w0", "w1", "w2", F.round("ap", 6).alias("ap"))
 
 
-def greedy(same: str, order: str, least: str = "TRUE") -> str:
-    """SQL of one-to-one matches of even (truth) and odd (prediction) boxes with equal `same` columns: pairs in `order`, each if both are
-    still free. Ends in o (pairs) and w (steps with take)."""
-    on = " AND ".join(f"x.{c} = y.{c}" for c in same.split(", "))
-    key = " AND ".join(f"o.{c} = w.{c}" for c in same.split(", "))
-    own = ", ".join(f"o.{c}" for c in same.split(", "))
-    free = "NOT list_contains(w.used, o.truth * 2) AND NOT list_contains(w.used, o.prediction * 2 + 1)"
-    return f"""q AS (SELECT x.survey_id, x.cls, y.cls AS prediction_cls, x.event_id AS truth, y.event_id AS prediction, y.confidence, (least(x.ping_end, y.ping_end) - greatest(x.ping_start, y.ping_start) + 1) * (least(x.across_end, y.across_end) - greatest(x.across_start, y.across_start)) AS i,
-  (x.ping_end - x.ping_start + 1) * (x.across_end - x.across_start) AS sa, (y.ping_end - y.ping_start + 1) * (y.across_end - y.across_start) AS sb FROM v_detection x JOIN v_detection y ON {on} AND x.event_id % 2 = 0 AND y.event_id % 2 = 1
-  AND x.ping_start <= y.ping_end AND y.ping_start <= x.ping_end AND x.across_start < y.across_end AND y.across_start < x.across_end),
- r AS (SELECT *, i / (sa + sb - i) AS iou FROM q), o AS (SELECT *, row_number() OVER (PARTITION BY {same} ORDER BY {order}) AS k FROM r WHERE {least}),
- w AS (SELECT DISTINCT {same}, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, FALSE AS take FROM o UNION ALL
-  SELECT {own}, o.k, CASE WHEN {free} THEN list_concat(w.used, [o.truth * 2, o.prediction * 2 + 1]) ELSE w.used END, {free} FROM w JOIN o ON {key} AND o.k = w.k + 1)"""
-
-
-BY_CONFIDENCE = "confidence DESC, prediction, iou DESC, truth DESC"
-
-
 @query("jn05_greedy_matches", greedy("survey_id, cls", BY_CONFIDENCE) + " SELECT survey_id, cls, prediction, truth, round(iou, 6) AS iou FROM o JOIN w USING (survey_id, cls, k) WHERE take /* RECURSIVE */", "v_detection")
 def jn05(spark, d):
     """One-to-one matches of boxes of even and odd events of a survey and class, by confidence and overlap."""

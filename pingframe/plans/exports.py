@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pingframe.functions import geo, shapes
-from pingframe.operators import evaluation, matching, raster, series
+from pingframe.operators import evaluation, matching, raster, reports, series
 from pingframe.plans.detections import detections
 from pingframe.plans.evaluation import BY_CONFIDENCE, greedy
 from pingframe.plans.navigation import SPEED
@@ -136,7 +136,7 @@ def snk02(spark, d):
 
 @query("snk05_formats_to_write", "SELECT survey_id, CASE WHEN count(lat) > 0 THEN 'csv,geojson,json,kml' ELSE 'csv,json' END AS formats FROM v_detection GROUP BY survey_id", D)
 def snk05(spark, d):
-    return detections(spark, d).groupBy("survey_id").agg(F.when(F.count("lat") > 0, "csv,geojson,json,kml").otherwise("csv,json").alias("formats"))
+    return reports.written_formats(detections(spark, d))
 
 
 @query("snk06_distinct_track_points", "SELECT line_id, ping FROM (SELECT line_id, ping, ll, lag(ll) OVER (PARTITION BY line_id ORDER BY ping) AS before FROM (SELECT line_id, ping, floor(lat * 3000 + 0.3e0) AS ll FROM v_ping WHERE lon IS NOT NULL)) WHERE before IS NULL OR before <> ll", P)

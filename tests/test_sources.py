@@ -1,5 +1,6 @@
 """Sources against files that the tests write."""
 
+import json
 import struct
 
 import pytest
@@ -92,3 +93,28 @@ def test_dispatch_and_settings(spark, tmp_path):
     got = dispatch.settings({"geo": {"sigma": 1}, "a": 2}, env={"PINGFRAME_GEO__SIGMA": "3", "PINGFRAME_NAME": "bay", "OTHER": "1"})
     assert got == {"geo": {"sigma": 3}, "a": 2, "name": "bay"}
     assert dispatch.digest({"a": 1, "b": 2}) == dispatch.digest({"b": 2, "a": 1})
+
+
+def test_reports_are_written_and_read_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pingframe.operators import reports
+
+    rows = [("S1-D0001", 1, "pipe", 87.25, 13.0, 80.0, ["DROPOUT", "TILE_EDGE"]), ("S1-D0002", 1, "cylinder", 40.0, None, None, []), ("S2-D0001", 2, "pipe", 9.0, 13.5, 80.5, [])]
+    kinds = "detection_id string, survey_id int, cls string, confidence double, lat double, lon double, quality_flags array<string>"
+    found = spark.createDataFrame(rows, kinds).withColumn("review_status", F.lit(None).cast("string")).withColumn("alert_tier", F.lit("review"))
+    track = spark.createDataFrame([(1, [(13.0, 80.0), (13.1, 80.1)]), (2, [(13.0, 80.0)])], "survey_id int, points array<struct<lat: double, lon: double>>")
+    path = str(tmp_path / "out")
+    assert reports.write(found, path, ("csv", "geojson", "json", "kml", "csv"), track) == ["csv", "geojson", "json", "kml"]
+    table = spark.read.option("header", True).csv(f"{path}/csv")
+    assert [c for c in table.columns if c != "survey"] == list(reports.COLUMNS)
+    one = table.where("detection_id = 'S1-D0001'").first()
+    assert (one["confidence"], one["lat"], one["quality_flags"], one["review_status"], one["depth_m"]) == ("87.3", "13.000000", "DROPOUT;TILE_EDGE", "pending", None)
+    made = [json.loads(r["value"]) for r in spark.read.text(f"{path}/geojson").collect()]
+    assert sorted(f["properties"]["feature_kind"] for f in made) == ["detection", "detection", "track"]
+    assert next(f for f in made if f["geometry"]["type"] == "LineString")["geometry"]["coordinates"] == [[80.0, 13.0], [80.1, 13.1]]
+    assert spark.read.json(f"{path}/json").count() == 3 and spark.read.text(f"{path}/kml").count() == 2
+    with pytest.raises(ValueError):
+        reports.write(found.where("lat is null"), path + "2", ("kml",))
+    with pytest.raises(ValueError):
+        reports.write(found, path + "2", ("pdf",))
