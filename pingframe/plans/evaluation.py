@@ -72,16 +72,16 @@ BY_CONFIDENCE = "confidence DESC, prediction, iou DESC, truth DESC"
 
 
 def rated(spark, d):
-    """Odd events as predictions that hit a truth of their class by a third, even ones as truths."""
+    """Odd events as predictions that hit a truth of their class where they overlap by a twentieth, even ones as truths."""
     boxes = view(spark, d, "v_detection").where("ping_start is not null")
-    pairs = matching.truth_pairs(boxes, ["survey_id", "cls"]).where("iou >= 0.3")
+    pairs = matching.truth_pairs(boxes, ["survey_id", "cls"]).where("iou >= 0.05")
     met = evaluation.greedy_matches(pairs, [], "prediction", "truth", ["confidence", "prediction"], "iou").select(F.col("prediction").alias("event_id"), F.lit(1).alias("hit"))
     own = boxes.where("event_id % 2 = 1").join(met, "event_id", "left")
     predictions = own.select("cls", "survey_id", F.col("event_id").alias("id"), (F.col("confidence") / 100).alias("score"), F.coalesce("hit", F.lit(0)).alias("hit"))
     return predictions, boxes.where("event_id % 2 = 0").select("cls", "survey_id")
 
 
-@query("agg17_per_class_ap", greedy("survey_id, cls", BY_CONFIDENCE, "iou >= 0.3") + """, m AS (SELECT prediction FROM o JOIN w USING (survey_id, cls, k) WHERE take), p AS (SELECT cls, event_id AS id, confidence / 100 AS score, CASE WHEN event_id IN (SELECT prediction FROM m) THEN 1 ELSE 0 END AS hit FROM v_detection WHERE ping_start IS NOT NULL AND event_id % 2 = 1),
+@query("agg17_per_class_ap", greedy("survey_id, cls", BY_CONFIDENCE, "iou >= 0.05") + """, m AS (SELECT prediction FROM o JOIN w USING (survey_id, cls, k) WHERE take), p AS (SELECT cls, event_id AS id, confidence / 100 AS score, CASE WHEN event_id IN (SELECT prediction FROM m) THEN 1 ELSE 0 END AS hit FROM v_detection WHERE ping_start IS NOT NULL AND event_id % 2 = 1),
  n AS (SELECT cls, count(*) AS n FROM v_detection WHERE ping_start IS NOT NULL AND event_id % 2 = 0 GROUP BY cls), h AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, id) AS rk, sum(hit) OVER (PARTITION BY cls ORDER BY score DESC, id) AS hits FROM p),
  a AS (SELECT n.cls, g, max(CASE WHEN hit = 1 AND hits / CAST(n AS DOUBLE) >= g / 100e0 - 1e-9 THEN hits / CAST(rk AS DOUBLE) ELSE 0 END) AS best FROM n LEFT JOIN h USING (cls), unnest(range(0, 101)) AS x(g) GROUP BY n.cls, g)
  SELECT cls, any_value(n) AS n_truth, round(any_value(ap), 6) AS ap, round(avg(hit) FILTER (WHERE score >= 0.25), 6) AS precision, round(sum(hit) FILTER (WHERE score >= 0.25) / CAST(any_value(n) AS DOUBLE), 6) AS recall FROM p JOIN n USING (cls) JOIN (SELECT cls, sum(best) / 101 AS ap FROM a GROUP BY cls) USING (cls) GROUP BY cls /* RECURSIVE */""", "v_detection")
