@@ -12,7 +12,11 @@ TEXT_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches at TEXT_ROWS rows, if they are larger."""
+    """Hold the session's Arrow batches at TEXT_ROWS rows, if they are larger.
+
+    Spark has no bound on a batch's bytes, and reads this setting when a result is asked for, after the operator has returned its plan: so it
+    stays set for the session. A lower value of the caller's stays as it is.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
         spark.conf.set(key, str(TEXT_ROWS))

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
-from pyspark.sql.window import Window
 
 from pingframe.llm._shared import numbered, small_batches
 from pingframe.plans.tables import written
@@ -15,7 +14,8 @@ from pingframe.plans.tables import written
 #: Weights of the sources in turn, the share of all sizes to take, the most a source or document is taken.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
-#: The dynamic programme fits at most this many words (or the longest document, if that is longer); what comes before is taken evenly.
+#: The remaining budget that the dynamic programme fits is at most this many words (or the longest document, if that is longer). A bound of the
+#: method, not of the data: what comes before it is taken evenly of all lengths, and every budget is met to the word that lengths allow.
 FIT_WORDS = 1 << 15
 SEED = 17
 #: More sources than this are refused: their totals are handled on the driver.
@@ -135,7 +135,8 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     """The rows of docs, each as often as the mix takes it, with the columns as they were.
 
     Rows are matched by doc_id, source and length. Where several rows share these, the copies that the mix gives to the group are
-    dealt to its rows in the order of a hash of the whole row, so the group's total is kept.
+    dealt to its rows in the order of a hash of the whole row, so the group's total is kept; a group that holds a third of all rows (one
+    null doc_id, say) is numbered in hash bins.
     """
     marked = docs.withColumn("__source", F.col("source").cast("string")).withColumn("__size", words_in(F.col("text").cast("string")))
     picked = mixed(docs, weights, share, most, seed, keep_source=True)
@@ -146,7 +147,8 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     base = F.floor(F.col("__sum") / F.col("__rows"))
     one = both.where("__rows = 1").withColumn("__copies", F.col("__sum"))
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    place = F.row_number().over(Window.partitionBy("__id", "__of", "__long").orderBy(hashed))
-    many = both.where("__rows > 1").withColumn("__copies", base + F.when(place <= F.col("__sum") - base * F.col("__rows"), 1).otherwise(0))
+    alike = both.where("__rows > 1").withColumn("__hash", hashed)
+    placed = numbered(alike, ["__id", "__of", "__long"], ["__hash"], "__place", F.pmod("__hash", F.lit(256))).drop("__hash")
+    many = placed.withColumn("__copies", base + F.when(F.col("__place") < F.col("__sum") - base * F.col("__rows"), 1).otherwise(0)).drop("__place")
     out = one.unionByName(many).where("__copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

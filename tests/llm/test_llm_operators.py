@@ -418,6 +418,41 @@ def test_mix_edges(odd, empty):
     assert drawn.columns == odd.columns and drawn.count() == got.copies.sum()
 
 
+def test_many_rows_of_one_null_id_are_drawn_as_often_as_the_mix_takes_them(spark):
+    rows = [(None, f"one two {i}", "en", "a", 1) for i in range(300)] + [(i, "w " * (1 + i % 5), "en", "b" if i % 2 else "a", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, KINDS)
+    taken = mixing.mixed(docs, keep_source=True).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    words = mixing.drawn(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in taken} == {r["source"]: r["n"] for r in words}
+    assert mixing.drawn(docs).where("doc_id is null").groupBy("text").count().agg(F.max("count")).first()[0] <= 2
+
+
+def slow_mix(rows):
+    """Targets, and the most words that single copies of a source's documents reach below what its whole epochs leave."""
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes.setdefault(source, []).append(len((text or "").split()))
+    own = mixing.targets([(s, sum(v)) for s, v in sizes.items()])
+    out = {}
+    for source, lengths in sizes.items():
+        whole = sum(lengths)
+        epochs = min(2, int(own[source] // whole)) if whole else 0
+        reach = {0}
+        for n in lengths:
+            reach |= {r + n for r in reach}
+        left = round(own[source] - epochs * whole)
+        out[source] = epochs * whole + (max(r for r in reach if r <= left) if epochs < 2 else 0)
+    return out
+
+
+def test_the_whole_mix_is_the_nearest_fit(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(n), "en", s, 1) for i, (n, s) in enumerate(zip(rng.integers(0, 60, 120), rng.choice(["a", "b", "c", "d"], 120), strict=True))] + [(500, None, "en", "b", 1), (501, "x y", "en", None, 1)]
+    got = mixing.mixed(spark.createDataFrame(rows, KINDS), keep_source=True).toPandas()
+    taken = {None if k == "~" else k: int(v) for k, v in got.groupby(got.source.fillna("~")).taken.sum().items()}
+    assert taken == slow_mix(rows)
+
+
 def test_mix_nears_its_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.mixed(docs, keep_source=True).toPandas()
