@@ -29,6 +29,22 @@ def ground_samples(samples: Column, slant_m: Column, height_m: Column, step_m: f
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
 
 
+def port_order(samples: DataFrame, side: str, sample: str, value: str, n: int, bins: int = 256, margin: float = 0.2) -> DataFrame:
+    """(same, turned, order): whether the port samples are stored as the starboard ones are, or the other way round.
+
+    Mean log1p values of each side in up to `bins` bins of the range are correlated, as they are and turned. order is `nadir_first`,
+    `nadir_last`, or null if the two differ by less than margin.
+    """
+    count = min(bins, n)
+    b = F.floor(F.col(sample) * count / n).cast("int")
+    log = lambda name: F.avg(F.when(F.col(side) == name, F.log1p(value)))
+    profile = samples.groupBy(b.alias("b")).agg(log("port").alias("p"), log("starboard").alias("s"))
+    turned = profile.select((count - 1 - F.col("b")).alias("b"), F.col("s").alias("r"))
+    both = profile.join(turned, "b").agg(F.corr("p", "s").alias("same"), F.corr("p", "r").alias("turned"))
+    order = F.when(F.abs(F.col("same") - F.col("turned")) < margin, None).when(F.col("same") > F.col("turned"), "nadir_first").otherwise("nadir_last")
+    return both.withColumn("order", order)
+
+
 def row_image(port: Column, starboard: Column) -> Column:
     """One raster row: the reversed port side, then starboard."""
     return F.concat(F.reverse(port), starboard)

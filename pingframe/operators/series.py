@@ -175,6 +175,39 @@ def _metres(lat0: np.ndarray, lon0: np.ndarray, lat1: np.ndarray, lon1: np.ndarr
     return 2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
+def points_of_ranges(ranges: DataFrame, points: DataFrame, by: list[str], at: str, bucket: int = 64) -> DataFrame:
+    """ranges (by, start, end) with points: the `at` of the points of their line inside (both ends count), in order; where that is under
+    two, the nearest point before and the nearest after are added.
+
+    Points meet ranges by an equi-join on buckets of `bucket` numbers. The nearest ones come from a window over ranges and points in one
+    order, so no point is searched for.
+    """
+    own = points.select(*by, F.col(at).cast("long").alias("at"), F.floor(F.col(at) / bucket).alias("bucket"))
+    cut = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
+    met = cut.join(own, [*by, "bucket"]).where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end")))
+    inside = met.groupBy(*by, "start", "end").agg(F.array_sort(F.collect_list("at")).alias("points"))
+    found = ranges.join(inside, [*by, "start", "end"], "left").withColumn("points", F.coalesce("points", F.array().cast("array<long>")))
+    few = found.where(F.size("points") < 2)
+    none = F.lit(None).cast("long")
+    both = few.select(*by, "start", "end", "points", F.col("start").alias("x"), none.alias("at")).unionByName(own.select(*by, none.alias("start"), none.alias("end"), F.lit(None).cast("array<long>").alias("points"), F.col("at").alias("x"), "at"))
+    w = Window.partitionBy(*by)
+    before = F.max("at").over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, -1))
+    asked = both.withColumn("before", before).where("start is not null").drop("at").withColumn("x", F.col("end")).withColumn("at", none)
+    again = asked.unionByName(own.select(*by, none.alias("start"), none.alias("end"), F.lit(None).cast("array<long>").alias("points"), F.col("at").alias("x"), none.alias("before"), "at"))
+    after = F.min("at").over(w.orderBy("x").rangeBetween(1, Window.unboundedFollowing))
+    near = again.withColumn("after", after).where("start is not null")
+    wide = F.concat(F.array_compact(F.array("before")), "points", F.array_compact(F.array("after")))
+    return found.where(F.size("points") >= 2).unionByName(near.select(*by, "start", "end", wide.alias("points")))
+
+
+def decimated(rows: DataFrame, by: list[str], at: str, points: int = 100) -> DataFrame:
+    """Every max(1, n // points)-th row of each group (a chunk of a line) in the order of `at`, from the first on."""
+    w = Window.partitionBy(*by)
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / points))
+    kept = rows.withColumn("__i", F.row_number().over(w.orderBy(at)) - 1).withColumn("__step", step)
+    return kept.where(F.col("__i") % F.col("__step") == 0).drop("__i", "__step")
+
+
 def savitzky_golay(rows: DataFrame, value: str, at: str, by: list[str], window: int, order: int) -> DataFrame:
     """(by, at, smooth): least-squares polynomials over a centred odd window; the first and last rows take the polynomial of the first
     and last whole window. A line shorter than the window uses the largest odd window that fits; below order + 1 rows it stays.

@@ -88,11 +88,12 @@ def _chosen(rows, mode):
     return rows.select("event_id", F.lit(mode).alias("mode"), altitude.alias("altitude"), used.alias("used"))
 
 
-@query("win15_track_decimation", "SELECT line_id, ping FROM (SELECT *, count(*) OVER (PARTITION BY line_id) AS n FROM v_ping) WHERE ping % greatest(1, n // 10) = 0", V)
+@query("win15_track_decimation", """c AS (SELECT line_id, ping, k FROM v_ping, unnest([ping // 15 - 1, ping // 15]) AS x(k) WHERE k >= 0 AND ping < k * 15 + 20), n AS (SELECT *, row_number() OVER (PARTITION BY line_id, k ORDER BY ping) - 1 AS i, count(*) OVER (PARTITION BY line_id, k) AS n FROM c)
+ SELECT line_id, k AS chunk, ping FROM n WHERE i % greatest(1, n // 5) = 0""", V)
 def win15(spark, d):
-    n = F.count("*").over(Window.partitionBy(*BY))
-    rows = pings(spark, d).withColumn("n", n)
-    return rows.where(F.col("ping") % F.greatest(F.lit(1), F.floor(F.col("n") / 10)) == 0).select("line_id", F.col("ping").cast("long").alias("ping"))
+    """Chunks of 20 pings that share five with the next, about five points of each."""
+    rows = pings(spark, d).select("line_id", F.col("ping").cast("long").alias("ping"), F.explode(series.chunk_of(F.col("ping"), 20, 5)).alias("chunk"))
+    return series.decimated(rows, ["line_id", "chunk"], "ping", 5).select("line_id", "chunk", "ping")
 
 
 @query("snk07_track_points", "SELECT line_id, ping, round(lat, 6) AS lat FROM (SELECT *, max(ping) OVER (PARTITION BY line_id) AS last FROM v_ping) WHERE ping % 7 = 0 OR ping = last", V)
@@ -243,17 +244,14 @@ def jn12(spark, d):
 
 
 @query("jn13_events_on_track", """r AS (SELECT line_id, min(ping) AS a, max(ping) AS b FROM (SELECT line_id, ping, ping - row_number() OVER (PARTITION BY line_id ORDER BY ping) AS g FROM v_ping WHERE abs(roll_deg) > 9) GROUP BY line_id, g),
- pts AS (SELECT line_id, ping, lat FROM v_ping WHERE ping % 5 = 0)
- SELECT r.line_id, a, b, count(p.ping) AS points, coalesce((SELECT max(ping) FROM pts q WHERE q.line_id = r.line_id AND q.ping < a), -1) AS before_ping, coalesce((SELECT min(ping) FROM pts q WHERE q.line_id = r.line_id AND q.ping > b), -1) AS after_ping FROM r LEFT JOIN pts p ON p.line_id = r.line_id AND p.ping BETWEEN a AND b GROUP BY r.line_id, a, b""", V)
+ pts AS (SELECT line_id, ping FROM v_ping WHERE event_id % 3 = 0), i AS (SELECT r.line_id, a, b, count(p.ping) AS n FROM r LEFT JOIN pts p ON p.line_id = r.line_id AND p.ping BETWEEN a AND b GROUP BY r.line_id, a, b),
+ x AS (SELECT i.line_id, a, b, p.ping FROM i JOIN pts p ON p.line_id = i.line_id AND p.ping BETWEEN a AND b UNION ALL SELECT i.line_id, a, b, (SELECT max(ping) FROM pts q WHERE q.line_id = i.line_id AND q.ping < a) FROM i WHERE n < 2 UNION ALL SELECT i.line_id, a, b, (SELECT min(ping) FROM pts q WHERE q.line_id = i.line_id AND q.ping > b) FROM i WHERE n < 2)
+ SELECT line_id, a, b, coalesce(string_agg(CAST(ping AS VARCHAR), ',' ORDER BY ping), '') AS points FROM x GROUP BY line_id, a, b""", V)
 def jn13(spark, d):
-    rows = pings(spark, d)
-    found = series.runs(rows, F.abs("roll_deg") > 9, BY, "ping").select("line_id", F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
-    points = F.floor(F.col("b") / 5) - F.ceil(F.col("a") / 5) + 1
-    last = rows.groupBy("line_id").agg(F.max("ping").cast("long").alias("last"))
-    after = F.floor(F.col("b") / 5) * 5 + 5
-    before = F.ceil(F.col("a") / 5) * 5 - 5
-    out = found.join(last, "line_id")
-    return out.select("line_id", "a", "b", points.cast("long").alias("points"), F.when(before >= 0, before).otherwise(-1).cast("long").alias("before_ping"), F.when(after <= F.col("last"), after).otherwise(-1).cast("long").alias("after_ping"))
+    """Runs of strong roll with the fixes of the track that they cover, or that lie beside them."""
+    found = series.runs(pings(spark, d), F.abs("roll_deg") > 9, BY, "ping").select("line_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    out = series.points_of_ranges(found, pings(spark, d).where("event_id % 3 = 0"), BY, "ping")
+    return out.select("line_id", F.col("start").alias("a"), F.col("end").alias("b"), F.array_join("points", ",").alias("points"))
 
 
 @query("jn10_row_to_ping", "SELECT e.vec_id, p.ping, p.lat FROM embeddings e JOIN v_ping p ON p.line_id = e.vec_id % 50 AND p.ping = e.vec_id % 40", V)

@@ -45,11 +45,16 @@ def agg12(spark, d):
     return raster.stretched(samples(spark, d), "side", "v", "ping").groupBy("ping").agg(F.sum("level").cast("long").alias("total"))
 
 
-@query("src05_port_order", """b AS (SELECT side, sample, avg(ln(1 + v)) AS a FROM v_sample GROUP BY side, sample) SELECT round(corr(p.a, s.a), 6) AS same, round(corr(p.a, r.a), 6) AS turned FROM b p JOIN b s ON s.sample = p.sample AND s.side = 'starboard' JOIN b r ON r.sample = 31 - p.sample AND r.side = 'starboard' WHERE p.side = 'port'""", V)
+@query("src05_port_order", """v AS (SELECT side, sample, CASE WHEN side = 'port' THEN v * (1 + sample) ELSE v * (32 - sample) END AS v FROM v_sample WHERE ping % greatest(1, (SELECT count(DISTINCT ping) FROM v_sample) // 200) = 0),
+ b AS (SELECT side, sample, avg(ln(1 + v)) AS a FROM v GROUP BY side, sample), c AS (SELECT corr(p.a, s.a) AS same, corr(p.a, r.a) AS turned FROM b p JOIN b s ON s.sample = p.sample AND s.side = 'starboard' JOIN b r ON r.sample = 31 - p.sample AND r.side = 'starboard' WHERE p.side = 'port')
+ SELECT round(same, 6) AS same, round(turned, 6) AS turned, CASE WHEN abs(same - turned) < 0.2 THEN NULL WHEN same > turned THEN 'nadir_first' ELSE 'nadir_last' END AS "order" FROM c""", V)
 def src05(spark, d):
-    b = samples(spark, d).groupBy("sample").agg(F.avg(F.when(F.col("side") == "port", F.log1p("v"))).alias("p"), F.avg(F.when(F.col("side") == "starboard", F.log1p("v"))).alias("s"))
-    turned = b.select((31 - F.col("sample")).alias("sample"), F.col("s").alias("r"))
-    return b.join(turned, "sample").agg(F.round(F.corr("p", "s"), 6).alias("same"), F.round(F.corr("p", "r"), 6).alias("turned"))
+    """About 200 pings, evenly spaced; the port side is made to fall towards the nadir, the starboard side away from it."""
+    rows = samples(spark, d)
+    n = rows.select("ping").distinct().count()
+    some = rows.where(F.col("ping") % max(1, n // 200) == 0)
+    sloped = some.withColumn("v", F.col("v") * F.when(F.col("side") == "port", 1 + F.col("sample")).otherwise(32 - F.col("sample")))
+    return raster.port_order(sloped, "side", "sample", "v", 32).withColumns({"same": F.round("same", 6), "turned": F.round("turned", 6)})
 
 
 @query("src06_split_waterfall", "SELECT vec_id AS ping, CAST(floor(abs(CAST(embedding[32] AS DOUBLE)) * 1000) AS BIGINT) AS first_port, CAST(floor(abs(CAST(embedding[33] AS DOUBLE)) * 1000) AS BIGINT) AS first_starboard FROM embeddings")
