@@ -7,7 +7,6 @@ import math
 import re
 from bisect import bisect_right
 from collections import deque
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +32,7 @@ ALLOWED = (
     re.compile(r"(?:[A-Za-z]+[+/_=-]+)+[A-Za-z]*"),
     re.compile(r"(.{1,8}?)\1{2,}.{0,8}"),
 )
-#: Placeholders: windows that hold one are no secrets, the rest of a candidate may be.
+#: Placeholders: windows that overlap one are no secrets, the rest of a candidate may be.
 PLACEHOLDER = re.compile(r"(?=(example|sample|placeholder|changeme|xxxx|0000|1234567|abcdefgh))", re.IGNORECASE)
 #: n * log2(n) for the counts that a window can have.
 NLOGN = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
@@ -41,8 +40,8 @@ HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 
 def high_windows(run: str, least: float) -> list[tuple[int, int]]:
-    """The merged [start, end) ranges of run's windows whose characters have at least `least` bits of Shannon entropy each and that hold no
-    placeholder.
+    """The merged [start, end) ranges of run's windows whose characters have at least `least` bits of Shannon entropy each and that
+    overlap no placeholder.
 
     entropy = log2(W) - sum(c log2 c) / W; one count goes down and one up as the window moves, so a step costs the same at any length.
     """
@@ -55,9 +54,9 @@ def high_windows(run: str, least: float) -> list[tuple[int, int]]:
         total += NLOGN[n + 1] - NLOGN[n]
         if i >= WINDOW - 1:
             start = i - WINDOW + 1
-            while barred and barred[0][0] < start:
+            while barred and barred[0][1] <= start:
                 barred.popleft()
-            if math.log2(WINDOW) - total / WINDOW >= least - 1e-9 and not any(b <= i + 1 for _, b in islice(barred, WINDOW)):
+            if math.log2(WINDOW) - total / WINDOW >= least - 1e-9 and not (barred and barred[0][0] <= i):
                 if out and out[-1][1] >= start:
                     out[-1] = (out[-1][0], i + 1)
                 else:

@@ -268,9 +268,10 @@ def slow_secrets(text):
             if len(t) < 24 or any(regex.fullmatch(p, t) for p in ("[a-z]+|[A-Z]+|[A-Z][a-z]+", "[0-9+/_=-]+", "([A-Za-z]+[+/_=-]+)+[A-Za-z]*", r"(.{1,8}?)\1{2,}.{0,8}")):
                 continue
             covered: list = []
+            barred = [x.span() for x in regex.finditer("example|sample|placeholder|changeme|xxxx|0000|1234567|abcdefgh", t, regex.I, overlapped=True)]
             for i in range(len(t) - 23):
                 w = t[i : i + 24]
-                if -sum(c / 24 * math.log2(c / 24) for c in Counter(w).values()) >= least - 1e-9 and not regex.search("example|sample|placeholder|changeme|xxxx|0000|1234567|abcdefgh", w, regex.I):
+                if -sum(c / 24 * math.log2(c / 24) for c in Counter(w).values()) >= least - 1e-9 and not any(a < i + 24 and b > i for a, b in barred):
                     if covered and covered[-1][1] >= i:
                         covered[-1][1] = i + 24
                     else:
@@ -302,7 +303,7 @@ def test_secrets_match_brute_force(spark):
 def test_a_placeholder_spares_its_windows_only():
     left, right = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "7c4a8d09ca3762af61e59520943dc26494f8941b"
     spans = secret.entropy_spans(f"{left}0000{right}")
-    assert len(spans) == 2 and spans[0][:2] == (0, len(left) + 3) and spans[1][1] == len(left) + 4 + len(right)
+    assert [s[:2] for s in spans] == [(0, 40), (44, 84)]
     assert [k for *_, k in secret.entropy_spans(f"KEY={left.upper()}")] == ["entropy_hex"]
 
 
