@@ -292,11 +292,11 @@ def test_isotonic_over_several_ranges(spark):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    x = np.round(rng.uniform(size=400), 2)
-    y = (rng.uniform(size=400) < x).astype(int)
-    order = np.lexsort((np.arange(400), x))
+    x = np.round(rng.uniform(size=120), 2)
+    y = (rng.uniform(size=120) < x).astype(int)
+    order = np.lexsort((np.arange(120), x))
     fit = y[order].astype(float)
-    want = np.array([max(min(fit[j : k + 1].mean() for k in range(i, 400)) for j in range(i + 1)) for i in range(400)])
+    want = np.array([max(min(fit[j : k + 1].mean() for k in range(i, 120)) for j in range(i + 1)) for i in range(120)])
     rows = spark.createDataFrame([(g, float(a), int(b), i) for g in (0, 1) for i, (a, b) in enumerate(zip(x, y))], "g int, x double, y int, i int")
     got = evaluation.isotonic(rows, ["g"], "x", "y", "i", size=30).where("g = 1").toPandas().sort_values(["x", "i"])
     assert np.allclose(got["fitted"].to_numpy(), want)
