@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pingframe.operators.catalogue import FORMATS
-from pingframe.sources import sonar_log
+from pingframe.sources import geotiff, sonar_log
 from pingframe.sources.text import BadSource
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xtf": lambda spark, path: sonar_log.positioned(sonar_log.read(spark, path)),
+    "geotiff": lambda spark, path: geotiff.read(spark, path),
     "csv": lambda spark, path: spark.read.csv(path, header=True),
 }
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pingframe.sources.pages import Pages, listed
+
 #: Fixed values of the format: first byte, packet mark, kind of sonar packets, sides, sample types by format code or width.
 FIRST_BYTE, MARK, SONAR, PORT, STARBOARD = 0x7B, 0xFACE, 0, 1, 2
 BY_FORMAT, BY_WIDTH = {2: "<u4", 3: "<u2", 5: "<f4", 8: "u1"}, {1: "u1", 2: "<u2", 4: "<u4"}
 KNOT = 1852 / 3600
 
-PING = "path string, ping long, time_utc timestamp, sensor_x double, sensor_y double, ship_x double, ship_y double, heading_deg double, altitude_m double, sensor_depth_m double, speed_mps double, roll_deg double, pitch_deg double, cable_out_m double, layback_m double, slant_range_m double, port array<double>, starboard array<double>"
+PING = (
+    "path string, ping long, time_utc timestamp, sensor_x double, sensor_y double, ship_x double, ship_y double, heading_deg double, altitude_m double, sensor_depth_m double, "
+    "speed_mps double, roll_deg double, pitch_deg double, cable_out_m double, layback_m double, slant_range_m double, port array<double>, starboard array<double>"
+)
+SPAN = "path string, first long, at long, pings long"
 PROFILE = "path string, error string, pings long, truncated boolean, port_samples long, starboard_samples long, sonar string"
 
 
@@ -28,7 +33,7 @@ class BadLog(ValueError):
 class Log:
     """The header of a log: what its channels hold, and where packets begin."""
 
-    raw: bytes
+    raw: Pages
     sonar: str
     sides: dict[int, str]
     widths: list[int]
@@ -36,17 +41,17 @@ class Log:
     first: int
 
 
-def opened(raw: bytes) -> Log:
+def opened(raw: Pages) -> Log:
     """Port and starboard channels by type; two untyped channels are port and starboard, in this order."""
-    if len(raw) < 1024 or raw[0] != FIRST_BYTE:
+    if raw.size < 1024 or raw.take(0, 1)[0] != FIRST_BYTE:
         raise BadLog("CORRUPT_HEADER")
-    sonar, bathy = struct.unpack_from("<HH", raw, 166)
+    sonar, bathy = raw.unpack("<HH", 166)
     types, widths, kinds = [], [], []
     for i in range(min(6, sonar + bathy)):
         at = 256 + 128 * i
-        width = struct.unpack_from("<H", raw, at + 6)[0] or 2
-        kind = BY_FORMAT.get(raw[at + 74]) or BY_WIDTH.get(width)
-        types.append(raw[at])
+        width = raw.unpack("<H", at + 6)[0] or 2
+        kind = BY_FORMAT.get(raw.take(at + 74, 1)[0]) or BY_WIDTH.get(width)
+        types.append(raw.take(at, 1)[0])
         widths.append(width)
         kinds.append(kind if kind and np.dtype(kind).itemsize == width else None)
     sides = {types.index(t): name for t, name in ((PORT, "port"), (STARBOARD, "starboard")) if t in types[:sonar]}
@@ -54,22 +59,23 @@ def opened(raw: bytes) -> Log:
         sides = {0: "port", 1: "starboard"}
     if not sides or any(kinds[i] is None for i in sides):
         raise BadLog("CORRUPT_HEADER")
-    name = raw[18:34].split(b"\0")[0].decode("latin-1").strip()
+    name = raw.take(18, 16).split(b"\0")[0].decode("latin-1").strip()
     return Log(raw, name, sides, widths, kinds, 1024 if sonar + bathy <= 6 else 2048)
 
 
-def pings(log: Log, found: dict) -> Iterator[tuple[int, dict[str, tuple[int, int, str]]]]:
+def pings(log: Log, found: dict, start: int | None = None) -> Iterator[tuple[int, dict[str, tuple[int, int, str]]]]:
     """(offset, {side: (offset of samples, count, type)}) of each whole sonar packet; found["truncated"] tells of a broken tail.
 
-    Reading stops at the first malformed packet; packets of other kinds are passed over.
+    Reading starts at the first packet, or at the packet at `start`, and stops at the first malformed one; packets of other kinds are
+    passed over.
     """
-    at, raw = log.first, log.raw
-    while at < len(raw):
-        if at + 14 > len(raw):
+    at, raw = log.first if start is None else start, log.raw
+    while at < raw.size:
+        if at + 14 > raw.size:
             found["truncated"] = True
             return
-        mark, kind, _, channels, _, size = struct.unpack_from("<HBBH4sI", raw, at)
-        if mark != MARK or size < 14 or at + size > len(raw):
+        mark, kind, _, channels, _, size = raw.unpack("<HBBH4sI", at)
+        if mark != MARK or size < 14 or at + size > raw.size:
             found["truncated"] = True
             return
         if kind == SONAR:
@@ -78,7 +84,7 @@ def pings(log: Log, found: dict) -> Iterator[tuple[int, dict[str, tuple[int, int
                 if inside + 64 > at + size:
                     found["truncated"] = True
                     return
-                count = struct.unpack_from("<I", raw, inside + 42)[0]
+                count = raw.unpack("<I", inside + 42)[0]
                 width = log.widths[i] if i < len(log.widths) else 2
                 if inside + 64 + count * width > at + size:
                     found["truncated"] = True
@@ -92,78 +98,89 @@ def pings(log: Log, found: dict) -> Iterator[tuple[int, dict[str, tuple[int, int
 
 def _row(log: Log, path: str, n: int, at: int, sides: dict[str, tuple[int, int, str]]) -> tuple:
     raw = log.raw
-    year, month, day, hour, minute, second, hundredths = struct.unpack_from("<H6B", raw, at + 14)
+    year, month, day, hour, minute, second, hundredths = raw.unpack("<H6B", at + 14)
     try:
         time = pd.Timestamp(year, month, day, hour, minute, min(second, 59)) + pd.Timedelta(milliseconds=10 * hundredths)
     except ValueError:
         time = pd.NaT
-    ship_y, ship_x = struct.unpack_from("<dd", raw, at + 128)
-    sensor_y, sensor_x = struct.unpack_from("<dd", raw, at + 160)
-    knots, cable = struct.unpack_from("<f", raw, at + 152)[0], struct.unpack_from("<H", raw, at + 182)[0]
-    layback = struct.unpack_from("<f", raw, at + 184)[0]
-    depth, altitude, _, pitch, roll, heading = struct.unpack_from("<6f", raw, at + 192)
+    ship_y, ship_x = raw.unpack("<dd", at + 128)
+    sensor_y, sensor_x = raw.unpack("<dd", at + 160)
+    knots, cable = raw.unpack("<f", at + 152)[0], raw.unpack("<H", at + 182)[0]
+    layback = raw.unpack("<f", at + 184)[0]
+    depth, altitude, _, pitch, roll, heading = raw.unpack("<6f", at + 192)
     ranges, arrays = [], []
     for side in ("port", "starboard"):
         if side in sides:
             inside, count, kind = sides[side]
-            ranges.append(struct.unpack_from("<f", raw, inside + 4)[0])
-            arrays.append(np.frombuffer(raw, kind, count, inside + 64).astype(np.float64))
+            ranges.append(raw.unpack("<f", inside + 4)[0])
+            arrays.append(np.frombuffer(raw.take(inside + 64, count * np.dtype(kind).itemsize), kind).astype(np.float64))
         else:
             arrays.append(None)
     slant = next((r for r in ranges if r > 0), None)
-    return (path, n, time, sensor_x, sensor_y, ship_x, ship_y, heading, altitude if altitude > 0 else None, depth, knots * KNOT, roll, pitch, cable or None, layback or None, slant, *arrays)
+    height = altitude if altitude > 0 else None
+    return (path, n, time, sensor_x, sensor_y, ship_x, ship_y, heading, height, depth, knots * KNOT, roll, pitch, cable or None, layback or None, slant, *arrays)
 
 
-def _content(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def read(spark: SparkSession, path: str, batch: int = 500) -> DataFrame:
-    """The pings of all logs under path, numbered from 0 in each; a file is read by one task, which gives `batch` pings at a time.
+    """The pings of all logs under path, numbered from 0 in each.
 
-    Files that are no logs give no pings: profile() tells why. Altitudes not above 0, and cable lengths and laybacks of 0, are null.
+    A first pass walks the packet headers of a file, a page at a time, and gives a row for every `batch` pings: where they begin. These
+    spans are dealt to all tasks, and each is decoded by itself, so a file of any size is read in parallel and never held whole. Files
+    that are no logs give no pings: profile() tells why. Altitudes not above 0, and cable lengths and laybacks of 0, are null.
     """
-    names = [x.split()[0] for x in PING.split(", ")]
 
-    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spans(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in files:
-            for path, raw in zip(f["path"], f["content"], strict=True):
-                try:
-                    log = opened(bytes(raw))
-                except BadLog:
-                    continue
-                rows = []
-                for n, (at, sides) in enumerate(pings(log, {})):
-                    rows.append(_row(log, path, n, at, sides))
-                    if len(rows) == batch:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return _content(spark, path).mapInPandas(run, PING)
+            for path in f["path"]:
+                with Pages(path) as raw:
+                    try:
+                        log = opened(raw)
+                    except BadLog:
+                        continue
+                    rows, n = [], 0
+                    for n, (at, _) in enumerate(pings(log, {}), 1):
+                        if n % batch == 1 or batch == 1:
+                            rows.append([path, n - 1, at, batch])
+                    if rows:
+                        rows[-1][3] = n - rows[-1][1]
+                yield pd.DataFrame(rows, columns=_names(SPAN))
+
+    def decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            for s in f.itertuples():
+                with Pages(s.path) as raw:
+                    log = opened(raw)
+                    found = zip(range(s.first, s.first + s.pings), pings(log, {}, s.at), strict=False)
+                    yield pd.DataFrame([_row(log, s.path, n, at, sides) for n, (at, sides) in found], columns=_names(PING))
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed(spark, path).mapInPandas(spans, SPAN).repartition(tasks, "path", "first").mapInPandas(decoded, PING)
 
 
 def profile(spark: SparkSession, path: str) -> DataFrame:
     """A row for each file: error (CORRUPT_HEADER, NO_PINGS or null), pings, truncated, most samples a side, sonar."""
-    names = [x.split()[0] for x in PROFILE.split(", ")]
 
     def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in files:
             rows = []
-            for path, raw in zip(f["path"], f["content"], strict=True):
-                try:
-                    log, found, n, most = opened(bytes(raw)), {}, 0, {"port": 0, "starboard": 0}
-                    for _, sides in pings(log, found):
-                        n += 1
-                        for side, (_, count, _) in sides.items():
-                            most[side] = max(most[side], count)
-                    rows.append((path, None if n else "NO_PINGS", n, bool(found), most["port"], most["starboard"], log.sonar))
-                except BadLog as e:
-                    rows.append((path, str(e), 0, False, 0, 0, None))
-            yield pd.DataFrame(rows, columns=names)
-
-    return _content(spark, path).mapInPandas(run, PROFILE)
+            for path in f["path"]:
+                with Pages(path) as raw:
+                    try:
+                        log, found, n, most = opened(raw), {}, 0, {"port": 0, "starboard": 0}
+                        for _, sides in pings(log, found):
+                            n += 1
+                            for side, (_, count, _) in sides.items():
+                                most[side] = max(most[side], count)
+                        rows.append((path, None if n else "NO_PINGS", n, bool(found), most["port"], most["starboard"], log.sonar))
+                    except BadLog as e:
+                        rows.append((path, str(e), 0, False, 0, 0, None))
+            yield pd.DataFrame(rows, columns=_names(PROFILE))
+
+    return listed(spark, path).mapInPandas(run, PROFILE)
 
 
 def positioned(pings_: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from pingframe.sources import sonar_log, text
+from pingframe.sources import geotiff, sonar_log, text
 
 
 def log(n=5, samples=8, tail=0, ship_only=False, bad=False):
@@ -52,6 +52,75 @@ def test_log(spark, tmp_path):
     assert {r["nav_source"] for r in rows if r["path"].endswith("e.xtf")} == {"ship"}
 
 
+def test_log_in_spans(spark, tmp_path):
+    (tmp_path / "a b.xtf").write_bytes(log(n=7))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "c.xtf").write_bytes(log(n=1))
+    for batch in (1, 3, 7, 500):
+        rows = sonar_log.read(spark, str(tmp_path), batch).where("path like '%a b.xtf'").orderBy("ping").collect()
+        assert [(r["ping"], r["port"][0]) for r in rows] == [(k, 100 * k) for k in range(7)]
+    assert sonar_log.read(spark, str(tmp_path)).count() == 8
+
+
+def mosaic(values, order="<", epsg=32644, deep=2, packing=1, bands=1, transform=True):
+    """A TIFF of uint16 strips with a pixel scale of 0.5 and a corner at (400000, 1500000)."""
+    h, w = len(values), len(values[0])
+    pixels = [struct.pack(f"{order}{w * bands}H", *[x for v in row for x in [v] * bands]) for row in values]
+    blocks = [b"".join(pixels[k : k + deep]) for k in range(0, h, deep)]
+    n = len(blocks)
+    fields = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (16,) * bands), (259, 3, (packing,)), (273, 4, None), (277, 3, (bands,)), (278, 4, (deep,)), (284, 3, (1,)), (339, 3, (1,) * bands)]
+    if transform:
+        fields += [(33550, 12, (0.5, 0.5, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 400000.0, 1500000.0, 0.0))]
+    if epsg:
+        fields.append((34735, 3, (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg)))
+    sizes = {3: (2, "H"), 4: (4, "I"), 12: (8, "d")}
+    at = 8 + 2 + 12 * len(fields) + 4
+    start = at + 1024
+    places = tuple(start + sum(map(len, blocks[:k])) for k in range(n))
+    head, more = b"", b""
+    for tag, kind, vals in fields:
+        vals = places if vals is None else vals
+        size, letter = sizes[kind]
+        raw = struct.pack(f"{order}{len(vals)}{letter}", *vals)
+        if len(raw) <= 4:
+            cell = raw.ljust(4, b"\0")
+        else:
+            cell, more = struct.pack(f"{order}I", at + len(more)), more + raw
+        head += struct.pack(f"{order}HHI", tag, kind, len(vals)) + cell
+    first = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 8)
+    return first + struct.pack(f"{order}H", len(fields)) + head + b"\0" * 4 + more.ljust(1024, b"\0") + b"".join(blocks)
+
+
+def test_mosaics(spark, tmp_path):
+    values = [[10 * r + c for c in range(4)] for r in range(5)]
+    files = {
+        "a.tif": mosaic(values), "b.tif": mosaic(values, ">", deep=5, bands=3), "none.tif": mosaic(values, epsg=None), "packed.tif": mosaic(values, packing=5),
+        "flat.tif": mosaic(values, transform=False), "cut.tif": mosaic(values)[:-6], "text.tif": b"no raster at all", "empty.tif": b"",
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in geotiff.strips(spark, str(tmp_path)).collect()}
+    assert errors == {
+        "a.tif": None, "b.tif": None, "none.tif": "CRS_REQUIRED", "packed.tif": "UNSUPPORTED_FORMAT", "flat.tif": "CORRUPT_HEADER",
+        "cut.tif": "CORRUPT_HEADER", "text.tif": "CORRUPT_HEADER",
+    }
+    for name in ("a.tif", "b.tif"):
+        got = geotiff.read(spark, str(tmp_path / name)).orderBy("row").collect()
+        assert [r["v"] for r in got] == values and got[0]["epsg"] == 32644 and got[0]["transform"] == [400000, 0.5, 0, 1500000, 0, -0.5]
+    assert geotiff.read(spark, str(tmp_path / "none.tif"), 4326).first()["epsg"] == 4326
+
+
+def test_mosaic_positions(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, 0, 4326, [80.0, 0.1, 0.0, 13.0, 0.0, -0.1]), (1, 3, 32644, [500000.0, 2.0, 0.0, 1437146.0, 0.0, -2.0]), (1, 3, 3857, [0.0, 2.0, 0.0, 0.0, 0.0, -2.0])], "r int, c int, epsg int, t array<double>")
+    lat, lon = geotiff.position(F.col("r"), F.col("c"), F.col("epsg"), F.col("t"))
+    got = rows.select(lat.alias("lat"), lon.alias("lon")).collect()
+    assert got[0]["lat"] == pytest.approx(12.95) and got[0]["lon"] == pytest.approx(80.05)
+    assert abs(got[1]["lat"] - 13.0) < 2e-3 and got[1]["lon"] == pytest.approx(81 + 7 / 108500, abs=1e-6)
+    assert got[2]["lat"] is None and got[2]["lon"] is None
+
+
 def test_navigation(spark):
     rows = spark.createDataFrame([("0", "50", "13", "80", "350"), ("4", "60", "13.4", "80", "10")], "ping string, slant_range_m string, lat string, lon string, heading_deg string")
     got = text.navigation(rows, 6).orderBy("ping").collect()
