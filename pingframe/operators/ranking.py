@@ -20,7 +20,7 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     counts = stored.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__p", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__start"))
-    return stored.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__i")).select(*rows.columns, name)
+    return stored.join(starts, "__p").withColumn(name, F.col("__start") + F.col("__i")).select(*rows.columns, name)
 
 
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], near: float = 1e-3) -> DataFrame:

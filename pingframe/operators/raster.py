@@ -110,7 +110,7 @@ def flattened(samples: DataFrame, by: list[str], at: str, value: str, window: in
     """
     counts = samples.groupBy(*by, value).agg(F.count("*").alias("__k"))
     caps = counts.groupBy(*by).agg(F.percentile(value, F.lit(0.99), F.col("__k")).alias("__cap"))
-    capped = samples.join(F.broadcast(caps), by).withColumn("__c", F.least(F.col(value).cast("double"), "__cap"))
+    capped = samples.join(caps, by).withColumn("__c", F.least(F.col(value).cast("double"), "__cap"))
     mean = capped.withColumn("__mean", edge_mean(F.col("__c"), by, at, window // 2, window - window // 2 - 1))
     stored = written(mean.select(*samples.columns, "__mean"), "flat")
     floor = percentiles(stored, "__mean", {"__mid": 0.5})
@@ -126,10 +126,10 @@ def stretched(samples: DataFrame, side: str, value: str, at: str) -> DataFrame:
     counts = samples.groupBy(side, value).agg(F.count("*").alias("__k"))
     middle = counts.where(F.col(value) > 0).groupBy(side).agg(F.percentile(value, F.lit(0.5), F.col("__k")).alias("__m"))
     gain = F.log1p(F.col(value) / F.col("__m"))
-    gained = counts.join(F.broadcast(middle), side).withColumn("__g", gain)
+    gained = counts.join(middle, side).withColumn("__g", gain)
     cut = gained.agg(F.percentile("__g", F.lit(0.01), F.col("__k")).alias("__lo"), F.percentile("__g", F.lit(0.995), F.col("__k")).alias("__hi"))
     level = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("__g") - F.col("__lo"), F.col("__hi") - F.col("__lo")))) * 255, 0)
-    both = samples.join(F.broadcast(middle), side).withColumn("__g", gain).join(F.broadcast(cut))
+    both = samples.join(middle, side).withColumn("__g", gain).join(F.broadcast(cut))
     return both.withColumn("level", F.coalesce(level, F.lit(0.0)).cast("int")).drop("__m", "__g", "__lo", "__hi")
 
 
@@ -247,16 +247,17 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Vectors of a bank that are held against the probes in one pass.
-BANK_BLOCK = 100_000
+#: Numbers of a bank's vectors that are held against the probes in one pass: 50 MB of doubles.
+BANK_BLOCK = 6_400_000
 
 
 def bank_distance(probes: DataFrame, bank: DataFrame, block: int = BANK_BLOCK) -> DataFrame:
     """probes (id, v) with the distance to the nearest vector of the bank; null if the bank is empty.
 
-    The bank's size is counted, and blocks of it go to all tasks one after the other; a block's distances are stored before the next.
+    The bank's numbers are counted, and blocks of about so many go to all tasks one after the other; a block's distances are stored
+    before the next.
     """
-    n = -(-bank.count() // block)
+    n = -(-(bank.agg(F.sum(F.size("v"))).first()[0] or 0) // block)
     parts = [written(_nearest_of(probes, bank.where(F.pmod(F.xxhash64("v"), F.lit(n)) == k) if n > 1 else bank), "bank") for k in range(n)]
     if not parts:
         return probes.select("id", F.lit(None).cast("double").alias("distance"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pingframe.operators import raster
+from pingframe.operators import detectors, raster
 from pingframe.operators.similarity import correlated
 from pingframe.plans.registry import query
 from pingframe.plans.views import samples, table, waterfall
@@ -160,6 +160,45 @@ def ras12b(spark, d):
     return out.select("id", *[F.round(c, 6).alias(c) for c in out.columns if c != "id"])
 
 
+def small_targets(grey):
+    """Bright regions for images of 64 columns: smaller and fainter than those of whole lines."""
+    return detectors.bright_targets(grey, least_contrast=60, least_pixels=2, most_share=0.2, window=3)
+
+
+def lines(spark, d):
+    """The waterfall as images of 100 rows."""
+    v = raster.row_image(*(F.transform(c, lambda x: x.cast("double")) for c in ("port", "starboard")))
+    return waterfall(spark, d).select(F.floor(F.col("ping") / 100).alias("line"), (F.col("ping") % 100).alias("row"), "ping", v.alias("v"))
+
+
+@query("ras06_tile_detections")
+def ras06(spark, d):
+    """Boxes of bright targets in tiles of 32 pixels, all tiles apart; tests hold them against a loop over the same tiles."""
+    return detectors.detected(detectors.tiled(lines(spark, d), ["line"], "row", "v", 32, 0.25), ["line"], "row", small_targets)
+
+
+@query("ras07_mosaic_detections")
+def ras07(spark, d):
+    """Lines as mosaics of half a metre a pixel in UTM zone 44, stretched, searched in tiles, united and placed."""
+    where = F.array(*map(F.lit, (500000.0, 0.5, 0.0))), F.array(1437146.0 + 50.0 * F.col("line"), F.lit(0.0), F.lit(-0.5))
+    rows = lines(spark, d).select(F.col("line").cast("string").alias("path"), "row", "v", F.lit(32644).alias("epsg"), F.concat(*where).alias("transform"))
+    out = detectors.mosaic_detections(rows, small_targets, 32, 0.25)
+    return out.select("path", "cls", "score", "x1", "y1", "x2", "y2", "members", "lat", "lon", "length_m", "width_m", F.to_json("footprint").alias("footprint"))
+
+
+@query("src18_tile_exports", """im AS (SELECT ping // 100 AS line, ping % 100 AS row, ping, CASE WHEN side = 'port' THEN 31 - sample ELSE 32 + sample END AS c, v FROM v_sample), sz AS (SELECT line, max(row) + 1 AS n FROM im GROUP BY line),
+ ts AS (SELECT line, least(t * 24, greatest(n - 32, 0)) AS tr, max(t) AS ti FROM sz, unnest(range(0, 5)) AS x(t) WHERE t = 0 OR (t - 1) * 24 < greatest(n - 32, 0) GROUP BY 1, 2), tc AS (SELECT * FROM (VALUES (0, 0), (24, 1), (32, 2)) AS y(tc, tj))
+ SELECT line, line || '_t' || lpad(CAST(ti * 3 + tj AS VARCHAR), 4, '0') AS name, min(ping) AS ping_start, max(ping) AS ping_end, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM im JOIN ts USING (line), tc WHERE row >= tr AND row < tr + 32 AND c >= tc AND c < tc + 32
+ GROUP BY line, ti, tj HAVING count(DISTINCT CASE WHEN ping % 60 BETWEEN 20 AND 45 THEN ping END) <= 0.7 * count(DISTINCT ping)""", V)
+def src18(spark, d):
+    rows = lines(spark, d).withColumns({"masked": (F.col("ping") % 60).between(20, 45), "lat": 13 + F.col("ping") * 1e-6, "lon": F.lit(80.0), "heading_deg": F.lit(0.0)})
+    out = detectors.tile_exports(rows, ["line"], 32, 0.5, 32, 0.25, 0.7)
+    flat = F.flatten("pixels")
+    end = lambda k: F.get_json_object("about", f"$.{k}").cast("long").alias(k)
+    total = F.aggregate(flat, F.lit(0.0), lambda s, x: s + x).cast("long")
+    return out.select("line", "name", end("ping_start"), end("ping_end"), total.alias("total"), F.size(flat).cast("long").alias("n"))
+
+
 LINES = "s AS (SELECT *, ping // 100 AS line FROM v_sample)"
 
 

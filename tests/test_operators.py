@@ -343,3 +343,52 @@ def test_correlated_blocks_lose_no_pair(spark, monkeypatch):
     rows = spark.createDataFrame([(i, i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "id long, split int, v array<double>")
     assert {(r["a"], r["b"]) for r in similarity.correlated(rows, 0.97).collect()} == want and len(want) > 100
     assert {(r["a"], r["b"]) for r in similarity.correlated(rows, 0.97, "split").collect()} == {(a, b) for a, b in want if a % 2 != b % 2}
+
+
+def test_bright_targets_and_regions():
+    import numpy as np
+
+    from pingframe.operators import detectors
+
+    grey = np.full((80, 120), 20.0)
+    grey[10:15, 30:36] = 240  # a target
+    grey[60, 60] = 250  # a speck
+    grey[40:44, 80:84] = grey[44:48, 84:88] = 200  # two that touch at a corner
+    assert [(b[2:6], b[6]) for b in detectors.bright_targets(grey)] == [((30, 10, 36, 15), 30), ((80, 40, 88, 48), 32)]
+    assert detectors.bright_targets(grey)[0][:2] == ("debris_other", 0.6)
+    assert detectors.bright_targets(np.zeros((0, 5))) == [] and detectors.bright_targets(np.full((3, 3), 9.0)) == []
+    assert len(detectors.regions(np.eye(4, dtype=bool))) == 1
+
+
+def test_a_bad_tile_is_passed_over(spark):
+    from pingframe.operators import detectors
+
+    def find(grey):
+        if grey.max() > 90:
+            raise RuntimeError("too bright")
+        return [("pipe", 0.5, 0, 0, 2, 1, 2)]
+
+    rows = spark.createDataFrame([(k, r, [float(90 * k * (r > 3) + c) for c in range(6)]) for k in range(2) for r in range(6)], "line int, row long, v array<double>")
+    got = detectors.detected(detectors.tiled(rows, ["line"], "row", "v", 4, 0.25), ["line"], "row", find).orderBy("line", "tile_row", "tile_col").collect()
+    assert [(r["line"], r["tile_row"], r["tile_col"], r["skipped"]) for r in got] == [(0, 0, 0, False), (0, 0, 2, False), (0, 2, 0, False), (0, 2, 2, False), (1, 0, 0, False), (1, 0, 2, False), (1, 2, 0, True), (1, 2, 2, True)]
+    assert got[3]["x1"] == 2 and got[3]["y1"] == 2 and got[6]["error"] == "RuntimeError: too bright"
+    assert detectors.detected(detectors.tiled(rows.limit(0), ["line"], "row", "v", 4, 0.25), ["line"], "row", find).count() == 0
+    detectors.register("own", find)
+    assert detectors.detector() is find and detectors.detector("bright") is detectors.bright_targets
+    with pytest.raises(ValueError):
+        detectors.detector("none")
+    del detectors._known["own"]
+
+
+def test_tile_exports(spark):
+    import json
+
+    from pingframe.operators import detectors
+
+    rows = spark.createDataFrame([("a", r, 100 + r, [float(c) for c in range(6)], r < 3, 13.0 + r * 1e-5 if r < 5 else None, 80.0, 0.0) for r in range(6)], "line string, row long, ping long, v array<double>, masked boolean, lat double, lon double, heading_deg double")
+    got = detectors.tile_exports(rows, ["line"], 3, 1.0, 4, 0.25, 0.7).orderBy("tile").collect()
+    assert [r["name"] for r in got] == ["a_t0002", "a_t0003"] and got[1]["pixels"][0] == [2, 3, 4, 5]  # the upper tiles are masked by three quarters
+    about = json.loads(got[0]["about"])
+    assert (about["ping_start"], about["ping_end"], about["tile"]) == (102, 105, {"index": 2, "row": 2, "col": 0, "size": 4}) and "corners_latlon" not in about
+    placed = json.loads(detectors.tile_exports(rows.where("row < 5"), ["line"], 3, 1.0, 5, 0.0, 1.0).orderBy("tile").first()["about"])["corners_latlon"]
+    assert placed[0][0] == 13.0 and placed[2][0] == 13.00004 and placed[0][1] < 80 < placed[1][1]
