@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pingframe.operators import detectors, raster
+from pingframe.operators import detectors, features, raster
 from pingframe.operators.similarity import correlated
 from pingframe.plans.registry import query
 from pingframe.plans.views import samples, table, waterfall
@@ -186,6 +186,19 @@ def ras07(spark, d):
     return out.select("path", "cls", "score", "x1", "y1", "x2", "y2", "members", "lat", "lon", "length_m", "width_m", F.to_json("footprint").alias("footprint"))
 
 
+@query("ras13_detection_features")
+def ras13(spark, d):
+    """Features of boxes of 12 rows and 10 columns over the lines; tests hold them against plain computations of each box."""
+    rows = lines(spark, d).withColumnRenamed("row", "y")
+    x1 = F.col("ping") * 7 % 54
+    boxes = rows.where("ping % 5 = 0 and y < 84").select(
+        "line", F.col("ping").alias("id"), F.when(F.col("ping") % 2 == 0, "pipe").otherwise("cylinder").alias("cls"), F.lit(0.5).alias("score"), x1.alias("x1"), F.col("y").alias("y1"), (x1 + 10).alias("x2"), (F.col("y") + 12).alias("y2"),
+        F.lit(6.0).alias("length_m"), F.lit(5.0).alias("width_m"), F.lit(60).alias("pixels"), (F.col("ping") % 360).alias("orientation_deg"), F.lit(30.0).alias("heading_deg"),
+    )
+    out = features.detection_features(boxes, rows, ["line"])
+    return out.select("line", "id", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("line", "id")])
+
+
 @query("src18_tile_exports", """im AS (SELECT ping // 100 AS line, ping % 100 AS row, ping, CASE WHEN side = 'port' THEN 31 - sample ELSE 32 + sample END AS c, v FROM v_sample), sz AS (SELECT line, max(row) + 1 AS n FROM im GROUP BY line),
  ts AS (SELECT line, least(t * 24, greatest(n - 32, 0)) AS tr, max(t) AS ti FROM sz, unnest(range(0, 5)) AS x(t) WHERE t = 0 OR (t - 1) * 24 < greatest(n - 32, 0) GROUP BY 1, 2), tc AS (SELECT * FROM (VALUES (0, 0), (24, 1), (32, 2)) AS y(tc, tj))
  SELECT line, line || '_t' || lpad(CAST(ti * 3 + tj AS VARCHAR), 4, '0') AS name, min(ping) AS ping_start, max(ping) AS ping_end, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM im JOIN ts USING (line), tc WHERE row >= tr AND row < tr + 32 AND c >= tc AND c < tc + 32
