@@ -143,7 +143,7 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     plan = picked.groupBy("doc_id", "source", "size").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__sum"))
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__long"), "__rows", "__sum")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__long"))
-    both = marked.join(plan, same)
+    both = written(marked.join(plan, same), "met")  # read twice, so that texts are counted and shuffled once
     base = F.floor(F.col("__sum") / F.col("__rows"))
     one = both.where("__rows = 1").withColumn("__copies", F.col("__sum"))
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
