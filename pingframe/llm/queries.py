@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingframe.llm import language, leaks, licences, lines, mixing, neighbours, quality, secret, shards, simhash, tokens
+from pingframe.llm import language, leaks, licences, lines, mixing, neighbours, quality, secret, shards, simhash, tokens, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": lambda s, d: mixing.mixed(_table(s, d, "documents")),
     "op9_language": lambda s, d: language.identified(_table(s, d, "documents")),
     "op10_line_dedup": lambda s, d: lines.digest(_table(s, d, "documents")),
+    "op11_vector_codes": lambda s, d: vector_codes.compressed(_table(s, d, "embeddings")),
     "op13_tokens": lambda s, d: tokens.reported(_table(s, d, "documents")),
 }
 
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op6_licences": licences.SQL,
     "op7_decontamination": leaks.SQL,
     "op10_line_dedup": lines.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
