@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,8 +30,8 @@ from pingframe.sources.pages import Pages
 TOKENIZER = "byte_bpe_50k.json"
 #: The id that ends every document.
 END = 0
-#: Ids of a file, about; documents of a span that one call reads, and ids that it holds of them at once.
-FILE_IDS, SPAN_DOCS, SPAN_IDS = 16_000_000, 4_096, 4_000_000
+#: Bytes of text that a file has, about; documents of a span that one call reads, and ids that it holds of them at once.
+FILE_BYTES, SPAN_DOCS, SPAN_IDS = 40 << 20, 4_096, 4_000_000
 #: Pieces of text of a generation whose ids a worker keeps, and characters of the longest one that it keeps.
 KEPT_PIECES, KEPT_CHARS = 500_000, 32
 
@@ -44,7 +44,6 @@ MAGIC = b"PFTOKEF1"
 #: Magic, bytes of an id, ids, documents, those without a doc_id, smallest doc_id, then where each code starts and how many bytes it has.
 TAIL = "<8sIQQQqQQQQ"
 
-ENCODED = "doc_id long, key long, row long, n_tokens long, ids binary"
 MANIFEST = "file int, path string, n_docs long, n_ids long"
 DOCUMENTS = "file int, doc_id long, start long, n_tokens long, ids binary"
 
@@ -247,27 +246,6 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local.group(1)) if local else fs.FileSystem.from_uri(path)
 
 
-def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, key, row, n_tokens, ids) of each row of docs: ids as little-endian bytes, END appended; null texts have END alone.
-
-    key is a hash of the text, row tells equal rows apart once this is stored. Other columns of docs are not read.
-    """
-    small_batches(docs.sparkSession)
-    path = tokenizer or tokenizer_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(path)
-        for b in _lots(batches):
-            ids = encoder.encode(b["text"])
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.kind.itemsize
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["row"], pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "key", "row", "n_tokens", "ids"])
-
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    return rows.mapInArrow(run, ENCODED)
-
-
 class Writer:
     """One file of documents in ascending order; it takes its name only when it is whole, so a task that is lost leaves none of that name."""
 
@@ -281,10 +259,9 @@ class Writer:
         self._docs: list[np.ndarray] = []
         self._nulls = 0
 
-    def add(self, doc_ids: pa.Array, ids: pa.Array) -> None:
-        for x in ids:
-            self._out.write(x.as_buffer())
-        self._lengths.append(np.asarray(pc.binary_length(ids)).astype(np.int64) // self._width)
+    def add(self, doc_ids: pa.Array, ids: list[bytes]) -> None:
+        self._out.write(b"".join(ids))
+        self._lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)) // self._width)
         self._docs.append(np.asarray(doc_ids.drop_null()).astype(np.int64))
         self._nulls += doc_ids.null_count
 
@@ -333,26 +310,31 @@ class Reader:
         return np.frombuffer(self._raw.take(start * self.width, (end - start) * self.width), f"<u{self.width}")
 
 
-def written_files(rows: DataFrame, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
-    """Write rows, as encoded() gives them and stored, in ascending doc_id order (null last, then by text hash); returns (file, path, n_docs, n_ids).
+def written_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Encode docs and write them in ascending doc_id order (null last, then by text hash); returns (file, path, n_docs, n_ids).
 
-    Files take ranges of the order, so a doc_id that a third of the rows share is spread over many files. Every file is written by one task
-    of its own and is the same when that task is repeated. The result is stored, so files are written once.
+    Texts are dealt by ranges of that order, about file_bytes of text each, so a doc_id that a third of the rows share is spread over many
+    files; equal rows go by their place in docs. A task encodes the texts of one range and writes its file, the same one if it is repeated, so
+    the ids are stored nowhere else. The result is stored, so files are written once. Other columns of docs are not read.
     """
-    total, wide = rows.agg(F.sum("n_tokens"), F.max(F.expr("length(ids) div n_tokens"))).first()
-    n = max(1, -(-(total or 0) // file_ids))
+    small_batches(docs.sparkSession)
+    path = tokenizer or tokenizer_path()
+    text = F.col("text").cast("string")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, writer = TaskContext.get().partitionId(), None
-        for b in batches:
-            writer = writer or Writer(folder, file, wide)
-            writer.add(b["doc_id"], b["ids"])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder, file, writer = _encoder(path), TaskContext.get().partitionId(), None
+        for b in _lots(batches):
+            writer = writer or Writer(folder, file, encoder.kind.itemsize)
+            writer.add(b["doc_id"], encoder.encode(b["text"]))
         if writer is not None:
             docs, ids = writer.close()
             yield pa.RecordBatch.from_pylist([{"file": file, "path": writer.path, "n_docs": docs, "n_ids": ids}], pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("key"), F.col("row")]
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(dealt.mapInArrow(run, MANIFEST), "token-files")
 
 
@@ -401,16 +383,14 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def reported(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, file_ids: int = FILE_IDS, span_docs: int = SPAN_DOCS) -> DataFrame:
+def reported(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, file_bytes: int = FILE_BYTES, span_docs: int = SPAN_DOCS) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each row of docs, read back from the files that it is written to.
 
     start: ids of all documents before, in ascending doc_id order (null last; rows that share a doc_id by a hash of their text). n_tokens
     counts the end id, so null and empty texts have 1. ids_crc32 is of the ids as little-endian 32-bit numbers. Extra columns are not read. An
     empty table has no files and no rows. folder: where the files stay (a folder of the application in the shared one, if none is given).
     """
-    spark: SparkSession = docs.sparkSession
-    rows = written(encoded(docs, tokenizer), "token-ids")
-    files = written_files(rows, folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}", file_ids)
+    files = written_files(docs, folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}", tokenizer, file_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

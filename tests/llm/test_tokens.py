@@ -76,11 +76,11 @@ def by_plain_encoding(rows, plain):
     return out
 
 
-@pytest.mark.parametrize("file_ids", [tokens.FILE_IDS, 20_000])
-def test_whole_table(spark, plain, file_ids):
+@pytest.mark.parametrize("file_bytes", [tokens.FILE_BYTES, 50_000])
+def test_whole_table(spark, plain, file_bytes):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = by_plain_encoding(sorted((r["doc_id"], r["text"]) for r in docs.collect()), plain)
-    got = tokens.reported(docs, file_ids=file_ids, span_docs=17)
+    got = tokens.reported(docs, file_bytes=file_bytes, span_docs=17)
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
@@ -101,9 +101,9 @@ def test_odd_rows(spark, plain):
 
 def test_ids_are_read_back(spark, plain):
     docs = spark.createDataFrame([(i, f"text {i} of some\nwords") for i in range(50)], "doc_id long, text string")
-    from pingframe.plans.tables import shared_dir, written
+    from pingframe.plans.tables import shared_dir
 
-    files = tokens.written_files(written(tokens.encoded(docs), "ids"), f"{shared_dir(spark)}/read-back", 100)
+    files = tokens.written_files(docs, f"{shared_dir(spark)}/read-back", file_bytes=100)
     assert files.count() > 1
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in tokens.read_documents(files, 7).collect()}
     assert got == {i: plain(f"text {i} of some\nwords") for i in range(50)}
