@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingframe.llm import language, leaks, licences, lines, mixing, neighbours, quality, secret, shards, simhash, tokens, vector_codes
+from pingframe.llm import language, leaks, licences, lines, mixing, neighbours, quality, ranked, secret, shards, simhash, tokens, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": lambda s, d: language.identified(_table(s, d, "documents")),
     "op10_line_dedup": lambda s, d: lines.digest(_table(s, d, "documents")),
     "op11_vector_codes": lambda s, d: vector_codes.compressed(_table(s, d, "embeddings")),
+    "op12_ranked": lambda s, d: ranked.ranked(_table(s, d, "documents"), _table(s, d, "benchmark")),
     "op13_tokens": lambda s, d: tokens.reported(_table(s, d, "documents")),
 }
 
@@ -34,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": leaks.SQL,
     "op10_line_dedup": lines.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op12_ranked": ranked.SQL,
 }
