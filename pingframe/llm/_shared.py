@@ -27,19 +27,28 @@ def crc32(column: Column) -> Column:
     return F.crc32(column.cast("binary"))
 
 
+def free(df: DataFrame) -> str:
+    """A prefix that no column of df has, whatever its case: own columns beside a caller's take names that start with it."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, bins: Column) -> DataFrame:
     """df with a gapless number from 0 in each group, of rows ordered by bin and then `order`.
 
     bins: some hundreds of values of a hash. Each bin is numbered by itself and starts where the counts of the bins before it end, so a
     group that holds a third of all rows is still sorted by hundreds of tasks. Rows that tie in all of `order` are interchangeable.
     """
-    binned = df.withColumn("__bin", bins)
-    counts = binned.groupBy(*group, "__bin").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bin").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    same = F.col("__bin") == F.col("__b")
+    own = free(df)
+    binned = df.withColumn(f"{own}bin", bins)
+    counts = binned.groupBy(*group, f"{own}bin").agg(F.count("*").alias(f"{own}n"))
+    before = Window.partitionBy(*group).orderBy(f"{own}bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(g).alias(f"{own}g{i}") for i, g in enumerate(group)], F.col(f"{own}bin").alias(f"{own}b"), F.coalesce(F.sum(f"{own}n").over(before), F.lit(0)).alias(f"{own}start"))
+    same = F.col(f"{own}bin") == F.col(f"{own}b")
     for i, g in enumerate(group):
-        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    inside = Window.partitionBy(*group, "__bin").orderBy(*order)
-    out = binned.join(starts, same).withColumn(name, (F.col("__start") + F.row_number().over(inside) - 1).cast("long"))
-    return out.select(*df.columns, name)
+        same &= F.col(g).eqNullSafe(F.col(f"{own}g{i}"))
+    inside = Window.partitionBy(*group, f"{own}bin").orderBy(*order)
+    out = binned.join(starts, same).withColumn(name, (F.col(f"{own}start") + F.row_number().over(inside) - 1).cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], name)

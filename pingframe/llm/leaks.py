@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from pingframe.llm._shared import small_batches
+from pingframe.llm._shared import free, small_batches
 from pingframe.plans.tables import written
 
 WINDOW = 10
@@ -95,8 +95,8 @@ def matches(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, in
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """The items, block after block; a block is bounded by its bytes, so no more than that is on the driver or in a task at once."""
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    """The distinct items, block after block; a block is bounded by its bytes, so no more than that is on the driver or in a task at once."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
@@ -134,12 +134,13 @@ def _search(block: Broadcast):
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of docs, __words and __found: an array of (item_id, word, item_word, length), the longest matches of each document.
+    """The columns of docs, then its number of words and what was found, named words and found after a prefix that docs has not (see free): an array of (item_id, word, item_word, length), the longest matches of each document.
 
     Items of one block take one pass over docs, without a shuffle. More items take a pass for each block: the matches of a block, by a
     128-bit hash of the text, are stored before the next block is read, and all are joined to docs in the end.
     """
     small_batches(docs.sparkSession)
+    p = free(docs)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col("text").cast("string")
     blocks, sc = _blocks(benchmark, block_bytes), docs.sparkSession.sparkContext
@@ -151,12 +152,12 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
         held = later
     last = sc.broadcast(Items(*held, window))
     if not stored:
-        return docs.withColumn("__got", _search(last)(text)).select(*columns, F.col("__got.n").alias("__words"), F.col("__got.found").alias("__found"))
-    every = reduce(DataFrame.unionByName, [*stored, _stored(docs, text, last)])
-    gathered = every.groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("found")).alias("__found"))
-    worded = docs.withColumn("__words", _counted(text)).withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(1), text))
-    both = worded.join(gathered, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
-    return both.select(*columns, "__words", F.coalesce("__found", F.array().cast(FOUND)).alias("__found"))
+        return docs.withColumn(f"{p}got", _search(last)(text)).select(*columns, F.col(f"{p}got.n").alias(f"{p}words"), F.col(f"{p}got.found").alias(f"{p}found"))
+    every = reduce(DataFrame.unionByName, [*stored, _stored(docs, text, last)]).select(F.col("h1").alias(f"{p}h1"), F.col("h2").alias(f"{p}h2"), "found")
+    gathered = every.groupBy(f"{p}h1", f"{p}h2").agg(F.flatten(F.collect_list("found")).alias(f"{p}found"))
+    worded = docs.withColumn(f"{p}words", _counted(text)).withColumn(f"{p}k1", F.xxhash64(text)).withColumn(f"{p}k2", F.xxhash64(F.lit(1), text))
+    both = worded.join(gathered, (F.col(f"{p}k1") == F.col(f"{p}h1")) & (F.col(f"{p}k2") == F.col(f"{p}h2")), "left")
+    return both.select(*columns, f"{p}words", F.coalesce(f"{p}found", F.array().cast(FOUND)).alias(f"{p}found"))
 
 
 @F.pandas_udf(LongType())
@@ -165,14 +166,14 @@ def _counted(texts: pd.Series) -> pd.Series:
 
 
 def _stored(docs: DataFrame, text: Column, block: Broadcast) -> DataFrame:
-    """(__h1, __h2, found) of the texts of docs in which items of block occur, equal texts once."""
-    got = docs.select(F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2"), _search(block)(text)["found"].alias("found"))
-    return written(got.where(F.size("found") > 0).groupBy("__h1", "__h2").agg(F.first("found").alias("found")), "found")
+    """(h1, h2, found) of the texts of docs in which items of block occur, equal texts once."""
+    got = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), _search(block)(text)["found"].alias("found"))
+    return written(got.where(F.size("found") > 0).groupBy("h1", "h2").agg(F.first("found").alias("found")), "found")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no window of an item occurs; columns stay as they are. Documents without words stay."""
-    return searched(docs, benchmark, window).where(F.size("__found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs in which no window of an item occurs; columns stay as they are, whatever their names. Documents without words stay."""
+    return searched(docs, benchmark, window).where(F.size(f"{free(docs)}found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def reported(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

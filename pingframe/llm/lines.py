@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pingframe.llm._shared import free
 from pingframe.plans.tables import written
 
 WINDOW = 3
@@ -39,17 +40,19 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of docs, with text less its repeated lines, and n_lines, n_removed.
 
-    Texts of fewer lines than a window have none and stay whole; a null text stays null with no lines; repeated rows all stay.
+    Texts of fewer lines than a window have none and stay whole; a null text stays null with no lines; repeated rows all stay. Columns of docs
+    named like the two results stay beside them.
     """
-    gone = repeated_lines(docs, window).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
-    both = both.withColumn("__lines", F.split("text", "\n", -1))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    p = free(docs)
+    gone = repeated_lines(docs, window).select(F.col("doc_id").alias(f"{p}id"), F.col("th").alias(f"{p}th"), F.col("gone").alias(f"{p}gone"))
+    marked = docs.withColumn(f"{p}hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    both = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}th")), "left")
+    both = both.withColumn(f"{p}lines", F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(f"{p}lines") - 1), F.col(f"{p}gone"))
+    text = F.when(F.col(f"{p}gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(f"{p}lines", i)), "\n"))
     others = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    return both.select(*others, F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    n = F.coalesce(F.size(f"{p}lines"), F.lit(0))
+    return both.select(*others, F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size(f"{p}gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

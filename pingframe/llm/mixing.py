@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from pingframe.llm._shared import numbered, small_batches
+from pingframe.llm._shared import free, numbered, small_batches
 from pingframe.plans.tables import written
 
 #: Weights of the sources in turn, the share of all sizes to take, the most a source or document is taken.
@@ -138,17 +138,18 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     dealt to its rows in the order of a hash of the whole row, so the group's total is kept; a group that holds a third of all rows (one
     null doc_id, say) is numbered in hash bins.
     """
-    marked = docs.withColumn("__source", F.col("source").cast("string")).withColumn("__size", words_in(F.col("text").cast("string")))
+    p = free(docs)
+    marked = docs.withColumn(f"{p}source", F.col("source").cast("string")).withColumn(f"{p}size", words_in(F.col("text").cast("string")))
     picked = mixed(docs, weights, share, most, seed, keep_source=True)
-    plan = picked.groupBy("doc_id", "source", "size").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__sum"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__long"), "__rows", "__sum")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__long"))
+    plan = picked.groupBy("doc_id", "source", "size").agg(F.count("*").alias(f"{p}rows"), F.sum("copies").alias(f"{p}sum"))
+    plan = plan.select(F.col("doc_id").alias(f"{p}id"), F.col("source").alias(f"{p}of"), F.col("size").alias(f"{p}long"), f"{p}rows", f"{p}sum")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & F.col(f"{p}source").eqNullSafe(F.col(f"{p}of")) & (F.col(f"{p}size") == F.col(f"{p}long"))
     both = marked.join(plan, same)
-    base = F.floor(F.col("__sum") / F.col("__rows"))
-    one = both.where("__rows = 1").withColumn("__copies", F.col("__sum"))
+    base = F.floor(F.col(f"{p}sum") / F.col(f"{p}rows"))
+    one = both.where(f"{p}rows = 1").withColumn(f"{p}copies", F.col(f"{p}sum"))
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    alike = both.where("__rows > 1").withColumn("__hash", hashed)
-    placed = numbered(alike, ["__id", "__of", "__long"], ["__hash"], "__place", F.pmod("__hash", F.lit(256))).drop("__hash")
-    many = placed.withColumn("__copies", base + F.when(F.col("__place") < F.col("__sum") - base * F.col("__rows"), 1).otherwise(0)).drop("__place")
-    out = one.unionByName(many).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alike = both.where(f"{p}rows > 1").withColumn(f"{p}hash", hashed)
+    placed = numbered(alike, [f"{p}id", f"{p}of", f"{p}long"], [f"{p}hash"], f"{p}place", F.pmod(f"{p}hash", F.lit(256))).drop(f"{p}hash")
+    many = placed.withColumn(f"{p}copies", base + F.when(F.col(f"{p}place") < F.col(f"{p}sum") - base * F.col(f"{p}rows"), 1).otherwise(0)).drop(f"{p}place")
+    out = one.unionByName(many).where(f"{p}copies > 0")
+    return out.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -43,7 +43,7 @@ def sharded(docs: DataFrame, shards: int = 24, weights: list[float] | None = Non
 
     The law is `key`: doc_id and the shard count decide. size: UTF-8 bytes of the text (null: none) plus 8; text_crc32 of a null text is
     that of the empty one. slot: gapless from 0 in each shard, in an order of hashes that reruns keep; rows equal in doc_id, size and
-    CRC are interchangeable. grown_shard: the shard with one more shard of the mean weight. Rows with the same or a null doc_id share a
+    CRC are interchangeable, and texts that share one doc_id are numbered in many bins. grown_shard: the shard with one more shard of the mean weight. Rows with the same or a null doc_id share a
     shard. Each shard's hash is taken once a row; the rows without their texts are stored and then numbered.
     """
     weights = weights or [1.0] * shards
@@ -53,7 +53,7 @@ def sharded(docs: DataFrame, shards: int = 24, weights: list[float] | None = Non
     grown = F.when(F.col("more") > F.col("best"), -F.col("more.shard")).otherwise(-F.col("best.shard"))
     rows = written(rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), (-F.col("best.shard")).cast("int").alias("shard"), grown.cast("int").alias("grown_shard")), "dealt")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bins = F.substring(F.md5(F.concat(F.lit("slot:"), key).cast("binary")), 1, 3)
+    bins = F.substring(F.md5(F.concat_ws(":", F.lit("slot"), key, "text_crc32", "size").cast("binary")), 1, 3)
     out = numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", bins)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -76,6 +76,6 @@ crc AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::BIGINT, li
 val AS (SELECT doc_id, n, -1.0 / ln((('0x' || substr(md5('k' || doc_id || ':' || n), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) AS v FROM docs, range(25) AS x(n)),
 own AS (SELECT doc_id, CAST(arg_max(n, v) FILTER (WHERE n < 24) AS INTEGER) AS shard, CAST(arg_max(n, v) AS INTEGER) AS grown_shard FROM val GROUP BY doc_id)
 SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot:' || doc_id), 1, 3), doc_id) - 1 AS BIGINT) AS slot, grown_shard
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot:' || doc_id || ':' || text_crc32 || ':' || (strlen(text) + 8)), 1, 3), doc_id) - 1 AS BIGINT) AS slot, grown_shard
 FROM crc JOIN own USING (doc_id)
 """

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pingframe.llm._shared import small_batches
+from pingframe.llm._shared import free, small_batches
 from pingframe.operators.graph import connected
 from pingframe.plans.tables import written
 
@@ -400,32 +400,33 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     Groups are the components of pairs whose sets of distinct five-word shingles have a Jaccard similarity of at least `similarity`, each
     verified. Candidates share a list of the index over sampled prints and at least SHARED of their 80 positional bytes. Equal sets
-    are one node. Rows equal in all columns are one document. Columns and types stay as they are; null texts are empty, and texts
+    are one node. Rows equal in all columns are one document. Columns and types stay as they are, whatever their names; null texts are empty, and texts
     without words are one group.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__row", F.xxhash64(*columns))
-    slim = marked.select(F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"), "text")
+    p = free(docs)
+    marked = docs.withColumn(f"{p}row", F.xxhash64(*columns))
+    slim = marked.select(F.col("doc_id").alias("doc_id"), F.col(f"{p}row").alias("row"), "text")
     prints = written(sketches(slim, words, ("doc_id", "row")), "prints")
     nodes = prints.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.count("*").alias("copies"), _first(["doc_id", "row"]))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     indexed = nodes.where("n > 0").select("node", "fp")
     near = written(connected(near_links(indexed, runs(), near_bytes(64), near_bytes(SHARED))), "near")
-    wanted = nodes.join(near, "node").select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__of"), "node", "root", "fp")
-    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of"))
-    texts = marked.select("doc_id", "__row", "text").join(_sent(written(wanted, "wanted")), mine).groupBy("node", "root", "fp").agg(F.first("text").alias("text"))
+    wanted = nodes.join(near, "node").select(F.col("first.doc_id").alias(f"{p}id"), F.col("first.row").alias(f"{p}of"), "node", "root", "fp")
+    mine = F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}row") == F.col(f"{p}of"))
+    texts = marked.select("doc_id", f"{p}row", "text").join(_sent(written(wanted, "wanted")), mine).groupBy("node", "root", "fp").agg(F.first("text").alias("text"))
     roots = connected(verified(texts, words, similarity))
     grouped = firsts_of(nodes, roots).join(nodes.where("copies > 1").select("node", F.lit(True).alias("several")).unionByName(
         roots.select("node", F.lit(True).alias("several"))).distinct(), "node", "left_semi")
     touched = nodes.select("node", "k1", "k2").join(grouped, "node").select("k1", "k2", "first")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
-    met = written(prints.select("doc_id", "row", "k1", "k2").join(touched, ["k1", "k2"]).select(F.col("doc_id").alias("__id"), F.col("row").alias("__of"), own.alias("stays")), "met")
-    gone = written(met.where("not stays").select("__id", "__of").distinct(), "gone")
-    twice = written(met.where("stays").groupBy("__id", "__of").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__of"), "twice")
+    met = written(prints.select("doc_id", "row", "k1", "k2").join(touched, ["k1", "k2"]).select(F.col("doc_id").alias(f"{p}id"), F.col("row").alias(f"{p}of"), own.alias("stays")), "met")
+    gone = written(met.where("not stays").select(f"{p}id", f"{p}of").distinct(), "gone")
+    twice = written(met.where("stays").groupBy(f"{p}id", f"{p}of").agg(F.count("*").alias("n")).where("n > 1").select(f"{p}id", f"{p}of"), "twice")
     kept = marked.join(_sent(gone), mine, "left_anti")
     if twice.isEmpty():
         return kept.select(*columns)
     sent = _sent(twice)
-    same = Window.partitionBy("doc_id", "__row").orderBy("__row")
-    again = kept.join(sent, mine, "left_semi").withColumn("__copy", F.row_number().over(same)).where(F.col("__copy") == 1).drop("__copy")
+    same = Window.partitionBy("doc_id", f"{p}row").orderBy(f"{p}row")
+    again = kept.join(sent, mine, "left_semi").withColumn(f"{p}copy", F.row_number().over(same)).where(F.col(f"{p}copy") == 1).drop(f"{p}copy")
     return kept.join(sent, mine, "left_anti").unionByName(again).select(*columns)

@@ -712,3 +712,23 @@ def test_pipeline_stages(spark, labels):
     run = corpus_pipeline.run(spark, SF).toPandas()
     order = ["doc_id", "slot"]
     pd.testing.assert_frame_equal(run.sort_values(order).reset_index(drop=True), out.sort_values(order).reset_index(drop=True))
+
+
+def test_columns_of_any_name_stay(spark, labels):
+    """Columns named like the operators' own ones, and like those that take their place, keep their values."""
+    docs = spark.createDataFrame([(i, f"line a {i % 7}\nline b\nline c\nline d {' '.join(prose(1, i % 9))}", "a") for i in range(40)], "doc_id long, text string, source string")
+    names = [f"{p}{c}" for p in ("__", "___") for c in "row id of copy source size rows sum long copies hash place bin n b start g0 th gone lines got words found k1 k2 h1 h2".split()]
+    wide = spark.createDataFrame([(*r, *(f"keep {c} {r[0]}" for c in names)) for r in docs.collect()], ", ".join([docs.schema.simpleString()[7:-1].replace(":", " "), *(f"{c} string" for c in names)]))
+    benchmark = spark.createDataFrame([(1, prose(1, 3)[0]), (1, prose(1, 3)[0])], "item_id long, text string")
+    for f in (simhash.deduplicated, mixing.drawn, lines.without_repeats, lambda d: leaks.decontaminated(d, benchmark), lambda d: quality.accepted(d, labels)):
+        got, plain = f(wide).collect(), f(docs).select("doc_id", "text").collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(map(tuple, plain)) and len(got)
+        assert all(r[c] == f"keep {c} {r['doc_id']}" for r in got for c in names)
+
+
+def test_shards_of_one_hot_key_are_numbered_in_bins(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i % 150}") for i in range(600)], "doc_id long, text string")
+    rows = shards.sharded(docs).toPandas()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+    plan = shards.sharded(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"concat_ws\(:, slot.*text_crc32.*size", plan)
