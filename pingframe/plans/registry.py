@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None, *on: str) -> Callable:
     return add
 
 
-for _module in ("detections", "navigation", "waterfall", "evaluation", "catalogue", "jobs", "exports", "models"):
+for _module in ("detections", "navigation", "waterfall", "evaluation", "catalogue", "jobs", "exports", "models", "masks"):
     importlib.import_module(f"pingframe.plans.{_module}")
