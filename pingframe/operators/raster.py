@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pingframe.operators.blocks import median_filtered, numbered_rows
 from pingframe.operators.ranking import percentiles
-from pingframe.operators.series import edge_mean, interpolated, running_median
+from pingframe.operators.series import edge_mean, interpolated
 from pingframe.plans.tables import written
 
 
@@ -168,14 +170,14 @@ def bottom_track(firsts: DataFrame, by: list[str], ping: str, run: int = 5, wind
     """firsts with `tracked`: gaps filled along the line, values over half off a long running median replaced, then a running median.
 
     Runs of pings without a near return jump far out, which a short median cannot remove. Medians have odd windows with replicated
-    edges; a window is an array of its own rows.
+    edges, and are taken by blocks of pings and those around them.
     """
-    filled = interpolated(firsts, "first_return", ping, by, "__first")
-    trend = filled.withColumn("__trend", running_median(F.col("__first"), by, ping, long))
+    filled = numbered_rows(interpolated(firsts, "first_return", ping, by, "__first"), by, ping, "__at")
+    trend = median_filtered(filled, by, "__at", "__first", long, "__trend")
     good = F.col("first_return").isNotNull() & (F.abs(F.col("__first") - F.col("__trend")) <= F.greatest(0.5 * F.col("__trend"), F.lit(float(run))))
     again = interpolated(trend.withColumn("__good", F.when(good, F.col("first_return"))), "__good", ping, by, "__whole")
     whole = again.withColumn("__whole", F.coalesce("__whole", "__first"))
-    return whole.withColumn("tracked", running_median(F.col("__whole"), by, ping, window)).drop("__first", "__trend", "__good", "__whole")
+    return median_filtered(whole, by, "__at", "__whole", window, "tracked").drop("__at", "__first", "__trend", "__good", "__whole")
 
 
 def chosen_altitude(recorded: Column, tracked: Column, mode: str = "auto", tolerance: float = 0.25) -> tuple[Column, Column]:
@@ -283,26 +285,48 @@ def _nearest_of(probes: DataFrame, bank: DataFrame) -> DataFrame:
     return probes.select("id", nearest("v").alias("distance"))
 
 
-def coreset(vectors: DataFrame, size: int) -> list[int]:
-    """Ids of a farthest-first selection: the smallest id, then ever the vector farthest from those chosen (ties: smaller id).
+def _farthest(x: np.ndarray, size: int) -> list[int]:
+    """Places of a farthest-first walk over the rows of x from the first one on (ties: the first); it ends where all rows are chosen ones."""
+    chosen, near = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < size and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return chosen
+
+
+#: Picks that one task picks from.
+PICKS = 50_000
+
 
-    Every step is one pass with a partial maximum; the distances so far travel with the rows.
+def coreset(vectors: DataFrame, size: int, dims: int = 128, seed: int = 0) -> DataFrame:
+    """(rank, id, v) of up to `size` of the vectors (id, v) that lie far from each other; rank 0 is a smallest id.
+
+    Each batch of rows gives its farthest-first picks, and picks are picked from again until one task can walk over those left: no job a vector, and no
+    more than a batch in memory. Where one batch holds all vectors this is the plain walk, which covers them within twice the least possible radius;
+    every further level adds as much, so two levels cover within four times that radius. Vectors of more than `dims` numbers are compared by a
+    seeded random projection to so many. Nulls are left out.
     """
-    first = vectors.orderBy("id").select("id", "v").first()
-    if first is None:
-        return []
-    chosen, now = [first["id"]], vectors.select("id", "v", F.lit(float("inf")).alias("d"))
-    at = first["v"]
-    for k in range(size - 1):
-        now = now.withColumn("d", F.least("d", squared_distance(F.col("v"), F.array(*map(F.lit, at)))))
-        if k % 4 == 3:
-            now = written(now, "coreset")
-        far = now.agg(F.max(F.struct("d", (-F.col("id")).alias("i"), "v")).alias("m")).first()["m"]
-        if not far["d"]:
-            break
-        chosen.append(-far["i"])
-        at = far["v"]
-    return chosen
+
+    def picks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                b = b.sort_values("id", kind="stable")
+                x = np.stack(b["v"].to_numpy()).astype(np.float64)
+                if x.shape[1] > dims:
+                    x = x @ np.random.default_rng(seed).normal(size=(x.shape[1], dims)) / np.sqrt(dims)
+                own = b.iloc[_farthest(x, size)]
+                yield own.assign(rank=np.arange(len(own), dtype=np.int32))[["rank", "id", "v"]]
+
+    kinds = dict(vectors.dtypes)
+    schema = f"rank int, id {kinds['id']}, v {kinds['v']}"
+    now = written(vectors.select("id", "v").where("id is not null and v is not null").mapInPandas(picks, schema), "picks")
+    while (n := now.count()) > PICKS and n > 2 * size:
+        now = written(now.select("id", "v").repartition(-(-n // PICKS)).mapInPandas(picks, schema), "picks")
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from picks(iter([pd.concat(held)] if (held := list(batches)) else []))
+
+    return now.select("id", "v").coalesce(1).mapInPandas(last, schema)
 
 
 def dark_run(dark: Column, most_gap: int = 3) -> Column:

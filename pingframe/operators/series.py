@@ -22,25 +22,6 @@ def edge_mean(value: Column, by: list[str], order: str, before: int, after: int)
     return (inside + left + right) / (before + after + 1)
 
 
-def running_median(value: Column, by: list[str], order: str, window: int) -> Column:
-    """Median over a centred window of at most `window` rows with replicated edges; a line shorter than the window takes an odd one that fits.
-
-    A window's values are sorted in an array of its own.
-    """
-    every = Window.partitionBy(*by).orderBy(order)
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    half = window // 2
-    i, n = F.row_number().over(every) - 1, F.count("*").over(whole)
-    reach = F.least(F.lit(half), F.floor((n - 1) / 2).cast("int"))
-    near = F.collect_list(value).over(every.rowsBetween(-half, half))
-    first = F.greatest(i - half, F.lit(0))
-    lo, hi = F.greatest(i - reach, F.lit(0)), F.least(i + reach, n - 1)
-    inside = F.slice(near, (lo - first + 1).cast("int"), (hi - lo + 1).cast("int"))
-    left = F.array_repeat(F.get(near, (lo - first).cast("int")), F.greatest(reach - i, F.lit(0)).cast("int"))
-    right = F.array_repeat(F.get(near, (hi - first).cast("int")), F.greatest(i + reach - (n - 1), F.lit(0)).cast("int"))
-    return F.get(F.array_sort(F.concat(left, inside, right)), reach)
-
-
 def smoothed_heading(rows: DataFrame, heading: str, by: list[str], order: str, window: int = 25) -> DataFrame:
     """heading_smooth: circular mean over a centred odd window with replicated edges; missing headings weigh nothing, and a window
     without any gives null."""

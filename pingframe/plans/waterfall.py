@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pingframe.operators import detectors, features, raster
+from pingframe.operators import blocks, detectors, features, raster
 from pingframe.operators.similarity import correlated
 from pingframe.plans.registry import query
 from pingframe.plans.views import samples, table, waterfall
@@ -131,8 +131,49 @@ def agg26(spark, d):
 @query("ras10_coreset")
 def ras10(spark, d):
     """Farthest-first selection: rank and id of the chosen vectors."""
-    ids = raster.coreset(vectors(spark, d), 8)
-    return spark.createDataFrame([(n, i) for n, i in enumerate(ids)], "rank int, id long")
+    return raster.coreset(vectors(spark, d), 8).select("rank", "id")
+
+
+@query("ras09_coreset_distance")
+def ras09b(spark, d):
+    """Distance of vectors to the nearest of a bank of bounded size, picked of the normal ones; tests hold it against a plain walk."""
+    v = vectors(spark, d)
+    return raster.bank_distance(v.where("label >= 5"), raster.coreset(v.where("label < 5"), 32)).select("id", F.round("distance", 6).alias("distance"))
+
+
+def grey_lines(spark, d):
+    """Lines of 100 pings, a row for each ping: v an array of grey levels up to 255."""
+    return lines(spark, d).withColumn("v", F.transform("v", lambda x: F.least(x, F.lit(255.0))))
+
+
+LINE_IMAGE = "im AS (SELECT ping // 100 AS line, ping % 100 AS r, CASE WHEN side = 'port' THEN 31 - sample ELSE 32 + sample END AS c, least(v, 255) AS v FROM v_sample), sz AS (SELECT line, max(r) AS n FROM im GROUP BY line)"
+
+
+@query("ras09_blurred_heat", f"""{LINE_IMAGE}, w AS (SELECT k, exp(-k * k / 4.5e0) / sum(exp(-k * k / 4.5e0)) OVER () AS w FROM unnest(range(-6, 7)) AS x(k)),
+ a AS (SELECT im.line, im.r, im.c, sum(w * o.v) AS v FROM im, w, im o WHERE o.line = im.line AND o.r = im.r AND o.c = CASE WHEN im.c + k < 0 THEN -im.c - k WHEN im.c + k > 63 THEN 126 - im.c - k ELSE im.c + k END GROUP BY 1, 2, 3),
+ b AS (SELECT a.line, a.r, a.c, CASE WHEN n = 0 THEN 0 WHEN abs(a.r + k) % (2 * n) > n THEN 2 * n - abs(a.r + k) % (2 * n) ELSE abs(a.r + k) % (2 * n) END AS o, w FROM a JOIN sz USING (line), w)
+ SELECT b.line, b.r AS row, round(sum(w * a.v * (b.c + 1)), 4) AS total FROM b JOIN a ON a.line = b.line AND a.r = o AND a.c = b.c GROUP BY b.line, b.r""", V)
+def ras09c(spark, d):
+    """Heat of lines blurred by a Gauss curve of 1.5 cells, as a weighted total of each row."""
+    out = blocks.blurred(grey_lines(spark, d), ["line"], "row", "v", 1.5, "soft")
+    total = F.aggregate(F.transform("soft", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("line", "row", F.round(total, 4).alias("total"))
+
+
+def _around(half: int) -> str:
+    return f"""(SELECT k.line, k.r, k.c, k.v, avg(o.v) AS m, greatest(avg(o.v * o.v) - avg(o.v) * avg(o.v), 0) AS s
+ FROM (SELECT im.*, CASE WHEN r + dr < 0 THEN -r - dr - 1 WHEN r + dr > n THEN 2 * n + 1 - r - dr ELSE r + dr END AS sr, CASE WHEN c + dc < 0 THEN -c - dc - 1 WHEN c + dc > 63 THEN 127 - c - dc ELSE c + dc END AS sc
+  FROM im JOIN sz USING (line), unnest(range(-{half}, {half + 1})) AS a(dr), unnest(range(-{half}, {half + 1})) AS b(dc)) k JOIN im o ON o.line = k.line AND o.r = k.sr AND o.c = k.sc GROUP BY 1, 2, 3, 4)"""
+
+
+@query("ras02_channels", f"""{LINE_IMAGE}, l AS {_around(2)}, t AS {_around(3)}, z AS (SELECT line, avg(s) AS noise FROM l GROUP BY line)
+ SELECT l.line, l.r AS row, CAST(sum(l.v * (l.c + 1)) AS BIGINT) AS raw, CAST(sum(greatest(0, least(255, round_even(round(l.m + coalesce(l.s / nullif(l.s + noise, 0), 0) * (l.v - l.m), 9), 0))) * (l.c + 1)) AS BIGINT) AS lee, CAST(sum(greatest(0, least(255, round_even(round(2 * sqrt(t.s), 9), 0))) * (l.c + 1)) AS BIGINT) AS texture
+ FROM l JOIN t USING (line, r, c) JOIN z ON z.line = l.line GROUP BY l.line, l.r""", V)
+def ras02b(spark, d):
+    """Raw, despeckled and texture channels of lines, as weighted totals of each row."""
+    out = blocks.channels(grey_lines(spark, d), ["line"], "row", "v")
+    total = lambda k: F.aggregate(F.transform(F.get("channels", F.lit(k)), lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("line", "row", total(0).alias("raw"), total(1).alias("lee"), total(2).alias("texture"))
 
 
 @query("src17_normal_tiles", "SELECT label, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(CASE WHEN v < 5 THEN 1e0 ELSE 0e0 END), 6) AS dark FROM (SELECT label, s.v FROM v_sample s JOIN embeddings e ON e.vec_id = s.ping) GROUP BY label HAVING avg(v) >= 12 AND stddev_pop(v) >= 4 AND avg(CASE WHEN v < 5 THEN 1e0 ELSE 0e0 END) <= 0.3", V)
