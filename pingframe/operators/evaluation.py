@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product
+from heapq import heapify, heappop, heappush, heapreplace
+from itertools import product, zip_longest
 
 import numpy as np
 import pandas as pd
@@ -288,12 +289,7 @@ def splits(sites: list[tuple[str, int]], shares: dict[str, float], positives: di
     names, total = list(shares), sum(n for _, n in order) or 1
     allowed = [[k for k in names if k != "train" or s not in not_train] for s, _ in order]
     if len(order) > TRIED_SITES:
-        held, out = dict.fromkeys(names, 0), {}
-        for i, (site, n) in enumerate(order):
-            first = i < len(names) and names[i] in allowed[i]
-            out[site] = names[i] if first else max(allowed[i], key=lambda k: shares[k] - held[k] / total)
-            held[out[site]] += n
-        return out
+        return _by_shortfall(order, shares, allowed)
     best: tuple[float, tuple[str, ...]] | None = None
     for way in product(*allowed):
         held, found = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
@@ -310,6 +306,28 @@ def splits(sites: list[tuple[str, int]], shares: dict[str, float], positives: di
     return dict(zip([s for s, _ in order], best[1], strict=True))
 
 
+def _by_shortfall(order: list[tuple[str, int]], shares: dict[str, float], allowed: list[list[str]]) -> dict[str, str]:
+    """Sites, largest first, to splits: as many as there are splits open these in turn, then a heap gives the one that lacks most.
+
+    An entry of the heap is (held less share, place of the split, held); entries that a site may not take are put back.
+    """
+    names, total = list(shares), sum(n for _, n in order) or 1
+    heap = [(-share, i, 0) for i, share in enumerate(shares.values())]
+    heapify(heap)
+    out = {}
+    for (site, n), may, opened in zip_longest(order, allowed, names[: len(order)]):
+        wanted = {opened} & set(may) or set(may)
+        aside = []
+        while names[heap[0][1]] not in wanted:
+            aside.append(heappop(heap))
+        _, i, held = heap[0]
+        heapreplace(heap, ((held + n) / total - shares[names[i]], i, held + n))
+        for entry in aside:
+            heappush(heap, entry)
+        out[site] = names[i]
+    return out
+
+
 def site_splits(items: DataFrame, site: str, shares: dict[str, float], positive: Column | None = None) -> DataFrame:
     """(site, n, split) of each site of items; sites that are null have no split. Over MOST_SITES sites are refused."""
     counts = items.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("n"), F.count_if(positive if positive is not None else F.lit(False)).alias("positives"))

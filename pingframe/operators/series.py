@@ -125,7 +125,7 @@ def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps:
     """(by, at, accepted): fixes that are missing, zero or out of range go; then, outwards from the fix nearest the median position, a
     fix stays if its distance to the last one that stayed is at most most_mps * time + noise_m.
 
-    The walk depends on its own past, so the fixes of a line (one boat's track) are walked in one call, each once.
+    What stays depends on what stayed before, so the fixes of a line (one boat's track) meet in one call.
     """
     fine = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~((F.col("lat") == 0) & (F.col("lon") == 0)) & (F.abs("lat") <= 90) & (F.abs("lon") <= 180)
     good = rows.where(fine).select(*by, F.col(at).alias("at"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(seconds).cast("double").alias("t"))
@@ -133,23 +133,41 @@ def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps:
 
     def walk(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("at", kind="stable")
-        lat, lon, t = np.radians(b["lat"].to_numpy()), np.radians(b["lon"].to_numpy()), b["t"].to_numpy()
-        metres = lambda i, j: _metres(lat[i], lon[i], lat[j], lon[j])
-        middle = _metres(np.radians(b["lat"].median()), np.radians(b["lon"].median()), lat, lon)
-        anchor = int(np.argmin(middle))
-        stays = np.zeros(len(b), dtype=bool)
-        stays[anchor] = True
-        for way in (range(anchor + 1, len(b)), range(anchor - 1, -1, -1)):
-            last = anchor
-            for i in way:
-                if metres(last, i) <= most_mps * abs(t[i] - t[last]) + noise_m:
-                    stays[i], last = True, i
-        return b[[*by, "at"]][stays]
+        places = np.radians(b[["lat", "lon"]].to_numpy())
+        seconds = b["t"].to_numpy()
+        middle = int(_metres(*np.radians(b[["lat", "lon"]].median().to_numpy()), *places.T).argmin())
+        later = middle + _reached(places[middle:], seconds[middle:], most_mps, noise_m)
+        earlier = middle - _reached(places[middle::-1], seconds[middle::-1], most_mps, noise_m)
+        return b[[*by, "at"]].iloc[np.union1d(earlier, later)]
 
     stayed = good.groupBy(*by).applyInPandas(walk, kinds).withColumnRenamed("at", at).withColumn("accepted", F.lit(True))
     return rows.select(*by, at).join(stayed, [*by, at], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
+def _reached(places: np.ndarray, seconds: np.ndarray, most_mps: float, noise_m: float) -> np.ndarray:
+    """Numbers of the fixes that a boat at the first one can have been at, each from the one reached before.
+
+    The steps between neighbours are rated at once, and stretches without a step that is too long are taken whole. Behind such a step the next fix in
+    reach is looked for in stretches that double.
+    """
+
+    def within(one: int, others: slice) -> np.ndarray:
+        return _metres(*places[one], *places[others].T) <= most_mps * np.abs(seconds[others] - seconds[one]) + noise_m
+
+    step = _metres(*places[:-1].T, *places[1:].T) <= most_mps * np.abs(np.diff(seconds)) + noise_m
+    breaks = np.append(np.flatnonzero(~step), len(places) - 1)
+    stretches, here = [], 0
+    while here < len(places):
+        stop = int(breaks[np.searchsorted(breaks, here)])
+        stretches.append(np.arange(here, stop + 1))
+        here, width = stop + 2, 8
+        while here < len(places) and not (near := within(stop, slice(here, here + width))).any():
+            here, width = here + width, 2 * width
+        if here < len(places):
+            here += int(near.argmax())
+    return np.concatenate(stretches)
+
+
 def _metres(lat0: np.ndarray, lon0: np.ndarray, lat1: np.ndarray, lon1: np.ndarray) -> np.ndarray:
     """Great-circle distance of positions in radians."""
     h = np.sin((lat1 - lat0) / 2) ** 2 + np.cos(lat0) * np.cos(lat1) * np.sin((lon1 - lon0) / 2) ** 2

@@ -58,7 +58,7 @@ def test_tiles():
     assert raster.tile_starts(100, 640, 0.25) == [0]
 
 
-@pytest.mark.parametrize("conf, anomaly, want", [(79.9, 0, "review"), (80, 0, "hazard"), (50, 0, "review"), (49.9, 0.6, "anomaly"), (49.9, 0.4, "hidden"), (30, 0.5, "anomaly"), (29.9, 0.9, "hidden")])
+@pytest.mark.parametrize("conf, anomaly, want", [(79.99, 0.97, "review"), (80, 0.1, "hazard"), (93, 1, "hazard"), (50, 0.8, "review"), (49.99, 0.51, "anomaly"), (44, 0.49, "hidden"), (30, 0.5, "anomaly"), (29.99, 1, "hidden")])
 def test_tiers(spark, conf, anomaly, want):
     assert one(spark, score.tier(F.lit(float(conf)), F.lit(float(anomaly)))) == want
 
@@ -100,9 +100,9 @@ def test_closed_ring(spark):
 
 
 def test_runs(spark):
-    rows = spark.createDataFrame([(0, i, bool(f)) for i, f in enumerate([0, 1, 1, 0, 1])], "line int, ping int, f boolean")
+    rows = spark.createDataFrame([(0, i, bool(f)) for i, f in enumerate([1, 1, 0, 0, 1, 1, 1, 0])], "line int, ping int, f boolean")
     got = series.runs(rows, F.col("f"), ["line"], "ping").orderBy("start").collect()
-    assert [(r["start"], r["end"]) for r in got] == [(1, 2), (4, 4)]
+    assert [(r["start"], r["end"]) for r in got] == [(0, 1), (4, 6)]
 
 
 def test_interpolation_ends(spark):
@@ -124,11 +124,11 @@ def test_clusters(spark):
         kinds = "event_id long, detection_id string, cls string, confidence double, source_file string, lat double, lon double"
         return spatial.clustered(spark.createDataFrame(rows, kinds)).orderBy("detection_id").collect()
 
-    merged = found([0, 4, 8], "abc")
-    assert len(merged) == 1 and merged[0]["detection_id"] == "D1" and merged[0]["n_views"] == 3 and merged[0]["persistence"] == 0.875
-    assert len(found([0, 8], "ab")) == 2
-    assert len(found([0, 1], "aa")) == 2
-    assert len(found([0, 1], "ab", "ab")) == 2
+    merged = found([0, 3.5, 6.5], "xyz", conf=(20.0, 70.0, 70.0))
+    assert len(merged) == 1 and merged[0]["detection_id"] == "D2" and merged[0]["n_views"] == 3 and merged[0]["persistence"] == 0.875
+    assert len(found([0, 6.5], "xy")) == 2
+    assert len(found([0, 2], "xx")) == 2
+    assert len(found([0, 2], "xy", "ab")) == 2
 
 
 def test_connected(spark):
@@ -139,17 +139,17 @@ def test_connected(spark):
 
 
 def test_isotonic(spark):
-    rows = spark.createDataFrame([(0, x, y, i) for i, (x, y) in enumerate(zip((0.1, 0.2, 0.3, 0.4), (0, 1, 0, 1)))], "g int, x double, y int, i int")
-    assert [r["fitted"] for r in evaluation.isotonic(rows, ["g"], "x", "y", "i").orderBy("x").collect()] == [0, 0.5, 0.5, 1]
+    rows = spark.createDataFrame([(0, x, y, i) for i, (x, y) in enumerate(zip((0.05, 0.3, 0.4, 0.75, 0.9), (0, 1, 1, 0, 1)))], "g int, x double, y int, i int")
+    assert [r["fitted"] for r in evaluation.isotonic(rows, ["g"], "x", "y", "i").orderBy("x").collect()] == pytest.approx([0, 2 / 3, 2 / 3, 2 / 3, 1])
 
 
 def test_ranking_metrics(spark):
-    rows = spark.createDataFrame([(0, s, y, i) for i, (s, y) in enumerate([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)])], "g int, s double, y int, i int")
-    assert evaluation.auroc(rows, ["g"], "s", "y").first()["auroc"] == 0.75
+    rows = spark.createDataFrame([(0, s, y, i) for i, (s, y) in enumerate([(0.2, 0), (0.6, 0), (0.5, 1), (0.9, 1), (0.1, 0)])], "g int, s double, y int, i int")
+    assert evaluation.auroc(rows, ["g"], "s", "y").first()["auroc"] == pytest.approx(5 / 6)
     assert evaluation.auroc(rows.where("y = 1"), ["g"], "s", "y").first()["auroc"] is None
-    three = spark.createDataFrame([(0, 0.9, 1, 1), (0, 0.8, 0, 2), (0, 0.7, 1, 3)], "g int, s double, y int, i int")
-    assert evaluation.average_precision_101(three, ["g"], "s", "y", "i").first()["ap"] == pytest.approx((51 + 50 * 2 / 3) / 101)
-    assert evaluation.average_precision(three, ["g"], "s", "y", "i").first()["ap"] == pytest.approx((1 + 2 / 3) / 2)
+    three = spark.createDataFrame([(0, 0.95, 0, 1), (0, 0.6, 1, 2), (0, 0.5, 1, 3)], "g int, s double, y int, i int")
+    assert evaluation.average_precision_101(three, ["g"], "s", "y", "i").first()["ap"] == pytest.approx(2 / 3)
+    assert evaluation.average_precision(three, ["g"], "s", "y", "i").first()["ap"] == pytest.approx((1 / 2 + 2 / 3) / 2)
 
 
 def test_greedy_takes_the_free_best(spark):
@@ -171,7 +171,7 @@ def test_correlated(spark):
 
 def test_coreset(spark):
     rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(11)], "id long, v array<double>")
-    assert raster.coreset(rows, 3) == [0, 10, 5]
+    assert [r["id"] for r in raster.coreset(rows, 3).orderBy("rank").collect()] == [0, 10, 5]
 
 
 def test_next_id_and_slug(spark):
@@ -392,3 +392,22 @@ def test_tile_exports(spark):
     assert (about["ping_start"], about["ping_end"], about["tile"]) == (102, 105, {"index": 2, "row": 2, "col": 0, "size": 4}) and "corners_latlon" not in about
     placed = json.loads(detectors.tile_exports(rows.where("row < 5"), ["line"], 3, 1.0, 5, 0.0, 1.0).orderBy("tile").first()["about"])["corners_latlon"]
     assert placed[0][0] == 13.0 and placed[2][0] == 13.00004 and placed[0][1] < 80 < placed[1][1]
+
+
+def test_speed_gate_against_a_plain_walk():
+    """Tracks with jumps of any length, among them ones that last: what stays is what a walk of one fix at a time keeps."""
+    import numpy as np
+
+    from pingframe.operators.series import _metres, _reached
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 400):
+        places = np.radians(np.cumsum(rng.normal(0, 2e-5, (n, 2)), axis=0) + [13, 80])
+        for k in rng.integers(0, n, n // 6):
+            places[k : k + int(rng.integers(1, 40))] += rng.normal(0, 1e-3)
+        seconds = np.cumsum(rng.integers(0, 3, n)).astype(float)
+        kept = [0]
+        for i in range(1, n):
+            if _metres(*places[kept[-1]], *places[i]) <= 6 * abs(seconds[i] - seconds[kept[-1]]) + 5:
+                kept.append(i)
+        assert _reached(places, seconds, 6.0, 5.0).tolist() == kept
