@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pingframe.operators import catalogue, filters
 from pingframe.plans.registry import query
+from pingframe.plans.tables import shared_dir
 from pingframe.plans.views import table, view
+from pingframe.sources.store import Migration, Store, segments
 
 S, SF = "v_survey", "v_source_file"
 
@@ -128,3 +132,58 @@ def src16(spark, d):
 @query("src23_paired_items", "SELECT i.doc_id, i.site, l.quality FROM (SELECT doc_id, concat(source, ':', lang) AS site FROM documents) i JOIN labels l USING (doc_id)")
 def src23(spark, d):
     return view(spark, d, "v_item").join(table(spark, d, "labels"), "doc_id").select("doc_id", "site", "quality")
+
+
+#: A report: detections and quality events of a survey, its track by files, its models.
+REPORT = {
+    "detections": "SELECT survey_id, event_id, cls, confidence, alert_tier FROM v_detection",
+    "quality_events": "SELECT survey_id, event_id, quality_flags FROM v_detection WHERE quality_flags <> ''",
+}
+D = "v_detection"
+
+
+def _reports(spark, d):
+    rows = view(spark, d, D)
+    return {"detections": rows.select("survey_id", "event_id", "cls", "confidence", "alert_tier"), "quality_events": rows.where("quality_flags <> ''").select("survey_id", "event_id", "quality_flags")}
+
+
+def _stored(spark, d):
+    """A store with all reports, saved twice, then those of every third survey anew without their hidden detections."""
+    kept = Store(spark, f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}")
+    reports = _reports(spark, d)
+    for _ in range(2):
+        kept.save(reports)
+    kept.save({k: t.where("survey_id % 3 = 0") if k != "detections" else t.where("survey_id % 3 = 0 and alert_tier <> 'hidden'") for k, t in reports.items()})
+    return kept
+
+
+@query("snk11_stored_reports", f"""SELECT survey_id, count(*) AS n, round(sum(confidence), 4) AS confidence, (SELECT count(*) FROM v_detection q WHERE q.survey_id = d.survey_id AND quality_flags <> '') AS quality_events
+ FROM ({REPORT["detections"]}) d WHERE survey_id % 3 <> 0 OR alert_tier <> 'hidden' GROUP BY survey_id""", D)
+def snk11b(spark, d):
+    kept = _stored(spark, d)
+    quality = kept.read("quality_events").groupBy("survey_id").agg(F.count("*").alias("quality_events"))
+    own = kept.read("detections").groupBy("survey_id").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+    return own.join(quality, "survey_id", "left").select("survey_id", "n", "confidence", F.coalesce("quality_events", F.lit(0)).alias("quality_events"))
+
+
+MIGRATIONS = [
+    Migration(1, "tiers as ranks", lambda t: {"detections": t["detections"].withColumn("rank", F.when(F.col("alert_tier") == "hazard", 0).when(F.col("alert_tier") == "review", 1).when(F.col("alert_tier") == "anomaly", 2).otherwise(3)).drop("alert_tier")}),
+    Migration(2, "flags one by one", lambda t: {"quality_events": t["quality_events"].withColumn("flag", F.explode(F.split("quality_flags", ";"))).drop("quality_flags")}),
+]
+
+
+@query("snk17_migrated_reports", """SELECT d.survey_id, flag, count(*) AS n, CAST(sum(CASE alert_tier WHEN 'hazard' THEN 0 WHEN 'review' THEN 1 WHEN 'anomaly' THEN 2 ELSE 3 END) AS BIGINT) AS ranks
+ FROM (SELECT survey_id, event_id, alert_tier, unnest(string_split(quality_flags, ';')) AS flag FROM v_detection WHERE quality_flags <> '') d WHERE survey_id % 3 <> 0 OR alert_tier <> 'hidden' GROUP BY d.survey_id, flag""", D)
+def snk17b(spark, d):
+    """Stored reports after two migrations, of detections and of quality events."""
+    kept = _stored(spark, d)
+    kept.migrate(MIGRATIONS)
+    both = kept.read("detections").join(kept.read("quality_events"), ["survey_id", "event_id"])
+    return both.groupBy("survey_id", "flag").agg(F.count("*").alias("n"), F.sum("rank").alias("ranks"))
+
+
+@query("snk11_track_segments", "SELECT line_id, ping // 50 AS segment, count(*) AS points, min(ping) AS first, max(ping) AS last FROM v_ping WHERE lon IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2", "v_ping")
+def snk11c(spark, d):
+    rows = view(spark, d, "v_ping").withColumn("segment", F.floor(F.col("ping") / 50))
+    own = segments(rows, ["line_id", "segment"], "ping")
+    return own.select("line_id", "segment", F.size("points").cast("long").alias("points"), F.get("points", F.lit(0))["at"].cast("long").alias("first"), F.element_at("points", -1)["at"].cast("long").alias("last"))
