@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pingframe.operators import blocks, detectors, features, raster
 from pingframe.operators.similarity import correlated
 from pingframe.plans.registry import query
+from pingframe.plans.tables import shared_dir
 from pingframe.plans.views import samples, table, waterfall
+from pingframe.sources import log_files, readers, sonar_log
 
 V = "v_sample"
 DARR = lambda c: F.transform(c, lambda x: x.cast("double"))
@@ -285,3 +289,38 @@ def win11b(spark, d):
 @query("set04_similar_vectors", """n AS (SELECT vec_id, list_transform(embedding, lambda x: (x - list_avg(embedding)) / list_stddev_pop(embedding)) AS z FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)) SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id < b.vec_id AND list_inner_product(a.z, b.z) / 64 >= 0.97""".replace("n AS (", "WITH n AS (", 1))
 def set04(spark, d):
     return correlated(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")), 0.97)
+
+
+def logs(spark, d, folder):
+    """The waterfall as logs of 100 pings; both sides fall with the range, and logs of even numbers store the port side farthest first."""
+    fall = lambda c: F.transform(c, lambda x, i: x * (40 - i))
+    rows = waterfall(spark, d).select(
+        F.floor(F.col("ping") / 100).cast("string").alias("line"), "ping", fall("port").alias("port"), fall("starboard").alias("starboard"), (F.floor(F.col("ping") / 100) % 2 == 0).alias("far"),
+        (F.col("ping") % 360).cast("double").alias("heading_deg"), F.when(F.col("ping") % 13 != 0, 5.0 + F.col("ping") % 10).alias("altitude_m"), (F.col("ping") % 700 * 1.25).alias("cable_out_m"), F.lit(50.0).alias("slant_range_m"),
+        (13 + F.col("ping") * 1e-6).alias("lat"), F.lit(80.0).alias("lon"),
+    )
+    log_files.write(rows, folder, "line", "far").write.format("noop").mode("overwrite").save()
+    readers.register(spark)
+
+
+FROM_LOG = F.regexp_extract("path", r"(\d+)\.xtf$", 1).cast("long")
+LOGS = "w AS (SELECT ping // 100 AS line, ping % 100 AS ping, ping AS p, sum(CASE WHEN side = 'port' THEN v * (40 - sample) * (sample + 1) ELSE 0 END) AS port, sum(CASE WHEN side = 'starboard' THEN v * (40 - sample) * (sample + 1) ELSE 0 END) AS starboard FROM v_sample GROUP BY ping)"
+
+
+def _weighted(side):
+    return F.aggregate(F.transform(side, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x).cast("long").alias(side)
+
+
+@query("src04_port_order_of_logs", f"{LOGS} SELECT line, ping, CAST(port AS BIGINT) AS port, CAST(starboard AS BIGINT) AS starboard FROM w", V)
+def src04(spark, d):
+    """Samples of logs, nadir first whatever their port order, which is told from the samples; read by spans of 30 pings."""
+    logs(spark, d, folder := f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}")
+    return sonar_log.read(spark, folder, batch=30).select(FROM_LOG.alias("line"), "ping", _weighted("port"), _weighted("starboard"))
+
+
+@query("src03_log_source", f"{LOGS} SELECT line, ping, CAST(starboard AS BIGINT) AS starboard, CASE WHEN p % 13 <> 0 THEN 5e0 + p % 10 END AS altitude_m, round(CASE WHEN p % 700 <> 0 THEN p % 700 * 125 // 100 + p % 700 * 125 % 100 / 100e0 END, 2) AS cable_out_m, round(13 + p * 1e-6, 6) AS lat FROM w", V)
+def src03(spark, d):
+    """Some columns of logs by the data source: the port side is not read."""
+    logs(spark, d, folder := f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}")
+    rows = spark.read.format("sonar_log").schema("path string, ping long, altitude_m double, cable_out_m double, sensor_y double, starboard array<double>").load(folder)
+    return rows.select(FROM_LOG.alias("line"), "ping", _weighted("starboard"), "altitude_m", F.round("cable_out_m", 2).alias("cable_out_m"), F.round("sensor_y", 6).alias("lat"))

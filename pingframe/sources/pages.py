@@ -17,6 +17,12 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
 
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path as Spark gives it, and the name in it."""
+    local = re.match(r"(?:file:(?://(?=/))?)?(/.*)", path)
+    return (fs.LocalFileSystem(), local.group(1)) if local else fs.FileSystem.from_uri(path)
+
+
 class Pages:
     """A file of any size, of which two pages are held at most (or one piece that is larger than a page).
 
@@ -24,8 +30,7 @@ class Pages:
     """
 
     def __init__(self, path: str, page: int = PAGE) -> None:
-        local = re.match(r"(?:file:(?://(?=/))?)?(/.*)", path)
-        system, name = (fs.LocalFileSystem(), local.group(1)) if local else fs.FileSystem.from_uri(path)
+        system, name = store(path)
         self._file = system.open_input_file(name)
         self.size, self._page, self._at, self._held = self._file.size(), page, 0, b""
 

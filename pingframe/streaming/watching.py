@@ -27,7 +27,7 @@ Listener = Callable[[DataFrame, int], None]
 def processor(find: detectors.Detector, out: str, size: int = 640, overlap: float = 0.25) -> Process:
     """What is done with a file: its detections by `find`, as Parquet in a folder of `out`; gives their number.
 
-    Mosaics are placed by their own transform. Logs are images of 2,000 pings each (port, nadir first as stored, turned outwards), whose
+    Mosaics are placed by their own transform. Logs are images of 2,000 pings each (port turned outwards), whose
     boxes are numbered by ping.
     """
 
