@@ -303,7 +303,10 @@ def logs(spark, d, folder):
     readers.register(spark)
 
 
-FROM_LOG = F.regexp_extract("path", r"(\d+)\.xtf$", 1).cast("long")
+def _line_of():
+    return F.regexp_extract("path", r"(\d+)\.xtf$", 1).cast("long").alias("line")
+
+
 LOGS = "w AS (SELECT ping // 100 AS line, ping % 100 AS ping, ping AS p, sum(CASE WHEN side = 'port' THEN v * (40 - sample) * (sample + 1) ELSE 0 END) AS port, sum(CASE WHEN side = 'starboard' THEN v * (40 - sample) * (sample + 1) ELSE 0 END) AS starboard FROM v_sample GROUP BY ping)"
 
 
@@ -315,7 +318,7 @@ def _weighted(side):
 def src04(spark, d):
     """Samples of logs, nadir first whatever their port order, which is told from the samples; read by spans of 30 pings."""
     logs(spark, d, folder := f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}")
-    return sonar_log.read(spark, folder, batch=30).select(FROM_LOG.alias("line"), "ping", _weighted("port"), _weighted("starboard"))
+    return sonar_log.read(spark, folder, batch=30).select(_line_of(), "ping", _weighted("port"), _weighted("starboard"))
 
 
 @query("src03_log_source", f"{LOGS} SELECT line, ping, CAST(starboard AS BIGINT) AS starboard, CASE WHEN p % 13 <> 0 THEN 5e0 + p % 10 END AS altitude_m, round(CASE WHEN p % 700 <> 0 THEN p % 700 * 125 // 100 + p % 700 * 125 % 100 / 100e0 END, 2) AS cable_out_m, round(13 + p * 1e-6, 6) AS lat FROM w", V)
@@ -323,4 +326,4 @@ def src03(spark, d):
     """Some columns of logs by the data source: the port side is not read."""
     logs(spark, d, folder := f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}")
     rows = spark.read.format("sonar_log").schema("path string, ping long, altitude_m double, cable_out_m double, sensor_y double, starboard array<double>").load(folder)
-    return rows.select(FROM_LOG.alias("line"), "ping", _weighted("starboard"), "altitude_m", F.round("cable_out_m", 2).alias("cable_out_m"), F.round("sensor_y", 6).alias("lat"))
+    return rows.select(_line_of(), "ping", _weighted("starboard"), "altitude_m", F.round("cable_out_m", 2).alias("cable_out_m"), F.round("sensor_y", 6).alias("lat"))
