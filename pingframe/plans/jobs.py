@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pingframe.plans.registry import query
-from pingframe.plans.views import view
-from pingframe.streaming import jobs
+from pingframe.plans.tables import shared_dir
+from pingframe.plans.views import table, view
+from pingframe.streaming import jobs, state
 
 V = "v_job_event"
 
@@ -59,3 +62,28 @@ def scl09(spark, d):
     p = F.max("seq") % 100
     out = events(spark, d).groupBy("job_id").agg((sec(F.max("ts")) - sec(F.min("ts"))).alias("spent"), p.alias("p")).where("p > 0")
     return out.select("job_id", F.round(F.col("spent") * (100 - F.col("p")) / F.col("p"), 2).alias("eta_s"))
+
+
+NUMBERED = """e AS (SELECT user_id AS job_id, event_id, ts, CASE WHEN event_id % 97 = 0 THEN 'done' WHEN event_type IN ('view', 'click') THEN 'progress' ELSE 'detection' END AS type, concat('s', cast(floor(value / 60) as string)) AS stage FROM events),
+ n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS seq FROM e), k AS (SELECT n.* FROM n LEFT JOIN (SELECT job_id, min(seq) AS last FROM n WHERE type = 'done' GROUP BY job_id) USING (job_id) WHERE seq <= coalesce(last, seq)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS i FROM k WHERE type = 'progress'),
+ w AS (SELECT job_id, seq, i, stage, ts AS at, TRUE AS written FROM p WHERE i = 1 UNION ALL SELECT p.job_id, p.seq, p.i, CASE WHEN {x} THEN p.stage ELSE w.stage END, CASE WHEN {x} THEN p.ts ELSE w.at END, {x} FROM w JOIN p ON p.job_id = w.job_id AND p.i = w.i + 1)""".replace("{x}", "(p.stage <> w.stage OR epoch(p.ts) - epoch(w.at) >= 21600)")
+
+
+@query("str01_stream_numbers", f"WITH RECURSIVE {NUMBERED} SELECT k.job_id, k.seq, k.event_id, k.type, coalesce(w.written, TRUE) AS written, k.type = 'done' AS ended FROM k LEFT JOIN w USING (job_id, seq)".replace("cast(floor(value / 60) as string)", "CAST(CAST(floor(value / 60) AS BIGINT) AS VARCHAR)"))
+def str01b(spark, d):
+    """Events numbered in a stream of three batches, progress written on a new stage or every six hours, and the ends that were stored after their batch's rows."""
+    kind = F.when(F.col("event_id") % 97 == 0, "done").when(F.col("event_type").isin("view", "click"), "progress").otherwise("detection")
+    stage = F.concat(F.lit("s"), F.floor(F.col("value") / 60).cast("string"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), stage.alias("stage"))
+    place = f"{shared_dir(spark)}/job-events-{uuid.uuid4().hex}"
+    first, second = rows.agg(F.percentile_approx(F.unix_micros("ts"), F.array(F.lit(0.3), F.lit(0.7)), F.lit(100))).first()[0] or (0, 0)
+    at = F.unix_micros("ts")
+    for part in (at < first, (at >= first) & (at < second), at >= second):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    with state.with_state(spark):
+        stream = jobs.read_events(spark, f"{place}/in", rows.schema, files_per_trigger=1)
+        state.stored(state.numbered(stream, 21600.0, 10 * 365 * 86_400), f"{place}/out", f"{place}/state")
+    ends = spark.read.parquet(f"{place}/out/ends").select("job_id", "seq", F.lit(True).alias("ended"))
+    kept = spark.read.parquet(f"{place}/out/events").select("job_id", "seq", "event_id", "type", "written")
+    return kept.join(ends, ["job_id", "seq"], "left").select("job_id", "seq", "event_id", "type", "written", F.coalesce("ended", F.lit(False)).alias("ended"))
