@@ -71,12 +71,12 @@ def ras08b(spark, d):
     return heat_map(spark, d).select("line", "row", "col", F.round("heat", 6).alias("heat"))
 
 
-@query("ras08_heat_in_masks", f"{HEAT}, k AS (SELECT im.line, im.col // 8 AS band, heat FROM im JOIN heat USING (line, row, col) WHERE v >= 200) SELECT line, band, round(least(1, greatest(0, avg(heat) / 800)), 6) AS mean_share, round(least(1, greatest(0, max(heat) / 800)), 6) AS max_share FROM k GROUP BY line, band", V)
+@query("ras08_heat_in_masks", f"{HEAT}, k AS (SELECT im.line, im.col // 8 AS band, heat FROM im JOIN heat USING (line, row, col) WHERE v >= 200) SELECT line, band, round(least(1, greatest(0, avg(heat) / 799.4e0)), 6) AS mean_share, round(least(1, greatest(0, max(heat) / 799.4e0)), 6) AS max_share FROM k GROUP BY line, band", V)
 def ras08c(spark, d):
     """Heat in the masks of bright cells of bands of 8 columns."""
     bright = cells(spark, d).where("v >= 200").withColumn("band", F.floor(F.col("col") / 8))
     runs = masks.runs_of(bright, ["line", "band"], "row", "col")
-    out = masks.heat_in_masks(heat_map(spark, d), runs, ["line"], ["line", "band"], "row", "col", "heat", 400.0)
+    out = masks.heat_in_masks(heat_map(spark, d), runs, ["line"], ["line", "band"], "row", "col", "heat", 399.7)
     return out.select("line", "band", F.round("mean_share", 6).alias("mean_share"), F.round("max_share", 6).alias("max_share"))
 
 
