@@ -178,8 +178,8 @@ def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` the k nearest other rows found.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Rows with a null vec_id, or a vector that is null,
-    zero, holds null or non-finite components or has another length than most of the sample, take no part. Equal vectors are indexed
-    once with their k + 1 smallest ids, which is all that a ranking can need. Rows equal in vec_id and vector are one; a query never
+    zero, or holds null or non-finite components, take no part. Vectors of each length are searched by themselves, with an index of their own. Equal
+    vectors are indexed once with their k + 1 smallest ids, which is all that a ranking can need. Rows equal in vec_id and vector are one; a query never
     finds its own vec_id. A query whose buckets hold fewer than k candidates (it lies far from the rest, or there are no more) is held
     against all vectors, in blocks of such queries. An empty table gives no rows.
     """
@@ -187,12 +187,18 @@ def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     first = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     reps = written(first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
+    lengths = sorted(r[0] for r in reps.select(F.size("v")).distinct().collect())
+    own = lambda df, n: df.where(F.size("v") == n) if len(lengths) > 1 else df
+    parts = [_met(own(reps, n), own(rows, n).where(F.col("id") % every == 0).distinct(), kind, k) for n in lengths]
+    found = reduce(DataFrame.unionByName, parts) if parts else rows.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(reps: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the candidates among reps (v, ids) that queries (id, v) found, the k nearest at least; all vectors have one length."""
     sample = reps.orderBy(F.xxhash64("v"), "ids").limit(FIT_VECTORS).select("v").toPandas()["v"]
-    sizes = sample.map(len)
-    size = int(sizes.mode().iloc[0]) if len(sample) else 1
-    index = fitted(np.stack(sample[sizes == size].to_numpy()) if len(sample) else np.empty((0, 1)), reps.count(), k)
-    reps = reps.where(F.size("v") == size)
-    queries = rows.where((F.col("id") % every == 0) & (F.size("v") == size)).distinct()
+    index = fitted(np.stack(sample.to_numpy()), reps.count(), k)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -223,6 +229,4 @@ def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         if block:
             parts.append(written(_scanned(reps, [(r["id"], list(r["v"])) for r in block], k), "scanned"))
     found = reduce(DataFrame.unionByName, parts)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if of else found
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if of else found

@@ -732,3 +732,16 @@ def test_shards_of_one_hot_key_are_numbered_in_bins(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
     plan = shards.sharded(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"concat_ws\(:, slot.*text_crc32.*size", plan)
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    """Each among those of its own length, the rare ones too."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=5).tolist()) for i in range(30)] + [(5000, [1.0, 2.0])]
+    got = neighbours.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=5).toPandas()
+    short = {i: np.array(v) for i, v in rows if len(v) == 5}
+    for q in (1000, 1010, 1020):
+        want = sorted((float(np.sqrt(((short[q] - v) ** 2).sum())), i) for i, v in short.items() if i != q)[:5]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == [i for _, i in want] and np.allclose(own.score, [d for d, _ in want])
+    assert set(got[got.query_id < 1000].vec_id) <= set(range(400)) and (got.query_id == 5000).sum() == 0 and got[got.query_id < 1000].query_id.nunique() == 40
