@@ -745,3 +745,34 @@ def test_vectors_of_every_length_are_searched(spark):
         own = got[got.query_id == q].sort_values("rank")
         assert own.vec_id.tolist() == [i for _, i in want] and np.allclose(own.score, [d for d, _ in want])
     assert set(got[got.query_id < 1000].vec_id) <= set(range(400)) and (got.query_id == 5000).sum() == 0 and got[got.query_id < 1000].query_id.nunique() == 40
+
+
+def test_the_whole_pipeline_against_brute_force(spark, labels):
+    """run() over the smallest tables: all pairs of shingle sets, all windows, all sums of lengths, and every shard's hash, one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r["doc_id"] for r in quality.accepted(docs, labels).collect()}
+    rated = {r["doc_id"]: r["predicted"] for r in quality.classified(docs, labels).collect()}
+    assert good == {i for i, p in rated.items() if p == 1} and 0 < len(good) < len(rated)
+    rows = sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs.collect() if r["doc_id"] in good)
+    root = {r[0]: r[0] for r in rows}
+    for k, a in enumerate(rows):
+        for b in rows[:k]:
+            if root[a[0]] != root[b[0]] and (a[1] == b[1] or jaccard(a[1], b[1]) >= 0.8):
+                low, high = sorted((root[a[0]], root[b[0]]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if root[r[0]] == r[0] and not slow_leaks(r[1], items)[4]]
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(got.doc_id) <= {r[0] for r in rows} and got.groupby("doc_id").size().max() <= 2
+    of = {r[0]: r for r in rows}
+    words = pd.Series([len(of[i][1].split()) for i in got.doc_id]).groupby([of[i][3] for i in got.doc_id]).sum().to_dict()
+    assert words == {s: n for s, n in slow_mix(rows).items() if n}
+
+    def value(i, n):
+        u = (int(hashlib.md5(f"k{i}:{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -1 / np.log(u)
+
+    assert got.shard.tolist() == [max(range(24), key=lambda n: value(i, n)) for i in got.doc_id]
+    assert got.grown_shard.tolist() == [max(range(25), key=lambda n: value(i, n)) for i in got.doc_id]
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert got["size"].tolist() == [len(of[i][1].encode()) + 8 for i in got.doc_id] and got.text_crc32.tolist() == [zlib.crc32(of[i][1].encode()) for i in got.doc_id]
