@@ -34,12 +34,17 @@ def calibration_error(rows: DataFrame, by: list[str], score: str, label: str, bi
 def auroc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """(by, auroc): the share of (positive, negative) pairs in order, ties half; null with one label only.
 
-    Scores are counted first, so windows see distinct scores and not rows.
+    Scores are counted first, so windows see distinct scores and not rows; those of a group are walked in bins of the score, each of which starts where the
+    counts below it end.
     """
-    per = rows.groupBy(*by, score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
-    return per.withColumn("pairs", pairs).groupBy(*by).agg(F.try_divide(F.sum("pairs"), F.sum("p") * F.sum("n")).alias("auroc"))
+    per = rows.groupBy(*by, score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n")).withColumn("__bin", F.floor(F.col(score) * BINS))
+    totals = per.groupBy(*by, "__bin").agg(F.sum("n").alias("__n"))
+    under = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(c).alias(f"__of_{c}") for c in [*by, "__bin"]], F.coalesce(F.sum("__n").over(under), F.lit(0)).alias("__start"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"__of_{c}")), [*by, "__bin"], F.lit(True))
+    inside = Window.partitionBy(*by, "__bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    pairs = F.col("p") * (F.col("__start") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("n") / 2)
+    return per.join(starts, same).withColumn("pairs", pairs).groupBy(*by).agg(F.try_divide(F.sum("pairs"), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
 #: Ranks are made in so many bins of the score; a group's bins are ranked by themselves and start where the counts above them end.

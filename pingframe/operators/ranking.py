@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,3 +44,33 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], near: flo
             one = band.agg(F.percentile("v", F.lit(min(1.0, max(0.0, at)))).alias(name))
         out = one if out is None else out.join(F.broadcast(one))
     return out
+
+
+def group_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], near: float = 1e-3) -> DataFrame:
+    """(by, name ..): the exact (linear) percentiles of `value` in each group; groups without values are absent.
+
+    Two approximate quantiles of a group hold each percentile between them, and only the values in that band, 4 * near of the group, and the ones next to it are looked at: so no task
+    orders all values of a group that holds most rows.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    names = [F.col(c).alias(f"__of_{c}") for c in by]
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"__of_{c}")), by, F.lit(True))
+    out = None
+    for name, share in shares.items():
+        ends = F.percentile_approx("__v", F.array(F.lit(max(0.0, share - 2 * near)), F.lit(min(1.0, share + 2 * near))), F.lit(round(1 / near)))
+        bounds = known.groupBy(*by).agg(F.count("*").alias("__n"), ends.alias("__e")).select(*names, "__n", F.get("__e", F.lit(0)).alias("__low"), F.get("__e", F.lit(1)).alias("__high"))
+        both = known.join(bounds, same)
+        under, over = F.col("__v") < F.col("__low"), F.col("__v") > F.col("__high")
+        near_ones = F.max(F.when(under, F.col("__v"))).alias("__prev"), F.min(F.when(over, F.col("__v"))).alias("__next")
+        below = both.groupBy(*by).agg(F.first("__n").alias("__n"), F.count_if(under).alias("__below"), *near_ones).select(*names, "__n", "__below", "__prev", "__next")
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("__v")) - 1
+        band = both.where(~under & ~over).select(*by, "__v", place.alias("__k"))
+        at = share * (F.col("__n") - 1) - F.col("__below")
+        step = F.floor(at + F.lit(1e-12))
+        found = band.join(below, same).groupBy(*by).agg(
+            F.coalesce(F.max(F.when(F.col("__k") <= step, F.col("__v"))), F.first("__prev")).alias("__a"),
+            F.coalesce(F.min(F.when(F.col("__k") > step, F.col("__v"))), F.first("__next")).alias("__b"), F.first(at - step).alias("__f"),
+        )
+        one = found.select(*by, (F.col("__a") + (F.coalesce("__b", "__a") - F.col("__a")) * F.greatest(F.col("__f"), F.lit(0.0))).alias(name))
+        out = one if out is None else out.join(one.select(*names, name), same).drop(*[f"__of_{c}" for c in by])
+    return out

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pingframe.operators import blocks, detectors, features, raster
+from pingframe.operators import blocks, detectors, features, ranking, raster
 from pingframe.operators.similarity import correlated
 from pingframe.plans.registry import query
 from pingframe.plans.tables import shared_dir
@@ -128,8 +128,9 @@ def ras09(spark, d):
 
 @query("agg26_normal_thresholds", "SELECT label, round(quantile_cont(CAST(embedding[1] AS DOUBLE), 0.99), 6) AS p99, round(quantile_cont(CAST(embedding[1] AS DOUBLE), 0.999), 6) AS p999 FROM embeddings GROUP BY label")
 def agg26(spark, d):
-    q = lambda p: F.round(F.percentile(F.get("v", F.lit(0)), F.lit(p)), 6)
-    return vectors(spark, d).groupBy("label").agg(q(0.99).alias("p99"), q(0.999).alias("p999"))
+    first = vectors(spark, d).select("label", F.get("v", F.lit(0)).alias("x"))
+    out = ranking.group_percentiles(first, ["label"], "x", {"p99": 0.99, "p999": 0.999})
+    return out.select("label", F.round("p99", 6).alias("p99"), F.round("p999", 6).alias("p999"))
 
 
 @query("ras10_coreset")

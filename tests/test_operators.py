@@ -411,3 +411,30 @@ def test_speed_gate_against_a_plain_walk():
             if _metres(*places[kept[-1]], *places[i]) <= 6 * abs(seconds[i] - seconds[kept[-1]]) + 5:
                 kept.append(i)
         assert _reached(places, seconds, 6.0, 5.0).tolist() == kept
+
+
+def test_percentiles_of_groups(spark):
+    """Groups of one value, of ties, with nulls, and a large one, against NumPy."""
+    import numpy as np
+
+    from pingframe.operators import ranking
+
+    rng = np.random.default_rng(6)
+    own = {"one": [3.5], "ties": [1.0] * 40 + [2.0] * 60, "large": rng.normal(size=5000).round(3).tolist(), None: rng.random(37).tolist()}
+    df = spark.createDataFrame([(g, v) for g, vs in own.items() for v in [*vs, None]] + [("none", None)], "g string, v double").repartition(5)
+    shares = {"low": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r["g"]: r for r in ranking.group_percentiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(own)
+    for g, vs in own.items():
+        assert [got[g][n] for n in shares] == pytest.approx(np.percentile(vs, [100 * s for s in shares.values()]).tolist())
+
+
+def test_auroc_over_bins_equals_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [(g, float(s), int(rng.random() < s)) for g in ("a", None) for s in rng.random(300).round(2)]
+    got = {r["g"]: r["auroc"] for r in evaluation.auroc(spark.createDataFrame(rows, "g string, s double, y int"), ["g"], "s", "y").collect()}
+    for g in ("a", None):
+        up, down = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
+        assert got[g] == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down]))
