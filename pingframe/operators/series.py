@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,13 +123,16 @@ def chunk_of(at: Column, size: int = 2000, overlap: int = 200) -> Column:
     return F.sequence(F.greatest(F.lit(0), F.ceil((at - size + 1) / step)), F.floor(at / step))
 
 
-def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps: float = 6.0, noise_m: float = 5.0) -> DataFrame:
-    """(by, at, accepted): fixes that are missing, zero or out of range go; then, outwards from the fix nearest the median position, a
-    fix stays if its distance to the last one that stayed is at most most_mps * time + noise_m.
+def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps: float = 6.0, noise_m: float = 5.0, anywhere: bool = False) -> DataFrame:
+    """(by, at, accepted): fixes that are missing, zero or out of range go (with `anywhere` only those that are missing); then, outwards
+    from the fix nearest the median position (ties: the first), a fix stays if its distance to the last one that stayed is at most
+    most_mps * time + noise_m.
 
     What stays depends on what stayed before, so the fixes of a line (one boat's track) meet in one call.
     """
-    fine = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~((F.col("lat") == 0) & (F.col("lon") == 0)) & (F.abs("lat") <= 90) & (F.abs("lon") <= 180)
+    fine = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    if not anywhere:
+        fine &= ~((F.col("lat") == 0) & (F.col("lon") == 0)) & (F.abs("lat") <= 90) & (F.abs("lon") <= 180)
     good = rows.where(fine).select(*by, F.col(at).alias("at"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(seconds).cast("double").alias("t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in good.select(*by, "at").schema.fields)
 
@@ -135,7 +140,7 @@ def speed_gate(rows: DataFrame, by: list[str], at: str, seconds: str, most_mps:
         b = b.sort_values("at", kind="stable")
         places = np.radians(b[["lat", "lon"]].to_numpy())
         seconds = b["t"].to_numpy()
-        middle = int(_metres(*np.radians(b[["lat", "lon"]].median().to_numpy()), *places.T).argmin())
+        middle = _middle(b[["lat", "lon"]].to_numpy())
         later = middle + _reached(places[middle:], seconds[middle:], most_mps, noise_m)
         earlier = middle - _reached(places[middle::-1], seconds[middle::-1], most_mps, noise_m)
         return b[[*by, "at"]].iloc[np.union1d(earlier, later)]
@@ -168,6 +173,24 @@ def _reached(places: np.ndarray, seconds: np.ndarray, most_mps: float, noise_m:
     return np.concatenate(stretches)
 
 
+def _middle(degrees: np.ndarray) -> int:
+    """The number of the fix nearest the median position, the first of those that are equally near.
+
+    On a straight track two fixes often lie equally far to both sides, so those within a millimetre of the least distance are compared by the
+    formula of haversine() in its own order of steps, which SQL has too: their last digits decide.
+    """
+    lat0, lon0 = np.median(degrees, axis=0).tolist()
+    metres = _metres(np.radians(lat0), np.radians(lon0), *np.radians(degrees).T)
+    near = np.flatnonzero(metres <= metres.min() + 1e-3).tolist()
+
+    def exactly(i: int) -> float:
+        lat, lon = degrees[i].tolist()
+        a = math.pow(math.sin(math.radians(lat - lat0) / 2), 2) + math.cos(math.radians(lat0)) * math.cos(math.radians(lat)) * math.pow(math.sin(math.radians(lon - lon0) / 2), 2)
+        return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(a)))
+
+    return min(near, key=lambda i: (exactly(i), i))
+
+
 def _metres(lat0: np.ndarray, lon0: np.ndarray, lat1: np.ndarray, lon1: np.ndarray) -> np.ndarray:
     """Great-circle distance of positions in radians."""
     h = np.sin((lat1 - lat0) / 2) ** 2 + np.cos(lat0) * np.cos(lat1) * np.sin((lon1 - lon0) / 2) ** 2

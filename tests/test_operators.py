@@ -413,6 +413,33 @@ def test_speed_gate_against_a_plain_walk():
         assert _reached(places, seconds, 6.0, 5.0).tolist() == kept
 
 
+def test_speed_gate_of_fixes_anywhere(spark):
+    """Fixes out of range stay where the caller wants them; of two that are equally near the median the first is the anchor."""
+    rows = spark.createDataFrame([(1, i, 1013.0 + i * 1e-5, 80.0, float(i)) for i in range(4)] + [(2, 0, 4014.2373, 80.0, 0.0), (2, 1, 4014.7373, 80.0, 1.0)], "line int, ping int, lat double, lon double, t double")
+    assert series.speed_gate(rows, ["line"], "ping", "t").where("accepted").count() == 0
+    got = series.speed_gate(rows, ["line"], "ping", "t", anywhere=True).where("accepted").orderBy("line", "ping").collect()
+    assert [(r["line"], r["ping"]) for r in got if r["line"] == 1] == [(1, i) for i in range(4)] and sum(r["line"] == 2 for r in got) == 1
+
+
+def test_speed_gate_starts_where_sql_starts():
+    """The anchor of tracks of even numbers of fixes, of which two are equally near the median, is what the formula in plain steps gives."""
+    import duckdb
+    import numpy as np
+
+    from pingframe.operators.series import _middle
+    from pingframe.plans.navigation import HAV
+
+    con, differs = duckdb.connect(), 0
+    far = HAV.replace("{a}", "m.").replace("{b}", "g.")
+    for start in (13.0, 1013.0, 4014.237, 5014.241):
+        for n in range(2, 60, 2):
+            places = np.array([[start + i * 1e-5, 80.0 + i % 3 * 1e-6] for i in range(n)])
+            con.execute("CREATE OR REPLACE TABLE g AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE)" for i, (a, b) in enumerate(places)) + ") AS x(ping, lat, lon)")
+            want = con.execute(f"SELECT arg_min(ping, ({far}, ping)) FROM g, (SELECT median(lat) AS lat, median(lon) AS lon FROM g) m").fetchall()[0][0]
+            differs += _middle(places) != want
+    assert not differs
+
+
 def test_percentiles_of_groups(spark):
     """Groups of one value, of ties, with nulls, and a large one, against NumPy."""
     import numpy as np
