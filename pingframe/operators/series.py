@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from pingframe.functions.geo import EARTH_M, haversine
@@ -70,11 +71,20 @@ def interpolated(rows: DataFrame, value: str, at: str, by: list[str], out: str,
     return marked.withColumn(out, F.coalesce(F.col(value), filled)).drop("__k", "__r", "__f", "__lo", "__hi")
 
 
+@F.pandas_udf(StructType([StructField("s", DoubleType()), StructField("c", DoubleType())]))
+def sine_cosine(degrees: pd.Series) -> pd.DataFrame:
+    """Sine and cosine by the C library, null of null. The JVM's own differ in the last digit at 183 and 297 degrees (of whole ones), and
+    where two directions cancel out that digit decides between 0 and 360."""
+    turns = degrees.map(math.radians, na_action="ignore")
+    return pd.DataFrame({"s": turns.map(math.sin, na_action="ignore"), "c": turns.map(math.cos, na_action="ignore")}, dtype="float64")
+
+
 def interpolated_angle(rows: DataFrame, value: str, at: str, by: list[str], out: str) -> DataFrame:
-    """Directions interpolated by their sines and cosines, ends held."""
-    parts = rows.withColumn("__s", F.sin(F.radians(value))).withColumn("__c", F.cos(F.radians(value)))
+    """Directions interpolated by their sines and cosines, ends held. One a rounding error below north is next to 360, not 0."""
+    parts = rows.withColumn("__sc", sine_cosine(F.col(value).cast("double"))).withColumn("__s", F.col("__sc.s")).withColumn("__c", F.col("__sc.c")).drop("__sc")
     parts = interpolated(interpolated(parts, "__s", at, by, "__si"), "__c", at, by, "__ci")
-    angle = F.coalesce(F.col(value), F.pmod(F.degrees(F.atan2("__si", "__ci")), F.lit(360.0)))
+    turn = F.degrees(F.atan2("__si", "__ci"))
+    angle = F.coalesce(F.col(value), turn - 360 * F.floor(turn / 360))
     return parts.withColumn(out, angle).drop("__s", "__c", "__si", "__ci")
 
 

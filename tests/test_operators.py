@@ -440,6 +440,17 @@ def test_speed_gate_starts_where_sql_starts():
     assert not differs
 
 
+def test_directions_that_cancel_out(spark):
+    """Halfway between two directions that mirror each other at north: what SQL's sine and cosine give, 0 or next to 360."""
+    rows = [(i, at, v) for i in range(1, 90) for at, v in ((0, float(i)), (1, None), (2, float(360 - i)))]
+    got = series.interpolated_angle(spark.createDataFrame(rows, "line int, at int, v double"), "v", "at", ["line"], "out").where("v is null").orderBy("line").collect()
+    for r in got:
+        a, b = (math.radians(x) for x in (r["line"], 360 - r["line"]))
+        s, c = (f(a) + (f(b) - f(a)) / 2 for f in (math.sin, math.cos))
+        turn = math.degrees(math.atan2(s, c))
+        assert r["out"] == turn - 360 * math.floor(turn / 360)
+
+
 def test_percentiles_of_groups(spark):
     """Groups of one value, of ties, with nulls, and a large one, against NumPy."""
     import numpy as np
