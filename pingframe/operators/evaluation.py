@@ -87,10 +87,10 @@ def average_precision_101(rows: DataFrame, by: list[str], score: str, label: str
     if truths is not None:
         ranked = ranked.withColumn("truths", F.col("__truths"))
     tops = ranked.groupBy(*keys, "bin").agg(F.max("precision").alias("top"))
-    later = F.max("top").over(Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(1, Window.unboundedFollowing))
+    later = F.max("top").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     tops = tops.select(*[F.col(c).alias(f"of_{c}") for c in [*keys, "bin"]], later.alias("later"))
     same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"of_{c}")), [*keys, "bin"], F.lit(True))
-    own = F.max("precision").over(Window.partitionBy(*keys, "bin").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    own = F.max("precision").over(Window.partitionBy(*keys, "bin").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     hit = ranked.join(tops, same).withColumn("best", F.greatest(own, "later"))
     points = lambda h: F.floor(h * 100 / F.col("truths") + F.lit(1e-9)) + 1
     share = F.when(F.col("hits") == 1, points(F.col("hits"))).otherwise(points(F.col("hits")) - points(F.col("hits") - 1))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from pingframe.operators.blocks import median_filtered, numbered_rows
 from pingframe.operators.ranking import percentiles
-from pingframe.operators.series import edge_mean, interpolated
+from pingframe.operators.series import backwards, edge_mean, interpolated
 from pingframe.plans.tables import written
 
 
@@ -90,7 +90,7 @@ def repaired(pings: DataFrame, dropout: str, by: list[str], at: str = "ping", mo
     w = Window.partitionBy(*by).orderBy(at)
     good = F.when(~F.col(dropout), F.struct(F.col(at).alias("at"), "port", "starboard"))
     rows = pings.withColumn("__lo", F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__hi", F.first(good, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("__hi", F.last(good, ignorenulls=True).over(backwards(by, at).rowsBetween(Window.unboundedPreceding, -1)))
     gap = F.col("__hi.at") - F.col("__lo.at") - 1
     fill = F.col(dropout) & F.coalesce(gap <= most_gap, F.lit(False))
     share = (F.col(at) - F.col("__lo.at")) / (gap + 1)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pingframe.functions.geo import EARTH_M, haversine
 
@@ -40,12 +40,17 @@ def turned(angle: Column, before: Column) -> Column:
     return F.abs(F.pmod(angle - before + 180, F.lit(360.0)) - 180)
 
 
+def backwards(by: list[str], at: str) -> WindowSpec:
+    """A line from its end: what lies ahead comes before a row there and is carried on; a frame that ends at the last row starts anew for each."""
+    return Window.partitionBy(*by).orderBy(F.desc(at))
+
+
 def _known(value: Column, at: str, by: list[str]) -> tuple[Column, Column]:
     """The known point at or before, and at or after, each row; a point has x, y and the known points before (p) and after (q) it."""
     w = Window.partitionBy(*by).orderBy(at)
     k = F.when(value.isNotNull(), F.struct(F.col(at).cast("double").alias("x"), value.alias("y")))
     p = F.last(k, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    q = F.first(k, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    q = F.last(k, ignorenulls=True).over(backwards(by, at).rowsBetween(Window.unboundedPreceding, -1))
     return k, F.struct(p.alias("p"), q.alias("q"))
 
 
@@ -58,7 +63,7 @@ def interpolated(rows: DataFrame, value: str, at: str, by: list[str], out: str,
     marked = marked.withColumn("__f", full)
     w = Window.partitionBy(*by).orderBy(at)
     marked = marked.withColumn("__lo", F.last("__f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("__hi", F.first("__f", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    marked = marked.withColumn("__hi", F.last("__f", ignorenulls=True).over(backwards(by, at).rowsBetween(Window.unboundedPreceding, 0)))
     x = F.col(at).cast("double")
 
     def line(a: str, b: str) -> Column:
@@ -226,7 +231,7 @@ def points_of_ranges(ranges: DataFrame, points: DataFrame, by: list[str], at: st
     before = F.max("at").over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, -1))
     asked = both.withColumn("before", before).where("start is not null").drop("at").withColumn("x", F.col("end")).withColumn("at", none)
     again = asked.unionByName(own.select(*by, none.alias("start"), none.alias("end"), F.lit(None).cast("array<long>").alias("points"), F.col("at").alias("x"), none.alias("before"), "at"))
-    after = F.min("at").over(w.orderBy("x").rangeBetween(1, Window.unboundedFollowing))
+    after = F.min("at").over(w.orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, -1))
     near = again.withColumn("after", after).where("start is not null")
     wide = F.concat(F.array_compact(F.array("before")), "points", F.array_compact(F.array("after")))
     return found.where(F.size("points") >= 2).unionByName(near.select(*by, "start", "end", wide.alias("points")))

@@ -88,8 +88,10 @@ def flt15(spark, d):
 @query("flt16_next_pending", """SELECT detection_id, coalesce(min(CASE WHEN p THEN detection_id END) OVER (PARTITION BY survey_id ORDER BY detection_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(CASE WHEN p THEN detection_id END) OVER (PARTITION BY survey_id)) AS next_id
  FROM (SELECT *, review_status IS NULL AS p FROM v_detection)""", V)
 def flt16(spark, d):
+    """The next pending detection of a survey, from its last one on the first. Those ahead are walked from the end: a frame that ends there is
+    summed up anew for every row."""
     pending = F.when(F.col("review_status").isNull(), F.col("detection_id"))
-    ahead = Window.partitionBy("survey_id").orderBy("detection_id").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("survey_id").orderBy(F.desc("detection_id")).rowsBetween(Window.unboundedPreceding, -1)
     return detections(spark, d).select("detection_id", F.coalesce(F.min(pending).over(ahead), F.min(pending).over(Window.partitionBy("survey_id"))).alias("next_id"))
 
 

@@ -1,6 +1,7 @@
 """Hand-checked values, validation and streams."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -451,6 +452,21 @@ def test_directions_that_cancel_out(spark):
         assert r["out"] == turn - 360 * math.floor(turn / 360)
 
 
+def test_no_frame_starts_anew_for_each_row(spark):
+    """What lies ahead of a row comes from a walk from the end: a frame that ends at the last row costs the square of a line or survey."""
+    from pyspark.sql.window import Window
+
+    from pingframe.plans import registry
+
+    def anew(df):
+        frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+), ([^)]+)", df._jdf.queryExecution().optimizedPlan().toString())
+        return [f for f in frames if f[1].startswith("unboundedfollowing") and not f[0].startswith("unboundedpreceding")]
+
+    assert anew(spark.range(3).select(F.min("id").over(Window.partitionBy().orderBy("id").rowsBetween(1, Window.unboundedFollowing))))
+    for name in ("flt16_next_pending", "int01_extrapolated_lon", "jn13_events_on_track", "agg16_average_precision_101"):
+        assert not anew(registry.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
 def test_percentiles_of_groups(spark):
     """Groups of one value, of ties, with nulls, and a large one, against NumPy."""
     import numpy as np
