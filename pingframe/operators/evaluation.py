@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from pingframe.operators.graph import connected
 from pingframe.operators.ranking import placed
 from pingframe.operators.series import interpolated
+from pingframe.plans.tables import written
 
 
 def calibration_bins(rows: DataFrame, by: list[str], score: str, label: str, bins: int = 10) -> DataFrame:
@@ -261,20 +262,54 @@ def per_class(predictions: DataFrame, truths: DataFrame, least: float = 0.25) ->
     return both.select("cls", truth.alias("n_truth"), F.when(truth > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"), F.try_divide("hits", "kept").alias("precision"), F.try_divide(F.coalesce("hits", F.lit(0)), "n_truth").alias("recall"))
 
 
+#: Bins of the score that a bootstrap walks, each for all replicates in one call.
+WALKED = 64
+
+
 def bootstrap_map(predictions: DataFrame, truths: DataFrame, unit: str, replicates: int = 100) -> DataFrame:
     """(low, middle, high): 2.5, 50 and 97.5 percentiles of the mean average precision over classes, of resampled units (images).
 
-    A unit counts Poisson(1) times in a replicate; its predictions and truths are repeated as often.
+    A unit counts Poisson(1) times in a replicate; its predictions and truths count as often. No row is copied: a class's predictions are ranked in
+    bins of the score, counts of units per bin give each replicate's first rank and hits of a bin, and a task walks a bin once for all replicates.
     """
-    r = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-
-    def drawn(rows: DataFrame) -> DataFrame:
-        copied = rows.withColumn("r", r).withColumn("w", poisson_weight(F.col(unit), F.col("r"))).where("w > 0")
-        return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w"))))
-
-    n = drawn(truths).groupBy("r", "cls").agg(F.count("*").alias("n_truth"))
-    own = drawn(predictions).withColumn("place", F.struct("id", "copy")).join(n, ["r", "cls"])
-    ap = average_precision_101(own, ["r", "cls"], "score", "hit", "place", "n_truth")
+    slim = predictions.select("cls", F.floor(F.col("score") * WALKED).alias("bin"), F.col(unit).alias("u"), F.col("score").cast("double").alias("s"), "id", F.col("hit").cast("long").alias("y"))
+    slim = written(slim, "predictions")
+    units = truths.select(F.col(unit).alias("u")).union(slim.select("u")).distinct()
+    weights = units.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.col("u"), F.col("r")))
+    counted = weights.where("w > 0")
+    n = truths.groupBy("cls", F.col(unit).alias("u")).agg(F.count("*").alias("n")).join(counted, "u").groupBy("r", "cls").agg(F.sum(F.col("n") * F.col("w")).alias("n_truth"))
+    per = slim.groupBy("cls", "bin", "u").agg(F.count("*").alias("n"), F.sum("y").alias("h")).join(counted, "u").groupBy("cls", "bin", "r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "h")])
+    above = Window.partitionBy("cls", "r").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("cls", "bin", "r", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("n", "h")]).join(n, ["r", "cls"])
+    starts = starts.groupBy("cls", "bin").agg(F.array_sort(F.collect_list(F.struct("r", "n0", "h0", "n_truth"))).alias("of"))
+    own = slim.groupBy("cls", "bin", "u").agg(F.count("*")).select("cls", "bin", "u").join(weights.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("weights")), "u")
+    own = own.groupBy("cls", "bin").agg(F.collect_list(F.struct("u", "weights")).alias("units")).join(starts, ["cls", "bin"]).toDF("of_cls", "of_bin", "units", "of")
+
+    def walked(rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or about.empty:
+            return pd.DataFrame({"cls": [], "bin": [], "r": [], "top": [], "best": [], "share": []})
+        rows = rows.sort_values(["s", "id"], ascending=[False, True], kind="stable")
+        kinds = pd.Index([x["u"] for x in about["units"].iloc[0]])
+        times = np.array([list(x["weights"]) for x in about["units"].iloc[0]], dtype=np.int64)[kinds.get_indexer(rows["u"])]
+        y = rows["y"].to_numpy()
+        out = []
+        for x in about["of"].iloc[0]:
+            w = times[:, x["r"] - 1]
+            hits = x["h0"] + np.cumsum(w * y)
+            met = (w > 0) & (y == 1)
+            if met.any():
+                best = np.maximum.accumulate((hits[met] / (x["n0"] + np.cumsum(w))[met])[::-1])[::-1]
+                after = hits[met]
+                points = np.where(after > 0, np.floor(after * 100 / x["n_truth"] + 1e-9) + 1, 0)
+                before = np.append(x["h0"], after[:-1])
+                share = points - np.where(before > 0, np.floor(before * 100 / x["n_truth"] + 1e-9) + 1, 0)
+                some = np.flatnonzero(share > 0)
+                out += [(x["r"], best[0], best[k], share[k]) for k in some] or [(x["r"], best[0], 0.0, 0.0)]
+        return pd.DataFrame(out, columns=["r", "top", "best", "share"]).assign(cls=rows["cls"].iloc[0], bin=rows["bin"].iloc[0])[["cls", "bin", "r", "top", "best", "share"]]
+
+    steps = slim.groupBy("cls", "bin").cogroup(own.groupBy("of_cls", "of_bin")).applyInPandas(walked, "cls string, bin long, r int, top double, best double, share double")
+    later = Window.partitionBy("cls", "r").orderBy("bin").rangeBetween(Window.unboundedPreceding, -1)
+    ap = steps.withColumn("later", F.max("top").over(later)).groupBy("r", "cls").agg((F.sum(F.greatest("best", "later") * F.col("share")) / 101).alias("ap"))
     means = n.join(ap, ["r", "cls"], "left").groupBy("r").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("m"))
     return means.agg(*[F.percentile("m", F.lit(p)).alias(k) for k, p in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
 

@@ -516,6 +516,14 @@ def test_merged_boxes_meet_those_beside_them(spark):
     assert met < 20 * len(boxes)  # a walk over all kept met over 700 for each
 
 
+def test_bootstrap_copies_no_rows(spark):
+    """One unit with a hit of the first rank: its precision is 1 wherever the unit is drawn, and no row is repeated for its count."""
+    predictions = spark.createDataFrame([("a", 1, 1, 0.9, 1), ("a", 1, 2, 0.5, 0)], "cls string, unit int, id int, score double, hit int")
+    out = evaluation.bootstrap_map(predictions, spark.createDataFrame([("a", 1)], "cls string, unit int"), "unit", 20)
+    assert tuple(out.first()) == pytest.approx((1.0, 1.0, 1.0))
+    assert "copy" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_percentiles_of_groups(spark):
     """Groups of one value, of ties, with nulls, and a large one, against NumPy."""
     import numpy as np
