@@ -102,7 +102,8 @@ def runs(rows: DataFrame, flag: Column, by: list[str], at: str) -> DataFrame:
 
 
 def travelled(rows: DataFrame, by: list[str], at: str) -> DataFrame:
-    """rows with step_m and travelled_m along the track; a step with a missing end adds nothing."""
+    """rows with step_m and travelled_m along the track. The first step of a line, like one with a missing end, is haversine() of null: half the
+    earth's circumference, as least() passes over null in SQL too."""
     w = Window.partitionBy(*by).orderBy(at)
     step = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     return rows.withColumn("step_m", F.coalesce(step, F.lit(0.0))).withColumn("travelled_m", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
