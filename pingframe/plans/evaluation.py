@@ -74,8 +74,7 @@ BY_CONFIDENCE = "confidence DESC, prediction, iou DESC, truth DESC"
 def rated(spark, d):
     """Odd events as predictions that hit a truth of their class where they overlap by a twentieth, even ones as truths."""
     boxes = view(spark, d, "v_detection").where("ping_start is not null")
-    pairs = matching.truth_pairs(boxes, ["survey_id", "cls"]).where("iou >= 0.05")
-    met = evaluation.greedy_matches(pairs, [], "prediction", "truth", ["confidence", "prediction"], "iou").select(F.col("prediction").alias("event_id"), F.lit(1).alias("hit"))
+    met = matching.truth_matches(boxes, ["survey_id", "cls"], 0.05).select(F.col("prediction").alias("event_id"), F.lit(1).alias("hit"))
     own = boxes.where("event_id % 2 = 1").join(met, "event_id", "left")
     predictions = own.select("cls", "survey_id", F.col("event_id").alias("id"), (F.col("confidence") / 100).alias("score"), F.coalesce("hit", F.lit(0)).alias("hit"))
     return predictions, boxes.where("event_id % 2 = 0").select("cls", "survey_id")
@@ -133,9 +132,7 @@ def ras16(spark, d):
 def jn05(spark, d):
     """One-to-one matches of boxes of even and odd events of a survey and class, by confidence and overlap."""
     boxes = view(spark, d, "v_detection").where("ping_start is not null")
-    pairs = matching.truth_pairs(boxes, ["survey_id", "cls"]).withColumnRenamed("prediction_cls", "cls")
-    met = evaluation.greedy_matches(pairs, ["survey_id", "cls"], "prediction", "truth", ["confidence", "prediction"], "iou")
-    return met.withColumn("iou", F.round("iou", 6))
+    return matching.truth_matches(boxes, ["survey_id", "cls"]).withColumn("iou", F.round("iou", 6))
 
 
 NEAR = "2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"

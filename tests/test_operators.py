@@ -560,3 +560,44 @@ def test_auroc_over_bins_equals_all_pairs(spark):
     for g in ("a", None):
         up, down = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
         assert got[g] == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down]))
+
+
+def test_greedy_boxes_take_what_a_plain_walk_takes(spark):
+    """Copies of boxes with ties of IoU, against all pairs walked one by one; pairs are made of distinct boxes only."""
+    import random
+
+    from pingframe.operators import matching, merging
+
+    rng = random.Random(5)
+    shapes = [(p, p + 9, x, x + 2.0) for p in (0, 5, 10, 60) for x in (-1.0, 0.0, 1.0, 15.5)]
+    boxes = [(i, rng.randrange(2), *rng.choice(shapes), float(rng.randrange(6))) for i in range(400)]
+    df = spark.createDataFrame(boxes, "event_id long, survey_id long, ping_start long, ping_end long, across_start double, across_end double, confidence double")
+
+    def iou(a, b):
+        p, x = min(a[3], b[3]) - max(a[2], b[2]) + 1, min(a[5], b[5]) - max(a[4], b[4])
+        size = lambda r: (r[3] - r[2] + 1) * (r[5] - r[4])
+        return p * x / (size(a) + size(b) - p * x) if p > 0 and x > 0 else -1.0
+
+    def walked(lefts, rights, key, least):
+        taken, out = set(), set()
+        for a in lefts:
+            able = [b for b in rights if b[1] == a[1] and b[0] not in taken and iou(a, b) >= least]
+            if able:
+                b = max(able, key=lambda b: key(a, b))
+                taken.add(b[0])
+                out.add((a[0], b[0]))
+        return out
+
+    odd, even = [b for b in boxes if b[0] % 2], [b for b in boxes if b[0] % 2 == 0]
+    want = walked(sorted(odd, key=lambda a: (-a[6], a[0])), even, lambda a, b: (iou(a, b), b[0]), 0.0)
+    assert {(r["prediction"], r["truth"]) for r in matching.truth_matches(df, ["survey_id"]).collect()} == want and len(want) > 100
+    want = walked(even, odd, lambda a, b: -b[0], 0.2)
+    assert {(r["truth"], r["prediction"]) for r in matching.truth_matches(df, ["survey_id"], 0.2, by_confidence=False).collect()} == want
+    made = []
+    before, matching.overlaps = matching.overlaps, lambda *a: made.append(merging.overlaps(*a)) or made[-1]
+    try:
+        matching.truth_matches(df, ["survey_id"]).collect()
+    finally:
+        matching.overlaps = before
+    assert sum(m.count() for m in made) <= (2 * 2 * len(shapes)) ** 2 / 4  # all pairs are over 5,000
+    assert merging.overlaps(df, ["survey_id"]).count() > 5_000
