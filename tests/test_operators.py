@@ -601,3 +601,38 @@ def test_greedy_boxes_take_what_a_plain_walk_takes(spark):
         matching.overlaps = before
     assert sum(m.count() for m in made) <= (2 * 2 * len(shapes)) ** 2 / 4  # all pairs are over 5,000
     assert merging.overlaps(df, ["survey_id"]).count() > 5_000
+
+
+@pytest.mark.parametrize("lat", [13.0, -59.1, 89.9997])
+def test_near_groups_are_those_of_all_near_pairs(spark, lat):
+    """Sparse and dense places, and cells whose outermost points are not the nearest ones; links are fewer than near pairs."""
+    import random
+
+    rng = random.Random(8)
+    wide = 1 / max(math.cos(math.radians(lat)), 1e-4)
+    spot = lambda i, span: (i, lat + rng.random() * span, 20 + rng.random() * span * wide, "ab"[i % 2])
+    pts = [spot(i, 2.9e-4) for i in range(120)] + [spot(i, 4e-5) for i in range(120, 240)] + [(240, None, 20.0, "a")]
+    df = spark.createDataFrame(pts, "id long, lat double, lon double, cls string")
+
+    def metres(p, q):
+        a = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * geo.EARTH_M * math.asin(min(1, math.sqrt(a)))
+
+    roots = {}
+    for p in pts:  # ids rise, so the first point of a group is its root
+        todo = [p] if p[0] not in roots else []
+        while todo:
+            at = todo.pop()
+            roots[at[0]] = p[0]
+            todo += [q for q in pts if at[1] and q[1] and q[0] not in roots and q[3] == at[3] and metres(at, q) <= 5.0]
+    got = {r["id"]: r["root"] for r in spatial.near_groups(df, 5.0, ["cls"]).collect()}
+    assert got == roots and 2 < len(set(got.values())) < 120
+
+
+def test_clusters_make_no_pairs_of_points_in_a_dense_place(spark, monkeypatch):
+    pts = spark.range(3000).selectExpr("id", "13 + id % 50 * 1e-7 as lat", "80 + id % 60 * 1e-7 as lon", "'a' as cls")
+    linked = []
+    monkeypatch.setattr(spatial, "connected", lambda links: linked.append(links.count()) or connected(links))
+    assert {r["root"] for r in spatial.near_groups(pts, 5.0, ["cls"]).select("root").distinct().collect()} == {0}
+    rows = pts.selectExpr("id as event_id", "cast(id as string) as detection_id", "cls", "1.0 as confidence", "lat", "lon", "concat('f', id % 3) as source_file")
+    assert [r["n_views"] for r in spatial.clustered(rows).collect()] == [3] and max(linked) < 10
