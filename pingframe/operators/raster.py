@@ -274,17 +274,33 @@ def _nearest_of(probes: DataFrame, bank: DataFrame) -> DataFrame:
     def nearest(vs: pd.Series) -> pd.Series:
         if norm is None:
             return pd.Series([None] * len(vs), dtype="float64")
-        x = np.stack(vs.to_numpy()).astype(np.float64)
-        best = np.empty(len(x))
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            near = ((part**2).sum(1)[:, None] + norm[None] - 2 * part @ known.T).argmin(axis=1)
-            best[at : at + 512] = np.sqrt(((part - known[near]) ** 2).sum(axis=1))
-        return pd.Series(best)
+        return pd.Series(_distances(np.stack(vs.to_numpy()).astype(np.float64), known, norm))
 
     return probes.select("id", nearest("v").alias("distance"))
 
 
+#: Vectors of a bank that a tile of 512 probes is held against at a time, so a worker holds 16 MB a table of distances.
+BANK_TILE = 4_096
+
+
+def _distances(x: np.ndarray, known: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """The distance of each row of x to the nearest of known, whose squared lengths are norm."""
+    best = np.empty(len(x))
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        least, near = np.full(len(part), np.inf), np.zeros(len(part), np.int64)
+        for start in range(0, len(known), BANK_TILE):
+            square = part @ known[start : start + BANK_TILE].T
+            square *= -2
+            square += norm[start : start + BANK_TILE]
+            k = square.argmin(axis=1)
+            own = square[np.arange(len(part)), k]
+            nearer = own < least
+            least[nearer], near[nearer] = own[nearer], k[nearer] + start
+        best[at : at + 512] = np.sqrt(((part - known[near]) ** 2).sum(axis=1))
+    return best
+
+
 def _farthest(x: np.ndarray, size: int) -> list[int]:
     """Places of a farthest-first walk over the rows of x from the first one on (ties: the first); it ends where all rows are chosen ones."""
     chosen, near = [0], ((x - x[0]) ** 2).sum(axis=1)

@@ -636,3 +636,21 @@ def test_clusters_make_no_pairs_of_points_in_a_dense_place(spark, monkeypatch):
     assert {r["root"] for r in spatial.near_groups(pts, 5.0, ["cls"]).select("root").distinct().collect()} == {0}
     rows = pts.selectExpr("id as event_id", "cast(id as string) as detection_id", "cls", "1.0 as confidence", "lat", "lon", "concat('f', id % 3) as source_file")
     assert [r["n_views"] for r in spatial.clustered(rows).collect()] == [3] and max(linked) < 10
+
+
+def test_bank_is_held_in_tiles():
+    """A worker's memory does not grow with the bank: before, one table had 512 rows by all vectors of a block."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, known = rng.normal(size=(600, 6)), rng.normal(size=(60_000, 6))
+    norm = (known**2).sum(axis=1)
+    tracemalloc.start()
+    got = raster._distances(x, known, norm)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    want = [np.sqrt(((known - p) ** 2).sum(axis=1).min()) for p in x[::50]]
+    assert got[::50] == pytest.approx(want, abs=1e-12)
