@@ -346,6 +346,28 @@ def test_correlated_blocks_lose_no_pair(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in similarity.correlated(rows, 0.97, "split").collect()} == {(a, b) for a, b in want if a % 2 != b % 2}
 
 
+def test_correlated_at_any_threshold_and_size(spark, monkeypatch):
+    """Keys follow the threshold, so weaker pairs are found as well; copies meet in blocks, and each pair comes once for each row of its ids."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "PAIRS", 16)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((6, 24)).repeat(20, axis=0) + 0.7 * rng.standard_normal((120, 24)), np.tile(rng.standard_normal(24), (30, 1)), np.full((1, 24), np.nan)])
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    ids = [*range(150), 999]
+    want = sorted((a, b) for a in range(150) for b in range(a + 1, 150) if z[a] @ z[b] / 24 >= 0.6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [(None, [0.0, 1.0] * 12)], "id long, v array<double>")
+    assert sorted((r["a"], r["b"]) for r in similarity.correlated(rows, 0.6).collect()) == want and len(want) > 600
+    twice = rows.where("id >= 118").unionByName(rows.where("id = 120"))
+    expected = sorted([p for p in want if p[0] >= 118] + [p for p in want if p[0] >= 118 and 120 in p])
+    assert sorted((r["a"], r["b"]) for r in similarity.correlated(twice, 0.6).collect()) == expected
+    for rows_, least in ((100, 0.97), (10_256, 0.97), (615_384, 0.97), (10**7, 0.97), (10**6, 0.5), (10**6, 1.0), (0, 0.97)):
+        keys, signs = similarity.key_shape(rows_, least)
+        same = min(0.99, 1 - math.acos(least) / math.pi)
+        assert 1 <= keys <= similarity.KEYS and (1 - same**signs) ** keys <= 2e-7 and (least < 0.9 or rows_ / 2**signs <= similarity.LIST)
+
+
 def test_bright_targets_and_regions():
     import numpy as np
 
