@@ -5,11 +5,14 @@ A mask of any size is as many rows as it has stretches, so unions, intersections
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +23,8 @@ from pingframe.plans.tables import written
 
 #: Rows of a mask whose corners are found by themselves before those of the mask are.
 BLOCK_ROWS = 4_096
+#: Rows that the edges of polygons cross, as many as are sorted at a time.
+CROSSINGS = 1_000_000
 
 
 def runs_of(cells: DataFrame, by: list[str], row: str, col: str) -> DataFrame:
@@ -33,20 +38,76 @@ def filled(polygons: DataFrame, by: list[str], points: str, height: int | None =
     """The runs of polygons (by, points: an array of x and y) by scan lines and the even-odd rule, clipped to the image if its size is given.
 
     A cell is inside if its centre is. Closing the ring is implied; an edge belongs to the rows whose centres lie in [lower y, upper y). Polygons
-    without a cell have no rows.
+    without a cell have no rows, those of equal keys are rings of one mask, and edges that are not finite are left out. Rings are shuffled, not what
+    they cross, and not even these if they lie together already.
     """
-    nxt = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
-    edge = polygons.select(*by, F.explode(F.arrays_zip(F.col(points).alias("p"), nxt.alias("q"))).alias("e")).select(*by, "e.p", "e.q")
-    low, high = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
-    first, last = F.ceil(low - 0.5), F.ceil(high - 0.5) - 1
+
+    @F.arrow_udf("array<struct<row: long, start: long, end: long>>")
+    def scanned(rings: pa.Array) -> pa.Array:
+        ring = rings.flatten()
+        sizes = ring.value_lengths().to_numpy()
+        point = ring.flatten()
+        x, y = (pc.struct_field(point, c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        owner = np.repeat(np.repeat(np.arange(len(rings)), rings.value_lengths().to_numpy()), sizes)
+        ends, nxt = np.cumsum(sizes)[sizes > 0], np.arange(1, len(x) + 1)
+        nxt[ends - 1] = ends - sizes[sizes > 0]
+        counts, parts = np.zeros(len(rings), np.int64), []
+        for lo, hi in _spans(owner, height, edges := (x, y, x[nxt], y[nxt])):
+            own, *run = _scan(owner[lo:hi], *(c[lo:hi] for c in edges), height, width)
+            counts += np.bincount(own, minlength=len(rings))
+            parts.append(run)
+        runs = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(c) for c in runs], ["row", "start", "end"]))
+
+    rings = polygons.where(F.size(points) > 0).groupBy(*by).agg(F.collect_list(F.col(points)).alias("__rings"))
+    return rings.select(*by, F.explode(scanned("__rings")).alias("__r")).select(*by, "__r.row", "__r.start", "__r.end")
+
+
+def _rows(y: np.ndarray, to: np.ndarray, height: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows whose centres lie between two ends of edges."""
+    whole = np.isfinite(y) & np.isfinite(to)
+    low, high = (np.ceil(np.where(whole, f(y, to), 0.0) - 0.5).astype(np.int64) for f in (np.minimum, np.maximum))
     if height is not None:
-        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(height - 1))
-    crossed = edge.where((low < high) & (first <= last)).withColumn("row", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    x = F.col("p.x") + (F.col("row") + 0.5 - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
-    lines = crossed.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.ceil(x - 0.5).cast("long"))).alias("x"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), lambda k: F.struct(F.get("x", 2 * k).alias("start"), F.get("x", 2 * k + 1).alias("end")))
-    out = lines.where("size(x) > 1").select(*by, "row", F.explode(pairs).alias("r")).select(*by, "row", "r.start", "r.end")
-    return united(clipped(out, None, width), by)
+        low, high = np.maximum(low, 0), np.minimum(high, height)
+    return low, np.maximum(high - low, 0)
+
+
+def _spans(owner: np.ndarray, height: int | None, edges: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int]]:
+    """Stretches of edges, polygons whole, that cross up to CROSSINGS rows (or are one polygon)."""
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    before = np.r_[0, np.cumsum(_rows(edges[1], edges[3], height)[1])]
+    bounds = np.r_[starts, len(owner)]
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(before[bounds], before[bounds[at]] + CROSSINGS, "right")) - 1)
+        yield int(bounds[at]), int(bounds[to])
+        at = to
+
+
+def _scan(owner: np.ndarray, px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray, height: int | None, width: int | None) -> tuple[np.ndarray, ...]:
+    """(owner, row, start, end) of the runs between the edges of polygons, in this order; those that touch are one."""
+    first, n = _rows(py, qy, height)
+    e = np.repeat(np.arange(len(n)), n)
+    row = first[e] + np.arange(len(e)) - (np.cumsum(n) - n)[e]
+    x = px[e] + (row + 0.5 - py[e]) * (qx[e] - px[e]) / (qy[e] - py[e])
+    held = np.isfinite(x)
+    x, row, own = np.ceil(x[held] - 0.5).astype(np.int64), row[held], owner[e[held]]
+    order = np.lexsort((x, row, own))
+    x, row, own = x[order], row[order], own[order]
+    new = np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])][: len(x)]
+    starts = np.flatnonzero(new)
+    place = np.arange(len(x)) - starts[np.cumsum(new) - 1]
+    left = np.flatnonzero((place[:-1] % 2 == 0) & ~new[1:])
+    left = left[x[left] < x[left + 1]]
+    start, end, row, own = x[left], x[left + 1], row[left], own[left]
+    new = np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1]) | (start[1:] != end[:-1])][: len(start)]
+    last = np.r_[new[1:], True][: len(start)]
+    own, row, start, end = own[new], row[new], start[new], end[last]
+    if width is None:
+        return own, row, start, end
+    start, end = np.maximum(start, 0), np.minimum(end, width)
+    inside = start < end
+    return own[inside], row[inside], start[inside], end[inside]
 
 
 def clipped(runs: DataFrame, height: int | None, width: int | None) -> DataFrame:

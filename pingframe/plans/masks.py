@@ -10,6 +10,8 @@ from pingframe.plans.views import samples, table
 
 V = "v_sample"
 
+#: Events whose polygons a task fills, so that its memory does not grow with the table.
+TASK_EVENTS = 50_000
 #: A polygon for each event, by its corners; every third one crosses itself.
 CORNERS = (
     ("event_id % 12 + 0.3e0", "event_id % 9 + 0.2e0"),
@@ -23,10 +25,16 @@ POLYGON_CELLS = f"""pg AS (SELECT event_id, [{", ".join(f"{{'x': {x}, 'y': {y}}}
  cell AS (SELECT event_id, r, c FROM cr, unnest(range(0, 40)) AS z(c) GROUP BY event_id, r, c HAVING count(*) FILTER (WHERE x <= c + 0.5) % 2 = 1)"""
 
 
+def tasks_of(spark, d):
+    """So many partitions that each has about TASK_EVENTS events."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, d, "events").count() // TASK_EVENTS))
+
+
 def polygons(spark, d):
     """(event_id, row, start, end) of the events' polygons."""
+    events = table(spark, d, "events").select("event_id").where("event_id is not null").repartition(tasks_of(spark, d), "event_id")
     points = F.array(*[F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in CORNERS])
-    return masks.filled(table(spark, d, "events").select("event_id", points.alias("p")), ["event_id"], "p")
+    return masks.filled(events.select("event_id", points.alias("p")), ["event_id"], "p")
 
 
 def cells(spark, d):
@@ -50,7 +58,7 @@ def scl17(spark, d):
 def set02b(spark, d):
     """Masks of tiles in their image: shifted, clipped and united by threes; those without a cell in the image are gone."""
     moved = masks.shifted(polygons(spark, d), (F.col("event_id") % 3) * 12 - 6, (F.col("event_id") % 5) * 9 - 8, 40, 44).withColumn("mask", F.floor(F.col("event_id") / 3))
-    whole = masks.united(moved, ["mask"])
+    whole = masks.united(moved.repartition(tasks_of(spark, d), "mask"), ["mask"])
     return whole.groupBy("mask").agg(F.sum(F.col("end") - F.col("start")).alias("cells"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
 

@@ -67,6 +67,32 @@ def test_unions_intersections_and_overlaps(spark):
     assert masks.shifted(runs, F.lit(0), F.lit(40), 10, 16).count() == 0 and masks.united(runs.where("false"), ["key"]).count() == 0
 
 
+def test_polygons_meet_in_no_shuffle_but_their_own(spark, monkeypatch):
+    """Rings of equal keys are one mask, whatever is scanned at a time; polygons that lie together by key are filled without a shuffle."""
+    monkeypatch.setattr(masks, "CROSSINGS", 20)
+    rng = np.random.default_rng(6)
+    rings = [(int(k), [tuple(p) for p in rng.uniform(-3, 18, (int(rng.integers(3, 8)), 2)).round(1).tolist()]) for k in rng.integers(0, 12, 40)]
+    rings += [(50, [(1.0, 1.0), (4.0, 1.0), (4.0, 3.0), (1.0, 3.0)]), (50, [(4.0, 1.0), (7.0, 1.0), (7.0, 3.0), (4.0, 3.0)]), (51, [(0.0, 0.0), (float("nan"), 5.0), (5.0, float("inf"))])]
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in p]) for k, p in rings], "key long, p array<struct<x: double, y: double>>")
+    want = {}
+    for k, p in rings[:-1]:
+        want[k] = want.get(k, set()) ^ even_odd(p, 30)
+    runs = masks.filled(df.repartition(3, "key"), ["key"], "p")
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert cells(runs, "key") == {k: s for k, s in want.items() if s}
+    assert sorted((r["row"], r["start"], r["end"]) for r in runs.where("key = 50").collect()) == [(1, 1, 7), (2, 1, 7)]
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_tasks_of_mask_queries_grow_with_events(spark, monkeypatch):
+    """Partitions of the union hold so many events, whatever the session's number of partitions is."""
+    from pingframe.plans import masks as plans
+
+    monkeypatch.setattr(plans, "TASK_EVENTS", 100)
+    plan = plans.set02b(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count(", 10)") >= 2
+
+
 def flooded(cells_):
     left, out = set(cells_), []
     while left:
