@@ -133,8 +133,10 @@ def united(runs: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by, "row", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
-def crossed(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """The intersection of masks of the same image (on): a and b have one more key each, which the result has both."""
+def crossed(a: DataFrame, b: DataFrame, on: list[str], tasks: int | None = None) -> DataFrame:
+    """The intersection of masks of the same image (on): a and b have one more key each, which the result has both. Rows of images are dealt to so many tasks and merged, if these are given."""
+    if tasks:
+        a, b = (x.repartition(tasks, *on, "row").hint("merge") for x in (a, b))
     left, right = a.alias("l"), b.alias("r")
     same = reduce(and_, (F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "row"])) & (F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end"))
     own = [F.col(f"l.{c}") for c in a.columns if c not in (*on, "row", "start", "end")]
@@ -147,9 +149,9 @@ def counted(runs: DataFrame, by: list[str], name: str = "cells") -> DataFrame:
     return runs.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias(name))
 
 
-def mask_ious(a: DataFrame, b: DataFrame, on: list[str], a_key: str, b_key: str) -> DataFrame:
-    """(on, a_key, b_key, shared, iou) of each pair of masks of an image that share a cell. The runs of each mask must not overlap (see united)."""
-    shared = counted(crossed(a, b, on), [*on, a_key, b_key], "shared")
+def mask_ious(a: DataFrame, b: DataFrame, on: list[str], a_key: str, b_key: str, tasks: int | None = None) -> DataFrame:
+    """(on, a_key, b_key, shared, iou) of each pair of masks of an image that share a cell. The runs of each mask must not overlap (see united). tasks: see crossed."""
+    shared = counted(crossed(a, b, on, tasks), [*on, a_key, b_key], "shared")
     both = shared.join(counted(a, [*on, a_key], "__a"), [*on, a_key]).join(counted(b, [*on, b_key], "__b"), [*on, b_key])
     return both.select(*on, a_key, b_key, "shared", (F.col("shared") / (F.col("__a") + F.col("__b") - F.col("shared"))).alias("iou"))
 

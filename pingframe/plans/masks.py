@@ -51,7 +51,7 @@ def scl17(spark, d):
     """Overlap of the masks of events 2k and 2k + 1, which share an image."""
     runs = polygons(spark, d).withColumn("image", F.floor(F.col("event_id") / 2))
     even, odd = (runs.where(F.col("event_id") % 2 == k).withColumnRenamed("event_id", name) for k, name in enumerate(("event_id", "other")))
-    return masks.mask_ious(even, odd, ["image"], "event_id", "other").select("event_id", "shared", F.round("iou", 6).alias("iou"))
+    return masks.mask_ious(even, odd, ["image"], "event_id", "other", tasks_of(spark, d)).select("event_id", "shared", F.round("iou", 6).alias("iou"))
 
 
 @query("set02_tile_unions", f"WITH {POLYGON_CELLS}, m AS (SELECT DISTINCT event_id // 3 AS mask, r + (event_id % 3) * 12 - 6 AS r, c + (event_id % 5) * 9 - 8 AS c FROM cell) SELECT mask, count(*) AS cells, min(r) AS first_row, max(r) AS last_row FROM m WHERE r BETWEEN 0 AND 39 AND c BETWEEN 0 AND 43 GROUP BY mask")

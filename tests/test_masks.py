@@ -1,6 +1,7 @@
 """Masks as runs against plain arrays of cells."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -91,6 +92,8 @@ def test_tasks_of_mask_queries_grow_with_events(spark, monkeypatch):
     monkeypatch.setattr(plans, "TASK_EVENTS", 100)
     plan = plans.set02b(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and plan.count(", 10)") >= 2
+    plan = plans.scl17(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(image#\d+L, row#\d+L, 10\)", plan)) == 2 and not re.findall(r"hashpartitioning\(event_id#\d+L, row#\d+L", plan)
 
 
 def flooded(cells_):
