@@ -79,11 +79,11 @@ def str01b(spark, d):
     place = f"{shared_dir(spark)}/job-events-{uuid.uuid4().hex}"
     first, second = rows.agg(F.percentile_approx(F.unix_micros("ts"), F.array(F.lit(0.3), F.lit(0.7)), F.lit(100))).first()[0] or (0, 0)
     at = F.unix_micros("ts")
-    for part in (at < first, (at >= first) & (at < second), at >= second):
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
     with state.with_state(spark):
-        stream = jobs.read_events(spark, f"{place}/in", rows.schema, files_per_trigger=1)
-        state.stored(state.numbered(stream, 21600.0, 10 * 365 * 86_400), f"{place}/out", f"{place}/state")
+        for part in (at < first, (at >= first) & (at < second), at >= second):  # all files of a part are there before the stream goes on, so they are one batch
+            rows.where(part).write.mode("append").parquet(f"{place}/in")
+            stream = jobs.read_events(spark, f"{place}/in", rows.schema)
+            state.stored(state.numbered(stream, 21600.0, 10 * 365 * 86_400), f"{place}/out", f"{place}/state")
     ends = spark.read.parquet(f"{place}/out/ends").select("job_id", "seq", F.lit(True).alias("ended"))
     kept = spark.read.parquet(f"{place}/out/events").select("job_id", "seq", "event_id", "type", "written")
     return kept.join(ends, ["job_id", "seq"], "left").select("job_id", "seq", "event_id", "type", "written", F.coalesce("ended", F.lit(False)).alias("ended"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,22 +52,25 @@ class Numbered(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         seq, stage, at, ended = self._job.get() if self._job.exists() else (0, None, None, False)
-        out = []
-        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            if ended:
-                break
-            seq += 1
-            now, write = e.ts.value // 1000, True
-            if e.type == "progress":
-                write = stage != e.stage or at is None or now - at >= self.every_s * 1e6
-                if write:
-                    stage, at = e.stage, now
-            out.append((key[0], seq, e.event_id, e.ts, e.type, e.stage, write))
-            if e.type in ENDS:
-                ended = True
-                self._handle.registerTimer(now // 1000 + self.keep_ms)
-        self._job.update((seq, stage, at, ended))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+        if ended:
+            return
+        own = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        kinds = own["type"].to_numpy()
+        last = np.flatnonzero(np.isin(kinds, ENDS))[:1]
+        if len(last):
+            own, kinds, ended = own.iloc[: last[0] + 1], kinds[: last[0] + 1], True
+        times = own["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        written = np.ones(len(own), dtype=bool)
+        progress = np.flatnonzero(kinds == "progress")
+        for k, name, now in zip(progress.tolist(), own["stage"].to_numpy()[progress].tolist(), times[progress].tolist(), strict=True):
+            if stage != name or at is None or now - at >= self.every_s * 1e6:
+                stage, at = name, now
+            else:
+                written[k] = False
+        if ended:
+            self._handle.registerTimer(int(times[-1]) // 1000 + self.keep_ms)
+        self._job.update((seq + len(own), stage, at, ended))
+        yield own.assign(job_id=key[0], seq=np.arange(seq + 1, seq + len(own) + 1), written=written)[[c.split()[0] for c in EVENT.split(", ")]]
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self._job.clear()

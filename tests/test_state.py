@@ -75,3 +75,31 @@ def test_the_state_of_an_ended_job_goes(session, tmp_path):
         stream = session.readStream.schema(KINDS).parquet(f"{tmp_path}/in")
         state.stored(state.numbered(stream, 1.0, 3600), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted((r["job_id"], r["seq"], r["event_id"]) for r in session.read.parquet(f"{tmp_path}/out/events").collect()) == [(1, 1, 1), (1, 1, 6), (2, 1, 4), (2, 2, 5)]
+
+
+def test_events_of_an_ended_job_are_not_read():
+    """A job's rows are numbered in one piece up to its end; rows that come later are not touched."""
+    import pandas as pd
+
+    class Held:
+        value = None
+        timers: list = []
+        getValueState = lambda self, *_: self
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    held, job = Held(), state.Numbered(1.0, 60)
+    job.init(held)
+    t = pd.to_datetime([T0.replace(tzinfo=None)] * 4)
+    rows = pd.DataFrame({"job_id": 1, "event_id": [4, 3, 2, 1], "ts": t, "type": ["detection", "done", "progress", "progress"], "stage": "s"})
+    got = pd.concat(job.handleInputRows((1,), iter([rows]), None))
+    assert got[["seq", "event_id", "written"]].values.tolist() == [[1, 1, True], [2, 2, False], [3, 3, True]]
+    assert held.value[0] == 3 and held.value[3] and len(held.timers) == 1
+
+    def unread():
+        raise AssertionError("rows of an ended job were read")
+        yield
+
+    assert list(job.handleInputRows((1,), unread(), None)) == [] and held.value[0] == 3
