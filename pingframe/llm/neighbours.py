@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +18,11 @@ from pingframe.plans.tables import written
 #: The index is fitted on at most this many vectors (smallest hashes); every vector is indexed.
 FIT_VECTORS, FIT_QUERIES = 4_000, 150
 TABLES, AIM = 6, 0.97
-#: Rows of a bucket that meet in one task: candidates and queries are cut into blocks of about these sizes, each pair of blocks is a unit.
-BLOCK, QUERY_BLOCK = 8_192, 1_024
+#: Candidates are cut into blocks of about BLOCK rows (fewer if they are longer than 128 numbers), queries into eight times QUERY_BLOCK; each pair of
+#: blocks is a unit, in one task. QUERY_BLOCK is also the number of queries that are held against all vectors at once.
+BLOCK, QUERY_BLOCK = 32_768, 1_024
+#: Queries that a task probes for, and the most keys of a row: a query that visits more buckets has several rows.
+PROBED, KEYS = 256, 512
 
 
 class Index:
@@ -51,8 +55,9 @@ class Index:
         cell = np.floor(place)
         up = 1 - (place - cell)
         cost = np.r_[(place - cell) ** 2, up**2]
-        order = np.argsort(cost, kind="stable")
-        out, heap, n = [cell], [(cost[order[0]], (0,))], len(order)
+        order = np.argsort(cost, kind="stable").tolist()
+        cost = cost.tolist()
+        out, heap, n = [()], [(cost[order[0]], (0,))], len(order)
         while heap and len(out) < probes:
             total, chosen = heapq.heappop(heap)
             last = chosen[-1]
@@ -60,12 +65,14 @@ class Index:
                 step = cost[order[last + 1]]
                 heapq.heappush(heap, (total - cost[order[last]] + step, (*chosen[:-1], last + 1)))
                 heapq.heappush(heap, (total + step, (*chosen, last + 1)))
-            moves = order[list(chosen)]
-            if len(np.unique(moves % self.k)) == len(moves):  # not both ways at once
-                c = cell.copy()
-                c[moves % self.k] += np.where(moves >= self.k, 1, -1)
-                out.append(c)
-        return np.array(out)
+            moves = [order[i] for i in chosen]
+            if len({m % self.k for m in moves}) == len(moves):  # not both ways at once
+                out.append(moves)
+        cells = np.tile(cell, (len(out), 1))
+        rows = np.repeat(np.arange(len(out)), [len(moves) for moves in out])
+        moves = np.array([m for moves in out for m in moves], dtype=np.int64)
+        cells[rows, moves % self.k] += np.where(moves >= self.k, 1, -1)
+        return cells
 
     def probed(self, x: np.ndarray, probes: int) -> list[np.ndarray]:
         """For each row the keys of the buckets it visits in all tables, likeliest first by table: (tables, probes or fewer)."""
@@ -100,15 +107,16 @@ def fitted(sample: np.ndarray, rows: int, k: int = 10) -> Index:
     while True:
         index = Index(size, hashes, width)
         own = index.keys(np.floor(index.places(sample)))
-        rank = np.full((len(queries), k), limit + 1)
-        for q, keys in enumerate(index.probed(queries, limit)):
-            for t in range(index.tables):
-                at = {key: n + 1 for n, key in reversed(list(enumerate(keys[t])))}
-                rank[q] = np.minimum(rank[q], [at.get(key, limit + 1) for key in own[nearest[q], t]])
-        needed = int(np.quantile(rank, AIM, method="higher"))
-        if needed <= limit:
-            index.probes = needed
-            return index
+        for probes in sorted({min(limit, 128 * 4**i) for i in range(4)}):  # likelier buckets come first, so more are only looked at if few don't do
+            rank = np.full((len(queries), k), probes + 1)
+            for q, keys in enumerate(index.probed(queries, probes)):
+                for t in range(index.tables):
+                    at = {key: n + 1 for n, key in reversed(list(enumerate(keys[t].tolist())))}
+                    rank[q] = np.minimum(rank[q], [at.get(key, probes + 1) for key in own[nearest[q], t].tolist()])
+            needed = int(np.quantile(rank, AIM, method="higher"))
+            if needed <= probes:
+                index.probes = needed
+                return index
         width *= 1.5
 
 
@@ -118,40 +126,87 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    """(rows, size): vectors of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class Buckets:
+    """A block of candidates, each in its bucket of every table."""
+
+    def __init__(self, index: Index, held: list[pa.RecordBatch]) -> None:
+        self.size = index.size
+        self.x = np.concatenate([_vectors(b.column("v")) for b in held])
+        self.ids = np.concatenate([b.column("ids").flatten().to_numpy(zero_copy_only=False) for b in held])
+        self.ends = np.cumsum(np.concatenate([b.column("ids").value_lengths().to_numpy(zero_copy_only=False) for b in held]))
+        self.begins = np.r_[0, self.ends[:-1]]
+        with np.errstate(over="ignore"):
+            self.norms = (self.x.astype(np.float64) ** 2).sum(axis=1)
+        self.longest = self.norms.max()
+        self.keys, inverse = np.unique(index.keys(np.floor(index.places(self.x))).ravel(), return_inverse=True)
+        self.rows = np.argsort(inverse, kind="stable") // index.tables
+        self.starts = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(self.keys)))]
+
+    def met(self, keys: np.ndarray) -> np.ndarray:
+        """The rows in these buckets, each once."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = at[self.keys[at] == keys]
+        n = self.starts[at + 1] - self.starts[at]
+        found = np.zeros(len(self.x), dtype=bool)
+        found[self.rows[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(found)
+
+    def nearest(self, asked: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+        """(query_id, vec_id, score): the k nearest of the candidates that a query's buckets hold, for some queries at a time."""
+        names, vectors, keys = asked.column("ids").flatten().to_pylist(), _vectors(asked.column("v")), asked.column("keys")
+        flat, ends = keys.flatten().to_numpy(zero_copy_only=False), np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False))
+        visited = np.split(flat, ends[:-1])
+        for lo in range(0, len(names), 64):
+            q, rows = vectors[lo : lo + 64], [self.met(own) for own in visited[lo : lo + 64]]
+            # from a quarter of the block on, products with all of it take less than picking the rows
+            with np.errstate(over="ignore", invalid="ignore"):
+                products = self.x @ q.T if 4 * sum(map(len, rows)) > len(self.x) * len(q) else None
+            out = []
+            for i, (me, own) in enumerate(zip(names[lo : lo + 64], rows, strict=True)):
+                own = self._likely(own, q[i], None if products is None else products[:, i], k)
+                d = np.sqrt(((self.x[own].astype(np.float64) - q[i]) ** 2).sum(axis=1))
+                best = np.lexsort((self.ids[self.begins[own]], d))[: k + 1]
+                found = sorted((float(d[j]), v) for j in best for v in self.ids[self.begins[own[j]] : self.ends[own[j]]].tolist() if v != me)
+                out += [(me, v, s) for s, v in found[:k]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    def _likely(self, rows: np.ndarray, q: np.ndarray, products: np.ndarray | None, k: int) -> np.ndarray:
+        """rows without those that are surely not among the k + 1 nearest: squared distances by products, which are right but for rounding."""
+        kind, own = np.finfo(self.x.dtype), float((q.astype(np.float64) ** 2).sum())
+        if len(rows) <= k + 1 or not self.longest + own < kind.max / 8:
+            return rows
+        rough = self.norms[rows] - 2.0 * (self.x[rows] @ q if products is None else products[rows])
+        slack = 4 * (self.size + 4) * (float(kind.eps) * (self.longest + own) + float(kind.tiny))
+        return rows[rough <= np.partition(rough, k)[k] + slack]
+
+
 def _units(both: DataFrame, index: Index, k: int) -> DataFrame:
-    """The k nearest candidates of each query inside each unit; a unit's rows lie together, queries first."""
+    """The k nearest candidates of each query inside each unit. A unit's rows lie together, candidates first: these are held, queries go by in batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, buckets = None, [], None
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            ids = b[["key", "qb", "cb"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
-            rest = b.iloc[starts[-1] :]
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                yield nearest(b.iloc[lo:hi])
-        if rest is not None:
-            yield nearest(rest)
-
-    def nearest(unit: pd.DataFrame) -> pd.DataFrame:
-        asked = ~unit["candidate"].to_numpy()
-        q, c = unit[asked], unit[~asked]
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        c = c.iloc[np.argsort([ids[0] for ids in c["ids"]], kind="stable")]
-        qx, cx = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(c["v"].to_numpy()).astype(np.float64)
-        lists, own, out = c["ids"].to_numpy(), q["ids"].to_numpy(), []
-        step = max(1, 4_000_000 // (len(cx) * index.size))
-        for at in range(0, len(qx), step):
-            d = np.sqrt(((qx[at : at + step, None, :] - cx[None]) ** 2).sum(-1))
-            order = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-            for i, best in enumerate(order):
-                me = own[at + i][0]
-                found = sorted((d[i, j], v) for j in best for v in lists[j] if v != me)[:k]
-                out += [(me, v, s) for s, v in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    return both.repartition("key", "qb", "cb").sortWithinPartitions("key", "qb", "cb", "candidate").mapInPandas(run, "query_id long, vec_id long, score double")
+            ids = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cb", "qb", "asked")], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(ids)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if (at := tuple(ids[lo, :2])) != unit:
+                    unit, held, buckets = at, [], None
+                part = b.slice(lo, hi - lo)
+                if not ids[lo, 2]:
+                    held.append(part)
+                elif held:
+                    buckets = buckets or Buckets(index, held)
+                    yield from buckets.nearest(part, k)
+
+    return both.repartition("cb", "qb").sortWithinPartitions("cb", "qb", "asked").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _scanned(reps: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -198,27 +253,26 @@ def searched(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 def _met(reps: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
     """(query_id, vec_id, score): the candidates among reps (v, ids) that queries (id, v) found, the k nearest at least; all vectors have one length."""
     sample = reps.orderBy(F.xxhash64("v"), "ids").limit(FIT_VECTORS).select("v").toPandas()["v"]
-    index = fitted(np.stack(sample.to_numpy()), reps.count(), k)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = index.keys(np.floor(index.places(np.stack(b["v"].to_numpy()))))
-            yield pd.concat([b.assign(key=keys[:, t]) for t in range(index.tables)])
+    rows = reps.count()
+    index = fitted(np.stack(sample.to_numpy()), rows, k)
+    queries = written(queries, "queries")
+    asked = queries.count()
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = index.probed(np.stack(b["v"].to_numpy()), index.probes)
-            yield b.assign(key=[np.unique(x) for x in keys]).explode("key").astype({"key": "int64"})
-
-    kinds = f"ids array<long>, v {kind}, key long"
-    candidates = reps.select("ids", "v").mapInPandas(place, kinds)
-    asked = queries.select(F.array("id").alias("ids"), "v").mapInPandas(probe, kinds)
-    n = candidates.groupBy("key").agg(F.count("*").alias("nc")).join(asked.groupBy("key").agg(F.count("*").alias("nq")), "key")
-    n = n.select("key", F.ceil(F.col("nc") / BLOCK).cast("int").alias("nc"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("nq"))
-    blocks = lambda of: F.pmod(F.xxhash64("ids"), F.col(of)).cast("int")
-    every_block = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    c = candidates.join(n, "key").select("key", "ids", "v", blocks("nc").alias("cb"), every_block("nq").alias("qb"), F.lit(True).alias("candidate"))
-    q = asked.join(n, "key").select("key", "ids", "v", every_block("nc").alias("cb"), blocks("nq").alias("qb"), F.lit(False).alias("candidate"))
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                keys = [np.unique(x) for x in index.probed(_vectors(part.column("v")), index.probes)]
+                cut = [(n, own[at : at + KEYS]) for n, own in enumerate(keys) for at in range(0, len(own), KEYS)]
+                part = part.take(pa.array([n for n, _ in cut]))
+                yield pa.RecordBatch.from_arrays([part.column("ids"), part.column("v"), pa.array([own for _, own in cut], pa.list_(pa.int64()))], ["ids", "v", "keys"])
+
+    of = {"cb": -(-rows // min(BLOCK, max(1, 128 * BLOCK // index.size))), "qb": max(1, -(-asked // (8 * QUERY_BLOCK)))}
+    block = lambda b: F.pmod(F.xxhash64("ids"), F.lit(of[b])).cast("int").alias(b)
+    every_block = lambda b: F.explode(F.sequence(F.lit(0), F.lit(of[b] - 1))).alias(b)
+    dealt = queries.repartition(max(1, -(-asked // PROBED)), "id").select(F.array("id").alias("ids"), "v")
+    c = reps.select("ids", "v", F.lit(None).cast("array<long>").alias("keys"), block("cb"), every_block("qb"), F.lit(False).alias("asked"))
+    q = dealt.mapInArrow(probe, f"ids array<long>, v {kind}, keys array<long>").select("ids", "v", "keys", every_block("cb"), block("qb"), F.lit(True).alias("asked"))
     met = written(_units(c.unionByName(q), index, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "met")
     full = met.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
     short = written(queries.join(full, "id", "left_anti"), "short")

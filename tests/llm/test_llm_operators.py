@@ -681,6 +681,58 @@ def test_neighbours_cut_hot_buckets(spark, monkeypatch):
     assert sorted(tuple(r) for r in neighbours.searched(table).collect()) == whole
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, none, None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_queries_are_not_copied_for_each_bucket(spark):
+    """3,000 queries over 3,000 vectors: what is shuffled goes by vectors, queries and their ten best, not by the buckets visited."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).standard_normal((3000, 16)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = set(shuffled_rows(spark))
+    assert neighbours.searched(table, every=1).count() == 30_000
+    assert sum(n for i, n in shuffled_rows(spark).items() if i not in before) < 150_000
+
+
+def test_long_keys_and_many_blocks_give_the_same(spark, monkeypatch):
+    """Queries whose keys fill several rows, in several blocks, over several blocks of candidates with copies; all pairs of a bucket, picked out or not."""
+    x = np.random.default_rng(8).standard_normal((900, 12))
+    x[500:520] = x[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in neighbours.searched(table, every=10).collect())
+    for name, n in (("BLOCK", 100), ("QUERY_BLOCK", 2), ("KEYS", 3), ("PROBED", 7)):
+        monkeypatch.setattr(neighbours, name, n)
+    monkeypatch.setattr(neighbours.Buckets, "_likely", lambda self, rows, q, products, k: rows)
+    assert sorted(tuple(r) for r in neighbours.searched(table, every=10).collect()) == whole and len(whole) == 900
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e25, 1e200])
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_likely_candidates_hold_the_nearest(kind, scale):
+    """Rough distances lose none of the nearest, far from the origin, near ties and where squares over- or underflow."""
+    rng = np.random.default_rng(9)
+    for far in (0, 100, 1e6):
+        x = rng.standard_normal((500, 8)) + far
+        x[100:150] = x[1] + 1e-9 * rng.standard_normal((50, 8))
+        with np.errstate(over="ignore"):
+            x = (x * scale).astype(kind)
+        x = x[np.isfinite(x).all(axis=1)]
+        if not len(x):
+            continue
+        held = neighbours.pa.RecordBatch.from_pydict({"ids": [[i] for i in range(len(x))], "v": neighbours.pa.array(x.tolist(), neighbours.pa.list_(neighbours.pa.from_numpy_dtype(kind)))})
+        buckets = neighbours.Buckets(neighbours.Index(8, 2, 1.0), [held])
+        for q in (x[1], x[7]):
+            with np.errstate(over="ignore", invalid="ignore"):
+                d = np.sqrt(((x.astype(np.float64) - q) ** 2).sum(axis=1))
+                kept = set(buckets._likely(np.arange(len(x)), q, None, 10).tolist())
+            assert set(np.lexsort((np.arange(len(x)), d))[:11].tolist()) <= kept
+            assert scale != 1.0 or far or kind == np.float32 or len(kept) < 100
+
+
 def test_probes_go_by_rising_cost():
     index = neighbours.Index(4, 3, 1.0)
     place = np.array([0.1, 0.5, 0.8])
