@@ -3,6 +3,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -676,3 +677,21 @@ def test_bank_is_held_in_tiles():
     assert peak < 60e6
     want = [np.sqrt(((known - p) ** 2).sum(axis=1).min()) for p in x[::50]]
     assert got[::50] == pytest.approx(want, abs=1e-12)
+
+
+def test_resampled_rows_are_stored_in_few_bytes(spark, monkeypatch, tmp_path):
+    """Steps without a longitude give 10,000 places each: every place has its row, dealt to many tasks, and stored in under a byte a row."""
+    monkeypatch.setattr(series, "TASK_PLACES", 100_000)
+    rows = [(line, i, 13.0 + line * 1e-3 + i * (0.03 if line == 7 else 1e-5), None if i in (2, 5) and line != 7 else 80.0) for line in range(30) for i in range(7)]
+    df = spark.createDataFrame(rows, "line_id long, ping int, lat double, lon double")
+    series.nearest_by_distance(df, ["line_id"], "ping", 2000.0).write.parquet(str(tmp_path / "out"))
+    parts = list((tmp_path / "out").glob("*.parquet"))
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values(["line_id", "k"])
+    track = series.travelled(df, ["line_id"], "ping").toPandas().sort_values(["line_id", "ping"])
+    for line, own in track.groupby("line_id"):
+        at, found = own["travelled_m"].to_numpy(), got[got["line_id"] == line]
+        k = np.arange(int(at[-1] // 2000) + 1)
+        nearest = len(at) - 1 - np.abs(at[::-1][None] - k[:, None] * 2000).argmin(axis=1)
+        assert found["k"].tolist() == k.tolist() and found["ping"].tolist() == own["ping"].to_numpy()[nearest].tolist()
+    assert len(got) > 1_000_000 and len(parts) > 8 and sum(p.stat().st_size for p in parts) < len(got)
+    assert series.nearest_by_distance(df.where("false"), ["line_id"], "ping", 2000.0).count() == 0
